@@ -1,0 +1 @@
+"""Operators over the canonical frames (encounters, participants, boards, sales, combat, raw payloads)."""
