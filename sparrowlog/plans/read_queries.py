@@ -14,7 +14,7 @@ from sparrowlog.plans.registry import query
 AS_OF = dt.datetime(2024, 1, 20, 12)
 START, END = dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 15)
 SALES_AS_OF = dt.datetime(2001, 7, 15, 9, 30)
-ZONE, GUILD, HUNTER, PLAYER, USER = "America/New_York", "CANADA", "actor 7", "p7", "u3"
+ZONE, GUILD, HUNTER, PLAYER, USER = "America/New_York", "NATION_3", "actor 7", "p7", "u3"
 E, P, N, O, S = "encounters", "participants", "player_by_name", "observations", "sales"
 W = lens.with_
 IN_CYCLE = "event_at>=TIMESTAMP '2024-01-08' AND event_at<TIMESTAMP '2024-01-15'"
@@ -228,20 +228,20 @@ def guild_summary(spark, d):
 
 
 @query("agg21_guild_roster", f"""{W(E, P)}, {METRICS} SELECT id, current_name, city_name, coalesce(encounters,0) AS encounters, coalesce(wins,0) AS wins, coalesce(losses,0) AS losses, coalesce(credits_claimed,0) AS credits, last_active_at
-FROM participants LEFT JOIN m ON hunter_key=lower(current_name) WHERE participant_type='player' AND lower(nullif(guild_abbreviation,''))='canada'""")
+FROM participants LEFT JOIN m ON hunter_key=lower(current_name) WHERE participant_type='player' AND lower(nullif(guild_abbreviation,''))='nation_3'""")
 def guild_roster(spark, d):
     return guilds.roster(enc(spark, d), par(spark, d), GUILD)
 
 
 @query("agg21_guild_daily", f"""{W(E, P)} SELECT CAST(event_at::DATE AS VARCHAR) AS day, count(*) AS encounters, {KILLS} AS wins, {FAILS} AS losses, {PAID} AS credits
-FROM encounters JOIN participants ON participant_type='player' AND lower(current_name)=lower(hunter_name) WHERE lower(nullif(guild_abbreviation,''))='canada' GROUP BY 1""")
+FROM encounters JOIN participants ON participant_type='player' AND lower(current_name)=lower(hunter_name) WHERE lower(nullif(guild_abbreviation,''))='nation_3' GROUP BY 1""")
 def guild_daily(spark, d):
     return guilds.daily(enc(spark, d), par(spark, d), GUILD)
 
 
 @query("agg22_jon8_guild_rivals", f"""{W(E, P, N)}, mt AS (SELECT e.*, h.guild_abbreviation AS hg, t.guild_abbreviation AS tg FROM encounters e JOIN player_by_name h ON h.name_key=lower(hunter_name) JOIN player_by_name t ON t.name_key=lower(target_name)
- WHERE lower(h.guild_abbreviation)<>lower(t.guild_abbreviation) AND (lower(h.guild_abbreviation)='canada' OR lower(t.guild_abbreviation)='canada')),
-rs AS (SELECT CASE WHEN lower(hg)='canada' THEN tg ELSE hg END AS og, ((outcome='KILL' AND lower(hg)='canada') OR (outcome='FAILED' AND lower(tg)='canada')) AS won, event_at FROM mt)
+ WHERE lower(h.guild_abbreviation)<>lower(t.guild_abbreviation) AND (lower(h.guild_abbreviation)='nation_3' OR lower(t.guild_abbreviation)='nation_3')),
+rs AS (SELECT CASE WHEN lower(hg)='nation_3' THEN tg ELSE hg END AS og, ((outcome='KILL' AND lower(hg)='nation_3') OR (outcome='FAILED' AND lower(tg)='nation_3')) AS won, event_at FROM mt)
 SELECT g.id AS guild_id, min(og) AS opponent_guild, count(*) AS encounters, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses, min(event_at) AS first_event_at, max(event_at) AS last_event_at
 FROM rs LEFT JOIN participants g ON g.participant_type='guild' AND lower(g.guild_abbreviation)=lower(og) GROUP BY lower(og), g.id""")
 def guild_rivals(spark, d):
