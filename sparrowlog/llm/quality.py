@@ -153,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 9000):
     order = F.xxhash64("doc_id")
     last = known.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     known = known.withColumn("sampled", order <= F.lit(last if last is not None else 0))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("data")).join(known, "doc_id").select("doc_id", "data", "label", "sampled")
+    # labels grow with the documents, so they meet by one shuffle at every size and are never broadcast
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("data")).join(known.hint("merge"), "doc_id").select("doc_id", "data", "label", "sampled")
     stats = materialise(rows.mapInArrow(train_batches, STATS), "quality-stats")
     counts = stats.filter("kind = 0").groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
     picked = stats.filter("kind = 1").select("key", "good", "features").toArrow().sort_by("key")
