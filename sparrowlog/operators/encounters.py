@@ -12,14 +12,21 @@ from pyspark.sql import functions as F
 from sparrowlog.functions.latest import day_start, days, known_zone, with_player
 from sparrowlog.functions.text import contains_ci
 
-KILL, FAILED = F.col("outcome") == "KILL", F.col("outcome") == "FAILED"
 OUTCOMES = ("KILL", "FAILED")
 DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 
 
+def kill() -> Column:
+    return F.col("outcome") == "KILL"
+
+
+def failed() -> Column:
+    return F.col("outcome") == "FAILED"
+
+
 def paid(credits: str = "credits") -> Column:
     """Sum of the credits of kills, 0 where there is none."""
-    return F.coalesce(F.sum(F.when(KILL, F.col(credits))), F.lit(0)).cast("double")
+    return F.coalesce(F.sum(F.when(kill(), F.col(credits))), F.lit(0)).cast("double")
 
 
 def iso_date(value: str | None) -> str | None:
@@ -87,9 +94,9 @@ def within(encounters: DataFrame, start: dt.datetime, end: dt.datetime) -> DataF
 def actor_events(encounters: DataFrame) -> DataFrame:
     """Both roles of each encounter: a hunter's own contract, and a target's death if it was killed."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    kill, failed = KILL.cast("long"), FAILED.cast("long")
-    hunter = encounters.select(F.lower("hunter_name").alias("hunter_key"), F.col("hunter_name").alias("display_name"), "event_at", one.alias("encounter"), kill.alias("kill"), failed.alias("failure"), failed.alias("death"), F.when(KILL, F.col("credits")).otherwise(0).alias("credits"))
-    target = encounters.select(F.lower("target_name").alias("hunter_key"), F.col("target_name").alias("display_name"), "event_at", none.alias("encounter"), none.alias("kill"), none.alias("failure"), kill.alias("death"), none.alias("credits"))
+    killed, lost = kill().cast("long"), failed().cast("long")
+    hunter = encounters.select(F.lower("hunter_name").alias("hunter_key"), F.col("hunter_name").alias("display_name"), "event_at", one.alias("encounter"), killed.alias("kill"), lost.alias("failure"), lost.alias("death"), F.when(kill(), F.col("credits")).otherwise(0).alias("credits"))
+    target = encounters.select(F.lower("target_name").alias("hunter_key"), F.col("target_name").alias("display_name"), "event_at", none.alias("encounter"), none.alias("kill"), none.alias("failure"), killed.alias("death"), none.alias("credits"))
     return hunter.unionByName(target)
 
 
@@ -106,16 +113,16 @@ def hunter_stats(encounters: DataFrame, cycle: DataFrame) -> DataFrame:
 def daily(encounters: DataFrame, since: dt.datetime) -> DataFrame:
     """Days with encounters from a moment on; quiet days are not there."""
     rows = encounters.filter(F.col("event_at") >= F.lit(since).cast("timestamp_ntz"))
-    return rows.groupBy(F.to_date("event_at").cast("string").alias("day")).agg(F.count("*").alias("encounters"), F.count_if(KILL).alias("kills"), paid().alias("credits"))
+    return rows.groupBy(F.to_date("event_at").cast("string").alias("day")).agg(F.count("*").alias("encounters"), F.count_if(kill()).alias("kills"), paid().alias("credits"))
 
 
 def cycle_summary(encounters: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
     return within(encounters, start, end).agg(
         F.count("*").alias("encounters"),
-        F.count_if(KILL).alias("claims"),
-        F.count_if(FAILED).alias("failures"),
+        F.count_if(kill()).alias("claims"),
+        F.count_if(failed()).alias("failures"),
         paid().alias("credits"),
-        F.coalesce(F.avg(F.when(KILL, F.col("credits"))), F.lit(0.0)).alias("average_bounty"),
+        F.coalesce(F.avg(F.when(kill(), F.col("credits"))), F.lit(0.0)).alias("average_bounty"),
         F.count_distinct(F.lower("hunter_name")).alias("active_hunters"),
         F.count_distinct(F.lower("target_name")).alias("unique_targets"),
         F.count_distinct(F.to_date("event_at")).alias("active_days"),
@@ -135,7 +142,7 @@ def top_hunters(encounters: DataFrame, participants: DataFrame, start: dt.dateti
 
 def targets(encounters: DataFrame, participants: DataFrame) -> DataFrame:
     """Roll-up by target name with its newest player."""
-    rows = encounters.groupBy(F.lower("target_name").alias("target_key")).agg(F.min("target_name").alias("target_name"), F.count("*").alias("targeted"), F.count_if(KILL).alias("killed"), F.count_if(FAILED).alias("survived"))
+    rows = encounters.groupBy(F.lower("target_name").alias("target_key")).agg(F.min("target_name").alias("target_name"), F.count("*").alias("targeted"), F.count_if(kill()).alias("killed"), F.count_if(failed()).alias("survived"))
     return with_player(rows, "target_key", participants, "participant_id").drop("target_key")
 
 
@@ -144,7 +151,7 @@ def top_targets(encounters: DataFrame, participants: DataFrame, start: dt.dateti
 
 
 def hunters(encounters: DataFrame, participants: DataFrame) -> DataFrame:
-    rows = encounters.groupBy(F.lower("hunter_name").alias("hunter_key")).agg(F.min("hunter_name").alias("hunter_name"), F.count("*").alias("encounters"), F.count_if(KILL).alias("wins"), F.count_if(FAILED).alias("losses"), paid().alias("credits"))
+    rows = encounters.groupBy(F.lower("hunter_name").alias("hunter_key")).agg(F.min("hunter_name").alias("hunter_name"), F.count("*").alias("encounters"), F.count_if(kill()).alias("wins"), F.count_if(failed()).alias("losses"), paid().alias("credits"))
     return with_player(rows, "hunter_key", participants, "participant_id").drop("hunter_key")
 
 
@@ -152,7 +159,7 @@ def cycle_daily(encounters: DataFrame, start: dt.datetime, end: dt.datetime, as_
     """Every elapsed day of the cycle, zero where quiet; days after ``as_of`` are left out."""
     last = min(end - dt.timedelta(seconds=1), as_of).date()
     calendar = days(encounters.sparkSession, F.lit(start.date()), F.lit(last))
-    rows = within(encounters, start, end).groupBy(F.to_date("event_at").alias("day")).agg(F.count("*").alias("encounters"), F.count_if(KILL).alias("claims"), F.count_if(FAILED).alias("failures"), paid().alias("credits"))
+    rows = within(encounters, start, end).groupBy(F.to_date("event_at").alias("day")).agg(F.count("*").alias("encounters"), F.count_if(kill()).alias("claims"), F.count_if(failed()).alias("failures"), paid().alias("credits"))
     zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
     return calendar.join(rows, "day", "left").select(F.col("day").cast("string").alias("day"), zero("encounters", 0), zero("claims", 0), zero("failures", 0), zero("credits", 0.0))
 
@@ -161,24 +168,25 @@ def hunter_metrics(encounters: DataFrame) -> DataFrame:
     """Nine measures of each lower-case hunter name."""
     return encounters.groupBy(F.lower("hunter_name").alias("hunter_key")).agg(
         F.count("*").alias("encounters"),
-        F.count_if(KILL).alias("wins"),
-        F.count_if(FAILED).alias("losses"),
-        (F.count_if(KILL).cast("double") / F.count("*")).alias("win_rate"),
+        F.count_if(kill()).alias("wins"),
+        F.count_if(failed()).alias("losses"),
+        (F.count_if(kill()).cast("double") / F.count("*")).alias("win_rate"),
         paid().alias("credits_claimed"),
-        F.max(F.when(KILL, F.col("credits"))).cast("double").alias("highest_bounty"),
+        F.max(F.when(kill(), F.col("credits"))).cast("double").alias("highest_bounty"),
         F.count_distinct(F.to_date("event_at")).alias("active_days"),
         F.count_distinct(F.lower("target_name")).alias("unique_targets"),
         F.max("event_at").alias("last_active_at"),
     )
 
 
-HUNTER_ORDERS = {
-    "name": [F.asc("current_name")],
-    "winRate": [F.desc_nulls_last("win_rate"), F.desc("encounters"), F.asc("current_name")],
-    "encounters": [F.desc_nulls_last("encounters"), F.asc("current_name")],
-    "credits": [F.desc_nulls_last("credits_claimed"), F.asc("current_name")],
-    "lastActive": [F.desc_nulls_last("last_active_at"), F.asc("current_name")],
-}
+def hunter_order(sort: str) -> list[Column]:
+    return {
+        "name": [F.asc("current_name")],
+        "winRate": [F.desc_nulls_last("win_rate"), F.desc("encounters"), F.asc("current_name")],
+        "encounters": [F.desc_nulls_last("encounters"), F.asc("current_name")],
+        "credits": [F.desc_nulls_last("credits_claimed"), F.asc("current_name")],
+        "lastActive": [F.desc_nulls_last("last_active_at"), F.asc("current_name")],
+    }[sort]
 
 
 def hunter_directory(encounters: DataFrame, participants: DataFrame, board_values: DataFrame, q: str | None = None, activity: str | None = None, sort: str = "encounters", page: int = 1, page_size: int = 25) -> DataFrame:
@@ -200,12 +208,12 @@ def hunter_directory(encounters: DataFrame, participants: DataFrame, board_value
     rows = rows.join(guild, F.lower(F.nullif("guild_abbreviation", F.lit(""))) == F.col("guild_key"), "left")
     zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
     out = rows.select("id", "current_name", "guild_abbreviation", "city_name", "guild_id", "total_kills_rank", "total_kills_score", "unique_kills_rank", "unique_kills_score", zero("encounters", 0), zero("wins", 0), zero("losses", 0), "win_rate", zero("credits_claimed", 0.0), "highest_bounty", zero("active_days", 0), zero("unique_targets", 0), "last_active_at")
-    return out.orderBy(*HUNTER_ORDERS[sort], F.asc("id")).offset((max(1, page) - 1) * size).limit(size)
+    return out.orderBy(*hunter_order(sort), F.asc("id")).offset((max(1, page) - 1) * size).limit(size)
 
 
 def opponents(encounters: DataFrame, name: str, n: int = 10) -> DataFrame:
     """Whom a player hunted most."""
-    return encounters.filter(F.lower("hunter_name") == name.lower()).groupBy(F.lower("target_name").alias("opponent_key")).agg(F.min("target_name").alias("opponent"), F.count("*").alias("encounters"), F.count_if(KILL).alias("kills"), paid().alias("credits")).orderBy(F.desc("encounters"), F.desc("kills"), "opponent").limit(n)
+    return encounters.filter(F.lower("hunter_name") == name.lower()).groupBy(F.lower("target_name").alias("opponent_key")).agg(F.min("target_name").alias("opponent"), F.count("*").alias("encounters"), F.count_if(kill()).alias("kills"), paid().alias("credits")).orderBy(F.desc("encounters"), F.desc("kills"), "opponent").limit(n)
 
 
 def outcome_totals(encounters: DataFrame) -> DataFrame:

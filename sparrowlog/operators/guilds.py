@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowlog.functions.latest import players_by_name
-from sparrowlog.operators.encounters import FAILED, KILL, hunter_metrics, paid
+from sparrowlog.operators.encounters import failed, kill, hunter_metrics, paid
 
-TAG = F.nullif("guild_abbreviation", F.lit(""))
+
+def tag_of() -> Column:
+    return F.nullif("guild_abbreviation", F.lit(""))
 
 
 def activity(encounters: DataFrame, participants: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def summary(encounters: DataFrame, participants: DataFrame) -> DataFrame:
 
 def roster(encounters: DataFrame, participants: DataFrame, tag: str) -> DataFrame:
     """All players of the tag, repeated names too, each with the encounters of its name."""
-    p = participants.filter((F.col("participant_type") == "player") & (F.lower(TAG) == tag.lower()))
+    p = participants.filter((F.col("participant_type") == "player") & (F.lower(tag_of()) == tag.lower()))
     m = hunter_metrics(encounters).select("hunter_key", "encounters", "wins", "losses", "credits_claimed", "last_active_at")
     zero = lambda c, v=0: F.coalesce(c, F.lit(v))
     return p.join(m, F.lower("current_name") == F.col("hunter_key"), "left").select("id", "current_name", "city_name", zero("encounters").alias("encounters"), zero("wins").alias("wins"), zero("losses").alias("losses"), zero("credits_claimed", 0.0).alias("credits"), "last_active_at")
@@ -49,9 +51,9 @@ def roster(encounters: DataFrame, participants: DataFrame, tag: str) -> DataFram
 
 def daily(encounters: DataFrame, participants: DataFrame, tag: str) -> DataFrame:
     """Days of a guild. Players are not made distinct by name, so a name that two players share counts twice."""
-    p = participants.filter((F.col("participant_type") == "player") & (F.lower(TAG) == tag.lower())).select(F.lower("current_name").alias("name_key"))
+    p = participants.filter((F.col("participant_type") == "player") & (F.lower(tag_of()) == tag.lower())).select(F.lower("current_name").alias("name_key"))
     rows = encounters.join(p, F.lower("hunter_name") == F.col("name_key"))
-    return rows.groupBy(F.to_date("event_at").cast("string").alias("day")).agg(F.count("*").alias("encounters"), F.count_if(KILL).alias("wins"), F.count_if(FAILED).alias("losses"), paid().alias("credits"))
+    return rows.groupBy(F.to_date("event_at").cast("string").alias("day")).agg(F.count("*").alias("encounters"), F.count_if(kill()).alias("wins"), F.count_if(failed()).alias("losses"), paid().alias("credits"))
 
 
 def rivals(encounters: DataFrame, participants: DataFrame, tag: str) -> DataFrame:
@@ -62,7 +64,7 @@ def rivals(encounters: DataFrame, participants: DataFrame, tag: str) -> DataFram
     rows = encounters.join(h, F.lower("hunter_name") == F.col("h_key")).join(t, F.lower("target_name") == F.col("t_key"))
     ours, theirs = F.lower("hunter_guild") == me, F.lower("target_guild") == me
     rows = rows.filter((F.lower("hunter_guild") != F.lower("target_guild")) & (ours | theirs))
-    rows = rows.withColumn("opponent_guild", F.when(ours, F.col("target_guild")).otherwise(F.col("hunter_guild"))).withColumn("won", (KILL & ours) | (FAILED & theirs))
+    rows = rows.withColumn("opponent_guild", F.when(ours, F.col("target_guild")).otherwise(F.col("hunter_guild"))).withColumn("won", (kill() & ours) | (failed() & theirs))
     g = participants.filter("participant_type = 'guild'").select(F.lower("guild_abbreviation").alias("g_key"), F.col("id").alias("guild_id"))
     rows = rows.withColumn("opponent_key", F.lower("opponent_guild")).join(g, F.col("opponent_key") == F.col("g_key"), "left")
     return rows.groupBy("opponent_key", "guild_id").agg(F.min("opponent_guild").alias("opponent_guild"), F.count("*").alias("encounters"), F.count_if("won").alias("wins"), F.count_if(~F.col("won")).alias("losses"), F.min("event_at").alias("first_event_at"), F.max("event_at").alias("last_event_at")).drop("opponent_key")

@@ -2,42 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowlog.functions.latest import with_player
 from sparrowlog.functions.text import contains_ci
-from sparrowlog.operators.encounters import FAILED, KILL, paid
+from sparrowlog.operators.encounters import failed, kill, paid
 
-HUNTER, TARGET = F.lower("hunter_name"), F.lower("target_name")
+
+def hunter() -> Column:
+    return F.lower("hunter_name")
+
+
+def target() -> Column:
+    return F.lower("target_name")
 
 
 def pairs(encounters: DataFrame) -> DataFrame:
     """One row for each unordered pair of different names. A revenge kill follows, among the pair's kills, a kill of this
     killer by this victim."""
-    first = HUNTER <= TARGET
-    tagged = encounters.filter(HUNTER != TARGET).select(
+    first = hunter() <= target()
+    tagged = encounters.filter(hunter() != target()).select(
         "*",
-        F.least(HUNTER, TARGET).alias("side_a_key"),
-        F.greatest(HUNTER, TARGET).alias("side_b_key"),
+        F.least(hunter(), target()).alias("side_a_key"),
+        F.greatest(hunter(), target()).alias("side_b_key"),
         F.when(first, F.col("hunter_name")).otherwise(F.col("target_name")).alias("side_a_name"),
         F.when(first, F.col("target_name")).otherwise(F.col("hunter_name")).alias("side_b_name"),
     )
     # the kill before, among kills only, over the one shuffle that the totals need too
     kills = Window.partitionBy("side_a_key", "side_b_key").orderBy("event_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    tagged = tagged.withColumn("previous_killer", F.last(F.when(KILL, HUNTER), True).over(kills))
-    won_by = lambda side: (KILL & (HUNTER == F.col(side))) | (FAILED & (TARGET == F.col(side)))
+    tagged = tagged.withColumn("previous_killer", F.last(F.when(kill(), hunter()), True).over(kills))
+    won_by = lambda side: (kill() & (hunter() == F.col(side))) | (failed() & (target() == F.col(side)))
     return tagged.groupBy("side_a_key", "side_b_key").agg(
         F.min("side_a_name").alias("side_a_name"),
         F.min("side_b_name").alias("side_b_name"),
         F.count("*").alias("encounters"),
         F.count_if(won_by("side_a_key")).alias("side_a_wins"),
         F.count_if(won_by("side_b_key")).alias("side_b_wins"),
-        F.count_if(KILL).alias("claims"),
+        F.count_if(kill()).alias("claims"),
         paid().alias("credits"),
         F.min("event_at").alias("first_event_at"),
         F.max("event_at").alias("last_event_at"),
-        F.count_if(KILL & (F.col("previous_killer") == TARGET)).alias("revenge_kills"),
+        F.count_if(kill() & (F.col("previous_killer") == target())).alias("revenge_kills"),
     )
 
 
@@ -78,10 +84,10 @@ def summary(encounters: DataFrame) -> DataFrame:
 def of_hunter(encounters: DataFrame, name: str, participants: DataFrame) -> DataFrame:
     """One player's opponents (itself included, if it hunted itself); revenge counts the player's own kills only."""
     me = F.lit(name.lower())
-    rows = encounters.filter((HUNTER == me) | (TARGET == me)).withColumn("opponent", F.when(HUNTER == me, F.col("target_name")).otherwise(F.col("hunter_name"))).withColumn("opponent_key", F.lower("opponent"))
+    rows = encounters.filter((hunter() == me) | (target() == me)).withColumn("opponent", F.when(hunter() == me, F.col("target_name")).otherwise(F.col("hunter_name"))).withColumn("opponent_key", F.lower("opponent"))
     kills = Window.partitionBy("opponent_key").orderBy("event_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("previous_killer", F.last(F.when(KILL, HUNTER), True).over(kills))
-    claim, survival = KILL & (HUNTER == me), FAILED & (TARGET == me)
+    rows = rows.withColumn("previous_killer", F.last(F.when(kill(), hunter()), True).over(kills))
+    claim, survival = kill() & (hunter() == me), failed() & (target() == me)
     out = rows.groupBy("opponent_key").agg(
         F.min("opponent").alias("opponent"),
         F.count("*").alias("encounters"),
@@ -93,6 +99,6 @@ def of_hunter(encounters: DataFrame, name: str, participants: DataFrame) -> Data
         F.min("event_at").alias("first_event_at"),
         F.max("event_at").alias("last_event_at"),
         (F.count_if(claim | survival).cast("double") / F.count("*")).alias("win_rate"),
-        F.count_if(claim & (F.col("previous_killer") == TARGET)).alias("revenge_kills"),
+        F.count_if(claim & (F.col("previous_killer") == target())).alias("revenge_kills"),
     )
     return with_player(out, "opponent_key", participants, "participant_id")

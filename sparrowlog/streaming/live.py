@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sparrowlog.functions.latest import latest_per_key
 from sparrowlog.operators.combat import parse
@@ -25,7 +24,7 @@ def append_new(rows: DataFrame, path: str, keys: list[str], batch_id: int) -> No
     """Append the first row of each key that the table lacks, in a folder of the batch: a batch that runs again replaces it."""
     spark = rows.sparkSession
     own = f"batch={batch_id}"
-    old = read_table(spark, path, rows.schema.add("batch", "long") if "batch" not in rows.columns else rows.schema).filter(F.col("batch") != batch_id).drop("batch")
+    old = read_table(spark, path, StructType([*rows.schema.fields, StructField("batch", LongType())])).filter(F.col("batch") != batch_id).drop("batch")
     fresh = latest_per_key(rows, keys, [F.asc(c) for c in rows.columns]).join(old.select(*keys), keys, "left_anti")
     fresh.write.mode("overwrite").parquet(f"{path}/{own}")
 
@@ -84,7 +83,3 @@ def fight_groups(gap_us: int):
 def fight_stream(events: DataFrame, gap_seconds: int = 20, late: str = "1 minute") -> DataFrame:
     """Fights of each user as they end: equal in the end to the batch clusters of events that come in time."""
     return events.withWatermark("occurred_at", late).groupBy("user_id").applyInPandasWithState(fight_groups(gap_seconds * 1_000_000), FIGHTS, FIGHT_STATE, "append", "EventTimeTimeout")
-
-
-def new_checkpoint(spark: SparkSession, name: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/{name}-{uuid.uuid4().hex}"
