@@ -189,10 +189,10 @@ def latest_per_source(spark, d):
     return e.select("event_type").distinct().join(newest, "event_type", "left")
 
 
-@query("int2_run_status", """WITH r AS (SELECT CAST(ts::DATE AS VARCHAR) AS day, count(*) AS requests, count(*) FILTER (event_type='error') AS failed, count(*) FILTER (value>95) AS partial FROM events WHERE user_id%12=0 GROUP BY 1)
+@query("int2_run_status", """WITH r AS (SELECT user_id, CAST(ts::DATE AS VARCHAR) AS day, count(*) AS requests, count(*) FILTER (event_type='error') AS failed, count(*) FILTER (value>95) AS partial FROM events GROUP BY 1,2)
 SELECT *, CASE WHEN failed>=requests THEN 'FAILED' WHEN failed>0 OR partial>0 THEN 'PARTIAL' ELSE 'SUCCEEDED' END AS status FROM r""")
 def run_status(spark, d):
-    r = events(spark, d).filter("user_id % 12 = 0").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("requests"), F.count_if(F.col("event_type") == "error").alias("failed"), F.count_if(F.col("value") > 95).alias("partial"))
+    r = events(spark, d).groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("requests"), F.count_if(F.col("event_type") == "error").alias("failed"), F.count_if(F.col("value") > 95).alias("partial"))
     return r.withColumn("status", ingest.run_status(F.col("requests"), F.col("failed"), F.col("partial")))
 
 
@@ -270,11 +270,11 @@ def mails(spark, d):
     buyer = F.when(F.col("buyer") == "", "Nobody").otherwise(F.col("buyer"))
     sold = F.concat(F.lit("Vendor: "), "vendor", F.lit(" has sold "), item, F.lit(" to "), buyer, F.lit(" for "), amount, F.lit(" credits."))
     bought = F.concat(F.lit("You have won the auction of "), item, F.lit(" from "), buyer, F.lit(" for "), amount, F.lit(" credits."))
-    head = F.concat(F.col("id").cast("string"), F.lit("\r\nSWG.Galaxy.auctioner\r\nTrade\r\nTIMESTAMP: "), F.unix_timestamp(F.col("occurred_at").cast("timestamp")).cast("string"), F.lit("\r\n\r\n"))
+    head = F.concat(F.col("id").cast("string"), F.lit("\r\nGalaxy.auctioner\r\nTrade\r\nTIMESTAMP: "), F.unix_timestamp(F.col("occurred_at").cast("timestamp")).cast("string"), F.lit("\r\n\r\n"))
     return s.select("id", F.concat(head, F.when(F.col("id") % 2 == 0, sold).otherwise(bought)).alias("raw"))
 
 
-@query("txt5_txt6_mail_sales", f"{W(S)} SELECT CAST(id AS VARCHAR) AS mail_id, 'SWG.Galaxy.auctioner' AS sender, 'Trade' AS subject, occurred_at, item_name, CASE WHEN buyer='' THEN 'Nobody' ELSE buyer END AS buyer, credits, vendor, 'vendor' AS sale_type FROM sales WHERE id%2=0")
+@query("txt5_txt6_mail_sales", f"{W(S)} SELECT CAST(id AS VARCHAR) AS mail_id, 'Galaxy.auctioner' AS sender, 'Trade' AS subject, occurred_at, item_name, CASE WHEN buyer='' THEN 'Nobody' ELSE buyer END AS buyer, credits, vendor, 'vendor' AS sale_type FROM sales WHERE id%2=0")
 def mail_sales(spark, d):
     rows = mail.parse_mails(mails(spark, d)).withColumn("sale", mail.sale()).filter("sale IS NOT NULL")
     return rows.select("mail_id", "sender", "subject", F.col("sent_at").cast(NTZ).alias("occurred_at"), "sale.*")

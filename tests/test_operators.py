@@ -220,8 +220,8 @@ def test_combat_grammar(spark):
 
 
 MAIL = {
-    "123\r\nFROM: SWG.auctioner\r\nSUBJECT: Vendor Sale Complete\r\nTIMESTAMP: 1755468000\r\n\r\nVendor: Nine has sold [Mark V] to Wr for 250,000 credits.": ("123", "SWG.auctioner", "Vendor Sale Complete", 1755468000, ("Mark V", "Wr", 250000, "Nine", "vendor"), None),
-    "123_1755468000\nSWG.auctioner\nSale\n\nYour auction of Mark V has been sold to Wr for 5 credits": ("123_1755468000", "SWG.auctioner", "Sale", 1755468000, ("Mark V", "Wr", 5, "", "bazaar"), None),
+    "123\r\nFROM: Galaxy.auctioner\r\nSUBJECT: Vendor Sale Complete\r\nTIMESTAMP: 1755468000\r\n\r\nVendor: Nine has sold [Mark V] to Wr for 250,000 credits.": ("123", "Galaxy.auctioner", "Vendor Sale Complete", 1755468000, ("Mark V", "Wr", 250000, "Nine", "vendor"), None),
+    "123_1755468000\nGalaxy.auctioner\nSale\n\nYour auction of Mark V has been sold to Wr for 5 credits": ("123_1755468000", "Galaxy.auctioner", "Sale", 1755468000, ("Mark V", "Wr", 5, "", "bazaar"), None),
     "9\nfrom: A\nsubject: B\n1755468000123\n\nYou have purchased X from the vendor: Y for 7 credits": ("9", "A", "B", 1755468000, None, ("X", "Y", 7, "vendor")),
     "hello\nyou\n\nchatter": ("", "hello", "you", None, None, None),
     "": ("", "", "", None, None, None),
