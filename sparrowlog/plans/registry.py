@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from sparrowlog.plans import ingest_queries, read_queries  # noqa: E402, F401
+from sparrowlog.plans import ingest_queries, read_queries, status_queries  # noqa: E402, F401
