@@ -60,3 +60,15 @@ def admin_summary(spark, d):
 def open_errors(spark, d):
     rows = lens.table(spark, d, "events").filter("event_type = 'error' AND value >= 20")
     return rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id", F.col("ts").alias("created_at"))
+
+
+@query("lst2_group_leaders", f"""{lens.with_("observations", "participants")}, newest AS (SELECT leaderboard_id, max(observed_at) AS observed_at FROM observations WHERE source_period_key='CURRENT' GROUP BY 1)
+SELECT o.leaderboard_id, o.participant_id, p.current_name, o.rank, o.score FROM observations o JOIN newest n ON n.leaderboard_id=o.leaderboard_id AND n.observed_at=o.observed_at JOIN participants p ON p.id=o.participant_id
+WHERE o.source_period_key='CURRENT' AND o.rank<=5""")
+def group_leaders(spark, d):
+    """The first five ranks of the newest current snapshot of each board."""
+    rows = lens.observations(spark, d).filter("source_period_key = 'CURRENT'")
+    newest = rows.groupBy("leaderboard_id").agg(F.max("observed_at").alias("observed_at"))
+    rows = rows.filter("rank <= 5").join(newest, ["leaderboard_id", "observed_at"], "left_semi")
+    people = lens.participants(spark, d).select(F.col("id").alias("participant_id"), "current_name")
+    return rows.join(people, "participant_id").select("leaderboard_id", "participant_id", "current_name", "rank", "score")
