@@ -263,7 +263,7 @@ def combat_rejects(spark, d):
     return combat.split_upload(combat_lines(spark, d))[1]
 
 
-def mails(spark, d):
+def mails(spark, d, *more):
     s = lens.sales(spark, d)
     item = F.concat(F.lit("["), "item_name", F.lit("]"))
     amount = F.format_number("credits", 0)
@@ -271,7 +271,7 @@ def mails(spark, d):
     sold = F.concat(F.lit("Vendor: "), "vendor", F.lit(" has sold "), item, F.lit(" to "), buyer, F.lit(" for "), amount, F.lit(" credits."))
     bought = F.concat(F.lit("You have won the auction of "), item, F.lit(" from "), buyer, F.lit(" for "), amount, F.lit(" credits."))
     head = F.concat(F.col("id").cast("string"), F.lit("\r\nGalaxy.auctioner\r\nTrade\r\nTIMESTAMP: "), F.unix_timestamp(F.col("occurred_at").cast("timestamp")).cast("string"), F.lit("\r\n\r\n"))
-    return s.select("id", F.concat(head, F.when(F.col("id") % 2 == 0, sold).otherwise(bought)).alias("raw"))
+    return s.select("id", F.concat(head, F.when(F.col("id") % 2 == 0, sold).otherwise(bought)).alias("raw"), *more)
 
 
 @query("txt5_txt6_mail_sales", f"{W(S)} SELECT CAST(id AS VARCHAR) AS mail_id, 'Galaxy.auctioner' AS sender, 'Trade' AS subject, occurred_at, item_name, CASE WHEN buyer='' THEN 'Nobody' ELSE buyer END AS buyer, credits, vendor, 'vendor' AS sale_type FROM sales WHERE id%2=0")

@@ -1,9 +1,10 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from sparrowlog.sources import landing, web
+from sparrowlog.sources import export, landing, web
 from sparrowlog.streaming import live
 
 
@@ -78,3 +79,32 @@ def test_fight_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.total_damage, r.events) for r in spark.table("fights").collect()) == [(7, 1), (11, 3)]
+
+
+def test_export_backfill_and_schema_report(spark, tmp_path):
+    top = f"file://{tmp_path}"
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "id long, v string"), spark.createDataFrame([], "id long")
+    export.export({"a": (a, ["id"]), "b": (b, ["id"])}, f"{top}/one")
+    keys = {"a": ["id"], "b": ["id"]}
+    assert {r["table"]: (r["rows"], r["ok"]) for r in export.verify(spark, f"{top}/one", keys).collect()} == {"a": (2, True), "b": (0, True)}
+    spark.createDataFrame([(3, "y")], "id long, v string").write.mode("append").parquet(f"{top}/one/a")
+    assert {r["table"]: r["ok"] for r in export.verify(spark, f"{top}/one", keys).collect()} == {"a": False, "b": True}
+    assert not any(r["ok"] for r in export.verify(spark, f"{top}/one", {}).collect())
+
+    ran = []
+
+    def run(period):
+        ran.append(period)
+        if ran == ["p1", "p2"]:
+            raise RuntimeError("down")
+
+    with pytest.raises(RuntimeError):
+        export.backfill(spark, f"{top}/jobs", ["p1", "p2", "p3"], run)
+    assert export.checkpoints(spark, f"{top}/jobs") == {"p1": "SUCCEEDED", "p2": "FAILED"}
+    assert export.backfill(spark, f"{top}/jobs", ["p1", "p2", "p3"], run) == ["p2", "p3"]
+    assert ran == ["p1", "p2", "p2", "p3"]
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"n": 1}')
+    (tmp_path / "in/b.json").write_text('{"n": "x", "m": []}')
+    assert {(r["path"], *r["types"], r["files"]) for r in export.schema_report(spark, f"{top}/in").collect()} == {("$", "object", 2), ("$.n", "number", "string", 2), ("$.m", "array", 1)}
