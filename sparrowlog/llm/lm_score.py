@@ -6,7 +6,8 @@ which has the end token alone. Rows that repeat are counted and scored each time
 training set leaves the uniform model and a base of (0+1)/(0+1*(0+1)).
 
 Words are compared by a 64-bit hash. Words that hold at least one part in 2^20 of all tokens are broadcast (there can be no
-more than 2^20 of them); the rest of each document's words meet their counts in a shuffle join.
+more than 2^20 of them); the rest of each document's words meet their counts in a shuffle join. So do the contexts: the most
+frequent ones are broadcast, at most ``parts``, the others meet their values in a join (``ppm.rare_sums``); none is left out.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from sparrowlog.llm import ppm
 from sparrowlog.llm.common import canonical, found_in, materialise, slices, sums, utf8, word_hashes
 
 COUNTS = "kind byte, key long, n long"
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>, grams array<long>, gram_times array<int>"
 
 
 def stream(text: bytes) -> bytes:
@@ -82,42 +83,33 @@ def squeeze(contexts, words: list[np.ndarray], held: list) -> object:
 
 
 def score_batches(model, order: int, slice_bytes: int = 2_000_000):
-    """A map over (doc_id, held_out, utf8); model: broadcast (trie, sorted words, their log10 of count + 1)."""
+    """A map over (doc_id, held_out, utf8); model: broadcast (known contexts, sorted words, their log10 of count + 1)."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        trie, frequent, logs = model.value
-        memo, row = ppm.Memo([trie]), TaskContext.get().partitionId() << 33
+        contexts, frequent, logs = model.value
+        memo, row = ppm.Memo([contexts]), TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = [canonical(x) for x in batch.column(2).to_pylist()]
             for a, b in slices([len(x) for x in texts], slice_bytes):
                 part = texts[a:b]
                 words, n_words = word_hashes(part)
                 packed, n_symbols = ppm.grams([x + b" " if x else x for x in part], order)
-                score = sums(memo.logp(packed)[:, 0].astype(np.float64), n_symbols) / math.log(10)
+                score, grams, gram_times = ppm.sums_and_rest(memo, packed, n_symbols)
                 hit, at = found_in(frequent, words)
                 base = sums(np.where(hit, logs[at] if len(logs) else 0.0, 0.0), n_words)
                 known = sums(hit.astype(np.float64), n_words).astype(np.int64)
-                rare, times, sizes = rare_words(words[~hit], np.repeat(np.arange(len(part)), n_words)[~hit], len(part))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                rare, times = ppm.lists(*ppm.rare_of(words[~hit], np.repeat(np.arange(len(part)), n_words)[~hit], len(part)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(part))), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n_words + 1), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(offsets, pa.array(rare.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"],
+                    [pa.array(np.arange(row, row + len(part))), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n_words + 1), pa.array(known), pa.array(base), pa.array(score[:, 0]), rare, times, grams, gram_times],
+                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times", "grams", "gram_times"],
                 )
                 row += len(part)
 
     return run
 
 
-def rare_words(words: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each owner, how often each occurs, and the distinct words an owner has."""
-    order = np.lexsort((words, owners))
-    words, owners = words[order], owners[order]
-    first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (owners[1:] != owners[:-1])])) if len(words) else np.zeros(0, np.int64)
-    return words[first], np.diff(np.concatenate([first, [len(words)]])), np.bincount(owners[first], minlength=n)
-
-
 def score_documents(docs: DataFrame, held_out: Column, order: int = 5, parts: int = 1 << 21, frequent_parts: int = 1 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of (doc_id, text)."""
     spark = docs.sparkSession
@@ -126,26 +118,28 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 5, parts: in
     counts = materialise(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     total = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
     of = lambda kind, name: total[kind][name] if kind in total else 0
-    texts, symbols = of(2, "n"), of(3, "n")
+    texts = of(2, "n")
     tokens, vocabulary = of(1, "n") + texts, of(1, "distinct") + (texts > 0)
-    edges = ppm.kept_edges(counts.filter("kind = 0").select(F.lit(0).alias("group"), F.col("key").alias("gram"), "n"), order, parts, symbols)
-    trie = ppm.tries(edges, order, {0: (symbols, texts)})[0]
+    edges = counts.filter("kind = 0").select(F.lit(0).alias("group"), F.col("key").alias("gram"), "n")
+    short = spark.sparkContext.broadcast(ppm.short_levels(edges, 1))
+    contexts = ppm.known(edges, short, order, 1, parts)
     floor = of(1, "n") / frequent_parts
     common = counts.filter(F.col("kind") == 1).filter(F.col("n") >= floor).select("key", "n").toArrow()
     keys, n = np.asarray(common["key"]).view(np.uint64), np.asarray(common["n"])
     by_key = np.argsort(keys)
-    model = spark.sparkContext.broadcast((trie, keys[by_key], np.log10(n[by_key] + 1.0)))
+    model = spark.sparkContext.broadcast((contexts, keys[by_key], np.log10(n[by_key] + 1.0)))
     scored = materialise(rows.mapInArrow(score_batches(model, order), SCORED), "lm-scored")
     rest = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
     rest = rest.join(counts.filter(F.col("kind") == 1).filter(F.col("n") < floor).select("key", "n"), "key")
     rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_base"), F.sum("times").alias("rare_known"))
+    far = ppm.rare_sums(scored, edges, short, order, 1)
     end = math.log10(texts + 1)
-    return scored.drop("rare", "times").join(rest, "row", "left").select(
+    return scored.drop("rare", "times", "grams", "gram_times").join(rest, "row", "left").join(far, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(texts > 0))).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(math.log10(tokens + vocabulary + 1))).alias("base_score"),
-        "score",
+        ((F.col("score") + F.coalesce("rare_0", F.lit(0.0))) / math.log(10)).alias("score"),
     )

@@ -156,6 +156,18 @@ def test_lm_score(spark):
         assert x.score < 0
 
 
+def test_lm_score_keeps_rare_contexts(spark):
+    r = random.Random(11)
+    texts = [words(r, 60, 80) for _ in range(60)] + ["a name seen once: Zsófia Őry", "Zsófia Őry again", *ODD]
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    streams = [lm_score.stream((t or "").encode()) for t in texts]
+    trie = train_trie([streams[i] for i in train], 5)
+    want = [trie.logp(ppm.grams([x], 5)[0]).sum() / np.log(10) for x in streams]
+    for parts in (1 << 21, 40, 0):
+        got = {x.doc_id: x.score for x in lm_score.score_documents(docs(spark, texts), held(7), parts=parts).collect()}
+        np.testing.assert_allclose([got[i] for i in range(len(texts))], want, rtol=1e-5)
+
+
 def test_lm_score_of_nothing(spark, empty):
     assert lm_score.score_documents(empty, held(7)).count() == 0
     only = lm_score.score_documents(docs(spark, ["a b"]), F.lit(True)).first()
