@@ -5,8 +5,9 @@ length under each trie is summed over the whole text (letters in lower case, whi
 ties go to the first name. ``score`` is the posterior of the winner under equal priors, and ``bits_per_byte`` its rate.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything where there is nothing to learn from. Repeated
-rows count as often as they occur; extra columns are ignored. All languages together share the bound of ``parts`` edges
-a level, so the tries' size does not hang on the input.
+rows count as often as they occur; extra columns are ignored. No counted context is left
+out, however little text its language has: the values under all languages of the most frequent ones are broadcast, ``parts``
+values at most, and a text's other positions meet theirs in a shuffle join (``ppm.rare_sums``).
 """
 
 from __future__ import annotations
@@ -19,17 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowlog.llm import ppm
-from sparrowlog.llm.common import canonical, materialise, slices, sums
+from sparrowlog.llm.common import canonical, materialise, slices
 
 COUNTS = "group int, gram long, n long"
-TEXTS, SYMBOLS = -1, -2
+SUMS = "row long, doc_id long, held_out boolean, letters boolean, n_symbols long, sums array<double>, grams array<long>, gram_times array<int>"
 
 
 def count_contexts(order: int):
-    """A map over (group, utf8): counts of packed contexts of each group, of its texts (-1) and its symbols (-2)."""
+    """A map over (group, utf8): counts of packed contexts of each group."""
 
     def run(batches):
-        totals: dict[int, list[int]] = {}
         shift = np.uint64(8 * (order + 1))
 
         def contexts():
@@ -38,10 +38,6 @@ def count_contexts(order: int):
                 texts = [canonical(x) for x in batch.column(1).to_pylist()]
                 for a, b in slices([len(x) for x in texts], 4_000_000):
                     packed, n = ppm.grams(texts[a:b], order)
-                    for g, k in zip(groups[a:b].tolist(), n.tolist(), strict=True):
-                        t = totals.setdefault(g, [0, 0])
-                        t[0] += 1
-                        t[1] += k
                     yield packed | (np.repeat(groups[a:b], n).astype(np.uint64) << shift)
 
         def rows(group, gram, n):
@@ -51,55 +47,69 @@ def count_contexts(order: int):
             for i in range(0, len(keys), 500_000):
                 k = keys[i : i + 500_000]
                 yield rows((k >> shift).astype(np.int32), (k & np.uint64((1 << int(shift)) - 1)).astype(np.int64), n[i : i + 500_000])
-        for g, (texts, symbols) in totals.items():
-            yield rows([g, g], [TEXTS, SYMBOLS], [texts, symbols])
 
     return run
 
 
-def predict_batches(model, order: int):
-    """A map over (doc_id, held_out, utf8, has_letter); model: broadcast (names, tries)."""
+def sum_batches(model, order: int):
+    """A map over (doc_id, held_out, utf8, has_letter): a sum of known values for each language, and the positions without one."""
 
     def run(batches):
-        names, tries = model.value
-        memo = ppm.Memo(tries) if tries else None
+        from pyspark import TaskContext
+
+        memo, row = ppm.Memo([model.value]), TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts, letters = [canonical(x) for x in batch.column(2).to_pylist()], batch.column(3).to_pylist()
+            texts = [canonical(x) for x in batch.column(2).to_pylist()]
             for a, b in slices([len(x) for x in texts], 2_000_000):
-                out = []
-                if memo:
-                    packed, n = ppm.grams(texts[a:b], order)
-                    logs = memo.logp(packed)
-                    total = np.stack([sums(logs[:, i].astype(np.float64), n) for i in range(len(names))], axis=1)
-                    best = total.argmax(axis=1)
-                    top = total.max(axis=1)
-                    sure = 1 / np.exp(total - top[:, None]).sum(axis=1)
-                    rate = -top / n / math.log(2)
-                    out = [(names[best[i]], float(sure[i]), float(rate[i])) if letters[a + i] else ("und", 0.0, None) for i in range(b - a)]
-                else:
-                    out = [("und", 0.0, None)] * (b - a)
-                lang, score, bits = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lang), pa.array(score), pa.array(bits, pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+                packed, n = ppm.grams(texts[a:b], order)
+                total, grams, times = ppm.sums_and_rest(memo, packed, n)
+                offsets = pa.array(np.arange(0, total.size + 1, total.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + b - a)), *[batch.column(k).slice(a, b - a) for k in (0, 1, 3)], pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(total.ravel())), grams, times],
+                    ["row", "doc_id", "held_out", "letters", "n_symbols", "sums", "grams", "gram_times"],
+                )
+                row += b - a
 
     return run
 
 
-def identify(docs: DataFrame, held_out: Column, order: int = 4, parts: int = 1 << 21) -> DataFrame:
+def predict_batches(names: list[str]):
+    """A map over (doc_id, held_out, has_letter, symbols, sums): the language of the greatest sum."""
+
+    def run(batches):
+        for batch in batches:
+            letters, n = batch.column(2).to_pylist(), batch.column(3).to_numpy()
+            if names:
+                total = batch.column(4).flatten().to_numpy().reshape(-1, len(names))
+                best = total.argmax(axis=1)
+                top = total.max(axis=1)
+                sure = 1 / np.exp(total - top[:, None]).sum(axis=1)
+                rate = -top / n / math.log(2)
+                out = [(names[best[i]], float(sure[i]), float(rate[i])) if letters[i] else ("und", 0.0, None) for i in range(len(n))]
+            else:
+                out = [("und", 0.0, None)] * len(n)
+            lang, score, bits = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+
+    return run
+
+
+def identify(docs: DataFrame, held_out: Column, order: int = 4, parts: int = 1 << 22) -> DataFrame:
     """doc_id, held_out, lang_pred, score and bits_per_byte of every row of (doc_id, text, lang)."""
     spark = docs.sparkSession
     data = F.lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
     labelled = docs.filter(~held_out & F.col("lang").isNotNull())
     names = sorted(r[0] for r in labelled.select("lang").distinct().collect())
-    model = (names, [])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), data.alias("data"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    scored = rows.select("doc_id", "held_out", "letters", F.lit(1).cast("long").alias("n_symbols"), F.array().cast("array<double>").alias("sums"))
     if names:
         number = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])[F.col("lang")]
         counted = labelled.select(number.alias("group"), data.alias("data")).mapInArrow(count_contexts(order), COUNTS)
         counts = materialise(counted.groupBy("group", "gram").agg(F.sum("n").alias("n")), "lang-counts")
-        totals: dict[int, list[int]] = {i: [0, 0] for i in range(len(names))}
-        for r in counts.filter("gram < 0").collect():
-            totals[r["group"]][r["gram"] == TEXTS] = r["n"]
-        edges = ppm.kept_edges(counts.filter("gram >= 0"), order, parts, sum(t[0] for t in totals.values()))
-        model = (names, list(ppm.tries(edges, order, totals).values()))
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), data.alias("data"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(predict_batches(shared, order), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
+        short = spark.sparkContext.broadcast(ppm.short_levels(counts, len(names)))
+        shared = spark.sparkContext.broadcast(ppm.known(counts, short, order, len(names), parts // len(names)))
+        first = materialise(rows.mapInArrow(sum_batches(shared, order), SUMS), "lang-sums")
+        far = ppm.rare_sums(first, counts, short, order, len(names))
+        total = F.array(*[F.col("sums")[g] + F.coalesce(f"rare_{g}", F.lit(0.0)) for g in range(len(names))])
+        scored = first.join(far, "row", "left").select("doc_id", "held_out", "letters", "n_symbols", total.alias("sums"))
+    return scored.mapInArrow(predict_batches(names), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")

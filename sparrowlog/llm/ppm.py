@@ -247,25 +247,3 @@ def sums_and_rest(memo: Memo, packed: np.ndarray, counts: np.ndarray) -> tuple[n
     logs[lost] = 0.0
     total = np.stack([sums(logs[:, g], counts) for g in range(logs.shape[1])], axis=1)
     return total, *lists(*rare_of(packed[lost], np.repeat(np.arange(len(counts)), counts)[lost], len(counts)))
-
-
-def kept_edges(counts: DataFrame, order: int, parts: int, total: int) -> DataFrame:
-    """(group, level, gram, n) of all levels from (group, gram, n) of the longest contexts, without edges under total / parts."""
-    levels = F.explode(F.array(*[F.struct(F.lit(j).alias("level"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("gram")) for j in range(order + 1)]))
-    return counts.select("group", "n", levels.alias("x")).groupBy("group", "x.level", "x.gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= total / parts)
-
-
-def tries(edges: DataFrame, order: int, totals: dict) -> dict:
-    """A trie for each group from the kept edges (at most ``parts`` rows a level); totals: symbols and texts of each group."""
-    table = edges.toArrow()
-    group, level = np.asarray(table["group"]), np.asarray(table["level"])
-    gram, n = np.asarray(table["gram"]).astype(np.uint64), np.asarray(table["n"])
-    out = {}
-    for g, (symbols, texts) in totals.items():
-        levels = []
-        for j in range(order + 1):
-            rows = np.flatnonzero((group == g) & (level == j))
-            rows = rows[np.argsort(gram[rows])]
-            levels.append((gram[rows], n[rows]))
-        out[g] = Trie(levels, symbols, texts)
-    return out

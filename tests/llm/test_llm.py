@@ -196,6 +196,22 @@ def test_language(spark):
     assert lang_id.identify(docs(spark, []), held()).count() == 0
 
 
+def test_language_keeps_contexts_of_small_languages(spark):
+    r = random.Random(12)
+    big = [(words(r, 60, 80), "big") for _ in range(60)]
+    texts, langs = zip(*big, ("zsófia őry jól van", "small"), ("zsófia jól van ma", None), *[(t, None) for t in ODD], strict=True)
+    train = {x: [common.canonical((texts[i] or "").lower().encode()) for i in range(len(texts)) if langs[i] == x and i % 4 != 2] for x in ("big", "small")}
+    tries = [train_trie(t, 4) for t in train.values()]
+    want = np.array([[t.logp(ppm.grams([common.canonical((x or "").lower().encode())], 4)[0]).sum() for t in tries] for x in texts])
+    for parts in (1 << 22, 60, 0):
+        rows = {x.doc_id: x for x in lang_id.identify(docs(spark, texts, langs), F.col("doc_id") % 4 == 2, parts=parts).collect()}
+        assert rows[61].lang_pred == "small" and len(rows) == len(texts)
+        for i, t in enumerate(texts):
+            if rows[i].lang_pred != "und":
+                size = len(common.canonical((t or "").lower().encode())) + 1
+                assert rows[i].bits_per_byte == pytest.approx(-want[i].max() / size / np.log(2), rel=1e-5)
+
+
 def test_quality(spark, empty):
     r = random.Random(4)
     good = [r.random() < 0.7 for _ in range(300)]
