@@ -2,8 +2,9 @@
 
 The standard library's parser sends events; a page becomes lines, one for each block element, with the characters and the
 tags of each. Subtrees that are no content by their element, role or class give tags but no characters. The ratio of
-characters to tags of each line is smoothed by a Gaussian, lines above the standard deviation of the smoothed ratios form
-clusters, and the region from the first to the last of them is content; where they lie in article or main elements, these
+characters to tags of each line, as a logarithm so that one long block can't lift the threshold over the others, is smoothed
+by a Gaussian; lines above the standard deviation of the smoothed ratios, and above 0.8 of their mean, form clusters, and the
+region from the first to the last of them is content; where they lie in article or main elements, these
 elements are the region. All lines of the region that have text are blocks of the result, however short.
 
 White space inside a block is one space (a line break element too); blocks are joined by two line feeds. Null, empty and
@@ -115,8 +116,9 @@ def main_text(html: str, sigma: float = 1.0, factor: float = 1.0) -> str:
     ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines])
     if not ratios.any():
         return ""
-    curve = smooth(ratios, sigma)
-    chosen = np.flatnonzero((curve > factor * curve.std()) & (ratios > 0))
+    curve = smooth(np.log1p(ratios), sigma)
+    least = factor * max(curve.std(), 0.8 * curve.mean())
+    chosen = np.flatnonzero((curve > least) & (ratios > 0))
     if not len(chosen):
         chosen = np.flatnonzero(ratios == ratios.max())
     scopes = {lines[i][2] for i in chosen} - {0}

@@ -246,6 +246,15 @@ def test_html():
     assert html_text.main_text("<p>short</p><div class=menu>" + "x" * 99 + "</div>") == "short"
 
 
+def test_html_long_blocks_do_not_hide_the_others():
+    for n_long in (1, 3):
+        texts = (["a" * 100] * 10 + ["b" * 10_000]) * n_long + ["a" * 100] * 10
+        assert html_text.main_text("".join(f"<p>{x}</p>" for x in texts)) == "\n\n".join(texts)
+    links = "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(30))
+    text = ["word " * 29 + "word"] * 8
+    assert html_text.main_text(f"<div>{links}</div>{''.join(f'<p>{x}</p>' for x in text)}<div>{links}</div>") == "\n\n".join(text)
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, None, "x"), (None, "v", "<p>" + "y " * 50_000, "x")], "page_id long, url string, html string, text string")
     rows = {(x.page_id, x.url): x for x in html_text.extract_text(pages).collect()}
