@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into sequences, as a hierarchy of partitions.
 
 Each partition packs its pieces best-fit, longest first, and emits bins that are nearly full. Bins that are not become items
-of the next round, in which ``fan_in`` partitions meet in one; the last round emits all. What a task holds is bounded by
-``items_per_task`` in the first round and by the few underfull bins that partitions leave in the later ones. Rounds are
-written, so bins never change when an executor is lost.
+of the next round, in which ``fan_in`` partitions at most meet in one, and no more than leaves a task about ``items_per_task``
+items. A round in a single task emits all. Where more is left than one task takes, and a round left more than nine tenths of
+its items open, nothing fits them (partitions are alike, as pieces are dealt by a hash), so they are emitted as they are, by
+all its tasks. Rounds are written, so bins never change when an executor is lost.
 
 Nulls count as the empty text, which is the end id alone; repeated rows are packed each; extra columns are ignored; empty
 tables give no pieces.
@@ -175,7 +176,8 @@ def as_rows(batches):
 
 def pack_pieces(pieces: DataFrame, capacity: int = 2048, items_per_task: int = 20_000, fan_in: int = 8, nearly_full: float = 0.98) -> DataFrame:
     """``pieces`` with sequence_id and offset; no piece may be longer than ``capacity``."""
-    tasks = max(1, -(-pieces.count() // items_per_task))
+    items = pieces.count()
+    tasks = max(1, -(-items // items_per_task))
     open_ = pieces.repartition(tasks, "doc_id", "piece").mapInArrow(as_items, "fill int, members binary")
     closed, number = None, 0
     while True:
@@ -185,8 +187,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, items_per_task: int = 2
         closed = done if closed is None else closed.unionByName(done)
         if last:
             return closed.mapInArrow(as_rows, PACKED)
-        tasks, number = -(-tasks // fan_in), number + 1
-        open_ = bins.filter("not closed").select("fill", "members").repartition(tasks) if tasks > 1 else bins.filter("not closed").select("fill", "members").coalesce(1)
+        rest = bins.filter("not closed")
+        left = rest.count()
+        if left > items_per_task and left > 0.9 * items:
+            return closed.unionByName(rest.select("sequence_id", "members")).mapInArrow(as_rows, PACKED)
+        items, tasks, number = left, max(-(-left // items_per_task), -(-tasks // fan_in)), number + 1
+        open_ = rest.select("fill", "members").repartition(tasks) if tasks > 1 else rest.select("fill", "members").coalesce(1)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, **options) -> DataFrame:

@@ -419,6 +419,20 @@ def test_packing(spark, paths):
     assert len(bins) <= 1.1 * sum(x.length for x in rows) / 2048 + 1
 
 
+@pytest.mark.parametrize("short", [0, 150])
+def test_packing_leaves_no_task_with_all_that_is_open(spark, short):
+    lengths = [1100 + i for i in range(400)] + [300] * short
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing.PIECES)
+    rows = packing.pack_pieces(pieces, items_per_task=20).collect()
+    assert sorted((x.doc_id, x.length) for x in rows) == list(enumerate(lengths))
+    bins, tasks = Counter(), {}
+    for x in rows:
+        bins[x.sequence_id] += x.length
+        tasks.setdefault(x.sequence_id >> 32, set()).add(x.sequence_id)
+    assert max(bins.values()) <= 2048 and len(bins) <= 1.1 * 400
+    assert max(map(len, tasks.values())) <= 2 * 20, "a round and task emits what one task may hold"
+
+
 def test_packing_of_nothing(empty, paths):
     assert packing.pack_documents(empty, *paths).count() == 0
 
