@@ -14,9 +14,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (local tests)."""
+    """The folder all executors share. Where the session names none, a temporary one in local mode; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparrowlog-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,6 +32,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_one(rows: DataFrame, table: DataFrame, key: str, weight: str, parts: int = 1024) -> DataFrame:
+    """``rows`` joined to their one row in ``table``, which says in ``weight`` how many of ``rows`` have its key.
+
+    Keys of more than one part in ``parts`` of all rows are fewer than ``parts`` at every size and are broadcast, so that no
+    task gets all rows of a hot key; all others meet by a shuffle. Both tables should be written ones, as each is read twice."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = table.filter(F.col(weight) > max(total // parts, 1))
+    few = rows.join(F.broadcast(hot), key)
+    return few.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col(weight) <= max(total // parts, 1)), key))
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

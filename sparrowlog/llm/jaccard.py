@@ -1,14 +1,16 @@
 """N-gram Jaccard join with Bayesian pruning of candidates.
 
 Texts are sets of hashed runs of five words (lower case A-Z, split at white space); a shorter text with words is one run.
-Equal texts form one class first, so copies are never paired. 128 MinHash values of 8 bits make 32 bands of four; texts that
-share a band are candidates, each pair looked at in its first common band only. Values are compared 16 at a time, and a pair
-is dropped once the posterior probability (uniform prior) that its similarity reaches the threshold is under ``tolerance``.
-The pairs that stay connect groups, and within a group every pair is verified exactly on whole sets of runs.
+Equal texts (by SHA-256) form one class first, so copies are never paired. 128 MinHash values of 8 bits make 32 bands of
+four; texts that share a band are candidates, each pair looked at in its first common band only. Values are compared 16 at a
+time, and a pair is dropped once the posterior probability (uniform prior) that its similarity reaches the threshold is under
+``tolerance``. The pairs that stay, and no others, are verified exactly on their whole sets; the verified links connect
+classes.
 
-Buckets and groups are dealt out in pairs of chunks of at most about ``chunk`` texts, and a task keeps no more than one such
-pair; it gives back link counts and a spanning forest, so rows never grow with the square of a group. A pair at the
-threshold shares no band with probability 5e-8; nothing is capped.
+Buckets are dealt out in pairs of chunks of at most about ``chunk`` texts and ``chunk_bytes`` bytes of sets, and a task keeps no
+more than one such pair of chunks. Pruning and verification name the same blocks: a text's set goes only to those blocks in which
+one of its pairs stays, and no row is ever a pair, so rows never grow with the square of a group. A block gives back link
+counts and a spanning forest. A pair at the threshold shares no band with probability 5e-8; nothing is capped.
 
 Null texts are empty texts; texts without a word link to nothing but their exact copies. Rows that repeat are copies. A null
 doc_id stays null and never names a class unless it is alone. Extra columns are ignored.
@@ -16,14 +18,12 @@ doc_id stays null and never names a class unless it is alone. Extra columns are
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowlog.llm.common import canonical, materialise, shingle_hashes, slices, utf8
+from sparrowlog.llm.common import canonical, join_one, materialise, shingle_hashes, slices, utf8
 from sparrowlog.llm.components import components
 
 VALUES, ROWS, STEP, WIDTH = 128, 4, 16, 5
@@ -47,20 +47,31 @@ def signatures(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def sign_batches(batches):
-    """(doc_id, key, utf8) to (doc_id, key, runs, signature)."""
+    """(doc_id, digest, utf8) to (doc_id, digest, runs, signature)."""
     for batch in batches:
         texts = [canonical(x) for x in batch.column(2).to_pylist()]
         for a, b in slices([len(x) for x in texts], 1_000_000):
             hashes, counts = shingle_hashes(texts[a:b], WIDTH)
             data = signatures(hashes, counts).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(counts), pa.array([data[i : i + VALUES] for i in range(0, len(data), VALUES)], pa.binary())], ["doc_id", "key", "runs", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(counts), pa.array([data[i : i + VALUES] for i in range(0, len(data), VALUES)], pa.binary())], ["doc_id", "digest", "runs", "signature"])
 
 
 def band_batches(batches):
-    """(key, signature) to (bucket, key), a row for each band."""
+    """(key, runs, signature) to (bucket, key, runs), a row for each band."""
     for batch in batches:
-        s = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array((s.astype(np.int64) | (np.arange(BANDS, dtype=np.int64) << 32)).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "key"])
+        s = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, BANDS)
+        columns = [(s.astype(np.int64) | (np.arange(BANDS, dtype=np.int64) << 32)).ravel(), *[np.repeat(batch.column(k).to_numpy(), BANDS) for k in (0, 1)]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["bucket", "key", "runs"])
+
+
+def set_batches(batches):
+    """(key, utf8) to (key, members): the sorted set of a text's runs."""
+    for batch in batches:
+        texts = [canonical(x) for x in batch.column(1).to_pylist()]
+        for a, b in slices([len(x) for x in texts], 1_000_000):
+            hashes, counts = shingle_hashes(texts[a:b], WIDTH)
+            sets = [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["key", "members"])
 
 
 def least_matches(threshold: float, tolerance: float) -> list[int]:
@@ -78,12 +89,15 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
     return out
 
 
-def blocks(rows: DataFrame, group: str, chunks) -> DataFrame:
-    """Deal the rows of each group out to pairs of chunks (lo, hi), sorted so that each pair's rows follow one another."""
-    dealt = rows.withColumn("n_chunks", chunks.cast("int")).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("n_chunks")).cast("int"))
-    dealt = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("chunk", "i")).withColumn("hi", F.greatest("chunk", "i")).drop("i", "n_chunks")
-    return dealt.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi", "key")
+def blocks(rows: DataFrame) -> DataFrame:
+    """Deal the rows (bucket, key, n_chunks, ...) of each bucket out to pairs of chunks (lo, hi)."""
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("n_chunks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    return together(dealt.withColumn("lo", F.least("chunk", "i")).withColumn("hi", F.greatest("chunk", "i")))
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """Each block's rows one after another in one task."""
+    return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "key")
 
 
 def by_block(batches, width: int, most: int):
@@ -125,107 +139,112 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+class Block:
+    """Rows (bucket, lo, hi, chunk, key, signature, ...) of whole blocks, and their pairs that survive pruning."""
+
+    def __init__(self, table: pa.Table):
+        self.bucket, self.lo, self.hi, self.chunk, self.key = (np.asarray(table.column(i)) for i in range(5))
+        self.signatures = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(-1, VALUES)
+        new = (self.bucket[1:] != self.bucket[:-1]) | (self.lo[1:] != self.lo[:-1]) | (self.hi[1:] != self.hi[:-1])
+        self.number = np.cumsum(np.concatenate([[0], new]))
+
+    def survivors(self, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        s, bands, band = self.signatures, self.signatures.view("<u4"), self.bucket >> 32
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, len(self.key)):
+            a = np.flatnonzero(self.number[:-d] == self.number[d:])
+            if not len(a):
+                break
+            a = a[(self.lo[a] == self.hi[a]) | (self.chunk[a] != self.chunk[a + d])]
+            a = a[(bands[a] == bands[a + d]).argmax(axis=1) == band[a]]
+            same = np.zeros(len(a), np.int64)
+            for k, least in enumerate(need):
+                same += (s[a, k * STEP : (k + 1) * STEP] == s[a + d, k * STEP : (k + 1) * STEP]).sum(axis=1)
+                stay = same >= least
+                a, same = a[stay], same[stay]
+            left.append(a)
+            right.append(a + d)
+        return np.concatenate(left), np.concatenate(right)
+
+
 def candidate_batches(need: list[int]):
-    """(bucket, lo, hi, chunk, key, signature), sorted by block, to edges (a, b) that span the pairs that survive."""
+    """Rows of blocks to those of texts of which a pair survives in that block."""
 
     def run(batches):
         for table in by_block(batches, 3, 4000):
-            bucket, lo, hi, chunk, key = (np.asarray(table.column(i)) for i in range(5))
-            s = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(-1, VALUES)
-            bands, band = s.view("<u4"), bucket >> 32
-            block = np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-            left, right = [], []
-            for d in range(1, len(key)):
-                a = np.flatnonzero(block[:-d] == block[d:])
-                if not len(a):
-                    break
-                a = a[(lo[a] == hi[a]) | (chunk[a] != chunk[a + d])]
-                a = a[(bands[a] == bands[a + d]).argmax(axis=1) == band[a]]
-                same = np.zeros(len(a), np.int64)
-                for k, least in enumerate(need):
-                    same += (s[a, k * STEP : (k + 1) * STEP] == s[a + d, k * STEP : (k + 1) * STEP]).sum(axis=1)
-                    stay = same >= least
-                    a, same = a[stay], same[stay]
-                left.append(a)
-                right.append(a + d)
-            if left:
-                nodes, at = np.unique(key, return_inverse=True)
-                label = forest(len(nodes), at[np.concatenate(left)], at[np.concatenate(right)])
-                linked = np.flatnonzero(label != np.arange(len(nodes)))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[label[linked]])], ["a", "b"])
+            left, right = Block(table).survivors(need)
+            rows = np.union1d(left, right)
+            if len(rows):
+                yield from table.take(pa.array(rows)).combine_chunks().to_batches()
 
     return run
 
 
-def links_within(sets: list[np.ndarray], threshold: float, cross: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets with a Jaccard similarity of the threshold or more; cross: only pairs of different values of it."""
+def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs have a Jaccard similarity of the threshold or more."""
+    out = np.zeros(len(left), bool)
+    if not len(left):
+        return out
     sizes = np.array([len(x) for x in sets])
     members, ids = np.unique(np.concatenate(sets), return_inverse=True)
     starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(members), np.int32)
-    left, right = [], []
-    for i in range(len(sets) - 1):
+    order = np.argsort(left, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(left[order])) + 1):
+        i, others = left[rows[0]], right[rows]
         own = ids[starts[i] : starts[i] + sizes[i]]
         mark[own] = 1
-        common = np.add.reduceat(mark[ids[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+        n = sizes[others]
+        begins = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(starts[others] - begins, n)
+        common = np.add.reduceat(mark[ids[at]], begins)
         mark[own] = 0
-        close = common >= threshold * (sizes[i] + sizes[i + 1 :] - common) - 1e-9
-        if cross is not None:
-            close &= cross[i + 1 :] != cross[i]
-        found = np.flatnonzero(close) + i + 1
-        left.append(np.full(len(found), i))
-        right.append(found)
-    return np.concatenate(left), np.concatenate(right)
+        out[rows] = common >= threshold * (sizes[i] + n - common) - 1e-9
+    return out
 
 
-def verify_batches(threshold: float):
-    """(group, lo, hi, chunk, key, utf8), sorted by block, to (key, links, root): verified links and a spanning forest."""
+def verify_batches(need: list[int], threshold: float):
+    """(bucket, lo, hi, chunk, key, signature, members), sorted by block, to (key, links, root): verified links and a forest."""
 
     def run(batches):
-        for table in by_block(batches, 3, 512):
-            group, lo, hi, chunk, key = (np.asarray(table.column(i)) for i in range(5))
-            change = np.flatnonzero((group[1:] != group[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            edges = [0, *change.tolist(), len(key)]
-            keys, links, roots = [], [], []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b - a < 2:
-                    continue
-                hashes, counts = shingle_hashes([canonical(x) for x in table.column(5).slice(a, b - a).to_pylist()], WIDTH)
-                sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
-                left, right = links_within(sets, threshold, None if lo[a] == hi[a] else chunk[a:b])
-                n = np.bincount(left, minlength=b - a) + np.bincount(right, minlength=b - a)
-                label = forest(b - a, left, right)
-                own = key[a:b]
-                keys.append(own[n > 0])
-                links.append(n[n > 0])
-                roots.append(own[label[n > 0]])
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, links, roots)], ["key", "links", "root"])
+        for table in by_block(batches, 3, 256):
+            block = Block(table)
+            left, right = block.survivors(need)
+            sets = [np.frombuffer(x, np.uint64) for x in table.column(6).to_pylist()]
+            stay = verified(sets, left, right, threshold)
+            left, right = left[stay], right[stay]
+            if len(left):
+                n = np.bincount(left, minlength=len(sets)) + np.bincount(right, minlength=len(sets))
+                label = forest(len(sets), left, right)
+                yield pa.RecordBatch.from_arrays([pa.array(block.key[n > 0]), pa.array(n[n > 0]), pa.array(block.key[label[n > 0]])], ["key", "links", "root"])
 
     return run
 
 
-def similar_documents(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5, chunk: int = 512, chunk_bytes: int = 16_000_000) -> DataFrame:
+def similar_documents(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5, chunk: int = 128, chunk_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, class_id (least doc_id of the connected group), n_links (other different texts at the threshold) and n_copies
     (rows with the same text) of every row of (doc_id, text)."""
-    key: Callable = lambda: F.xxhash64(F.md5(utf8(F.col("text"))), F.octet_length(F.coalesce(F.col("text"), F.lit(""))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key().alias("key"), utf8(F.col("text")).alias("data"))
-    signed = materialise(rows.mapInArrow(sign_batches, "doc_id long, key long, runs long, signature binary"), "signed")
-    texts = materialise(signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("runs").alias("runs"), F.min("signature").alias("signature")), "texts")
-    banded = materialise(texts.filter("runs > 0").select("key", "signature").mapInArrow(band_batches, "bucket long, key long"), "bands")
-    full = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = banded.join(full, "bucket").join(texts.select("key", "signature"), "key")
-    pairs = blocks(members, "bucket", F.ceil(F.col("n") / chunk)).select("bucket", "lo", "hi", "chunk", "key", "signature")
-    groups = components(pairs.mapInArrow(candidate_batches(least_matches(threshold, tolerance)), "a long, b long"))
-    wanted = groups.toDF("key", "group").join(texts.select("key", "first_id"), "key").withColumn("id", F.coalesce("first_id", "key")).drop("first_id")
-    bodies = rows.withColumn("id", F.coalesce("doc_id", "key")).drop("doc_id").join(wanted, ["id", "key"]).select("group", "key", "data").dropDuplicates(["key"])
-    bodies = materialise(bodies, "bodies")
-    sizes = bodies.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).alias("bytes"))
-    checked = blocks(bodies.join(sizes, "group"), "group", F.ceil(F.greatest(F.col("n") / chunk, F.col("bytes") / chunk_bytes)))
-    checked = materialise(checked.select("group", "lo", "hi", "chunk", "key", "data").mapInArrow(verify_batches(threshold), "key long, links long, root long"), "links")
+    data = utf8(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(data, 256)).alias("digest"), data.alias("data"))
+    signed = materialise(rows.mapInArrow(sign_batches, "doc_id long, digest binary, runs long, signature binary"), "signed")
+    texts = signed.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("runs").alias("runs"), F.first("signature").alias("signature"))
+    # a number for each text, fixed once the table is written
+    texts = materialise(texts.withColumn("key", F.monotonically_increasing_id()), "texts")
+    banded = materialise(texts.filter("runs > 0").select("key", "runs", "signature").mapInArrow(band_batches, "bucket long, key long, runs long"), "bands")
+    chunks = F.ceil(F.greatest(F.count("*") / chunk, F.sum("runs") * 8 / chunk_bytes)).cast("int")
+    full = banded.groupBy("bucket").agg(F.count("*").alias("n"), chunks.alias("n_chunks")).filter("n > 1").drop("n")
+    members = blocks(banded.drop("runs").join(full, "bucket").join(texts.select("key", "signature"), "key")).select("bucket", "lo", "hi", "chunk", "key", "signature")
+    need = least_matches(threshold, tolerance)
+    kept = materialise(members.mapInArrow(candidate_batches(need), members.schema), "candidates")
+    wanted = texts.join(kept.select("key").distinct(), "key").select("key", "digest", F.col("first_id").alias("doc_id"))
+    # one row holds each wanted text: that of its least id, or any of those without an id
+    bodies = rows.join(wanted, (rows["digest"] == wanted["digest"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("key", "data").dropDuplicates(["key"])
+    sets = bodies.mapInArrow(set_batches, "key long, members binary")
+    checked = together(kept.join(sets, "key")).select("bucket", "lo", "hi", "chunk", "key", "signature", "members")
+    checked = materialise(checked.mapInArrow(verify_batches(need, threshold), "key long, links long, root long"), "links")
     linked = components(checked.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
-    of = texts.select("key", "first_id", "copies").join(linked.toDF("key", "component"), "key", "left").join(links, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    of = texts.select("key", "digest", "first_id", "copies").join(linked.toDF("key", "component"), "key", "left").join(links, "key", "left").withColumn("component", F.coalesce("component", "key"))
     of = materialise(of, "classes")
     least = of.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    of = of.join(least, "component").select("key", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"))
-    return signed.select("doc_id", "key").join(of, "key").select("doc_id", "class_id", "n_links", "n_copies")
+    of = materialise(of.join(least, "component").select("digest", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies")), "of")
+    return join_one(signed.select("doc_id", "digest"), of, "digest", "n_copies").select("doc_id", "class_id", "n_links", "n_copies")
