@@ -1,14 +1,19 @@
 """Main text of web pages from streaming parser events and text-to-tag ratios.
 
-The standard library's parser sends events; a page becomes lines, one for each block element, with the characters and the
-tags of each. Subtrees that are no content by their element, role or class give tags but no characters. The ratio of
-characters to tags of each line, as a logarithm so that one long block can't lift the threshold over the others, is smoothed
-by a Gaussian; lines above the standard deviation of the smoothed ratios, and above 0.8 of their mean, form clusters, and the
-region from the first to the last of them is content; where they lie in article or main elements, these
-elements are the region. All lines of the region that have text are blocks of the result, however short.
-
-White space inside a block is one space (a line break element too); blocks are joined by two line feeds. Null, empty and
-textless pages give the empty text. Repeated rows give repeated results; extra columns are ignored.
+The standard library's parser sends events; a page becomes lines, one for each block element, with the characters outside
+links and the tags of each. The ratio of characters to tags of each line, as a logarithm so that one long block can't lift the
+threshold over the others, is smoothed by a Gaussian; lines above the standard deviation of the smoothed ratios, and above 0.8
+of their mean, form clusters. The content region is the innermost container that holds more than half of the clusters' weight,
+with the whole article or main element around it if there is one, and the headings right before it; where no container is
+narrower than the page, it runs from the first to the last line of the clusters. All lines of the region that have text are
+blocks of the result, however short, but for runs of three lines or more that are links only.
+
+Subtrees that are no content by their element, role or class (fixed lists below) give tags but no characters, as ratios alone
+can't tell a long notice or comment inside an article from the article.
+
+White space inside a block is one space (a line break element too); blocks are joined by two line feeds. Malformed markup is
+read as browsers do, marked sections as comments. Null, empty and textless pages give the empty text. Repeated rows give
+repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("script style noscript template head title nav footer aside form button select textarea option iframe svg canvas object audio video dialog menu map".split())
+UNSEEN = set("script style noscript template head title iframe svg canvas object audio video map".split())
+DROPPED = set("nav footer aside form button select textarea option dialog menu".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+LEAVES = HEADINGS | set("p pre li dt dd hr caption figcaption legend summary address".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"},
@@ -39,23 +47,31 @@ SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags, and the article or main element (a number, 0 for none) each is in."""
+    """Lines of a page, and the containers they lie in.
 
-    def __init__(self):
+    A line is (text, characters outside links, tags, container, whether it is a heading); a container is (element, parent)."""
+
+    def __init__(self, veto: bool = True):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.containers: list[tuple[str, int]] = [("", 0)]
         self.parts: list[str] = []
-        self.tags, self.scopes = 0, 0
-        self.open: list[tuple[str, bool, int]] = []  # element, whether it is dropped, its scope
+        self.tags, self.plain, self.veto = 0, 0, veto
+        self.open: list[tuple[str, bool, int]] = []  # element, whether it is dropped, its container
+        self.heading = False
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text or self.tags:
-            self.lines.append((text, self.tags, self.open[-1][2] if self.open else 0))
-        self.parts, self.tags = [], 0
+            self.lines.append((text, self.plain, self.tags, self.open[-1][2] if self.open else 0, self.heading))
+        self.parts, self.tags, self.plain, self.heading = [], 0, 0, False
 
-    def noise(self, tag: str, attrs: list[tuple[str, str | None]], scope: int) -> bool:
-        if tag in DROPPED or tag == "header" and not scope:
+    def noise(self, tag: str, attrs: list[tuple[str, str | None]], container: int) -> bool:
+        if tag in UNSEEN:
+            return True
+        if not self.veto:
+            return False
+        if tag in DROPPED or tag == "header" and not self.inside(container, SCOPES):
             return True
         if tag in SCOPES or tag in ("html", "body"):
             return False
@@ -65,9 +81,21 @@ class Lines(HTMLParser):
         names = set(re.split(r"[^a-z0-9]+", given.get("class", "") + " " + given.get("id", "")))
         return bool(names & NOISE) and not names & CONTENT
 
+    def above(self, container: int) -> list[int]:
+        """The container and all that it lies in, innermost first."""
+        out = [container]
+        while container:
+            container = self.containers[container][1]
+            out.append(container)
+        return out
+
+    def inside(self, container: int, names: set[str]) -> bool:
+        return any(self.containers[c][0] in names for c in self.above(container))
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
+            self.heading = tag in HEADINGS
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
@@ -75,11 +103,12 @@ class Lines(HTMLParser):
             return
         while self.open and self.open[-1][0] in CLOSES.get(tag, ()):
             self.open.pop()
-        dropped, scope = (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
-        if tag in SCOPES and not scope:
-            self.scopes += 1
-            scope = self.scopes
-        self.open.append((tag, dropped or self.noise(tag, attrs, scope), scope))
+        dropped, container = (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
+        dropped = dropped or self.noise(tag, attrs, container)
+        if tag in BLOCKS and tag not in LEAVES:
+            self.containers.append((tag, container))
+            container = len(self.containers) - 1
+        self.open.append((tag, dropped, container))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -96,8 +125,15 @@ class Lines(HTMLParser):
                 break
 
     def handle_data(self, data):
-        if not self.open or not self.open[-1][1]:
-            self.parts.append(data)
+        if self.open and self.open[-1][1]:
+            return
+        self.parts.append(data)
+        if not any(x[0] == "a" for x in self.open[-4:]):
+            self.plain += len(data.strip())
+
+    def parse_html_declaration(self, i):
+        # a marked section is a comment to browsers; the base class refuses those it does not know
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
 
 
 def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -107,26 +143,51 @@ def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach:-reach] / weight
 
 
-def main_text(html: str, sigma: float = 1.0, factor: float = 1.0) -> str:
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    lines = parser.lines
-    ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines])
-    if not ratios.any():
+def main_region(page: Lines, curve: np.ndarray, chosen: np.ndarray) -> list[int]:
+    """The lines of the region that the chosen ones (by the weight of their smoothed ratio) select."""
+    lines, n = page.lines, len(page.containers)
+    weight, end = np.zeros(n), np.arange(1, n + 1)  # containers are numbered in page order: what one holds follows it
+    np.add.at(weight, [lines[i][3] for i in chosen], curve[chosen])
+    for c in range(n - 1, 0, -1):
+        parent = page.containers[c][1]
+        weight[parent] += weight[c]
+        end[parent] = max(end[parent], end[c])
+    best = max(c for c in range(n) if weight[c] > weight[0] / 2)  # those with over half lie in one another
+    chain = page.above(best)
+    for name in ("article", "main"):
+        found = [c for c in chain if page.containers[c][0] == name]
+        if found:
+            best = found[-1]
+            break
+    own = [i for i, line in enumerate(lines) if best <= line[3] < end[best]]
+    if page.containers[best][0] in ("", "html", "body"):
+        own = list(range(chosen[0], chosen[-1] + 1))
+    first = own[0]
+    while first and (lines[first - 1][4] or not lines[first - 1][0]):  # headings right before the region
+        first -= 1
+    return [*range(first, own[0]), *own]
+
+
+def main_text(html: str, sigma: float = 1.0, factor: float = 1.0, veto: bool = True) -> str:
+    """The main text of one page; ``veto`` False does without the lists of elements, roles and classes that are no content."""
+    page = Lines(veto)
+    page.feed(html)
+    page.close()
+    page.flush()
+    lines = page.lines
+    ratios = np.array([plain / max(1, tags) for _, plain, tags, _, _ in lines])
+    if not any(line[0] for line in lines):
         return ""
     curve = smooth(np.log1p(ratios), sigma)
     least = factor * max(curve.std(), 0.8 * curve.mean())
     chosen = np.flatnonzero((curve > least) & (ratios > 0))
     if not len(chosen):
         chosen = np.flatnonzero(ratios == ratios.max())
-    scopes = {lines[i][2] for i in chosen} - {0}
-    if scopes:
-        region = [text for text, _, scope in lines if scope in scopes]
-    else:
-        region = [text for text, _, _ in lines[chosen[0] : chosen[-1] + 1]]
-    return "\n\n".join(x for x in region if x)
+    texts = [i for i in main_region(page, curve, chosen) if lines[i][0]]
+    linked = np.array([lines[i][1] * 10 < len(lines[i][0]) for i in texts], np.int8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], linked, [0]])))
+    menus = {k for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= 3 for k in range(a, b)}
+    return "\n\n".join(lines[i][0] for k, i in enumerate(texts) if k not in menus)
 
 
 def extract_batches(batches):

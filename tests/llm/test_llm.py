@@ -255,6 +255,47 @@ def test_html_long_blocks_do_not_hide_the_others():
     assert html_text.main_text(f"<div>{links}</div>{''.join(f'<p>{x}</p>' for x in text)}<div>{links}</div>") == "\n\n".join(text)
 
 
+@pytest.mark.parametrize("html, text", [("<p>a</p><![foo[ x ]]>b", "a\n\nb"), ("<![if !IE]>a<![endif]>", "a"), ("<p>x<![CDATA[ y ]]>z", "xz"), ("<p>a</p><!x y><!>b", "a\n\nb"), ("a<b", "a<b"), ("<p>a&#0;&#xD800;&bogus;</p></p></div>b", None)])
+def test_html_malformed(html, text):
+    assert text is None and html_text.main_text(html) or html_text.main_text(html) == text
+    html_text.main_text("<!["), html_text.main_text("<!"), html_text.main_text("<")
+
+
+def article(r, paragraphs):
+    return [" ".join(r.choice(["word", "longer", "a", "sentence"]) for _ in range(r.choice([2, 30, 60]))) + "." for _ in range(paragraphs)] + ["so " * 50 + "it ends."]
+
+
+def test_html_ratios_choose_the_region(monkeypatch):
+    """Without article, main or any telling class; the lists that veto elements are switched off."""
+    r = random.Random(2)
+    for n in range(3, 12):
+        text = article(r, n)
+        menu = "".join(f"<li><b>{i}</b> <a href=/{i}>of the menu</a></li>" for i in range(20))
+        page = f"<body><div><ul>{menu}</ul></div><div><h1>Title here</h1>{''.join(f'<p>{x}</p>' for x in text)}</div><div><span><i>Terms</i></span> <b><a href=x>Contact</a></b></div></body>"
+        want = "\n\n".join(["Title here", *text])
+        assert html_text.main_text(page, veto=False) == want
+        with monkeypatch.context() as m:  # without the curve all lines weigh the same, and the menu wins
+            m.setattr(html_text, "smooth", lambda ratios, sigma: np.ones(len(ratios)))
+            m.setattr(np, "log1p", lambda x: np.ones(len(x)))
+            if n < 10:
+                assert html_text.main_text(page, veto=False) != want
+
+
+def test_html_article_pages_need_no_lists(spark):
+    pages = [x.html for x in queries.read(spark, "/root/testdata/sf0.01", "pages").collect()]
+    same = [html_text.main_text(x or "") == html_text.main_text(x or "", veto=False) for x in pages]
+    assert np.mean(same) > 0.99
+
+
+def test_html_headings_and_link_blocks():
+    body = "<p>" + "word " * 60 + "</p>"
+    links = "".join(f"<li><a href=x>Link {i} to another page</a></li>" for i in range(6))
+    want = "Title\n\n" + ("word " * 60).strip()
+    assert html_text.main_text(f"<h1>Title</h1><div>{body}<ul>{links}</ul></div>") == want
+    two = "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(2))  # two linked lines may be text
+    assert html_text.main_text(f"<h1>Title</h1><div>{body}<ul>{two}</ul></div>") == want + "\n\nLink 0\n\nLink 1"
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, None, "x"), (None, "v", "<p>" + "y " * 50_000, "x")], "page_id long, url string, html string, text string")
     rows = {(x.page_id, x.url): x for x in html_text.extract_text(pages).collect()}
