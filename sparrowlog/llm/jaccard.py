@@ -7,10 +7,12 @@ time, and a pair is dropped once the posterior probability (uniform prior) that
 ``tolerance``. The pairs that stay, and no others, are verified exactly on their whole sets; the verified links connect
 classes.
 
-Buckets are dealt out in pairs of chunks of at most about ``chunk`` texts and ``chunk_bytes`` bytes of sets, and a task keeps no
-more than one such pair of chunks. Pruning and verification name the same blocks: a text's set goes only to those blocks in which
-one of its pairs stays, and no row is ever a pair, so rows never grow with the square of a group. A block gives back link
-counts and a spanning forest. A pair at the threshold shares no band with probability 5e-8; nothing is capped.
+Buckets are dealt out in pairs of chunks of at most about ``chunk`` texts, and a task keeps no more than one such pair. A block
+gives back a spanning forest of the pairs that stay; their components are groups, which hold all texts that one text can link to.
+Groups are dealt out likewise, also bounded by ``chunk_bytes`` bytes of sets: first with signatures only, to see which texts have
+a pair that stays in which block, then with the sets of just these texts, to verify just these pairs. No row is ever a pair, so
+rows never grow with the square of a group; a block gives back link counts and a spanning forest. A pair at the threshold
+shares no band with probability 5e-8; nothing is capped.
 
 Null texts are empty texts; texts without a word link to nothing but their exact copies. Rows that repeat are copies. A null
 doc_id stays null and never names a class unless it is alone. Extra columns are ignored.
@@ -28,6 +30,7 @@ from sparrowlog.llm.components import components
 
 VALUES, ROWS, STEP, WIDTH = 128, 4, 16, 5
 BANDS = VALUES // ROWS
+BLOCK = ("bucket", "lo", "hi", "chunk", "key", "signature")
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = (_RANDOM.integers(1, 2**32, VALUES, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _MASKS = _RANDOM.integers(0, 2**32, VALUES, dtype=np.uint32)
@@ -57,11 +60,10 @@ def sign_batches(batches):
 
 
 def band_batches(batches):
-    """(key, runs, signature) to (bucket, key, runs), a row for each band."""
+    """(key, signature) to (bucket, key), a row for each band."""
     for batch in batches:
-        s = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, BANDS)
-        columns = [(s.astype(np.int64) | (np.arange(BANDS, dtype=np.int64) << 32)).ravel(), *[np.repeat(batch.column(k).to_numpy(), BANDS) for k in (0, 1)]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["bucket", "key", "runs"])
+        s = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array((s.astype(np.int64) | (np.arange(BANDS, dtype=np.int64) << 32)).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "key"])
 
 
 def set_batches(batches):
@@ -140,7 +142,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Rows (bucket, lo, hi, chunk, key, signature, ...) of whole blocks, and their pairs that survive pruning."""
+    """Rows (bucket or group, lo, hi, chunk, key, signature, ...) of whole blocks, and their pairs that survive pruning."""
 
     def __init__(self, table: pa.Table):
         self.bucket, self.lo, self.hi, self.chunk, self.key = (np.asarray(table.column(i)) for i in range(5))
@@ -148,7 +150,8 @@ class Block:
         new = (self.bucket[1:] != self.bucket[:-1]) | (self.lo[1:] != self.lo[:-1]) | (self.hi[1:] != self.hi[:-1])
         self.number = np.cumsum(np.concatenate([[0], new]))
 
-    def survivors(self, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def survivors(self, need: list[int], banded: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a block that share a band and stay; banded: only those whose first common band is the bucket's."""
         s, bands, band = self.signatures, self.signatures.view("<u4"), self.bucket >> 32
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for d in range(1, len(self.key)):
@@ -156,7 +159,8 @@ class Block:
             if not len(a):
                 break
             a = a[(self.lo[a] == self.hi[a]) | (self.chunk[a] != self.chunk[a + d])]
-            a = a[(bands[a] == bands[a + d]).argmax(axis=1) == band[a]]
+            common = bands[a] == bands[a + d]
+            a = a[common.argmax(axis=1) == band[a]] if banded else a[common.any(axis=1)]
             same = np.zeros(len(a), np.int64)
             for k, least in enumerate(need):
                 same += (s[a, k * STEP : (k + 1) * STEP] == s[a + d, k * STEP : (k + 1) * STEP]).sum(axis=1)
@@ -168,12 +172,27 @@ class Block:
 
 
 def candidate_batches(need: list[int]):
-    """Rows of blocks to those of texts of which a pair survives in that block."""
+    """Rows of blocks of buckets to edges (a, b) that span the pairs that stay."""
 
     def run(batches):
         for table in by_block(batches, 3, 4000):
-            left, right = Block(table).survivors(need)
-            rows = np.union1d(left, right)
+            block = Block(table)
+            left, right = block.survivors(need, True)
+            if len(left):
+                nodes, at = np.unique(block.key, return_inverse=True)
+                label = forest(len(nodes), at[left], at[right])
+                linked = np.flatnonzero(label != np.arange(len(nodes)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[label[linked]])], ["a", "b"])
+
+    return run
+
+
+def paired_batches(need: list[int]):
+    """Rows of blocks of groups to those of texts of which a pair stays in that block."""
+
+    def run(batches):
+        for table in by_block(batches, 3, 2000):
+            rows = np.union1d(*Block(table).survivors(need, False))
             if len(rows):
                 yield from table.take(pa.array(rows)).combine_chunks().to_batches()
 
@@ -206,9 +225,9 @@ def verify_batches(need: list[int], threshold: float):
     """(bucket, lo, hi, chunk, key, signature, members), sorted by block, to (key, links, root): verified links and a forest."""
 
     def run(batches):
-        for table in by_block(batches, 3, 256):
+        for table in by_block(batches, 3, 512):
             block = Block(table)
-            left, right = block.survivors(need)
+            left, right = block.survivors(need, False)
             sets = [np.frombuffer(x, np.uint64) for x in table.column(6).to_pylist()]
             stay = verified(sets, left, right, threshold)
             left, right = left[stay], right[stay]
@@ -220,7 +239,7 @@ def verify_batches(need: list[int], threshold: float):
     return run
 
 
-def similar_documents(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5, chunk: int = 128, chunk_bytes: int = 16_000_000) -> DataFrame:
+def similar_documents(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5, chunk: int = 256, chunk_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, class_id (least doc_id of the connected group), n_links (other different texts at the threshold) and n_copies
     (rows with the same text) of every row of (doc_id, text)."""
     data = utf8(F.col("text"))
@@ -229,17 +248,20 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, tolerance: float
     texts = signed.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("runs").alias("runs"), F.first("signature").alias("signature"))
     # a number for each text, fixed once the table is written
     texts = materialise(texts.withColumn("key", F.monotonically_increasing_id()), "texts")
-    banded = materialise(texts.filter("runs > 0").select("key", "runs", "signature").mapInArrow(band_batches, "bucket long, key long, runs long"), "bands")
-    chunks = F.ceil(F.greatest(F.count("*") / chunk, F.sum("runs") * 8 / chunk_bytes)).cast("int")
-    full = banded.groupBy("bucket").agg(F.count("*").alias("n"), chunks.alias("n_chunks")).filter("n > 1").drop("n")
-    members = blocks(banded.drop("runs").join(full, "bucket").join(texts.select("key", "signature"), "key")).select("bucket", "lo", "hi", "chunk", "key", "signature")
+    banded = materialise(texts.filter("runs > 0").select("key", "signature").mapInArrow(band_batches, "bucket long, key long"), "bands")
+    full = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("n_chunks"))
+    members = blocks(banded.join(full, "bucket").join(texts.select("key", "signature"), "key")).select(*BLOCK)
     need = least_matches(threshold, tolerance)
-    kept = materialise(members.mapInArrow(candidate_batches(need), members.schema), "candidates")
+    groups = components(members.mapInArrow(candidate_batches(need), "a long, b long"))
+    groups = materialise(groups.toDF("key", "bucket").join(texts.select("key", "runs", "signature"), "key"), "groups")
+    chunks = F.ceil(F.greatest(F.count("*") / chunk, F.sum("runs") * 8 / chunk_bytes)).cast("int").alias("n_chunks")
+    members = blocks(groups.join(groups.groupBy("bucket").agg(chunks), "bucket")).select(*BLOCK)
+    kept = materialise(members.mapInArrow(paired_batches(need), members.schema), "paired")
     wanted = texts.join(kept.select("key").distinct(), "key").select("key", "digest", F.col("first_id").alias("doc_id"))
     # one row holds each wanted text: that of its least id, or any of those without an id
     bodies = rows.join(wanted, (rows["digest"] == wanted["digest"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("key", "data").dropDuplicates(["key"])
     sets = bodies.mapInArrow(set_batches, "key long, members binary")
-    checked = together(kept.join(sets, "key")).select("bucket", "lo", "hi", "chunk", "key", "signature", "members")
+    checked = together(kept.join(sets, "key")).select(*BLOCK, "members")
     checked = materialise(checked.mapInArrow(verify_batches(need, threshold), "key long, links long, root long"), "links")
     linked = components(checked.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
