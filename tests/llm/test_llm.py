@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -378,7 +379,7 @@ def brute_tiles(doc, item, least):
                     best = (n, p, q)
         n, p, q = best
         if n < least:
-            return sorted(x for _, _, x in out)
+            return out
         in_doc |= set(range(p, p + n))
         in_item |= set(range(q, q + n))
         out.append((p, q, n))
@@ -387,19 +388,20 @@ def brute_tiles(doc, item, least):
 @given(st.lists(st.integers(1, 4), max_size=30), st.lists(st.integers(1, 4), max_size=20))
 @settings(max_examples=200, deadline=None)
 def test_tiles(a, b):
-    tiles = tiling.tile(np.array(a, np.uint64), np.array(b, np.uint64), 3)
-    for p, q, n in tiles:
-        assert n >= 3 and a[p : p + n] == b[q : q + n]
-    for k in (0, 1):
-        taken = [i for t in tiles for i in range(t[k], t[k] + t[2])]
-        assert len(taken) == len(set(taken))
-    want = brute_tiles(a, b, 3)
-    assert (max((t[2] for t in tiles), default=0)) == max(want, default=0)
-    left_a, left_b = list(a), list(b)
-    for p, q, n in tiles:
-        left_a[p : p + n], left_b[q : q + n] = [-1] * n, [-2] * n
-    runs = {tuple(left_a[i : i + 3]) for i in range(len(a) - 2)} & {tuple(left_b[i : i + 3]) for i in range(len(b) - 2)}
-    assert not runs, "a match of the least length is left"
+    assert tiling.tile(np.array(a, np.uint64), np.array(b, np.uint64), 3) == brute_tiles(a, b, 3)
+
+
+def test_tiles_of_periodic_texts_are_fast():
+    """One of 20,000 words with a period against items of 205 and 2,000 words of the same period, with breaks."""
+    period = np.arange(1, 8, dtype=np.uint64)
+    doc = np.tile(period, 3000)[:20_000]
+    item = np.tile(period, 300)[:2000].copy()
+    item[::97] = np.arange(100, 100 + len(item[::97]), dtype=np.uint64)
+    began = time.time()
+    assert sum(t[2] for t in tiling.tile(doc, np.tile(period, 40)[:205], 4)) == 205
+    assert sum(t[2] for t in tiling.tile(doc, item, 4)) == 2000 - len(item[::97])
+    assert sum(t[2] for t in tiling.tile(np.ones(20_000, np.uint64), np.ones(2000, np.uint64), 4)) == 2000
+    assert time.time() - began < 5
 
 
 def test_contaminated(spark, empty):
@@ -408,9 +410,13 @@ def test_contaminated(spark, empty):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     w = items[3].split()
     texts = [words(r, 200) + " " + items[5].upper().replace(" ", ", ") + " " + words(r, 50), " ".join(w[10:]) + " between " + " ".join(w[:10]), " ".join(w[:9]), words(r, 300), "is too, short", *ODD]
-    for size in (16_000_000, 500):
-        rows = tiling.contaminated(docs(spark, texts), bench, block_bytes=size).collect()
+    more = bench.unionByName(spark.createDataFrame([(5, items[5]), (None, items[5]), (77, items[5])], bench.schema)).withColumn("doc_id", F.lit("clash"))
+    for size in (16_000_000, 500):  # by broadcast, and by a shuffle join of seeds
+        rows = tiling.contaminated(docs(spark, texts), bench, most_bytes=size).collect()
         assert sorted((x.doc_id, x.item_id, x.tiles, x.coverage) for x in rows) == [(0, 5, 1, 1.0), (1, 3, 2, 1.0), (4, 30, 1, 1.0)]
+        assert {x.text_md5 for x in rows} == {hashlib.md5(texts[i].encode()).hexdigest() for i in (0, 1, 4)}
+        rows = tiling.contaminated(docs(spark, texts), more, most_bytes=size).collect()
+        assert sorted(str((x.doc_id, x.item_id)) for x in rows) == sorted(["(0, 5)", "(0, 5)", "(0, None)", "(0, 77)", "(1, 3)", "(4, 30)"])
     assert tiling.contaminated(empty, bench).count() == tiling.contaminated(docs(spark, texts), bench.filter("false")).count() == 0
 
 
