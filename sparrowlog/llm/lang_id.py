@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowlog.llm import ppm
-from sparrowlog.llm.common import canonical, materialise, slices
+from sparrowlog.llm.common import canonical, materialise, slices, utf8
 
 COUNTS = "group int, gram long, n long"
-SUMS = "row long, doc_id long, held_out boolean, letters boolean, n_symbols long, sums array<double>, grams array<long>, gram_times array<int>"
+SUMS = "row long, doc_id long, held_out boolean, letters boolean, text_md5 string, trained boolean, n_symbols long, sums array<double>, grams array<long>, gram_times array<int>"
 
 
 def count_contexts(order: int):
@@ -52,7 +52,7 @@ def count_contexts(order: int):
 
 
 def sum_batches(model, order: int):
-    """A map over (doc_id, held_out, utf8, has_letter): a sum of known values for each language, and the positions without one."""
+    """A map over (doc_id, held_out, utf8, has_letter, text_md5, trained): a sum of known values for each language, and the positions without one."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -65,8 +65,8 @@ def sum_batches(model, order: int):
                 total, grams, times = ppm.sums_and_rest(memo, packed, n)
                 offsets = pa.array(np.arange(0, total.size + 1, total.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + b - a)), *[batch.column(k).slice(a, b - a) for k in (0, 1, 3)], pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(total.ravel())), grams, times],
-                    ["row", "doc_id", "held_out", "letters", "n_symbols", "sums", "grams", "gram_times"],
+                    [pa.array(np.arange(row, row + b - a)), *[batch.column(k).slice(a, b - a) for k in (0, 1, 3, 4, 5)], pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(total.ravel())), grams, times],
+                    ["row", "doc_id", "held_out", "letters", "text_md5", "trained", "n_symbols", "sums", "grams", "gram_times"],
                 )
                 row += b - a
 
@@ -74,13 +74,13 @@ def sum_batches(model, order: int):
 
 
 def predict_batches(names: list[str]):
-    """A map over (doc_id, held_out, has_letter, symbols, sums): the language of the greatest sum."""
+    """A map over (doc_id, held_out, has_letter, text_md5, trained, symbols, sums): the language of the greatest sum."""
 
     def run(batches):
         for batch in batches:
-            letters, n = batch.column(2).to_pylist(), batch.column(3).to_numpy()
+            letters, n = batch.column(2).to_pylist(), batch.column(5).to_numpy()
             if names:
-                total = batch.column(4).flatten().to_numpy().reshape(-1, len(names))
+                total = batch.column(6).flatten().to_numpy().reshape(-1, len(names))
                 best = total.argmax(axis=1)
                 top = total.max(axis=1)
                 sure = 1 / np.exp(total - top[:, None]).sum(axis=1)
@@ -89,19 +89,21 @@ def predict_batches(names: list[str]):
             else:
                 out = [("und", 0.0, None)] * len(n)
             lang, score, bits = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+            columns = [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), batch.column(5), batch.column(3), batch.column(4)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte", "n_symbols", "text_md5", "trained"])
 
     return run
 
 
 def identify(docs: DataFrame, held_out: Column, order: int = 4, parts: int = 1 << 22) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and bits_per_byte of every row of (doc_id, text, lang)."""
+    """doc_id, held_out, lang_pred, score, bits_per_byte, n_symbols, text_md5 and trained (learned from) of every row of (doc_id, text, lang)."""
     spark = docs.sparkSession
     data = F.lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
     labelled = docs.filter(~held_out & F.col("lang").isNotNull())
     names = sorted(r[0] for r in labelled.select("lang").distinct().collect())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), data.alias("data"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    scored = rows.select("doc_id", "held_out", "letters", F.lit(1).cast("long").alias("n_symbols"), F.array().cast("array<double>").alias("sums"))
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), data.alias("data"), letters.alias("letters"), F.md5(utf8(F.col("text"))).alias("text_md5"), (~held_out & F.col("lang").isNotNull()).alias("trained"))
+    scored = rows.select("doc_id", "held_out", "letters", "text_md5", "trained", F.lit(1).cast("long").alias("n_symbols"), F.array().cast("array<double>").alias("sums"))
     if names:
         number = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])[F.col("lang")]
         counted = labelled.select(number.alias("group"), data.alias("data")).mapInArrow(count_contexts(order), COUNTS)
@@ -111,5 +113,16 @@ def identify(docs: DataFrame, held_out: Column, order: int = 4, parts: int = 1 <
         first = materialise(rows.mapInArrow(sum_batches(shared, order), SUMS), "lang-sums")
         far = ppm.rare_sums(first, counts, short, order, len(names))
         total = F.array(*[F.col("sums")[g] + F.coalesce(f"rare_{g}", F.lit(0.0)) for g in range(len(names))])
-        scored = first.join(far, "row", "left").select("doc_id", "held_out", "letters", "n_symbols", total.alias("sums"))
-    return scored.mapInArrow(predict_batches(names), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
+        scored = first.join(far, "row", "left").select("doc_id", "held_out", "letters", "text_md5", "trained", "n_symbols", total.alias("sums"))
+    return scored.mapInArrow(predict_batches(names), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double, n_symbols long, text_md5 string, trained boolean")
+
+
+def without_language(found: DataFrame, reach: float = 4.0, bits: float = 16.0) -> DataFrame:
+    """The rows of ``identify``'s result that are in no learned language: without a letter, or coded at a rate that lies
+    ``reach`` times as far above the median of its language's training rows as their 99th percentile does. The first ``bits``
+    of each text don't count, as the first symbols of a short text cost most."""
+    rate = F.greatest(F.col("bits_per_byte") - bits / F.col("n_symbols"), F.lit(0.0))
+    usual = found.filter(F.col("trained") & F.col("bits_per_byte").isNotNull()).groupBy("lang_pred").agg(F.percentile_approx(rate, [0.5, 0.99], 100_000).alias("q"))
+    usual = usual.select("lang_pred", (F.col("q")[0] + reach * (F.col("q")[1] - F.col("q")[0])).alias("most"))
+    # the broadcast has a row for each learned language
+    return found.join(F.broadcast(usual), "lang_pred", "left").filter((F.col("lang_pred") == "und") | (rate > F.col("most"))).drop("most")

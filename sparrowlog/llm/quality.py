@@ -1,10 +1,13 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text's features are indicators of its byte n-grams of one to three bytes (the longest hashed) and of runs of equal words.
-Each indicator is scaled by the log-count ratio of the two classes, counted over all labelled training texts in Spark; the
-scaled vector has unit length. A linear hinge-loss model is fitted by dual coordinate descent on a bounded sample of
-training rows (``sample`` rows, those with the lowest hash of their id), and its margin becomes a probability by a logistic
-curve fitted to margins of held-back folds.
+A text's features are indicators of n-grams: of its bytes (one to three, the longest hashed), of its words (one and two,
+hashed), and, of the sequence that says of each word whether it equals the one before, the n-grams of 1, 2, 4 and 8 times
+"equal", which find repetition of any word. Each indicator is scaled by the log-count ratio of the two classes (add-one
+smoothed, so one seen in few documents has little weight), counted over all labelled training texts in Spark; the scaled
+vector has unit length. A linear hinge-loss model is fitted by dual coordinate descent on a bounded sample of training rows:
+at most ``sample`` of those with a document, lowest hash of the id first, and at most ``sample_bytes`` of features of these.
+Its margin becomes a probability by a logistic curve fitted to margins of held-back folds; folds and model are fitted in
+tasks of their own.
 
 Null and empty texts have the features of no n-gram but the border, and get a score like any other. Repeated rows count as
 often as they occur. With no training row of one class the score is the share of the other. Extra columns are ignored.
@@ -19,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowlog.llm.common import U64, canonical, materialise, slices, utf8, word_hashes
+from sparrowlog.llm.common import U64, canonical, materialise, mix, slices, utf8, word_hashes
 
-BITS = 18
+BITS, WORD_BITS = 18, 18
 RUNS = (1, 2, 4, 8)
-SIZE = (1 << BITS) + len(RUNS)
+WORDS = (1 << BITS) + len(RUNS)
+SIZE = WORDS + (1 << WORD_BITS)
 STATS = "kind byte, key long, good long, bad long, features binary"
 
 
@@ -31,7 +35,7 @@ class Indicators:
     """Sorted feature numbers of texts."""
 
     def __init__(self):
-        self.flags = np.zeros(1 << BITS, bool)
+        self.flags, self.words = np.zeros(1 << BITS, bool), np.zeros(1 << WORD_BITS, bool)
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         words, counts = word_hashes([canonical(x) for x in texts])
@@ -51,7 +55,11 @@ class Indicators:
         same = np.concatenate([[False], words[1:] == words[:-1], [False]]) if len(words) else np.zeros(1, bool)
         edges = np.flatnonzero(np.diff(same.astype(np.int8)))
         longest = int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
-        return np.concatenate([found, [(1 << BITS) + i for i, n in enumerate(RUNS) if longest >= n]]).astype(np.int32)
+        self.words[(words >> U64(64 - WORD_BITS)).astype(np.int64)] = True
+        self.words[(mix(words[:-1] * U64(3) + words[1:]) >> U64(64 - WORD_BITS)).astype(np.int64)] = True
+        spoken = np.flatnonzero(self.words)
+        self.words[spoken] = False
+        return np.concatenate([found, [(1 << BITS) + i for i, n in enumerate(RUNS) if longest >= n], WORDS + spoken]).astype(np.int32)
 
 
 def train_batches(batches):
@@ -111,16 +119,29 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(ratio: np.ndarray, rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, epochs: int = 12, folds: int = 3) -> tuple[np.ndarray, float, float, float]:
-    scaled = [(x, unit(ratio, x)) for x in rows]
-    margin, fold = np.zeros(len(rows)), np.arange(len(rows)) % folds
+def fit_batches(shared, cost: float, epochs: int, folds: int):
+    """A map over (fold): the model fitted without that fold, and the margins of the fold's rows; fold -1 is fitted on all."""
+
+    def run(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                ratio, features, y = shared.value
+                rows = [(x, unit(ratio, x)) for x in (np.frombuffer(f, np.int32) for f in features)]
+                inside, outside = ([i for i in range(len(rows)) if (i % folds == k) == held] for held in (False, True))
+                w, bias = descend([rows[i] for i in inside], y[inside], cost, epochs)
+                margins = np.array([w[x] @ v + bias for x, v in (rows[i] for i in outside)])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([w.astype(np.float32).tobytes() if k < 0 else b""]), pa.array([bias]), pa.array([margins.tobytes()])], ["fold", "weights", "bias", "margins"])
+
+    return run
+
+
+def fit(spark, ratio: np.ndarray, features: list[bytes], y: np.ndarray, cost: float = 1.0, epochs: int = 12, folds: int = 3) -> tuple[np.ndarray, float, float, float]:
+    shared = spark.sparkContext.broadcast((ratio, features, y))
+    table = spark.range(-1, folds, 1, folds + 1).mapInArrow(fit_batches(shared, cost, epochs, folds), "fold long, weights binary, bias double, margins binary").toArrow().to_pylist()
+    margin, models = np.zeros(len(y)), {r["fold"]: r for r in table}
     for k in range(folds):
-        inside = np.flatnonzero(fold != k)
-        w, bias = descend([scaled[i] for i in inside], y[inside], cost, epochs)
-        for i in np.flatnonzero(fold == k):
-            margin[i] = w[scaled[i][0]] @ scaled[i][1] + bias
-    w, bias = descend(scaled, y, cost, epochs)
-    return w, bias, *logistic(margin, y)
+        margin[k::folds] = np.frombuffer(models[k]["margins"])
+    return np.frombuffer(models[-1]["weights"], np.float32), models[-1]["bias"], *logistic(margin, y)
 
 
 def unit(ratio: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -129,7 +150,7 @@ def unit(ratio: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def score_batches(model):
-    """A map over (doc_id, held_out, utf8); model: broadcast (ratio, weights, bias, slope, offset) or a constant."""
+    """A map over (doc_id, held_out, utf8, text_md5); model: broadcast (ratio, weights, bias, slope, offset) or a constant."""
 
     def run(batches):
         maker, fitted = Indicators(), model.value
@@ -142,36 +163,41 @@ def score_batches(model):
                     ratio, weights, bias, slope, offset = fitted
                     margin = np.array([weights[x] @ unit(ratio, x) + bias for x in maker.of(texts[a:b])])
                     score = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(score), pa.array((score >= 0.7).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(score.astype(np.float64)), pa.array((score >= 0.7).astype(np.int32)), batch.column(3).slice(a, b - a)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "text_md5"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 9000):
+def train(docs: DataFrame, labels: DataFrame, sample: int = 9000, sample_bytes: int = 128_000_000):
     """Fit on rows of ``docs`` (doc_id, text) that have a label in ``labels`` (doc_id, quality); returns the model."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("label"))
-    order = F.xxhash64("doc_id")
-    last = known.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    order, ids = F.xxhash64("doc_id"), docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    last = known.join(ids, "doc_id", "left_semi").select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     known = known.withColumn("sampled", order <= F.lit(last if last is not None else 0))
     # labels grow with the documents, so they meet by one shuffle at every size and are never broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("data")).join(known.hint("merge"), "doc_id").select("doc_id", "data", "label", "sampled")
     stats = materialise(rows.mapInArrow(train_batches, STATS), "quality-stats")
     counts = stats.filter("kind = 0").groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
-    picked = stats.filter("kind = 1").select("key", "good", "features").toArrow().sort_by("key")
+    drawn = stats.filter("kind = 1").select(F.xxhash64("key").alias("h"), F.octet_length("features").alias("size")).toArrow().sort_by("h")
+    most = int(np.searchsorted(np.cumsum(np.asarray(drawn["size"])), sample_bytes, "right"))
+    picked = stats.filter("kind = 1").withColumn("h", F.xxhash64("key"))
+    if most < drawn.num_rows:  # rows of one id repeat its hash and stay or go together
+        picked = picked.filter(F.col("h") < F.lit(drawn["h"][most].as_py()))
+    picked = picked.select("key", "good", "features").toArrow().sort_by([("key", "ascending"), ("good", "ascending"), ("features", "ascending")])
     y = np.where(np.asarray(picked["good"]) > 0, 1.0, -1.0)
     if not (y > 0).any() or not (y < 0).any():
         return float((y > 0).mean()) if len(y) else 0.5
     p, q = np.ones(SIZE), np.ones(SIZE)
     p[np.asarray(counts["key"])] += np.asarray(counts["good"])
     q[np.asarray(counts["key"])] += np.asarray(counts["bad"])
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio[p + q < 5] = 0.0  # seen in fewer than three documents
-    weights, bias, slope, offset = fit(ratio, [np.frombuffer(x, np.int32) for x in picked["features"].to_pylist()], y)
-    return ratio.astype(np.float32), weights.astype(np.float32), bias, slope, offset
+    ratio = (np.log(p / p.sum()) - np.log(q / q.sum())).astype(np.float32)
+    return ratio, *fit(docs.sparkSession, ratio, picked["features"].to_pylist(), y)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 9000) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of (doc_id, text); labels of held-out rows are not used."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~held_out), labels, sample))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), utf8(F.col("text")).alias("data"))
-    return rows.mapInArrow(score_batches(model), "doc_id long, held_out boolean, score double, predicted int")
+def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, **options) -> DataFrame:
+    """doc_id, held_out, score, predicted and text_md5 of every row of (doc_id, text); labels of held-out rows are not used."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~held_out), labels, **options))
+    data = utf8(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), data.alias("data"), F.md5(data).alias("text_md5"))
+    return rows.mapInArrow(score_batches(model), "doc_id long, held_out boolean, score double, predicted int, text_md5 string")

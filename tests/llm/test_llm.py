@@ -213,6 +213,24 @@ def test_language_keeps_contexts_of_small_languages(spark):
                 assert rows[i].bits_per_byte == pytest.approx(-want[i].max() / size / np.log(2), rel=1e-5)
 
 
+def test_language_ignores_held_out_langs_and_finds_texts_of_no_language(spark):
+    r = random.Random(8)
+    make = lambda parts, n=40: " ".join("".join(r.choice(parts) for _ in range(3)) for _ in range(n))
+    kinds = {"aa": ["ba", "la", "ka", "mi"], "bb": ["st", "rk", "pf", "eu"]}
+    langs = [r.choice(list(kinds)) for _ in range(300)]
+    texts = [make(kinds[x], r.choice([1, 5, 40, 80])) for x in langs]
+    strange = [make(["xy", "wö", "qu", "zz"]), "".join(r.choice("bcdfghjkmnpqrvwxyz ") for _ in range(300)), "Это текст на другом языке, не на этих", "1234 5678", "", None]
+    out = [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(306)]
+    known = [*langs, *[None] * 6]
+    found = lambda given: lang_id.identify(docs(spark, texts + strange, given), held())
+    rows = found(known).cache()
+    assert sorted(x.doc_id for x in lang_id.without_language(rows).collect()) == list(range(300, 306))
+    swapped = found([None if x is None else {"aa": "bb", "bb": "aa"}[x] if out[i] else x for i, x in enumerate(known)])
+    key = lambda x: x.doc_id
+    assert [x[:7] for x in sorted(rows.collect(), key=key)] == [x[:7] for x in sorted(swapped.collect(), key=key)]
+    assert lang_id.without_language(found([None] * 306)).count() == 306 and lang_id.without_language(rows.filter("false")).count() == 0
+
+
 def test_quality(spark, empty):
     r = random.Random(4)
     good = [r.random() < 0.7 for _ in range(300)]
@@ -225,6 +243,37 @@ def test_quality(spark, empty):
     assert {x.score for x in quality.score_quality(docs(spark, ["a", "b"]), labels.filter("false"), held()).collect()} == {0.5}
 
 
+def test_quality_equals_brute_force_and_ignores_held_out_labels(spark):
+    r = random.Random(14)
+    good = [r.random() < 0.6 for _ in range(80)]
+    texts = [words(r, 12, 60) if g else words(r, 6, 60) + " spam spam " + words(r, 6, 60) for g in good]
+    out = [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(80)]
+    labels = [(i, int(g), 0, "x") for i, g in enumerate(good) if i % 5]
+    score = lambda rows, **o: {x.doc_id: x.score for x in quality.score_quality(docs(spark, texts), spark.createDataFrame(rows, "doc_id long, quality int, toxic int, text string"), held(), **o).collect()}
+    got = score(labels)
+    wrong = score([(i, 1 - q if out[i] else q, t, x) for i, q, t, x in labels] + [(i, None, 0, "x") for i in range(80) if i % 5 == 0] + [(9999, 1, 0, "no document")])
+    assert got == wrong, "labels of held-out rows and of no document change nothing"
+    maker = quality.Indicators()
+    features = [maker.of([t.encode()])[0] for t in texts]
+    rows = [i for i in range(80) if not out[i] and i % 5]
+    p, q = np.ones(quality.SIZE), np.ones(quality.SIZE)
+    for i in rows:
+        (p if good[i] else q)[features[i]] += 1
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    unit = lambda i: ratio[features[i]] / np.linalg.norm(ratio[features[i]])
+    y = np.array([1.0 if good[i] else -1.0 for i in rows])
+    fit = lambda keep: quality.descend([(features[rows[k]], unit(rows[k])) for k in keep], y[keep], 1.0, 12)
+    margin = np.zeros(len(rows))
+    for k in range(3):
+        w, b = fit(np.flatnonzero(np.arange(len(rows)) % 3 != k))
+        margin[k::3] = [w[features[i]] @ unit(i) + b for i in rows[k::3]]
+    (w, b), (slope, offset) = fit(np.arange(len(rows))), quality.logistic(margin, y)
+    for i in range(80):
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(slope * (w[features[i]] @ unit(i) + b) + offset))), abs=2e-3)
+    few = score(labels, sample_bytes=3000)
+    assert len(few) == 80 and few != got, "the sample is bounded by bytes too"
+
+
 def test_dual_coordinate_descent_separates():
     rows = [(np.array([i % 2], np.int32), np.array([1.0])) for i in range(20)]
     y = np.array([1.0 if i % 2 else -1.0 for i in range(20)])
@@ -602,6 +651,15 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == taken[-1][2]
 
 
+def test_decisions_are_on_an_id_and_its_text(spark):
+    import corpus_pipeline
+
+    d = docs(spark, ["a", "b", "a", None, "", "c"]).withColumn("doc_id", F.expr("CASE WHEN doc_id = 5 THEN 5 WHEN doc_id > 2 THEN NULL ELSE 1 END"))
+    gone = d.filter("text = 'a' OR text IS NULL").select("doc_id", F.md5(common.utf8(F.col("text"))).alias("text_md5"))
+    assert sorted(x.text for x in corpus_pipeline.drop(d, gone).collect()) == ["b", "c"]  # null is the empty text
+    assert corpus_pipeline.drop(d, gone.filter("false")).count() == 6
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_take_odd_and_empty_tables(spark, stage):
     import corpus_pipeline
