@@ -9,15 +9,12 @@ from sparrowlog.llm import common, jaccard, lang_id, quality, tiling
 from sparrowlog.llm.queries import held_out, pack, read
 
 
-def keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id (nulls included) is among ``kept``, in their own columns."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["kept_id"]), "left_semi")
-
-
 def drop(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    ids = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["gone_id"]), "left_anti")
+    """``docs`` without the rows of (doc_id, text_md5), nulls equal: a decision is on an id and its text, so rows that share an
+    id, or have none, are kept or dropped by their own text."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_md5").alias("gone_md5")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.md5(common.utf8(docs["text"])) == gone["gone_md5"])
+    return docs.join(gone, same, "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +24,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that have no language or none by more than even odds."""
-    found = lang_id.identify(docs, held_out(4))
-    return drop(docs, found.filter("lang_pred = 'und' OR score < 0.5"))
+    """Without the documents that are in no learned language: no letter, or a code length far above its language's texts."""
+    found = common.materialise(lang_id.identify(docs, held_out(4)), "languages")
+    return drop(docs, lang_id.without_language(found))
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones, that with the least id; rows without an id go only if their text repeats."""
     classes = jaccard.similar_documents(docs)
-    return keep(docs, classes.filter("doc_id <=> class_id")).dropDuplicates(["doc_id", "text"])
+    ids = classes.filter("doc_id <=> class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
