@@ -3,7 +3,7 @@
 Each text is normalised in a way that leaves its count alone (runs of space, tab, line feed and carriage return become one
 space, outer ones go) and hashed. The cache is a Parquet table of (content, tokenizer, n_tokens), where ``tokenizer`` is the
 digest of the tokenizer's file and the library's version. Contents that the cache lacks are made distinct, encoded once and
-appended; every row then joins to its count. Repeated appends of one key do no harm, as a key has one count.
+appended; every row then joins to its count, the counts of very frequent contents by broadcast (``common.join_one``). Repeated appends of one key do no harm, as a key has one count.
 
 Nulls count as the empty text (0 tokens); repeated rows each get their count; extra columns are ignored.
 """
@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowlog.llm.common import slices
+from sparrowlog.llm.common import join_one, materialise, slices
 
 CACHE = "content string, tokenizer string, n_tokens long"
 _LOADED: dict[str, tuple[object, dict[str, int]]] = {}
@@ -83,10 +83,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " "))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(plain, 256).alias("content"), plain.alias("plain"))
+    # written without the texts, as the counts meet these rows twice
+    keyed = materialise(rows.drop("plain"), "token-rows")
+    contents = keyed.groupBy("content").agg(F.count("*").alias("n_rows"))
     have = read_cache(spark, cache, version)
     misses = rows.select("content", "plain")
     if have is not None:
         misses = misses.join(have, "content", "left_anti")
     misses.dropDuplicates(["content"]).mapInArrow(encode_misses(tokenizer_path, version), CACHE).write.mode("append").option("compression", "zstd").parquet(cache)
-    have = read_cache(spark, cache, version)
-    return rows.drop("plain").join(have, "content", "left").select("doc_id", "n_bytes", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), (F.coalesce("n_tokens", F.lit(0)) > limit).alias("over_limit"))
+    counted = materialise(contents.join(read_cache(spark, cache, version), "content"), "token-counts")
+    n = F.col("n_tokens").cast("long")
+    return join_one(keyed, counted, "content", "n_rows").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
