@@ -3,7 +3,7 @@
 Each partition packs its pieces best-fit, longest first, and emits bins that are nearly full. Bins that are not become items
 of the next round, in which ``fan_in`` partitions at most meet in one, and no more than leaves a task about ``items_per_task``
 items. A round in a single task emits all. Where more is left than one task takes, and a round left more than nine tenths of
-its items open, nothing fits them (partitions are alike, as pieces are dealt by a hash), so they are emitted as they are, by
+its items open, nothing fits them (partitions are alike, as pieces are dealt in turn), so they are emitted as they are, by
 all its tasks. Rounds are written, so bins never change when an executor is lost.
 
 Nulls count as the empty text, which is the end id alone; repeated rows are packed each; extra columns are ignored; empty
@@ -178,7 +178,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, items_per_task: int = 2
     """``pieces`` with sequence_id and offset; no piece may be longer than ``capacity``."""
     items = pieces.count()
     tasks = max(1, -(-items // items_per_task))
-    open_ = pieces.repartition(tasks, "doc_id", "piece").mapInArrow(as_items, "fill int, members binary")
+    open_ = pieces.repartition(tasks).mapInArrow(as_items, "fill int, members binary")
     closed, number = None, 0
     while True:
         last = tasks == 1
