@@ -587,11 +587,48 @@ def test_broken_streams():
     assert len(media_ts.decode(bytes(media))["random_access"]) == 2
     assert media_ts.decode(bytes(media[: 188 * 5] + media[188 * 6 :]))["continuity_errors"] == 1
     assert media_ts.decode(bytes(media[: 188 * 5] + media[188 * 4 : 188 * 5] + media[188 * 5 :]))["payload"] == media_ts.pad(b"q" * 90_000)
+    cut = bytearray(media[: 188 * 5] + media[188 * 6 :])
+    payload = cut[188 * 5 : 188 * 6]
+    cut[188 * 5 : 188 * 6] = payload[:3] + bytes([payload[3] | 0x20, 1, 0x80]) + payload[4:186]  # flagged as a discontinuity
+    assert media_ts.decode(bytes(cut))["continuity_errors"] == 0
     media[12] ^= 1
     with pytest.raises(ValueError):
         media_ts.decode(bytes(media))
 
 
+def test_media_sections_over_packets_and_several_programs():
+    programs = b"".join(n.to_bytes(2, "big") + (0xE000 | pid).to_bytes(2, "big") for n, pid in [(0, 0x10), (7, 0x100), *[(k, 0x200) for k in range(8, 70)]])
+    pat = media_ts.section(0, 1, programs)
+    first = bytes([0x47, 0x40, 0, 0x10, 0]) + pat[:183]
+    rest = (bytes([0x47, 0, 0, 0x11]) + pat[183:]).ljust(188, b"\xff")
+    media = media_ts.encode(media_ts.pad(b"text"))
+    x = media_ts.decode(first + rest + media[188:])
+    assert x["payload"] == media_ts.pad(b"text") and x["continuity_errors"] == 0
+
+
+def test_damaged_media_give_errors_not_failures(spark):
+    good = media_ts.encode(media_ts.pad(b"q" * 3000))
+    bad = [None, b"", b"x", b"G" * 188, good[:-1], b"\0" + good[1:], good[:20] + b"\0" + good[21:], good[188 * 2 :], good[:188] + good[188 * 2 :], bytes([0x47, 0x40, 0, 0x30, 183]) + b"\0" * 183]
+    r = random.Random(1)
+    for _ in range(200):
+        x = bytearray(good)
+        x[r.randrange(len(x))] ^= 1 << r.randrange(8)
+        assert len(media_ts.features(bytes(x))) == 10
+    rows = media_ts.read_documents(spark.createDataFrame([(i, 1, m) for i, m in enumerate([*bad, good])], "doc_id long, n_bytes long, media binary")).collect()
+    assert [x.doc_id for x in rows if x.error is None] == [len(bad)] and len(rows) == len(bad) + 1
+    assert all(x.payload_sha256 is None and (x.media_bytes is None) == (bad[x.doc_id] is None) for x in rows if x.error)
+
+
+def test_packing_ids_are_the_library_s_over_a_whole_corpus(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {x.doc_id: x.text or "" for x in queries.read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()}
+    want = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in texts.items()}
+    for x in queries.op4_packing(spark, "/root/testdata/sf0.01").collect():
+        assert x.ids_crc32 == zlib.crc32(want[x.doc_id][x.start : x.start + x.length].tobytes())
+
+
 def test_media_rows(spark, odd, empty):
     rows = media_ts.read_documents(media_ts.store_documents(odd)).collect()
     for x in rows:
