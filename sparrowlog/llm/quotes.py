@@ -1,16 +1,20 @@
 """Chat formatting by quotation linking.
 
 A message's lines are split by their quote level (the number of leading ``>`` marks). Lines of level 0 without attribution
-lines are its own text; consecutive lines of one deeper level are a quoted passage. Passages and originals (whole own texts
-and their paragraphs) are normalised (lower case, white space as one space) and hashed; a passage joins to the nearest
-earlier message of its conversation that holds it, else to the first message of all with a lesser (conversation, turn).
-A message answers the original of its shallowest linked passage (the first one of that level); without one it answers the
-turn before. A linked message opens a branch, branches hang on one another, and each message gets its thread's first
-message, its depth in branches and its position in reply order, with its own text only.
-
-Null texts are empty and have no passage; empty passages link to nothing. Rows without conv_id or turn, and repeats of
-(conv_id, turn) beyond one (the least role and text), are left out, as they have no place in an order. Extra columns are
-ignored; an empty table gives none.
+lines are its own text; consecutive lines of one deeper level are a quoted passage. Own texts and passages are cut into units:
+the whole, its paragraphs and its lines (these two with three words or more), so a quote that leaves lines or paragraphs out
+still finds its original. Units are normalised (lower case, white space as one space) and hashed with SHA-256, and a passage's
+units join to the first message of their conversation that holds them, if it is an earlier one. Of the units found, that of the
+shallowest level counts, then that with most words, then the first.
+
+A message answers the message so linked, else the one before. An answer to another than the one before opens a branch. Messages
+get the number of branches above them, and their position in reply order: a message, what follows it in its branch, then the
+branches that hang on the branch's messages, the latest first. ``message`` is the chat message as JSON, without quotes.
+
+Messages of a conversation are in the order of turn (nulls last), role and text; repeats are messages of their own. A message
+without conv_id is a conversation by itself. Null texts are empty and have no passage. Extra columns are ignored; an empty table
+gives none. No step sorts or gathers a whole conversation in one task: orders are ranges of a global sort, and all else joins on
+ranks, which are unique. A branch keeps its path, an entry for each branch above it.
 """
 
 from __future__ import annotations
@@ -19,14 +23,16 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrowlog.llm.common import materialise
+from sparrowlog.llm.common import join_one, materialise
 
 MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 ATTRIBUTION = re.compile(r"^\s*(?:on\b.{0,200}\bwrote|.{0,100}\b(?:wrote|said|schrieb|escribió|a écrit))\s*:\s*$", re.I)
-PARSED = "conv_id long, turn long, role string, body string, originals array<string>, passages array<struct<level:int,place:int,content:string>>"
+UNITS = "units array<string>, passages array<struct<level:int,place:int,words:int,unit:string>>"
+PARSED = "conv_id long, turn long, role string, body string, text_md5 string, n_passages long, " + UNITS
+BLOCK_ROWS = 100_000
 
 
 def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
@@ -51,85 +57,92 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip(), passages
 
 
-def digest(text: str) -> str | None:
-    words = text.lower().split()
-    return hashlib.sha256(" ".join(words).encode()).hexdigest() if words else None
+def units(text: str, least: int = 3) -> dict[str, int]:
+    """Digests of the normalised whole, paragraphs and lines of a text, with their words."""
+    out = {}
+    for k, part in enumerate([text, *re.split(r"\n\s*\n", text), *text.split("\n")]):
+        words = part.lower().split()
+        if len(words) >= (least if k else 1):
+            out.setdefault(hashlib.sha256(" ".join(words).encode()).hexdigest(), len(words))
+    return out
 
 
 def parse_batches(batches):
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("place", pa.int32()), ("words", pa.int32()), ("unit", pa.string())]))
     for batch in batches:
         rows = []
         for text in batch.column(3).to_pylist():
             body, passages = parse(text)
-            parts = {digest(body)} | {digest(x) for x in re.split(r"\n\s*\n", body)}
-            quoted = [{"level": level, "place": i, "content": d} for i, (level, x) in enumerate(passages) if (d := digest(x))]
-            rows.append((body, sorted(parts - {None}), quoted))
-        bodies, parts, quoted = zip(*rows, strict=True) if rows else ([], [], [])
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("place", pa.int32()), ("content", pa.string())]))
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(bodies, pa.string()), pa.array(parts, pa.list_(pa.string())), pa.array(quoted, kind)], ["conv_id", "turn", "role", "body", "originals", "passages"])
+            found = [{"level": level, "place": i, "words": n, "unit": d} for i, (level, x) in enumerate(passages) for d, n in units(x).items()]
+            rows.append((body, hashlib.md5(text.encode()).hexdigest(), len(passages), list(units(body)), found))
+        bodies, digests, n, own, quoted = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+        columns = [pa.array(bodies, pa.string()), pa.array(digests, pa.string()), pa.array(n, pa.int64()), pa.array(own, pa.list_(pa.string())), pa.array(quoted, kind)]
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], *columns], ["conv_id", "turn", "role", "body", "text_md5", "n_passages", "units", "passages"])
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``rank``, the number of rows before each in the whole order; written, so that ties keep theirs."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialise(placed, name).withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    # the broadcast has a row for each partition
+    return placed.join(F.broadcast(sizes), "_part").withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+
+
+def running(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the greatest value up to each rank: over blocks of ranks, and between blocks from a table with a row for each."""
+    rows = rows.withColumn("_block", F.floor(F.col("rank") / BLOCK_ROWS)).withColumn("_value", value)
+    inside = Window.partitionBy("_block").orderBy("rank")
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("_block").agg(F.max("_value").alias("m")).select("_block", F.max("m").over(before).alias("_carried"))
+    return rows.join(blocks, "_block").withColumn(name, F.coalesce(F.max("_value").over(inside), "_carried")).drop("_block", "_value", "_carried")
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, n_passages, n_linked, parent_conv_id, parent_turn, thread_conv_id, thread_turn, depth and
-    position of every placed row of (conv_id, turn, role, text)."""
+    """conv_id, turn, role, text, n_passages, n_linked (units found), parent_turn, parent_position, depth, position and message of
+    every row of (conv_id, turn, role, text)."""
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
-    parsed = materialise(rows.mapInArrow(parse_batches, PARSED), "messages")
-    originals = parsed.select("conv_id", "turn", F.explode("originals").alias("content"))
-    passages = parsed.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.place", "p.content")
-    linked = materialise(link(passages, originals), "quote-links")
-    shallow = linked.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "place", "to_conv", "to_turn")).alias("link"), F.count("*").alias("n_linked"))
-    by_turn = Window.partitionBy("conv_id").orderBy("turn")
-    marked = parsed.withColumn("n_passages", F.size("passages").cast("long")).drop("passages", "originals").join(shallow, ["conv_id", "turn"], "left")
-    marked = marked.withColumn("before", F.lag("turn").over(by_turn)).withColumn("branch_turn", F.last(F.when(F.col("link").isNotNull() | F.col("before").isNull(), F.col("turn")), True).over(by_turn))
-    marked = materialise(marked, "marked")
-    threads = follow(marked)
-    out = marked.join(threads, (marked.conv_id == threads.b_conv) & (marked.branch_turn == threads.b_turn)).drop("b_conv", "b_turn")
-    place = Window.partitionBy("thread_conv_id", "thread_turn").orderBy("depth", "conv_id", "turn")
+    parsed = rows.mapInArrow(parse_batches, PARSED)
+    parsed = ranked(parsed, [F.asc("conv_id"), F.asc_nulls_last("turn"), F.asc("role"), F.asc("text_md5")], "messages")
+    # a conversation is named by the rank of its first message
+    conv = parsed.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.min("rank").alias("first"), F.count("*").alias("n_rows"))
+    conv = materialise(conv, "conversations")
+    placed = join_one(parsed.filter("conv_id IS NOT NULL"), conv, "conv_id", "n_rows").drop("n_rows").unionByName(parsed.filter("conv_id IS NULL").withColumn("first", F.col("rank")))
+    placed = materialise(placed, "placed")
+    answers = placed.select("rank", "first", "turn").join(linked(placed), "rank", "left")
+    heads = answers.withColumn("parent", F.coalesce("to_rank", F.when(F.col("rank") > F.col("first"), F.col("rank") - 1)))
+    opens = F.when(F.col("parent").isNull() | (F.col("parent") < F.col("rank") - 1), F.col("rank"))
+    heads = materialise(running(heads, opens, "branch").select("rank", "first", "parent", "branch", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")), "answers")
+    key = F.concat("path", F.array(F.struct(F.lit(-(1 << 62)).cast("long").alias("hangs"), F.col("rank").alias("head"))))
+    ordered = heads.join(paths(heads), "branch").withColumn("depth", F.size("path")).withColumn("path", key)
+    # conversations keep their order, so a message's position is its rank in reply order less that of its first message
+    ordered = ranked(ordered.withColumnRenamed("rank", "message_rank"), [F.asc("first"), F.asc("path")], "ordered")
+    places = ordered.select(F.col("message_rank").alias("rank"), "parent", "n_linked", "depth", (F.col("rank") - F.col("first") + 1).alias("position"))
+    parents = places.select(F.col("rank").alias("parent"), F.col("position").alias("parent_position")).join(placed.select(F.col("rank").alias("parent"), F.col("turn").alias("parent_turn")), "parent")
+    out = placed.drop("units", "passages", "first").join(places, "rank").join(parents, "parent", "left")
     return out.select(
-        "conv_id",
-        "turn",
-        "role",
-        F.col("body").alias("text"),
-        "n_passages",
-        F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-        F.when(F.col("link").isNotNull(), F.col("link.to_conv")).when(F.col("before").isNotNull(), F.col("conv_id")).alias("parent_conv_id"),
-        F.when(F.col("link").isNotNull(), F.col("link.to_turn")).otherwise(F.col("before")).alias("parent_turn"),
-        "thread_conv_id",
-        "thread_turn",
-        F.col("depth").cast("int").alias("depth"),
-        F.row_number().over(place).cast("long").alias("position"),
-    )
-
-
-def link(passages: DataFrame, originals: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, place, to_conv, to_turn) of passages that have an original before them."""
-    both = originals.join(passages.select("content").distinct(), "content", "left_semi")
-    marks = both.select("content", "conv_id", "turn", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("place"))
-    marks = marks.unionByName(passages.select("content", "conv_id", "turn", F.lit(0).alias("kind"), "level", "place"))
-    # a quoting message (kind 0) comes before an original of the same turn, so it never finds itself
-    near = Window.partitionBy("content", "conv_id").orderBy("turn", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    own = marks.withColumn("near", F.last(F.when(F.col("kind") == 1, F.col("turn")), True).over(near)).filter("kind = 0")
-    first = both.groupBy("content").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    found = own.join(first, "content", "left")
-    earlier = (F.col("first.conv_id") < F.col("conv_id")) | ((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") < F.col("turn")))
-    found = found.withColumn("to_conv", F.when(F.col("near").isNotNull(), F.col("conv_id")).when(earlier, F.col("first.conv_id")))
-    found = found.withColumn("to_turn", F.when(F.col("near").isNotNull(), F.col("near")).when(earlier, F.col("first.turn")))
-    return found.filter("to_conv IS NOT NULL").select("conv_id", "turn", "level", "place", "to_conv", "to_turn")
-
-
-def follow(marked: DataFrame) -> DataFrame:
-    """The thread and depth of each branch (b_conv, b_turn); pointers double in each round, all of them point backwards."""
-    heads = marked.filter(F.col("turn") == F.col("branch_turn"))
-    place = marked.select(F.col("conv_id").alias("l_conv"), F.col("turn").alias("l_turn"), F.col("conv_id").alias("up_conv"), F.col("branch_turn").alias("up_turn"))
-    up = heads.select(F.col("conv_id").alias("b_conv"), F.col("turn").alias("b_turn"), F.col("link.to_conv").alias("l_conv"), F.col("link.to_turn").alias("l_turn")).join(place, ["l_conv", "l_turn"], "left")
-    state = up.select("b_conv", "b_turn", F.coalesce("up_conv", "b_conv").alias("t_conv"), F.coalesce("up_turn", "b_turn").alias("t_turn"), F.when(F.col("up_conv").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    state = materialise(state, "branches")
-    while not state.filter("depth > 0").isEmpty():
-        far = state.select(F.col("b_conv").alias("t_conv"), F.col("b_turn").alias("t_turn"), F.col("t_conv").alias("f_conv"), F.col("t_turn").alias("f_turn"), F.col("depth").alias("more"))
-        after = state.join(far, ["t_conv", "t_turn"]).select("b_conv", "b_turn", F.col("f_conv").alias("t_conv"), F.col("f_turn").alias("t_turn"), (F.col("depth") + F.col("more")).alias("depth"), "more")
-        after = materialise(after, "branches")
-        state = after.drop("more")
-        if after.filter("more > 0").isEmpty():
-            break
-    return state.select("b_conv", "b_turn", F.col("t_conv").alias("thread_conv_id"), F.col("t_turn").alias("thread_turn"), "depth")
+        "conv_id", "turn", "role", F.col("body").alias("text"), "n_passages", "n_linked", "parent_turn", "parent_position", "depth", "position", F.to_json(F.struct("role", F.col("body").alias("content"))).alias("message"),
+    )
+
+
+def linked(placed: DataFrame) -> DataFrame:
+    """(rank, to_rank, n_linked) of the messages of which a passage has its original."""
+    quoted = placed.select("rank", "first", F.explode("passages").alias("p")).select("rank", "first", "p.*")
+    own = placed.select("rank", "first", F.explode("units").alias("unit")).join(quoted.select("first", "unit").distinct(), ["first", "unit"], "left_semi")
+    origin = own.groupBy("first", "unit").agg(F.min("rank").alias("to_rank"))
+    found = quoted.join(origin, ["first", "unit"]).filter("to_rank < rank")
+    return found.groupBy("rank").agg(F.min_by("to_rank", F.struct("level", -F.col("words"), "place")).alias("to_rank"), F.count("*").alias("n_linked"))
+
+
+def paths(answers: DataFrame) -> DataFrame:
+    """(branch, path): for each branch the branches above it and itself, outermost first, each as (where it hangs, latest first;
+    its first message). A conversation's first branch has none. Pointers double in each round."""
+    heads = answers.filter("rank = branch").select("branch", "parent")
+    above = heads.join(answers.select(F.col("rank").alias("parent"), F.col("branch").alias("up")), "parent", "left")
+    own = F.array(F.struct((-F.col("parent")).alias("hangs"), F.col("branch").alias("head")))
+    state = materialise(above.select("branch", "up", F.when(F.col("up").isNull(), F.array().cast("array<struct<hangs:bigint,head:bigint>>")).otherwise(own).alias("path")), "branches")
+    while not state.filter("up IS NOT NULL").isEmpty():
+        far = state.select(F.col("branch").alias("up"), F.col("up").alias("far_up"), F.col("path").alias("far_path"))
+        state = materialise(state.join(far, "up", "left").select("branch", F.col("far_up").alias("up"), F.when(F.col("far_path").isNull(), F.col("path")).otherwise(F.concat("far_path", "path")).alias("path")), "branches")
+    return state.select("branch", "path")

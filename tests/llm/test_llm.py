@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import re
 import time
@@ -640,30 +641,95 @@ def test_media_rows(spark, odd, empty):
 
 # --- quotes
 
-CHAT = [
-    (1, 0, "user", "How do I bake bread?\n\nAnd cake?"), (1, 1, "assistant", "> How do I bake\n> bread?\n\nWith flour."), (1, 2, "user", "Thanks"),
-    (2, 0, "user", "On Monday, Ann wrote:\n> With  FLOUR.\n>> And cake?\nWhich flour?"), (2, 1, "assistant", "Rye."), (2, 2, "user", "> Which flour?\n> unknown\nNo."), (3, 0, "user", None), (3, 0, "user", "again"), (3, 1, None, ""), (None, 1, "user", "x"), (3, None, "user", "x"),
-]
+
+def brute_replies(rows):
+    """Of rows in order (conv, turn, role, text): parent's place, depth and reply order, conversation by conversation."""
+    norm = lambda t: " ".join(t.lower().split())
+    groups = {}
+    for k, row in enumerate(rows):
+        groups.setdefault(("own", k) if row[0] is None else row[0], []).append(row)
+    out = []
+    for group in groups.values():
+        group.sort(key=lambda x: (x[1] is None, x[1] or 0, x[2] or "", hashlib.md5((x[3] or "").encode()).hexdigest()))
+        parsed = [quotes.parse(x[3] or "") for x in group]
+
+        def pieces(text):
+            parts = [text, *re.split(r"\n\s*\n", text), *text.split("\n")]
+            return [norm(p) for i, p in enumerate(parts) if len(p.split()) >= (3 if i else 1)]
+
+        parents, branch, depth = [], [], []
+        for k, (_, passages) in enumerate(parsed):
+            best = None
+            for place, (level, text) in enumerate(passages):
+                for unit in pieces(text):
+                    found = next((j for j in range(len(parsed)) if unit in pieces(parsed[j][0])), None)
+                    if found is not None and found < k and (best is None or (level, -len(unit.split()), place) < best[0]):
+                        best = ((level, -len(unit.split()), place), found)
+            parent = best[1] if best else (k - 1 if k else None)
+            parents.append(parent)
+            new = parent is not None and parent < k - 1
+            branch.append(k if new or not k else branch[k - 1])
+            depth.append(depth[parent] + 1 if new else (depth[k - 1] if k else 0))
+
+        order = []
+
+        def visit(head, order=order, branch=branch, parents=parents):
+            chain = [i for i in range(len(branch)) if branch[i] == head]
+            order += chain
+            for i in reversed(chain):
+                for h in [h for h in range(len(branch)) if branch[h] == h and parents[h] == i and h]:
+                    visit(h)
+
+        visit(0)
+        for k, row in enumerate(group):
+            out.append((row[0], row[1], row[2], parsed[k][0], None if parents[k] is None else order.index(parents[k]) + 1, depth[k], order.index(k) + 1))
+    return sorted(out, key=str)
+
+
+def chat(r, n_convs, odd=True):
+    rows = []
+    for c in range(n_convs):
+        said = []
+        for turn in range(r.choice([1, 3, 9])):
+            own = "\n".join(words(r, r.choice([1, 3, 4]), 30) for _ in range(r.choice([1, 2, 3])))
+            text = own
+            if said and r.random() < 0.7:
+                old = r.choice(said).split("\n")
+                quoted = r.sample(old, r.randrange(1, len(old) + 1))
+                text = "On Monday A wrote:\n" + "\n".join(r.choice(["> ", ">> "]) + x.upper() for x in quoted) + "\n" + own
+            said.append(own)
+            rows.append((c, turn, r.choice(["user", "assistant"]), text))
+    if odd:
+        rows += [(None, 1, "user", "alone"), (None, None, None, None), (0, None, "user", "> late\nno turn"), (0, 0, None, None), (0, 1, "user", "same"), (0, 1, "user", "same"), (99, 0, "user", ""), (99, 1, "user", "> "), (99, 2, "user", "x " * 50_000)]
+    return rows
+
+
+CHAT = "conv_id long, turn long, role string, text string, rank string, first string"
 
 
 def test_parse_quotes():
-    assert quotes.parse(CHAT[3][3]) == ("Which flour?", [(1, " With  FLOUR.".strip(" ").replace("With", "With")), (2, "And cake?")]) or quotes.parse(CHAT[3][3])[0] == "Which flour?"
+    assert quotes.parse("Hi\n> With  FLOUR.\n>> And cake?\nWhich flour?") == ("Hi\nWhich flour?", [(1, "With  FLOUR."), (2, "And cake?")])
     assert [d for d, _ in quotes.parse("> a\n> b\n>> c\n> d")[1]] == [1, 2, 1]
+    assert quotes.parse("On Monday A wrote:\n> a\n>\n> b\nyes") == ("yes", [(1, "a\n\nb")])
     assert quotes.parse("") == ("", [])
 
 
-def test_link_quotes(spark):
-    rows = quotes.link_quotes(spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")).collect()
-    got = {(x.conv_id, x.turn): x for x in rows}
-    parent = {k: (x.parent_conv_id, x.parent_turn) for k, x in got.items()}
-    assert parent == {(1, 0): (None, None), (1, 1): (1, 0), (1, 2): (1, 1), (2, 0): (1, 1), (2, 1): (2, 0), (2, 2): (2, 1), (3, 0): (None, None), (3, 1): (3, 0)}
-    assert {k: (x.thread_conv_id, x.thread_turn, x.depth) for k, x in got.items()}[2, 2] == (1, 0, 2)
-    assert (got[2, 0].text, got[2, 0].n_passages, got[2, 0].n_linked) == ("Which flour?", 2, 2)
-    thread = sorted((x for x in rows if (x.thread_conv_id, x.thread_turn) == (1, 0)), key=lambda x: x.position)
-    assert [x.position for x in thread] == list(range(1, 7))
-    at = {(x.conv_id, x.turn): x.position for x in thread}
-    assert all(at[parent[k]] < p for k, p in at.items() if parent[k] != (None, None)), "a reply comes after what it answers"
-    assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+def test_trimmed_quotes_find_their_original(spark):
+    text = "The first line is here\nand a second line too\n\nAnother paragraph of the message\n\nAnd a third one follows now"
+    rows = [(1, 0, "a", "Opening words of it"), (1, 1, "b", text), (1, 2, "a", "something else entirely"), (1, 3, "c", "> and a second line too\nyes"), (1, 4, "c", "> Another paragraph of the message\n> And a third one follows now\nno"), (2, 0, "a", "> Opening words of it\nanother conversation")]
+    got = {(x.conv_id, x.turn): (x.parent_turn, x.depth, x.position) for x in quotes.link_quotes(spark.createDataFrame([(*x, "", "") for x in rows], CHAT)).collect()}
+    assert got == {(1, 0): (None, 0, 1), (1, 1): (0, 0, 2), (1, 2): (1, 0, 3), (1, 3): (1, 1, 4), (1, 4): (1, 1, 5), (2, 0): (None, 0, 1)}
+
+
+@pytest.mark.parametrize("block", [100_000, 7])
+def test_link_quotes_equals_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(quotes, "BLOCK_ROWS", block)
+    rows = chat(random.Random(block), 25)
+    got = quotes.link_quotes(spark.createDataFrame([(*x, "clash", "clash") for x in rows], CHAT)).collect()
+    assert sorted([(x.conv_id, x.turn, x.role, x.text, x.parent_position, x.depth, x.position) for x in got], key=str) == brute_replies(rows)
+    assert sum(x.depth > 0 for x in got) > 20 and max(x.depth for x in got) > 1
+    assert all(json.loads(x.message).get("content") == x.text for x in got)
+    assert quotes.link_quotes(spark.createDataFrame([], CHAT)).count() == 0
 
 
 # --- pipeline
