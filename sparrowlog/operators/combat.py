@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ RULES = [
     ("heal", r"^(.+?)\s+heals\s+(.+?)\s+for\s+(\d+)\s+points(?:\s+with\s+(.+))?", 1, 2, 4, 3, "", False),
     ("utility", r"^(.+?)\s+performs\s+(.+?)\.?\s*$", 1, "", 2, None, "", False),
 ]
+# The words of which a combat line has one, what flags are called, and limits in points and seconds.
 WORDS = ("points", "attacks", "damages", "suffers", "heals", "is no more", "misses", "dodg", "parr", "performs", "caused")
 FLAGS = {"crits": "crit", "critically hits": "crit", "critical hits": "crit", "hits": "hit", "glances": "glance", "strikes through": "strikethrough"}
 LARGEST_HIT, FIGHT_GAP, SESSION_GAP = 60_000, 20, 30 * 60
@@ -61,27 +64,43 @@ def parse(raw: Column) -> Column:
     decides, even if it then refuses the line for its amount."""
     clock = sum((F.regexp_extract(raw, STAMP, i).try_cast("int") * s for i, s in ((1, 3600), (2, 60), (3, 1))), F.lit(0)).cast("int")
     # the line without its stamp is made once and bound to a lambda's variable, not once in every rule
-    rest = F.struct(trim_all(F.regexp_replace(raw, STAMP, "")).alias("rest"), clock.alias("clock"))
-    return F.when(raw.rlike(STAMP), F.transform(F.array(rest), lambda x: by_rules(x["rest"], x["clock"]))[0])
-
-
-def by_rules(rest: Column, clock: Column) -> Column:
-    def part(pattern, what):
-        if isinstance(what, str):
-            return F.lit(what)
-        group, other = what if isinstance(what, tuple) else (what, None)
-        found = trim_all(F.regexp_extract(rest, pattern, group))
-        return found if other is None else F.coalesce(F.nullif(found, F.lit("")), F.lit(other))
-
-    out = None
-    for kind, body, source, target, ability, amount, flag, guarded in RULES:
-        p = "(?iu)" + body
-        n = F.lit(0).cast("long") if amount is None else F.regexp_extract(rest, p, amount).try_cast("long")
-        by = part(p, source)
-        row = F.struct(clock.alias("clock"), F.lit(kind).alias("kind"), by.alias("source"), part(p, target).alias("target"), part(p, ability).alias("ability"), n.alias("amount"), (F.lit(flag) if isinstance(flag, str) else flag_of(F.regexp_extract(rest, p, flag))).alias("flag"))
-        value = F.when((n > LARGEST_HIT) & ~is_npc(by), F.lit(None)).otherwise(row) if guarded else row
-        out = F.when(rest.rlike(p), value) if out is None else out.when(rest.rlike(p), value)
-    return out
+    rest = trim_all(F.translate(F.regexp_replace(raw, STAMP, ""), MARK, ""))
+    bound = F.struct(rest.alias("rest"), F.lower(rest).alias("low"), clock.alias("clock"))
+    found = F.transform(F.array(bound), lambda x: by_rules(x["rest"], x["low"], x["clock"]))[0]
+    return F.when(raw.rlike(STAMP) & ~F.coalesce(found["refused"], F.lit(True)), found["line"])
+
+
+MARK = "\u0001"
+#: A word without which a rule can't match, so that most rules cost no pattern.
+NEEDED = ("more", "misses", "attacks", "attacks", "attack", "attack", "misses", "points", "points", "points", "suffers", "caused", "causes", "taken", "wracked", "agony", "healed", "heals", "performs")
+
+
+def groups_of(text: Column, pattern: str) -> Column:
+    """The groups of a pattern that begins a text, the first at place 1, by one evaluation; of size 1 if it does not match."""
+    marks = "".join(f"{MARK}${i + 1}" for i in range(re.compile(pattern).groups))
+    return F.split(F.regexp_replace(text, "(?iu)" + pattern + ("" if pattern.endswith("$") else r"[\s\S]*$"), marks), MARK)
+
+
+def by_rules(rest: Column, low: Column, clock: Column) -> Column:
+    """struct(line, refused) by the first rule that matches."""
+
+    def rule(kind, body, source, target, ability, amount, flag, guarded):
+        def made(g):
+            def part(what):
+                if isinstance(what, str):
+                    return F.lit(what)
+                group, other = what if isinstance(what, tuple) else (what, None)
+                return trim_all(g[group]) if other is None else F.coalesce(F.nullif(trim_all(g[group]), F.lit("")), F.lit(other))
+
+            n = F.lit(0).cast("long") if amount is None else g[amount].try_cast("long")
+            by = part(source)
+            line = F.struct(clock.alias("clock"), F.lit(kind).alias("kind"), by.alias("source"), part(target).alias("target"), part(ability).alias("ability"), n.alias("amount"), (F.lit(flag) if isinstance(flag, str) else flag_of(g[flag])).alias("flag"))
+            refused = F.coalesce(n > LARGEST_HIT, F.lit(False)) & ~is_npc(by) if guarded else F.lit(False)
+            return F.when(F.size(g) > 1, F.struct(line.alias("line"), refused.alias("refused")))
+
+        return F.transform(F.array(groups_of(rest, body)), made)[0]
+
+    return F.coalesce(*[F.when(low.contains(word), rule(*r)) for word, r in zip(NEEDED, RULES, strict=True)])
 
 
 def split_upload(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

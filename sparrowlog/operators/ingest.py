@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,20 +47,48 @@ def state_hash(payload: Column) -> Column:
     return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(plain)))), 256)
 
 
-def schema_paths(payloads: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, path, types): the JSON types seen at each path of each payload, arrays as ``[]``. A payload that is no JSON has no path."""
-    spark = payloads.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    payloads.select(F.col(key).alias("k"), F.try_parse_json(F.col(json)).alias("v")).filter("v IS NOT NULL").createOrReplaceTempView("_schema_payloads")
-    walked = spark.sql("""WITH RECURSIVE walk(k, path, v) AS (
-        SELECT k, '$', v FROM _schema_payloads
+def shape(json: Column) -> Column:
+    """A text that payloads of equal paths and types mostly share: canonical JSON without its strings and numbers, and with
+    each run of equal flat objects once. Payloads of one shape have the same paths and types."""
+    key, text = r'("[^"\\]*+(?:\\.[^"\\]*+)*+":)', r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    out = F.regexp_replace(F.to_json(F.try_parse_json(json)), f"{key}|{text}", "$1")
+    out = F.regexp_replace(out, key + r"|-?\d[\d.eE+-]*+", "$1#")
+    return F.regexp_replace(out, r"(\{[^{}\[\]]*\})(?:,\1)+", "$1")
+
+
+def walked_paths(payloads: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, path, types) by walking every value of every payload, at any depth."""
+    spark, view = payloads.sparkSession, f"_schema_payloads_{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # read when the query runs, so it can't be put back here
+    payloads.select(F.col(key).alias("k"), F.try_parse_json(F.col(json)).alias("v")).filter("v IS NOT NULL").createOrReplaceTempView(view)
+    walked = spark.sql(f"""WITH RECURSIVE walk(k, path, v) MAX RECURSION LEVEL 2000 AS (
+        SELECT k, '$', v FROM {view}
         UNION ALL
         SELECT w.k, CASE WHEN e.key IS NULL THEN concat(w.path, '[]') ELSE concat(w.path, '.', e.key) END, e.value FROM walk w, LATERAL variant_explode(w.v) e)
         SELECT k, path, schema_of_variant(v) AS kind FROM walk""")
+    spark.catalog.dropTempView(view)
     kind = F.when(F.col("kind").startswith("ARRAY"), "array").when(F.col("kind").startswith("OBJECT"), "object").when(F.col("kind") == "BOOLEAN", "boolean").when(F.col("kind") == "VOID", "null").when(F.col("kind") == "STRING", "string").otherwise("number")
     return walked.groupBy(F.col("k").alias(key), "path").agg(F.sort_array(F.collect_set(kind)).alias("types"))
 
 
+def shaped(payloads: DataFrame, key: str, json: str) -> tuple[DataFrame, DataFrame]:
+    """(key, shape) of each payload that is JSON, and (shape, path, types), for which one payload of each shape is walked."""
+    rows = payloads.select(F.col(key), F.col(json).alias("_json"), shape(F.col(json)).alias("shape")).filter("shape IS NOT NULL")
+    return rows.select(key, "shape"), walked_paths(rows.groupBy("shape").agg(F.min("_json").alias("_json")), "shape", "_json")
+
+
+def schema_paths(payloads: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, path, types): the JSON types seen at each path of each payload, arrays as ``[]``. A payload that is no JSON has no path."""
+    rows, paths = shaped(payloads, key, json)
+    return rows.join(paths, "shape").select(key, "path", "types")
+
+
+def payload_signatures(payloads: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, paths, signature, comparable) of each payload that is JSON, worked out once for each shape."""
+    rows, paths = shaped(payloads, key, json)
+    return rows.join(signatures(paths, "shape"), "shape").drop("shape")
+
+
 def signatures(paths: DataFrame, key: str) -> DataFrame:
     """(key, paths, signature, comparable): one row a payload; not comparable if an array had no member."""
     line = F.concat("path", F.lit(":"), F.array_join("types", "|"))

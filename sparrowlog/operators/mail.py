@@ -1,15 +1,13 @@
-"""Mail text to rows: headers by a small per-mail state machine, trades by native patterns."""
+"""Mail text to rows: headers by a fold over a mail's first lines, trades by native patterns."""
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowlog.functions.latest import epoch_clock
-from sparrowlog.functions.text import clean_name
+from sparrowlog.functions.text import clean_name, trim_all
+from sparrowlog.operators.combat import MARK, groups_of
 from sparrowlog.operators.ingest import text_hash
 
 HEADER_LINES = 8
@@ -26,92 +24,109 @@ PURCHASES = [
 ]
 
 
-def headers(raw: str) -> tuple[str, str, str, int | None, str]:
-    """(mail id, sender, subject, raw stamp, body). The first line may be the id; then come up to eight lines with or without
-    names; a blank line after any of them ends the head."""
-    lines = raw.replace("\r\n", "\n").split("\n")
-    got: dict[str, str] = {}
-    stamp, body, unnamed = None, 0, 0
-
-    def clock(value: str) -> int | None:
-        return int(value) if value.isdigit() and 0 < int(value) < 10**16 else None
-
-    for i, line in enumerate(lines[:HEADER_LINES]):
-        text = line.strip()
-        named = re.match(r"([A-Za-z]+):\s?(.*)$", line)
-        name = named[1].upper() if named else ""
-        if i == 0 and re.fullmatch(r"\d+(_\d+)?", text):
-            got["id"] = text
-        elif name in ("FROM", "SUBJECT"):
-            got[name] = named[2].strip()
-        elif name == "TIMESTAMP":
-            stamp = clock(named[2].strip()) if stamp is None else stamp
-        elif stamp is None and i and (got.get("FROM") or got.get("SUBJECT")) and re.fullmatch(r"\d{9,13}", text):
-            stamp = clock(text)
-        elif not text and body:
-            body = i + 1
-            break
-        elif stamp is None and unnamed < 2 and text:
-            if not unnamed and not got.get("FROM"):
-                got["FROM"] = text
-            elif not got.get("SUBJECT"):
-                got["SUBJECT"] = text
-            unnamed += 1
-        elif body:
-            break
-        else:
-            continue
-        body = i + 1
-    suffix = re.search(r"_(\d{9,13})$", got.get("id", ""))
-    if stamp is None and suffix:
-        stamp = clock(suffix[1])
-    return got.get("id", ""), got.get("FROM", ""), got.get("SUBJECT", ""), stamp, "\n".join(lines[body:]).strip()
-
-
-def head_batches(batches):
-    for batch in batches:
-        rows = [headers(x or "") for x in batch.column(batch.schema.get_field_index("raw")).to_pylist()]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], [*batch.schema.names, "mail_id", "sender", "subject", "stamp", "body"])
+LINE = r"(?s)^([A-Za-z]+):\s?(.*)$"
+
+
+def clock(text: Column) -> Column:
+    """A stamp of digits as a number, null if it is none or out of range."""
+    n = F.when(text.rlike(r"^\d+$"), text.try_cast("long"))
+    return F.when((n > 0) & (n < 10**16), n)
+
+
+def head(lines: Column) -> Column:
+    """struct(mail_id, sender, subject, stamp, body) of a mail's lines; body: how many lines the head has.
+
+    The first line may be the id; then come up to eight lines with or without names; a blank line after any of them ends the
+    head. A fold over these lines, with what depends on a line alone worked out before."""
+
+    def read(line, i):
+        text, name = trim_all(line), F.upper(F.regexp_extract(line, LINE, 1))
+        return F.struct(
+            i.alias("i"), text.alias("text"), name.alias("name"), trim_all(F.regexp_extract(line, LINE, 2)).alias("value"),
+            (text.rlike(r"^\d+(_\d+)?$") & (i == 0)).alias("is_id"), text.rlike(r"^\d{9,13}$").alias("is_stamp"),
+        )
+
+    start = F.struct(F.lit("").alias("id"), F.lit("").alias("sender"), F.lit("").alias("subject"), F.lit(None).cast("long").alias("stamp"), F.lit(0).alias("body"), F.lit(0).alias("unnamed"), F.lit(False).alias("done"))
+
+    def kind(s, e):
+        known = (s["sender"] != "") | (s["subject"] != "")
+        return (
+            F.when(s["done"], "past").when(e["is_id"], "id").when(e["name"] == "FROM", "sender").when(e["name"] == "SUBJECT", "subject").when(e["name"] == "TIMESTAMP", "stamp")
+            .when(s["stamp"].isNull() & (e["i"] > 0) & known & e["is_stamp"], "bare").when((e["text"] == "") & (s["body"] > 0), "blank").when(s["stamp"].isNull() & (s["unnamed"] < 2) & (e["text"] != ""), "unnamed")
+            .when(s["body"] > 0, "end").otherwise("other")
+        )
+
+    def step(s, e):
+        def after(k):
+            first = (s["unnamed"] == 0) & (s["sender"] == "")
+            return F.struct(
+                F.when(k == "id", e["text"]).otherwise(s["id"]).alias("id"),
+                F.when(k == "sender", e["value"]).when((k == "unnamed") & first, e["text"]).otherwise(s["sender"]).alias("sender"),
+                F.when(k == "subject", e["value"]).when((k == "unnamed") & ~first & (s["subject"] == ""), e["text"]).otherwise(s["subject"]).alias("subject"),
+                F.when(k == "stamp", F.coalesce(s["stamp"], clock(e["value"]))).when(k == "bare", clock(e["text"])).otherwise(s["stamp"]).alias("stamp"),
+                F.when(k.isin("past", "end", "other"), s["body"]).otherwise(e["i"] + 1).alias("body"),
+                (s["unnamed"] + F.when(k == "unnamed", 1).otherwise(0)).alias("unnamed"),
+                k.isin("past", "end", "blank").alias("done"),
+            )
+
+        return F.transform(F.array(kind(s, e)), after)[0]
+
+    return F.aggregate(F.transform(F.slice(lines, 1, HEADER_LINES), read), start, step)
 
 
 def parse_mails(mails: DataFrame) -> DataFrame:
     """Adds fingerprint, mail_id, sender, subject, sent_at and body to rows of (raw, ...)."""
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
-
-    schema = StructType(mails.schema.fields + [StructField(c, LongType() if c == "stamp" else StringType()) for c in ("mail_id", "sender", "subject", "stamp", "body")])
-    rows = mails.mapInArrow(head_batches, schema)
-    return rows.withColumn("fingerprint", text_hash(F.col("raw"))).withColumn("sent_at", epoch_clock(F.col("stamp"))).drop("stamp")
+    lines = F.split(F.replace(F.coalesce(F.col("raw"), F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n")
+    # explode of one element: each step is worked out once and not again for every column that reads it
+    rows = mails.select("*", F.explode(F.array(lines)).alias("_lines")).select("*", F.explode(F.array(head(F.col("_lines")))).alias("_head"))
+    stamp = F.coalesce("_head.stamp", clock(F.regexp_extract("_head.id", r"_(\d{9,13})$", 1)))
+    body = trim_all(F.array_join(F.slice("_lines", F.col("_head.body") + 1, F.size("_lines")), "\n"))
+    return rows.select(
+        *mails.columns, F.col("_head.id").alias("mail_id"), "_head.sender", "_head.subject", body.alias("body"), text_hash(F.col("raw")).alias("fingerprint"), epoch_clock(stamp).alias("sent_at"),
+    )
 
 
 def number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).cast("long")
 
 
+def by_rules(rules, made) -> Column:
+    """What ``made`` gives for the groups of the first rule (pattern, ...) that a mail's subject and body match, else null."""
+    text = F.translate(F.concat_ws("\n", "subject", "body"), MARK, "")
+
+    def rule(t, pattern, rest):
+        return F.transform(F.array(groups_of(t, r"^[\s\S]*?" + pattern)), lambda g: F.when(F.size(g) > 1, made(g, *rest)))[0]
+
+    found = F.transform(F.array(text), lambda t: F.coalesce(*[rule(t, p, rest) for p, *rest in rules]))[0]
+    return F.when(F.lower(text).contains("credit"), found)
+
+
 def sale() -> Column:
     """struct(item_name, buyer, credits, vendor, sale_type) of a parsed mail, null if it is no sale."""
-    text, out = F.concat_ws("\n", "subject", "body"), None
-    for kind, body, (vendor, item, buyer, credits) in SALES:
-        p = "(?iu)" + body
-        of = lambda g, p=p: clean_name(F.regexp_extract(text, p, g)) if g else F.lit("")
-        row = F.struct(of(item).alias("item_name"), of(buyer).alias("buyer"), number(F.regexp_extract(text, p, credits)).alias("credits"), of(vendor).alias("vendor"), F.lit(kind).alias("sale_type"))
-        out = F.when(text.rlike(p), row) if out is None else out.when(text.rlike(p), row)
-    return out
+
+    def made(g, kind, places):
+        vendor, item, buyer, credits = places
+        of = lambda i: clean_name(g[i]) if i else F.lit("")
+        return F.struct(of(item).alias("item_name"), of(buyer).alias("buyer"), number(g[credits]).alias("credits"), of(vendor).alias("vendor"), F.lit(kind).alias("sale_type"))
+
+    return by_rules([(body, kind, places) for kind, body, places in SALES], made)
 
 
 def purchase() -> Column:
     """struct(item_name, seller, credits, purchase_type) of a parsed mail, null if it is no purchase."""
-    text, out = F.concat_ws("\n", "subject", "body"), None
-    for kind, body in PURCHASES:
-        p = "(?iu)" + body
-        row = F.struct(clean_name(F.regexp_extract(text, p, 1)).alias("item_name"), clean_name(F.regexp_extract(text, p, 2)).alias("seller"), number(F.regexp_extract(text, p, 3)).alias("credits"), F.lit(kind).alias("purchase_type"))
-        out = F.when(text.rlike(p), row) if out is None else out.when(text.rlike(p), row)
-    return out
+
+    def made(g, kind):
+        return F.struct(clean_name(g[1]).alias("item_name"), clean_name(g[2]).alias("seller"), number(g[3]).alias("credits"), F.lit(kind).alias("purchase_type"))
+
+    return by_rules([(body, kind) for kind, body in PURCHASES], made)
+
+
+def with_trades(mails: DataFrame) -> DataFrame:
+    """Parsed mails with their ``sale`` and ``purchase``, each worked out once however many columns read it."""
+    return mails.select("*", F.explode(F.array(sale())).alias("sale")).select("*", F.explode(F.array(purchase())).alias("purchase"))
 
 
 def upload(archive: DataFrame, mails: DataFrame, as_of) -> DataFrame:
     """Newly archived mails of (user_id, raw) with their trades; mails that the archive (user_id, fingerprint) has are left out."""
     rows = mails.withColumn("fingerprint", text_hash(F.col("raw"))).dropDuplicates(["user_id", "fingerprint"]).join(archive.select("user_id", "fingerprint"), ["user_id", "fingerprint"], "left_anti").drop("fingerprint")
-    rows = parse_mails(rows)
-    return rows.withColumn("sale", sale()).withColumn("purchase", purchase()).withColumn("occurred_at", F.coalesce("sent_at", F.lit(as_of).cast("timestamp")))
+    return with_trades(parse_mails(rows)).withColumn("occurred_at", F.coalesce("sent_at", F.lit(as_of).cast("timestamp")))

@@ -103,7 +103,7 @@ def reparse_mails(archive: DataFrame, version: str) -> DataFrame:
     """The archive (id, raw, sender, subject, sent_at, parser_version) with the headers of the present parser, ``changed``,
     and the trades; a mail changes if a header differs or another parser read it, and keeps its time if none is found now."""
     old = archive.select("id", "raw", *[F.col(c).alias(f"_{c}") for c in ("sender", "subject", "sent_at", "parser_version")])
-    rows = mail.parse_mails(old).withColumn("sale", mail.sale()).withColumn("purchase", mail.purchase())
+    rows = mail.with_trades(mail.parse_mails(old))
     same = F.col("_sender").eqNullSafe(F.col("sender")) & F.col("_subject").eqNullSafe(F.col("subject")) & F.col("_parser_version").eqNullSafe(F.lit(version))
     sent = F.when(same, F.col("_sent_at")).otherwise(F.coalesce("sent_at", "_sent_at"))
     return rows.select("id", "sender", "subject", sent.alias("sent_at"), F.col("sent_at").alias("parsed_at"), (~same).alias("changed"), "sale", "purchase")

@@ -56,7 +56,7 @@ SHAPES = ["$.tags:array;$.user:number;$:object", "$.tags:array;$.tags[]:number|s
 
 @query("sch2_sch3_signatures", f"""WITH s AS (SELECT {CASE.format(*[repr(x) for x in SHAPES])} AS shape FROM events) SELECT shape, sha256('["'||replace(shape,';','","')||'"]') AS signature, NOT shape='{SHAPES[0]}' AS comparable, count(*) AS payloads FROM s GROUP BY 1,2,3""")
 def signatures(spark, d):
-    rows = ingest.signatures(ingest.schema_paths(payloads(spark, d), "id", "payload"), "id")
+    rows = ingest.payload_signatures(payloads(spark, d), "id", "payload")
     return rows.groupBy(F.array_join("paths", ";").alias("shape"), "signature", "comparable").agg(F.count("*").alias("payloads"))
 
 
@@ -95,10 +95,10 @@ def last_write_wins(spark, d):
 
 
 @query("stm4_changed_since", """WITH l AS (SELECT event_type AS store, user_id%30 AS item_id, props AS payload, ts AS updated_at, value<5 AS deleted FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id%30 ORDER BY ts DESC)=1)
-SELECT * FROM l WHERE updated_at>TIMESTAMP '2024-01-20 12:00:00' ORDER BY updated_at, store, item_id LIMIT 100""")
+SELECT * FROM l WHERE updated_at>TIMESTAMP '2024-01-20 12:00:00' ORDER BY updated_at, store, item_id LIMIT 2000""")
 def changed_since(spark, d):
     rows = latest_per_key(sync_items(spark, d), ["store", "item_id"], [F.desc("updated_at")])
-    return merge.changed_since(rows, AS_OF, 100).select("store", "item_id", "payload", "updated_at", "deleted")
+    return merge.changed_since(rows, AS_OF).select("store", "item_id", "payload", "updated_at", "deleted")
 
 
 @query("snk5_win5_open_events", """SELECT event_type, user_id AS entity_key, event_id AS id, ts AS detected_at FROM events WHERE value>=20 QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC)=1""")
@@ -156,10 +156,13 @@ def duplicates(spark, d):
     return merge.duplicates(lens.table(spark, d, "orders"), ["o_custkey", "o_orderpriority"])
 
 
-@query("agg33_man1_manifest")
+FRAME = "CASE WHEN {0} IS NULL THEN '-' ELSE length({0}::VARCHAR)||':'||{0}::VARCHAR END"
+
+
+@query("agg33_man1_manifest", "WITH h AS (SELECT sha256(" + "||".join(FRAME.format(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")) + """) AS h FROM orders), p AS (SELECT CAST('0x'||substr(h,1,15) AS BIGINT) AS a, CAST('0x'||substr(h,16,15) AS BIGINT) AS b, CAST('0x'||substr(h,31,15) AS BIGINT) AS c, CAST('0x'||substr(h,46,15) AS BIGINT) AS d FROM h)
+SELECT count(*) AS rows, concat_ws('-', sum(a), sum(b), sum(c), sum(d)) AS digest FROM p""")
 def manifest(spark, d):
-    o = lens.table(spark, d, "orders")
-    return merge.table_digest(o, ["o_orderkey"], ["o_custkey", "o_orderstatus", "o_totalprice"])
+    return merge.table_digest(lens.table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
 @query("agg34_rec1_integrity", f"""{W(E)} SELECT count(*) FILTER (outcome='FAILED' AND credits<>0) AS paid_failures, count(*) FILTER (credits<0) AS negative, (SELECT count(*) FROM (SELECT id FROM encounters GROUP BY 1 HAVING count(*)>1)) AS repeated,
@@ -206,9 +209,9 @@ def incremental(spark, d):
     return lens.encounters(spark, d).filter("id > 500").orderBy("id").limit(600).select("id", "event_at")
 
 
-@query("srt5_capped_tail", f"{W(E)} SELECT * FROM (SELECT id, event_at, credits FROM encounters ORDER BY event_at DESC, id DESC LIMIT 2000) ORDER BY event_at, id")
+@query("srt5_capped_tail", f"{W(E)} SELECT * FROM (SELECT id, event_at, credits FROM encounters ORDER BY event_at DESC, id DESC LIMIT 200000) ORDER BY event_at, id")
 def capped_tail(spark, d):
-    return lens.encounters(spark, d).select("id", "event_at", "credits").orderBy(F.desc("event_at"), F.desc("id")).limit(2000).orderBy("event_at", "id")
+    return lens.encounters(spark, d).select("id", "event_at", "credits").orderBy(F.desc("event_at"), F.desc("id")).limit(200_000).orderBy("event_at", "id")
 
 
 @query("snk8_stm11_retention", "SELECT event_type, count(*) AS kept FROM events WHERE ts>=TIMESTAMP '2024-01-06 12:00:00' GROUP BY 1")
@@ -276,13 +279,13 @@ def mails(spark, d, *more):
 
 @query("txt5_txt6_mail_sales", f"{W(S)} SELECT CAST(id AS VARCHAR) AS mail_id, 'Galaxy.auctioner' AS sender, 'Trade' AS subject, occurred_at, item_name, CASE WHEN buyer='' THEN 'Nobody' ELSE buyer END AS buyer, credits, vendor, 'vendor' AS sale_type FROM sales WHERE id%2=0")
 def mail_sales(spark, d):
-    rows = mail.parse_mails(mails(spark, d)).withColumn("sale", mail.sale()).filter("sale IS NOT NULL")
+    rows = mail.with_trades(mail.parse_mails(mails(spark, d))).filter("sale IS NOT NULL")
     return rows.select("mail_id", "sender", "subject", F.col("sent_at").cast(NTZ).alias("occurred_at"), "sale.*")
 
 
 @query("txt7_mail_purchases", f"{W(S)} SELECT CAST(id AS VARCHAR) AS mail_id, item_name, CASE WHEN buyer='' THEN 'Nobody' ELSE buyer END AS seller, credits, 'bazaar' AS purchase_type FROM sales WHERE id%2=1")
 def mail_purchases(spark, d):
-    return mail.parse_mails(mails(spark, d)).withColumn("p", mail.purchase()).filter("p IS NOT NULL").select("mail_id", "p.*")
+    return mail.with_trades(mail.parse_mails(mails(spark, d))).filter("purchase IS NOT NULL").select("mail_id", "purchase.*")
 
 
 def clustered(spark, d):

@@ -26,7 +26,7 @@ def shared(spark: SparkSession, name: str) -> str:
 def digests(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     out = None
     for name, (rows, order) in tables.items():
-        part = merge.table_digest(rows, order, rows.columns).select(F.lit(name).alias("table"), "rows", "digest")
+        part = merge.table_digest(rows, rows.columns).select(F.lit(name).alias("table"), "rows", "digest")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -21,10 +21,15 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str], batch_id: int) -> None:
-    """Append the first row of each key that the table lacks, in a folder of the batch: a batch that runs again replaces it."""
+    """Append the first row of each key that the table lacks, in a folder of the batch: a batch that runs again replaces it.
+
+    Only keys are read of the table, and of files only those whose range of the first key meets the batch's."""
     spark = rows.sparkSession
     own = f"batch={batch_id}"
+    low, high = rows.agg(F.min(keys[0]), F.max(keys[0])).first()
     old = read_table(spark, path, StructType([*rows.schema.fields, StructField("batch", LongType())])).filter(F.col("batch") != batch_id).drop("batch")
+    if low is not None:
+        old = old.filter(F.col(keys[0]).between(F.lit(low), F.lit(high)))
     fresh = latest_per_key(rows, keys, [F.asc(c) for c in rows.columns]).join(old.select(*keys), keys, "left_anti")
     fresh.write.mode("overwrite").parquet(f"{path}/{own}")
 
@@ -72,7 +77,7 @@ def fight_groups(gap_us: int):
                 if s and at - s[0] > gap_us:
                     close()
                     s = None
-                s = (at, at, at, amount if hit else 0, 1) if s is None else (at if hit else s[0], s[1], max(s[2], at), s[3] + (amount if hit else 0), s[4] + 1)
+                s = (at, at, at, amount if hit else 0, 1) if s is None else (max(s[0], at) if hit else s[0], min(s[1], at), max(s[2], at), s[3] + (amount if hit else 0), s[4] + 1)
             state.update(tuple(int(x) for x in s))
             state.setTimeoutTimestamp(int(s[0] // 1000) + gap_us // 1000 + 1)
         yield pd.DataFrame(out, columns=["user_id", "start", "end", "total_damage", "events"])
@@ -81,5 +86,7 @@ def fight_groups(gap_us: int):
 
 
 def fight_stream(events: DataFrame, gap_seconds: int = 20, late: str = "1 minute") -> DataFrame:
-    """Fights of each user as they end: equal in the end to the batch clusters of events that come in time."""
+    """Fights of each user as they end: equal in the end to the batch clusters of events that come in order. One that comes in a
+    later batch than its followers, but before the watermark, is counted in the fight that is open then and never moves its
+    anchor back."""
     return events.withWatermark("occurred_at", late).groupBy("user_id").applyInPandasWithState(fight_groups(gap_seconds * 1_000_000), FIGHTS, FIGHT_STATE, "append", "EventTimeTimeout")

@@ -170,9 +170,35 @@ def test_merge_is_null_safe_and_repeatable(spark):
     assert once.count() == 3 and merge.merge_archive(once, b, ["k", "v"]).count() == 3
 
 
+def test_writes_with_repeated_keys_leave_one_row_a_key(spark):
+    table = lambda rows: spark.createDataFrame(rows, "k int, v string, n int")
+    old, new = table([(1, "a", 1), (2, "b", 2)]), table([(1, "x", 5), (1, "y", None), (3, "p", 1), (3, "q", 2), (2, None, None)])
+    assert sorted(map(tuple, merge.upsert(old, new, ["k"]).collect())) == [(1, "y", 1), (2, "b", 2), (3, "q", 2)]
+    assert sorted(map(tuple, merge.upsert(old, new, ["k"], [F.desc_nulls_last("n")]).collect())) == [(1, "x", 5), (2, "b", 2), (3, "q", 2)]
+    seen = lambda rows: spark.createDataFrame(rows, "k int, f int, l int")
+    assert [tuple(x) for x in merge.widen(seen([(1, 5, 6)]), seen([(1, 3, 4), (1, 7, 9)]), ["k"], "f", "l").collect()] == [(1, 3, 9)]
+    ids = lambda rows: spark.createDataFrame(rows, "id string, name string")
+    assert sorted(map(tuple, merge.id_map(ids([("s1", "a"), ("s2", None), ("s3", "z")]), ids([("t2", "a"), ("t1", "a"), ("t3", None)]), ["name"]).collect())) == [("s1", "t1"), ("s2", "t3"), ("s3", "s3")]
+
+
+def test_shapes_give_the_same_paths_as_walking_every_payload(spark):
+    deep = "1"
+    for _ in range(130):
+        deep = '{"d":[' + deep + "]}"
+    texts = ['{"a":1,"b":"x"}', '{"b":"a\\":1,","a":-2.5e3}', '{"k1":1}', '{"k2":"1"}', '{"a":{"1":[]}}', '{"a":[1,"x",null,true]}', '{"a":[{"x":1},{"x":2},{"x":"y"}]}', '{"a":[{"x":1},{"x":2}]}', "[[],[1]]", '"text"', "3", "null", "no json", "", None, '{"k":"{\\"a\\":1}"}', '{"a":"' + "long " * 4000 + '"}', deep]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, payload string")
+    key = lambda x: (x.id, x.path, tuple(x.types))
+    got, want = (sorted(map(key, f(rows, "id", "payload").collect())) for f in (ingest.schema_paths, ingest.walked_paths))
+    assert got == want and max(p.count("[]") for i, p, _ in got if i == len(texts) - 1) == 130
+    assert {x.id: x.signature for x in ingest.payload_signatures(rows, "id", "payload").collect()} == {x.id: x.signature for x in ingest.signatures(ingest.walked_paths(rows, "id", "payload"), "id").collect()}
+
+
 def test_digest_sees_content_not_order(spark):
     a = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "k int, v string")
-    d = lambda t: merge.table_digest(t, ["k"], ["k", "v"]).first().digest
+    d = lambda t: merge.table_digest(t, ["k", "v"]).first().digest
+    pair = lambda *rows: d(spark.createDataFrame(rows, "k string, v string"))
+    assert pair(("a|b", "c")) != pair(("a", "b|c")) and pair(("a", None)) != pair(("a", "\\N")) != pair(("a", "-"))
+    assert pair(("a", "b")) != pair(("a", "b"), ("a", "b"), ("a", "b")), "repeated rows count"
     assert d(a) == d(a.orderBy(F.desc("k")).repartition(3)) != d(a.withColumn("v", F.upper("v")))
 
 
