@@ -35,7 +35,7 @@ class Indicators:
     """Sorted feature numbers of texts."""
 
     def __init__(self):
-        self.flags, self.words = np.zeros(1 << BITS, bool), np.zeros(1 << WORD_BITS, bool)
+        self.flags = np.zeros(1 << BITS, bool)
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         words, counts = word_hashes([canonical(x) for x in texts])
@@ -55,10 +55,8 @@ class Indicators:
         same = np.concatenate([[False], words[1:] == words[:-1], [False]]) if len(words) else np.zeros(1, bool)
         edges = np.flatnonzero(np.diff(same.astype(np.int8)))
         longest = int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
-        self.words[(words >> U64(64 - WORD_BITS)).astype(np.int64)] = True
-        self.words[(mix(words[:-1] * U64(3) + words[1:]) >> U64(64 - WORD_BITS)).astype(np.int64)] = True
-        spoken = np.flatnonzero(self.words)
-        self.words[spoken] = False
+        pairs = mix(words[:-1] * U64(3) + words[1:])
+        spoken = np.unique((np.concatenate([words, pairs]) >> U64(64 - WORD_BITS)).astype(np.int32))
         return np.concatenate([found, [(1 << BITS) + i for i, n in enumerate(RUNS) if longest >= n], WORDS + spoken]).astype(np.int32)
 
 
