@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowlog.functions.latest import latest_per_key, previous_observation
+from sparrowlog.functions.numbers import safe_ratio
 
 
 def newest_snapshots(observations: DataFrame, keys: list[str], where: Column | None = None) -> DataFrame:
@@ -64,7 +65,7 @@ def standings(observations: DataFrame, participant: str, n: int = 24) -> DataFra
     mine = observations.filter(F.col("participant_id") == participant)
     mine = mine.withColumn("best_rank", F.min("rank").over(Window.partitionBy("leaderboard_id")))
     rows = latest_per_key(mine, ["leaderboard_id", "starts_at"], [F.desc("observed_at"), F.asc("snapshot_id")])
-    share = F.when(F.col("total_score") > 0, F.col("score") / F.col("total_score"))
+    share = safe_ratio(F.col("score"), F.nullif(F.greatest("total_score", F.lit(0.0)), F.lit(0.0)))
     return rows.select("leaderboard_id", "starts_at", "ends_at", "source_period_key", "rank", "score", "total_score", share.alias("share"), "best_rank").orderBy("leaderboard_id", F.desc("starts_at")).limit(n)
 
 
@@ -89,3 +90,9 @@ def newest_period(observations: DataFrame, participant: str) -> DataFrame:
     """Of each board the newest period, and in it the newest observation."""
     mine = observations.filter(F.col("participant_id") == participant)
     return latest_per_key(mine, ["leaderboard_id"], [F.desc("starts_at"), F.desc("observed_at"), F.asc("snapshot_id")]).select("leaderboard_id", "starts_at", "observed_at", "rank", "score")
+
+
+def members_of_boards(observations: DataFrame, participants: DataFrame, boards: list[str]) -> DataFrame:
+    """Entries on the given boards with the identity of their participant (those without one have no row)."""
+    p = participants.select(F.col("id").alias("participant_id"), "current_name", "guild_abbreviation")
+    return observations.filter(F.col("leaderboard_id").isin(boards)).join(p, "participant_id")

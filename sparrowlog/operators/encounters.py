@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowlog.functions.latest import day_start, days, known_zone, with_player
-from sparrowlog.functions.text import contains_ci
+from sparrowlog.functions.text import contains_ci, trim_all
 
 OUTCOMES = ("KILL", "FAILED")
 DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
@@ -242,3 +242,20 @@ def bounty_presence(participants: DataFrame, observations: DataFrame, encounters
     p = participants.join(boards.withColumn("on_board", F.lit(True)), participants["id"] == boards["participant_id"], "left")
     p = p.join(names.withColumn("hunted", F.lit(True)), (F.lower("current_name") == F.col("name_key")) & (F.col("participant_type") == "player"), "left")
     return p.groupBy("participant_type").agg(F.count_if(F.coalesce("on_board", F.lit(False)) | F.coalesce("hunted", F.lit(False))).alias("tracked"))
+
+
+def per_cycle(encounters: DataFrame, cycles: DataFrame) -> DataFrame:
+    """Totals of each cycle (starts_at, ends_at) by interval membership: cycles are spread over the days they touch, so that
+    events meet them by day and the exact bounds are checked on these pairs only."""
+    days_of = F.explode(F.sequence(F.to_date("starts_at"), F.to_date(F.col("ends_at") - F.expr("INTERVAL 1 MICROSECOND")))).alias("day")
+    spread = cycles.filter("ends_at > starts_at").select("starts_at", "ends_at", days_of)
+    found = encounters.withColumn("day", F.to_date("event_at")).join(spread, "day").filter("event_at >= starts_at AND event_at < ends_at")
+    totals = found.groupBy("starts_at", "ends_at").agg(F.count("*").alias("encounters"), F.count_if(kill()).alias("claims"), paid().alias("credits"))
+    zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    return cycles.join(totals, ["starts_at", "ends_at"], "left").select("starts_at", "ends_at", zero("encounters", 0), zero("claims", 0), zero("credits", 0.0))
+
+
+def of_names(encounters: DataFrame, names: DataFrame) -> DataFrame:
+    """Metrics of the hunters asked for (name), matched without case and outer white space; the unknown ones stay, with nulls."""
+    wanted = names.select("name", F.lower(trim_all(F.col("name"))).alias("hunter_key"))
+    return wanted.join(hunter_metrics(encounters).select("hunter_key", "encounters", "wins"), "hunter_key", "left").select("name", "encounters", "wins")

@@ -15,6 +15,11 @@ ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$"
 SCORE = r"^-?\d+(?:\.\d+)?%?$"
 
 
+def instant(text: Column) -> Column:
+    """The instant of an ISO text with its offset, null where it is none."""
+    return F.try_to_timestamp(text)
+
+
 def canonical_json(text: Column) -> Column:
     """JSON text with sorted keys at every depth and no white space; arrays keep their order."""
     return F.to_json(F.parse_json(text))
@@ -207,13 +212,13 @@ def run_status(requests: Column, failed: Column, partial: Column) -> Column:
 def encounters_of(valid: DataFrame, source: str) -> DataFrame:
     """Encounter rows of valid bounty payloads with their fingerprint."""
     rows = valid.select(F.explode("p.recent").alias("e"))
-    rows = rows.select(F.to_timestamp("e.timestamp").alias("event_at"), "e.outcome", F.col("e.hunterName").alias("hunter_name"), F.col("e.targetName").alias("target_name"), "e.credits")
+    rows = rows.select(instant(F.col("e.timestamp")).alias("event_at"), "e.outcome", F.col("e.hunterName").alias("hunter_name"), F.col("e.targetName").alias("target_name"), "e.credits")
     return rows.withColumn("fingerprint", encounter_fingerprint(source, F.col("event_at"), F.col("outcome"), F.col("hunter_name"), F.col("target_name"), F.col("credits")))
 
 
 def snapshots_of(valid: DataFrame) -> DataFrame:
     """Entry rows of valid leaderboard payloads with the snapshot's state hash."""
-    rows = valid.select(state_hash(F.col("payload")).alias("state_hash"), F.col("p.id").alias("leaderboard_id"), F.col("p.subject").alias("subject"), F.col("p.period").alias("source_period_key"), F.timestamp_seconds("p.periodStartTime").alias("starts_at"), F.timestamp_seconds("p.periodEndTime").alias("ends_at"), F.to_timestamp("p.fetchedAt").alias("source_fetched_at"), F.explode("p.entries").alias("e"))
+    rows = valid.select(state_hash(F.col("payload")).alias("state_hash"), F.col("p.id").alias("leaderboard_id"), F.col("p.subject").alias("subject"), F.col("p.period").alias("source_period_key"), F.timestamp_seconds("p.periodStartTime").alias("starts_at"), F.timestamp_seconds("p.periodEndTime").alias("ends_at"), instant(F.col("p.fetchedAt")).alias("source_fetched_at"), F.explode("p.entries").alias("e"))
     return rows.select("state_hash", "leaderboard_id", "subject", "source_period_key", "starts_at", "ends_at", "source_fetched_at", F.col("e.rank").alias("rank"), F.col("e.participantId").alias("source_participant_id"), F.col("e.name").alias("name"), F.col("e.score").cast("decimal(30,6)").alias("score"), F.col("e.scoreRaw").alias("score_raw"), F.nullif(F.col("e.guildAbbreviation"), F.lit("")).alias("guild_abbreviation"))
 
 

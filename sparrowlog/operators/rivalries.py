@@ -102,3 +102,12 @@ def of_hunter(encounters: DataFrame, name: str, participants: DataFrame) -> Data
         F.count_if(claim & (F.col("previous_killer") == target())).alias("revenge_kills"),
     )
     return with_player(out, "opponent_key", participants, "participant_id")
+
+
+def revenge_counts(kills: DataFrame) -> DataFrame:
+    """Of one hunter's kills and deaths (opponent_key, mine, event_at, id): kills right after a death by the same opponent, in
+    order. The window's twin as a fold over each opponent's ordered events."""
+    ordered = F.sort_array(F.collect_list(F.struct("event_at", "id", "mine")))
+    start = F.struct(F.lit(True).alias("before"), F.lit(0).cast("long").alias("n"))
+    step = lambda s, e: F.struct(e["mine"].alias("before"), (s["n"] + (e["mine"] & ~s["before"]).cast("long")).alias("n"))
+    return kills.groupBy("opponent_key").agg(F.aggregate(ordered, start, step)["n"].alias("revenge_kills"))
