@@ -25,7 +25,7 @@ def pages(rows: Column, size: int) -> Column:
 
 
 def percent(ratio: Column) -> Column:
-    return F.concat(F.format_number(ratio * 100, 1), F.lit("%"))
+    return F.format_string("%.1f%%", ratio * 100)
 
 
 def size_label(n: Column) -> Column:

@@ -167,6 +167,14 @@ def actors(clustered: DataFrame) -> DataFrame:
     )
 
 
+def with_shares(actor_rows: DataFrame, fight_rows: DataFrame) -> DataFrame:
+    """Actors of fights with their share of the fight's damage and their damage a second."""
+    f = fight_rows.select("user_id", "cluster", "total_damage", "duration_seconds")
+    rows = actor_rows.join(f, ["user_id", "cluster"])
+    share = F.when(F.col("total_damage") > 0, F.col("damage").cast("double") / F.col("total_damage")).otherwise(F.lit(0.0))
+    return rows.withColumn("share", share).withColumn("dps", F.col("damage").cast("double") / F.col("duration_seconds")).drop("total_damage", "duration_seconds")
+
+
 def fights(clustered: DataFrame) -> DataFrame:
     """Clusters with damage: span, total, boss (the most damaged NPC, else the most damaged of all) and whether it died."""
     damage = F.col("kind") == "damage"
@@ -190,21 +198,34 @@ def sessions(fight_rows: DataFrame, actor_rows: DataFrame, gap: int = SESSION_GA
     return out.join(best, ["user_id", "session"], "left").withColumn("top_player", F.coalesce("top_player", F.lit("")))
 
 
+def without_repeats(lines: DataFrame) -> DataFrame:
+    """Lines (file, line_no, text) that differ from the one before them; empty ones are no lines."""
+    by = Window.partitionBy("file").orderBy("line_no")
+    return lines.filter("text <> ''").withColumn("_before", F.lag("text").over(by)).filter("_before IS NULL OR _before <> text").drop("_before")
+
+
+def login_marker(text: Column) -> Column:
+    """The time of a login marker's line, null if it is none."""
+    stamp = F.regexp_replace(F.trim(F.regexp_extract(F.trim(text), r"^Logging In \[([^\]]*)\]", 1)), r"^\w{3}\s+", "")
+    return F.when(F.trim(text).startswith("Logging In ["), F.try_to_timestamp(F.regexp_replace(stamp, r"\s+", " "), F.lit("MMM d HH:mm:ss yyyy")))
+
+
+def with_day_index(lines: DataFrame) -> DataFrame:
+    """Adds ``_day``: how often the clock of (file, line_no, clock) has fallen by more than an hour up to a line."""
+    by = Window.partitionBy("file").orderBy("line_no")
+    return lines.withColumn("_day", F.sum(F.when(F.col("clock") < F.lag("clock").over(by) - 3600, 1).otherwise(0)).over(by))
+
+
 def dated_lines(lines: DataFrame) -> DataFrame:
     """Combat lines (file, modified_at, line_no, text) with their full time.
 
     A clock that falls by more than an hour begins a day. Login markers anchor day numbers to dates: the last one at or before
     a line's day counts, else the first; a file without markers ends on the day it was modified."""
-    line = F.regexp_replace(F.regexp_replace("text", "^﻿", ""), r"[\r\n]+$", "")
-    by = Window.partitionBy("file").orderBy("line_no")
-    rows = lines.withColumn("text", line).filter("text <> ''").withColumn("_before", F.lag("text").over(by)).filter("_before IS NULL OR _before <> text")
-    stamp = F.trim(F.regexp_replace(F.regexp_extract(F.trim("text"), r"^Logging In \[([^\]]*)\]", 1), r"^\w{3}\s+", ""))
-    marker = F.try_to_timestamp(F.regexp_replace(stamp, r"\s+", " "), F.lit("MMM d HH:mm:ss yyyy"))
-    rows = rows.withColumn("_marker", F.when(F.trim("text").startswith("Logging In ["), marker))
+    line = F.regexp_replace(F.regexp_replace("text", "^\ufeff", ""), r"[\r\n]+$", "")
+    rows = without_repeats(lines.withColumn("text", line)).withColumn("_marker", login_marker(F.col("text")))
     clock = sum((F.regexp_extract("text", STAMP, i).try_cast("int") * s for i, s in ((1, 3600), (2, 60), (3, 1))), F.lit(0))
     own = F.when(F.col("_marker").isNotNull(), F.hour("_marker") * 3600 + F.minute("_marker") * 60 + F.second("_marker")).when(is_suspect(F.col("text")), clock)
-    rows = rows.withColumn("clock", own).filter("clock IS NOT NULL")
-    rows = rows.withColumn("_day", F.sum(F.when(F.col("clock") < F.lag("clock").over(by) - 3600, 1).otherwise(0)).over(by))
+    rows = with_day_index(rows.withColumn("clock", own).filter("clock IS NOT NULL"))
     upto = Window.partitionBy("file").orderBy("_day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("file")
     anchor = F.when(F.col("_marker").isNotNull(), F.struct(F.to_date("_marker").alias("date"), F.col("_day").alias("day")))

@@ -133,3 +133,23 @@ def weekly_post(cycles: list[tuple[dt.datetime, dt.datetime]], posted: set[dt.da
 def over_limit(requests: DataFrame, most: int = 120) -> DataFrame:
     """Clients over ``most`` requests in a minute window of (client, at)."""
     return requests.groupBy("client", F.window("at", "1 minute").alias("w")).agg(F.count("*").alias("requests")).filter(F.col("requests") > max(10, most)).select("client", F.col("w.start").alias("minute"), "requests")
+
+
+def shallow_merge(a: Column, b: Column) -> Column:
+    """Both maps in one; where both have a key, the value of ``b``, null or not."""
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+
+
+def incremental(rows: DataFrame, after: int | None, as_of: dt.datetime, at: str = "event_at", seed_seconds: int = 180, n: int = 600) -> DataFrame:
+    """What a consumer has not seen: rows after an id, or without one those of the last moments; oldest first."""
+    fresh = F.col("id") > after if after is not None else F.col(at) >= F.lit(as_of - dt.timedelta(seconds=seed_seconds)).cast("timestamp_ntz")
+    return rows.filter(fresh).orderBy("id").limit(n)
+
+
+def validation(encounters: DataFrame, tables: dict[str, DataFrame], orphans: DataFrame) -> DataFrame:
+    """(name, n): rows, distinct ids and instants of the encounters, rows without a parent, and rows of each table."""
+    counts = encounters.agg(F.count("*").alias("encounters"), F.count_distinct("id").alias("ids"), F.count_distinct("event_at").alias("instants"))
+    out = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in counts.columns])).alias("r")).select("r.*")
+    for name, rows in [("orphans", orphans), *tables.items()]:
+        out = out.unionByName(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n"))
+    return out

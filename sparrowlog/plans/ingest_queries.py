@@ -10,6 +10,7 @@ from sparrowlog.functions.latest import latest_per_key
 from sparrowlog.operators import combat, ingest, mail, merge
 from sparrowlog.plans import lens
 from sparrowlog.plans.registry import query
+from sparrowlog.streaming import live
 
 W, E, P, S = lens.with_, "encounters", "participants", "sales"
 AS_OF = dt.datetime(2024, 1, 20, 12)
@@ -121,12 +122,14 @@ def widen(spark, d):
     return merge.widen(seen("view"), seen("click"), ["user_id"], "first_seen_at", "last_seen_at")
 
 
-@query("snk10_merge_metadata", "SELECT user_id, max(event_id) AS last_id, 'idle' AS status FROM events GROUP BY 1")
+@query("snk10_merge_metadata", """SELECT event_id, '{"k":"'||CASE WHEN event_id%2=0 THEN 'new' ELSE json_extract_string(props,'$.k') END||'"'||CASE WHEN event_id%2=0 THEN ',"seen":null' ELSE '' END||CASE WHEN event_id%3=0 THEN ',"status":"idle"' ELSE '' END||'}' AS metadata FROM events""")
 def merge_metadata(spark, d):
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    rows = events(spark, d).groupBy("user_id").agg(F.max("event_id").alias("last_id"))
-    m = F.map_concat(F.create_map(F.lit("status"), F.lit("busy"), F.lit("last_id"), F.lit("0")), F.create_map(F.lit("last_id"), F.col("last_id").cast("string"), F.lit("status"), F.lit("idle")))
-    return rows.select("user_id", m["last_id"].cast("long").alias("last_id"), m["status"].alias("status"))
+    e = events(spark, d).select("event_id", F.from_json("props", "map<string,string>").alias("old"))
+    k = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("k"), F.lit("new"), F.lit("seen"), F.lit(None).cast("string"))).otherwise(F.from_json(F.lit("{}"), "map<string,string>"))
+    new = F.map_concat(k, F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("status"), F.lit("idle"))).otherwise(F.from_json(F.lit("{}"), "map<string,string>")))
+    merged = merge.shallow_merge(F.map_filter("old", lambda key, _: key == "k"), new)
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(merged)))
+    return e.select("event_id", F.to_json(ordered, {"ignoreNullFields": "false"}).alias("metadata"))
 
 
 @query("jon14_id_map", "SELECT 's'||c_custkey AS source_id, CASE WHEN c_custkey%2=0 THEN 't'||c_custkey ELSE 's'||c_custkey END AS target_id FROM customer")
@@ -174,9 +177,12 @@ def integrity(spark, d):
     return row.crossJoin(F.broadcast(merge.duplicates(e, ["id"]).agg(F.count("*").alias("repeated")))).crossJoin(F.broadcast(orphans))
 
 
-@query("agg32_validation", f"{W(E)} SELECT count(*) AS encounters, count(DISTINCT id) AS ids, count(DISTINCT event_at) AS instants FROM encounters")
+TABLES = "region nation customer supplier part orders lineitem events".split()
+
+
+@query("agg32_src5_validation", f"{W(E)} SELECT 'encounters' AS name, count(*) AS n FROM encounters UNION ALL SELECT 'ids', count(DISTINCT id) FROM encounters UNION ALL SELECT 'instants', count(DISTINCT event_at) FROM encounters UNION ALL SELECT 'orphans', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) " + "".join(f"UNION ALL SELECT '{t}', count(*) FROM {t} " for t in TABLES))
 def validation(spark, d):
-    return lens.encounters(spark, d).agg(F.count("*").alias("encounters"), F.count_distinct("id").alias("ids"), F.count_distinct("event_at").alias("instants"))
+    return merge.validation(lens.encounters(spark, d), {t: lens.table(spark, d, t) for t in TABLES}, merge.dangling(lens.table(spark, d, "orders"), "o_custkey", lens.table(spark, d, "customer"), "c_custkey"))
 
 
 @query("agg16_responses_by_source", "SELECT event_type, count(*) FILTER (value>50) AS responses, max(ts) FILTER (value>50) AS last_response FROM events GROUP BY 1")
@@ -204,9 +210,11 @@ def preview(spark, d):
     return lens.table(spark, d, "conversations").select("conv_id", "turn", F.left("text", F.lit(280)).alias("preview"), F.octet_length("text").alias("bytes"))
 
 
-@query("stm3_incremental", f"{W(E)} SELECT id, event_at FROM encounters WHERE id>500 ORDER BY id LIMIT 600")
+@query("stm3_incremental", f"""{W(E)} SELECT 'after' AS kind, * FROM (SELECT id, event_at FROM encounters WHERE id>50 ORDER BY id LIMIT 600) UNION ALL SELECT 'seed', id, event_at FROM (SELECT id, event_at FROM encounters WHERE event_at>=TIMESTAMP '2024-01-20 12:00:00'-INTERVAL 86400 SECOND ORDER BY id LIMIT 600)""")
 def incremental(spark, d):
-    return lens.encounters(spark, d).filter("id > 500").orderBy("id").limit(600).select("id", "event_at")
+    e = lens.encounters(spark, d).select("id", "event_at")
+    after, seed = merge.incremental(e, 50, AS_OF), merge.incremental(e, None, AS_OF, seed_seconds=86_400)
+    return after.select(F.lit("after").alias("kind"), "*").unionByName(seed.select(F.lit("seed").alias("kind"), "*"))
 
 
 @query("srt5_capped_tail", f"{W(E)} SELECT * FROM (SELECT id, event_at, credits FROM encounters ORDER BY event_at DESC, id DESC LIMIT 200000) ORDER BY event_at, id")
@@ -219,18 +227,19 @@ def retention(spark, d):
     return merge.retained(events(spark, d), "ts", AS_OF).groupBy("event_type").agg(F.count("*").alias("kept"))
 
 
-@query("stm13_rate_limit", """SELECT client, minute, requests FROM (SELECT 'c'||(user_id%3) AS client, time_bucket(INTERVAL 1 DAY, ts) AS minute, count(*) AS requests FROM events GROUP BY 1,2) WHERE requests>120""")
+@query("stm13_rate_limit", """WITH r AS (SELECT 'c'||(user_id%3) AS client, time_bucket(INTERVAL 1 MINUTE, ts) AS minute, CAST(sum(CAST(json_extract_string(props,'$.k') AS INT)) AS BIGINT) AS requests FROM events GROUP BY 1,2) SELECT * FROM r WHERE requests>12""")
 def rate_limit(spark, d):
-    # a day stands for the window's minute: the table has few events in a minute
-    e = events(spark, d).select(F.concat(F.lit("c"), F.col("user_id") % 3).alias("client"), F.date_trunc("day", "ts").alias("day"), (F.col("event_id") % 1).alias("zero"))
-    rows = e.select("client", F.col("day").cast(NTZ).alias("at"))
-    return merge.over_limit(rows).select("client", F.col("minute").cast(NTZ).alias("minute"), "requests")
+    # each event stands for k requests in its minute, spread over its seconds
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = events(spark, d).filter(k > 0).select(F.concat(F.lit("c"), F.col("user_id") % 3).alias("client"), F.date_trunc("minute", F.col("ts")).alias("minute"), F.explode(F.sequence(F.lit(1), k)).alias("i"))
+    rows = e.select("client", F.timestamp_add("SECOND", F.col("i") % 60, F.col("minute")).cast(NTZ).alias("at"))
+    return merge.over_limit(rows, 12).select("client", F.col("minute").cast(NTZ).alias("minute"), "requests")
 
 
-@query("stm14_monitor", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) FILTER (event_type='error') AS errors FROM events GROUP BY 1 HAVING count(*) FILTER (event_type='error')>=2")
+@query("stm14_monitor", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) FILTER (event_type='error') AS failures, count(*) AS requests FROM events GROUP BY 1 HAVING count(*) FILTER (event_type='error')>=1")
 def monitor(spark, d):
-    rows = events(spark, d).groupBy(F.window("ts", "10 minutes").alias("w")).agg(F.count_if(F.col("event_type") == "error").alias("errors"))
-    return rows.filter("errors >= 2").select(F.col("w.start").cast(NTZ).alias("start"), "errors")
+    rows = live.error_monitor(events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "ts", F.col("event_type") == "error")
+    return rows.filter("failures >= 1").select(F.col("window.start").cast(NTZ).alias("start"), "failures", "requests")
 
 
 @query("ops1_health", """WITH h AS (SELECT user_id, max(ts) AS heartbeat_at, max(ts) FILTER (event_type='view') AS last_completed_at, arg_max(CASE WHEN event_type='error' THEN 'FAILED' WHEN event_type='click' THEN 'PARTIAL' ELSE 'SUCCEEDED' END, ts) AS last_status, user_id%11=0 AS disabled FROM events WHERE ts<=TIMESTAMP '2024-01-20 12:00:00' GROUP BY user_id)
@@ -286,28 +295,3 @@ def mail_sales(spark, d):
 @query("txt7_mail_purchases", f"{W(S)} SELECT CAST(id AS VARCHAR) AS mail_id, item_name, CASE WHEN buyer='' THEN 'Nobody' ELSE buyer END AS seller, credits, 'bazaar' AS purchase_type FROM sales WHERE id%2=1")
 def mail_purchases(spark, d):
     return mail.with_trades(mail.parse_mails(mails(spark, d))).filter("purchase IS NOT NULL").select("mail_id", "purchase.*")
-
-
-def clustered(spark, d):
-    return combat.clusters(combat.normalise(lens.combat(spark, d)), gap=600)
-
-
-@query("stm7_normalised_combat")
-def normalised(spark, d):
-    return combat.normalise(lens.combat(spark, d))
-
-
-@query("stm5_agg35_fights")
-def fights(spark, d):
-    return combat.fights(clustered(spark, d)).withColumn("deaths", F.array_join(F.sort_array("deaths"), "|"))
-
-
-@query("agg35_actors")
-def actors(spark, d):
-    return combat.actors(clustered(spark, d))
-
-
-@query("stm6_agg36_sessions")
-def sessions(spark, d):
-    rows = clustered(spark, d)
-    return combat.sessions(combat.fights(rows), combat.actors(rows), gap=3600)

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from sparrowlog.plans import ingest_queries, process_queries, read_queries, read_unit_queries, status_queries  # noqa: E402, F401
+from sparrowlog.plans import combat_queries, ingest_queries, ingest_unit_queries, process_queries, read_queries, read_unit_queries, status_queries  # noqa: E402, F401

@@ -14,7 +14,7 @@ SNIFF, MAIL_BYTES = 8 * 1024, 64_000
 
 def payloads(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """(file, payload, payload_hash) of a folder of JSON responses; hash of the canonical text, null where it is no JSON."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     ok = F.try_parse_json("value").isNotNull()
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"), F.when(ok, content_hash(F.col("value"))).alias("payload_hash"))
 

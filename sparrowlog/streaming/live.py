@@ -13,7 +13,7 @@ from sparrowlog.operators.combat import parse
 
 def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(path).select(*schema.names)
     except Exception as e:  # a table that no batch has written yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
