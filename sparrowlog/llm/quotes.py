@@ -119,6 +119,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     # conversations keep their order, so a message's position is its rank in reply order less that of its first message
     ordered = ranked(ordered.withColumnRenamed("rank", "message_rank"), [F.asc("first"), F.asc("path")], "ordered")
     places = ordered.select(F.col("message_rank").alias("rank"), "parent", "n_linked", "depth", (F.col("rank") - F.col("first") + 1).alias("position"))
+    # a first message has no parent: a key of its own, which none has, keeps them from meeting in one task
+    places = places.withColumn("parent", F.coalesce("parent", -1 - F.col("rank")))
     parents = places.select(F.col("rank").alias("parent"), F.col("position").alias("parent_position")).join(placed.select(F.col("rank").alias("parent"), F.col("turn").alias("parent_turn")), "parent")
     out = placed.drop("units", "passages", "first").join(places, "rank").join(parents, "parent", "left")
     return out.select(
@@ -139,10 +141,11 @@ def paths(answers: DataFrame) -> DataFrame:
     """(branch, path): for each branch the branches above it and itself, outermost first, each as (where it hangs, latest first;
     its first message). A conversation's first branch has none. Pointers double in each round."""
     heads = answers.filter("rank = branch").select("branch", "parent")
-    above = heads.join(answers.select(F.col("rank").alias("parent"), F.col("branch").alias("up")), "parent", "left")
+    above = heads.withColumn("key", F.coalesce("parent", -1 - F.col("branch"))).join(answers.select(F.col("rank").alias("key"), F.col("branch").alias("up")), "key", "left")
     own = F.array(F.struct((-F.col("parent")).alias("hangs"), F.col("branch").alias("head")))
     state = materialise(above.select("branch", "up", F.when(F.col("up").isNull(), F.array().cast("array<struct<hangs:bigint,head:bigint>>")).otherwise(own).alias("path")), "branches")
     while not state.filter("up IS NOT NULL").isEmpty():
         far = state.select(F.col("branch").alias("up"), F.col("up").alias("far_up"), F.col("path").alias("far_path"))
-        state = materialise(state.join(far, "up", "left").select("branch", F.col("far_up").alias("up"), F.when(F.col("far_path").isNull(), F.col("path")).otherwise(F.concat("far_path", "path")).alias("path")), "branches")
+        todo = state.withColumn("up", F.coalesce("up", -1 - F.col("branch")))
+        state = materialise(todo.join(far, "up", "left").select("branch", F.col("far_up").alias("up"), F.when(F.col("far_path").isNull(), F.col("path")).otherwise(F.concat("far_path", "path")).alias("path")), "branches")
     return state.select("branch", "path")
