@@ -40,10 +40,11 @@ def head(lines: Column) -> Column:
     head. A fold over these lines, with what depends on a line alone worked out before."""
 
     def read(line, i):
-        text, name = trim_all(line), F.upper(F.regexp_extract(line, LINE, 1))
+        text, named = trim_all(line), line.contains(":")
+        part = lambda n: F.when(named, F.regexp_extract(line, LINE, n)).otherwise("")
         return F.struct(
-            i.alias("i"), text.alias("text"), name.alias("name"), trim_all(F.regexp_extract(line, LINE, 2)).alias("value"),
-            (text.rlike(r"^\d+(_\d+)?$") & (i == 0)).alias("is_id"), text.rlike(r"^\d{9,13}$").alias("is_stamp"),
+            i.alias("i"), text.alias("text"), F.upper(part(1)).alias("name"), trim_all(part(2)).alias("value"),
+            ((i == 0) & text.rlike(r"^\d+(_\d+)?$")).alias("is_id"), (F.length(text).between(9, 13) & text.rlike(r"^\d{9,13}$")).alias("is_stamp"),
         )
 
     start = F.struct(F.lit("").alias("id"), F.lit("").alias("sender"), F.lit("").alias("subject"), F.lit(None).cast("long").alias("stamp"), F.lit(0).alias("body"), F.lit(0).alias("unnamed"), F.lit(False).alias("done"))
@@ -91,14 +92,16 @@ def number(text: Column) -> Column:
 
 
 def by_rules(rules, made) -> Column:
-    """What ``made`` gives for the groups of the first rule (pattern, ...) that a mail's subject and body match, else null."""
+    """What ``made`` gives for the groups of the first rule (word it needs, pattern, ...) that a mail's subject and body match,
+    else null."""
     text = F.translate(F.concat_ws("\n", "subject", "body"), MARK, "")
+    bound = F.struct(text.alias("text"), F.lower(text).alias("low"))
 
-    def rule(t, pattern, rest):
-        return F.transform(F.array(groups_of(t, r"^[\s\S]*?" + pattern)), lambda g: F.when(F.size(g) > 1, made(g, *rest)))[0]
+    def rule(x, word, pattern, rest):
+        found = F.transform(F.array(groups_of(x["text"], r"^[\s\S]*?" + pattern)), lambda g: F.when(F.size(g) > 1, made(g, *rest)))[0]
+        return F.when(x["low"].contains(word), found)
 
-    found = F.transform(F.array(text), lambda t: F.coalesce(*[rule(t, p, rest) for p, *rest in rules]))[0]
-    return F.when(F.lower(text).contains("credit"), found)
+    return F.transform(F.array(bound), lambda x: F.coalesce(*[rule(x, w, p, rest) for w, p, *rest in rules]))[0]
 
 
 def sale() -> Column:
@@ -109,7 +112,7 @@ def sale() -> Column:
         of = lambda i: clean_name(g[i]) if i else F.lit("")
         return F.struct(of(item).alias("item_name"), of(buyer).alias("buyer"), number(g[credits]).alias("credits"), of(vendor).alias("vendor"), F.lit(kind).alias("sale_type"))
 
-    return by_rules([(body, kind, places) for kind, body, places in SALES], made)
+    return by_rules([("sold", body, kind, places) for kind, body, places in SALES], made)
 
 
 def purchase() -> Column:
@@ -118,12 +121,15 @@ def purchase() -> Column:
     def made(g, kind):
         return F.struct(clean_name(g[1]).alias("item_name"), clean_name(g[2]).alias("seller"), number(g[3]).alias("credits"), F.lit(kind).alias("purchase_type"))
 
-    return by_rules([(body, kind) for kind, body in PURCHASES], made)
+    return by_rules([("auction" if kind == "bazaar" else "purchased", body, kind) for kind, body in PURCHASES], made)
 
 
-def with_trades(mails: DataFrame) -> DataFrame:
-    """Parsed mails with their ``sale`` and ``purchase``, each worked out once however many columns read it."""
-    return mails.select("*", F.explode(F.array(sale())).alias("sale")).select("*", F.explode(F.array(purchase())).alias("purchase"))
+def with_trades(mails: DataFrame, *kinds: str) -> DataFrame:
+    """Parsed mails with their ``sale`` and ``purchase`` (or one of them), worked out once however many columns read it."""
+    for kind, value in (("sale", sale), ("purchase", purchase)):
+        if not kinds or kind in kinds:
+            mails = mails.select("*", F.explode(F.array(value())).alias(kind))
+    return mails
 
 
 def upload(archive: DataFrame, mails: DataFrame, as_of) -> DataFrame:

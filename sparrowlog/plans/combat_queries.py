@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparrowlog.operators import combat
 from sparrowlog.plans import lens
 from sparrowlog.plans.ingest_queries import NTZ, events
-from sparrowlog.plans.registry import query
+from sparrowlog.plans.register import query
 
 BEFORE = "ORDER BY occurred_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 TICK = "(flag='periodic' AND source IN (ability, 'Periodic'))"

@@ -11,8 +11,8 @@ from sparrowlog.functions import text as tx
 from sparrowlog.operators import combat, ingest, mail, merge, process
 from sparrowlog.plans import lens
 from sparrowlog.plans.ingest_queries import E, W, events, payloads
-from sparrowlog.plans.registry import query
-from sparrowlog.sources import export, landing
+from sparrowlog.plans.register import query
+from sparrowlog.sources import export, landing, tail
 from sparrowlog.streaming import live
 
 K = "CAST(json_extract_string(props,'$.k') AS INT)"
@@ -363,3 +363,58 @@ def backfill(spark, d):
     if tries != ["p1", "p2", "p2", "p3"]:
         raise AssertionError(tries)
     return spark.createDataFrame(sorted(export.checkpoints(spark, path).items()), "job_key string, status string")
+
+
+def put(spark, path: str, text: str, append: bool = False) -> None:
+    """Write or extend one local or shared file, as a program that writes a log does."""
+    import pyarrow.fs as fs
+
+    files, at = fs.FileSystem.from_uri(path)
+    files.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with files.open_append_stream(at) if append else files.open_output_stream(at) as f:
+        f.write(text.encode())
+
+
+@query("src6_stm9_tailed_lines", "SELECT * FROM (VALUES (1,0,'one'), (1,4,'two'), (2,8,'three'), (2,14,'four'), (3,0,'new')) t(run, \"position\", line)")
+def tailed_lines(spark, d):
+    """Three runs of one stream: whole lines only, then what was added, then a file that was replaced by a shorter one."""
+    top, table, mark = (export.shared(spark, x) for x in ("tail", "tailed", "checkpoint"))
+    for run, (text, append) in enumerate([("one\ntwo\r\nthr".replace("\r", ""), False), ("ee\nfour\npart", True), ("new\n", False)], 1):
+        put(spark, f"{top}/a.log", text, append)
+        writer = tail.tail(spark, top, part_bytes=5).writeStream.option("checkpointLocation", mark).trigger(availableNow=True)
+        writer.foreachBatch(lambda rows, i, run=run: rows.withColumn("run", F.lit(run)).write.mode("append").parquet(table)).start().awaitTermination()
+    return spark.read.schema("run int, position long, line string").parquet(table)
+
+
+@query("src1_src3_fetched_json", """SELECT * FROM (VALUES ('ok',200,1,'{"a":1}'), ('flaky',200,3,'{"b":2}'), ('text',200,1,'{"nonJsonBody": "plain"}'), ('gone',404,1,'{"nonJsonBody": "no"}'), ('down',503,3,'{"nonJsonBody": "busy"}')) t(name, status, attempts, payload)""")
+def fetched_json(spark, d):
+    """Against a server of this process, so the rows are read before it stops."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+
+    from sparrowlog.sources import web
+
+    calls: dict[str, int] = {}
+    answers = {"ok": [(200, '{"a":1}')], "flaky": [(429, "wait"), (500, "oops"), (200, '{"b":2}')], "text": [(200, "plain")], "gone": [(404, "no")], "down": [(503, "busy")]}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            name = self.path.strip("/")
+            calls[name] = calls.get(name, 0) + 1
+            status, body = answers[name][min(calls[name], len(answers[name])) - 1]
+            self.send_response(status)
+            self.send_header("Retry-After", "0")
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        work = spark.createDataFrame([(n, f"http://127.0.0.1:{server.server_port}/{n}") for n in answers], "name string, url string")
+        rows = web.fetch_work(work, retries=2).select("name", "status", "attempts", "payload").collect()
+    finally:
+        server.shutdown()
+    return spark.createDataFrame(rows, "name string, status int, attempts int, payload string")

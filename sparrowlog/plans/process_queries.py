@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparrowlog.operators import ingest, mail, process
 from sparrowlog.plans import lens
 from sparrowlog.plans.ingest_queries import NTZ, E, S, W, combat_lines, events, mails
-from sparrowlog.plans.registry import query
+from sparrowlog.plans.register import query
 from sparrowlog.sources import export
 
 O = "observations"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparrowlog.functions import text as tx
 from sparrowlog.operators import boards, encounters, guilds, rivalries, sales
 from sparrowlog.plans import lens
-from sparrowlog.plans.registry import query
+from sparrowlog.plans.register import query
 
 AS_OF = dt.datetime(2024, 1, 20, 12)
 START, END = dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 15)

@@ -12,7 +12,7 @@ from sparrowlog.operators import boards, encounters, merge, rivalries, sales
 from sparrowlog.plans import lens
 from sparrowlog.plans.ingest_queries import NTZ, sync_items
 from sparrowlog.plans.read_queries import AS_OF, END, HUNTER, PLAYER, START, USER, ZONE, E, N, O, P, S, W, account, enc, obs, par
-from sparrowlog.plans.registry import query
+from sparrowlog.plans.register import query
 
 Filter = encounters.EncounterFilter
 SALES_AS_OF = dt.datetime(2001, 7, 15, 9, 30)

@@ -1,25 +1,6 @@
-"""All queries of the read, ingest and text layers and their SQL."""
+"""All queries of the read, ingest, text and combat layers and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and, where SQL can express it, the SQL for its rows."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-from sparrowlog.plans import combat_queries, ingest_queries, ingest_unit_queries, process_queries, read_queries, read_unit_queries, status_queries  # noqa: E402, F401
+from sparrowlog.plans import combat_queries, ingest_queries, ingest_unit_queries, process_queries, read_queries, read_unit_queries, status_queries  # noqa: F401
+from sparrowlog.plans.register import ORACLES, QUERIES  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparrowlog.functions.latest import latest_per_key
 from sparrowlog.operators import ingest
 from sparrowlog.plans import lens
-from sparrowlog.plans.registry import query
+from sparrowlog.plans.register import query
 
 O = lens.with_("observations")
 HASH = "sha256(CAST(json(props) AS VARCHAR))"

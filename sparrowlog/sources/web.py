@@ -1,4 +1,4 @@
-"""JSON over HTTP as a Spark data source: one partition a URL group, retries with backoff."""
+"""JSON over HTTP with retries and backoff: a work list of any length as a table, or a few URLs as a Spark data source."""
 
 from __future__ import annotations
 
@@ -8,11 +8,15 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 SCHEMA = "url string, status int, attempts int, payload string, error string"
 RETRY = {429, 500, 502, 503, 504}
 MOST_TEXT = 20_000
+RESULT = [("status", IntegerType()), ("attempts", IntegerType()), ("payload", StringType()), ("error", StringType())]
 
 
 def get(url: str, timeout: float) -> tuple[int, dict[str, str], str]:
@@ -48,6 +52,20 @@ def fetch_json(url: str, timeout: float = 10.0, retries: int = 3, call: Callable
     return url, status, attempt, body, error
 
 
+def fetch_work(work: DataFrame, groups: int = 2, timeout: float = 10.0, retries: int = 3) -> DataFrame:
+    """The columns of ``work`` (url, ...) beside status, attempts, payload and error; 1 to 4 requests at a time, as many as groups."""
+    kind = StructType([*work.schema.fields, *(StructField(c, t) for c, t in RESULT)])
+
+    def run(batches):
+        for batch in batches:
+            for i, url in enumerate(batch.column(batch.schema.get_field_index("url")).to_pylist()):
+                _, *found = fetch_json(url, timeout, retries)
+                columns = [pa.array([x], t) for x, t in zip(found, (pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, *columns], [*batch.schema.names, *[c for c, _ in RESULT]])
+
+    return work.repartition(min(4, max(1, groups))).mapInArrow(run, kind)
+
+
 class JsonWebSource(DataSource):
     """``spark.read.format("json_web").option("urls", "a b c").option("groups", 2).load()``"""
 
