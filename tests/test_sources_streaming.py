@@ -68,9 +68,15 @@ def test_landing_stream_is_idempotent(spark, tmp_path):
     assert got == list(range(8))
 
 
-def test_fight_stream(spark, tmp_path):
+IN_ORDER = [(0, "damage", 5), (15, "heal", 0), (19, "damage", 6), (60, "damage", 7), (4000, "heal", 0), (9000, "heal", 0)]
+LATE = [(0, "damage", 5), (19, "damage", 6), (10, "damage", 1), (35, "damage", 7), (4000, "heal", 0), (9000, "heal", 0)]
+
+
+@pytest.mark.parametrize("given, fights", [(IN_ORDER, [(7, 1), (11, 3)]), (LATE, [(19, 4)])])
+def test_fight_stream(spark, tmp_path, given, fights):
+    """An event that comes a batch late never moves the anchor back, which would split the fight."""
     t = dt.datetime(2024, 1, 1)
-    events = [(i, "u", kind, n, t + dt.timedelta(seconds=s)) for i, (s, kind, n) in enumerate([(0, "damage", 5), (15, "heal", 0), (19, "damage", 6), (60, "damage", 7), (4000, "heal", 0), (9000, "heal", 0)])]
+    events = [(i, "u", kind, n, t + dt.timedelta(seconds=s)) for i, (s, kind, n) in enumerate(given)]
     rows = spark.createDataFrame(events, "id long, user_id string, kind string, amount long, occurred_at timestamp")
     for i in range(len(events)):
         rows.filter(F.col("id") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -78,7 +84,7 @@ def test_fight_stream(spark, tmp_path):
     q = live.fight_stream(stream).writeStream.format("memory").queryName("fights").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
     q.processAllAvailable()
     q.stop()
-    assert sorted((r.total_damage, r.events) for r in spark.table("fights").collect()) == [(7, 1), (11, 3)]
+    assert sorted((r.total_damage, r.events) for r in spark.table("fights").collect()) == fights
 
 
 def test_export_backfill_and_schema_report(spark, tmp_path):
