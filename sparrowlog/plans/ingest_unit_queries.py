@@ -153,7 +153,7 @@ def other_contracts(spark, d):
     board = F.concat(F.lit('{"boards":[{"id":"'), n, F.lit('","trackerOid":"t","name":"n","category":"c","valueType":"'), F.when(n % 2 == 0, "CREDITS").otherwise("GOLD"), F.lit('","periodStartTime":0,"periodEndTime":5}],' + at))
     wins = F.concat(F.lit('{"id":"w","cityWins":[],"guildWins":[{"rank":1,"participantId":"g","name":"n","wins":'), F.when(n % 3 == 0, -1).otherwise(n).cast("string"), F.lit("}]," + at))
     officer = lambda oid: F.concat(F.lit('{"oid":"'), oid, F.lit('","name":"n","factionName":"f","rankIndex":1,"rankName":"r","currentGcwPoints":1,"currentPvpKills":1,"lifetimeGcwPoints":1,"lifetimePvpKills":1}'))
-    officers = F.concat(F.lit('{"faction":"'), F.when(n % 5 == 0, "HUTT").otherwise("REBEL"), F.lit('","totalResults":2,"officers":['), officer(F.lit("1")), F.lit(","), officer(F.when(n % 5 == 0, "1").otherwise("2")), F.lit("]," + at))
+    officers = F.concat(F.lit('{"faction":"'), F.when(n % 5 == 0, "NEUTRAL").otherwise("REBEL"), F.lit('","totalResults":2,"officers":['), officer(F.lit("1")), F.lit(","), officer(F.when(n % 5 == 0, "1").otherwise("2")), F.lit("]," + at))
     out = s.select("s_suppkey", board.alias("catalog"), wins.alias("wins"), officers.alias("officers"))
     for kind in ("catalog", "wins", "officers"):
         checked = ingest.validate(out.select("s_suppkey", F.col(kind).alias("payload")), kind).select("s_suppkey", F.array_join("issues", ";").alias(kind))
