@@ -211,8 +211,8 @@ def top_k(spark, d):
     return enc(spark, d).groupBy(F.lower("target_name").alias("target_key")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target_key").limit(15)
 
 
-@query("srt4_top_of_each_board", f"""{W(O)}, h AS (SELECT DISTINCT leaderboard_id, snapshot_id, observed_at FROM observations QUALIFY row_number() OVER (PARTITION BY leaderboard_id ORDER BY observed_at DESC, snapshot_id)=1)
-SELECT o.leaderboard_id, o.rank, o.participant_id FROM observations o JOIN (SELECT DISTINCT leaderboard_id, snapshot_id, observed_at FROM (SELECT leaderboard_id, snapshot_id, observed_at, row_number() OVER (PARTITION BY leaderboard_id ORDER BY observed_at DESC, snapshot_id) AS n FROM observations) WHERE n=1) h USING (snapshot_id) WHERE o.rank<=3""")
+@query("srt4_top_of_each_board", f"""{W(O)}, h AS (SELECT leaderboard_id, arg_max(snapshot_id, observed_at) AS snapshot_id FROM observations GROUP BY 1)
+SELECT o.leaderboard_id, o.rank, o.participant_id FROM observations o JOIN h USING (leaderboard_id, snapshot_id) WHERE o.rank<=3""")
 def top_of_each(spark, d):
     return boards.newest_snapshots(obs(spark, d), ["leaderboard_id"]).filter("rank <= 3").select("leaderboard_id", "rank", "participant_id")
 

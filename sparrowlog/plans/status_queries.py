@@ -14,16 +14,16 @@ HASH = "sha256(CAST(json(props) AS VARCHAR))"
 
 
 @query("lst6_guild_board", f"""{O} SELECT participant_id, rank, score FROM observations WHERE leaderboard_id='{lens.BOARDS[0]}' AND source_period_key='CURRENT'
-QUALIFY row_number() OVER (PARTITION BY participant_id ORDER BY observed_at DESC)=1""")
+QUALIFY row_number() OVER (PARTITION BY participant_id ORDER BY observed_at DESC, snapshot_id)=1""")
 def guild_board(spark, d):
     rows = lens.observations(spark, d).filter((F.col("leaderboard_id") == lens.BOARDS[0]) & (F.col("source_period_key") == "CURRENT"))
-    return latest_per_key(rows, ["participant_id"], [F.desc("observed_at")]).select("participant_id", "rank", "score")
+    return latest_per_key(rows, ["participant_id"], [F.desc("observed_at"), F.asc("snapshot_id")]).select("participant_id", "rank", "score")
 
 
 @query("lst7_board_wins", f"""{O} SELECT participant_id, leaderboard_id, score AS wins, rank, observed_at FROM observations
-QUALIFY row_number() OVER (PARTITION BY participant_id, leaderboard_id ORDER BY observed_at DESC)=1""")
+QUALIFY row_number() OVER (PARTITION BY participant_id, leaderboard_id ORDER BY observed_at DESC, snapshot_id)=1""")
 def board_wins(spark, d):
-    rows = latest_per_key(lens.observations(spark, d), ["participant_id", "leaderboard_id"], [F.desc("observed_at")])
+    rows = latest_per_key(lens.observations(spark, d), ["participant_id", "leaderboard_id"], [F.desc("observed_at"), F.asc("snapshot_id")])
     return rows.select("participant_id", "leaderboard_id", F.col("score").alias("wins"), "rank", "observed_at")
 
 
