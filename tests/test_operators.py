@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -308,3 +309,50 @@ def test_dated_lines(spark):
     got = [(r.file, r.at) for r in combat.dated_lines(rows).orderBy("file", "line_no").collect()]
     d = lambda *a: dt.datetime(2024, *a)
     assert got == [("f", d(2, 6, 23, 59, 50)), ("f", d(2, 7, 0, 20)), ("f", d(2, 7, 23)), ("f", d(2, 8, 0, 30)), ("g", d(2, 29, 23)), ("g", d(3, 1, 1))]
+
+
+def brute_head(raw):
+    """(mail id, sender, subject, raw stamp, body) by walking the lines one after another."""
+    lines = raw.replace("\r\n", "\n").split("\n")
+    got, stamp, body, unnamed = {}, None, 0, 0
+    number = lambda v: int(v) if v.isdigit() and 0 < int(v) < 10**16 else None
+    for i, line in enumerate(lines[:8]):
+        text_, named = line.strip(), re.match(r"([A-Za-z]+):\s?(.*)$", line)
+        name = named[1].upper() if named else ""
+        if i == 0 and re.fullmatch(r"\d+(_\d+)?", text_):
+            got["id"] = text_
+        elif name in ("FROM", "SUBJECT"):
+            got[name] = named[2].strip()
+        elif name == "TIMESTAMP":
+            stamp = number(named[2].strip()) if stamp is None else stamp
+        elif stamp is None and i and (got.get("FROM") or got.get("SUBJECT")) and re.fullmatch(r"\d{9,13}", text_):
+            stamp = number(text_)
+        elif not text_ and body:
+            body = i + 1
+            break
+        elif stamp is None and unnamed < 2 and text_:
+            if not unnamed and not got.get("FROM"):
+                got["FROM"] = text_
+            elif not got.get("SUBJECT"):
+                got["SUBJECT"] = text_
+            unnamed += 1
+        elif body:
+            break
+        else:
+            continue
+        body = i + 1
+    suffix = re.search(r"_(\d{9,13})$", got.get("id", ""))
+    if stamp is None and suffix:
+        stamp = number(suffix[1])
+    return got.get("id", ""), got.get("FROM", ""), got.get("SUBJECT", ""), stamp, "\n".join(lines[body:]).strip()
+
+
+def test_mail_heads_equal_a_walk_over_the_lines(spark):
+    r = random.Random(9)
+    parts = ["", "123", "77_1707000000", "FROM: a.b", "from:x", "SUBJECT: Sale: 5", "SUBJECT:", "TIMESTAMP: 1707000000", "TIMESTAMP: soon", "TIMESTAMP: 1707000000123", "1707000000", "12345678901234", "plain words", "Other: thing", "  ", "body line. 5 credits", "é: x"]
+    mails = ["\n".join(r.choice(parts) for _ in range(r.randrange(0, 13))) for _ in range(1500)] + [None, "\r\n".join(parts)]
+    rows = mail.parse_mails(spark.createDataFrame(list(enumerate(mails)), "id int, raw string")).withColumn("stamp", F.unix_millis(F.col("sent_at"))).collect()
+    ms = lambda n: None if n is None else n if n > 10**12 else n * 1000
+    for x in rows:
+        mail_id, sender, subject, stamp, body = brute_head(mails[x.id] or "")
+        assert (x.mail_id, x.sender, x.subject, x.stamp, x.body) == (mail_id, sender, subject, ms(stamp), body), mails[x.id]
