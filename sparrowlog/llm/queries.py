@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowlog.llm import common, html_text, jaccard, lang_id, lm_score, media_ts, packing, quality, quotes, spelling, tiling, token_counts
+from sparrowlog.llm import common, html_text, jaccard, lang_id, lm_score, lsh_forest, media_ts, packing, quality, quotes, spelling, tiling, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,5 +69,9 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_html_text, op3_jaccard, op4_packing, op5_lm_score, op6_token_counts, op7_media, op8_tiling, op9_language, op10_quotes, op11_spelling)}
+def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_html_text, op3_jaccard, op4_packing, op5_lm_score, op6_token_counts, op7_media, op8_tiling, op9_language, op10_quotes, op11_spelling, op12_lsh_forest)}
 ORACLES: dict[str, str] = {}
