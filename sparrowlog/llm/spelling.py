@@ -161,15 +161,16 @@ def roots(forms: DataFrame) -> DataFrame:
         state = state.select("word", "root")
 
 
-def group_variants(docs: DataFrame, least_length: int = 7, least_count: int = 2, ratio: int = 10, modulus: int = 31, bits: int = 28) -> DataFrame:
+def group_variants(docs: DataFrame, least_length: int = 7, least_count: int = 2, ratio: int = 10, modulus: int = 31, bits: int = 28, words_per_task: int = 20_000) -> DataFrame:
     """word, form, root, n, n_near and form_n of every word of (doc_id, text)."""
     spark = docs.sparkSession
     words = materialise(count_words(docs, least_length, least_count, modulus).withColumn("id", F.monotonically_increasing_id()), "words")
     # code points of words are those of the counted runs, so at most 26 + 64
     alphabet = sorted(ord(r[0]) for r in words.select(F.explode(F.split("word", "")).alias("c")).filter("c <> ''").distinct().collect())
-    bits = min(max(16 * words.count(), 1 << 10).bit_length(), bits)
+    n = words.count()
+    bits = min(max(16 * n, 1 << 10).bit_length(), bits)
     table = spark.sparkContext.broadcast(bit_table(words, bits))
-    found = words.select("id", "word").repartition("id").mapInArrow(neighbour_batches(alphabet, table, bits, least_length), "id long, near string")
+    found = words.select("id", "word").repartition(-(-n // words_per_task) or 1, "id").mapInArrow(neighbour_batches(alphabet, table, bits, least_length), "id long, near string")
     near = found.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     best = F.min(F.struct((-F.col("near_n")).alias("order"), F.col("near").alias("near"))).alias("best")
     of = words.join(near.groupBy("id").agg(F.count("*").alias("n_near"), best), "id", "left")
