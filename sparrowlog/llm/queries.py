@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowlog.llm import common, conversation_trie, html_text, jaccard, lang_id, lm_score, lsh_forest, media_ts, packing, quality, quotes, spelling, tiling, token_counts
+from sparrowlog.llm import common, conversation_trie, html_text, jaccard, lang_id, lm_score, lsh_forest, media_ts, oracles, packing, quality, quotes, spelling, tiling, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -78,4 +78,4 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_html_text, op3_jaccard, op4_packing, op5_lm_score, op6_token_counts, op7_media, op8_tiling, op9_language, op10_quotes, op11_spelling, op12_lsh_forest, op13_conversation_trie)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_spelling": oracles.SPELLING, "op12_lsh_forest": oracles.NEAR_DUPLICATES, "op13_conversation_trie": oracles.CONVERSATION_TRIE}
