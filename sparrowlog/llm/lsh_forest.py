@@ -226,9 +226,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, best: int = 2, den
     texts = materialise(signed.filter("runs > 0").groupBy("digest").agg(*one), "texts")
     orders = texts.select("key", "signature").mapInArrow(order_batches, "label long, key long")
     orders = materialise(orders.repartitionByRange("label", "key").sortWithinPartitions("label", "key"), "orders")
-    links = nearest_links(signed, orders, threshold, best)
+    # only regions of two texts or more matter; most texts are in none
+    shared = orders.groupBy(region(F.col("label"), SHALLOW).alias("bucket")).agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialise(shared, "shared")
+    near = materialise(join_one(orders.withColumn("bucket", region(F.col("label"), SHALLOW)), shared, "bucket", "n").select("label", "key"), "near")
+    # by merging at every size, as what is near grows with the input
+    bodies = signed.select(F.col("row").alias("key"), "body").join(near.select("key").distinct().hint("merge"), "key", "left_semi")
+    bodies = materialise(bodies, "bodies")
+    links = nearest_links(bodies, orders, threshold, best)
     classes = components(links).toDF("key", "class")
-    links = links.unionByName(other_links(signed, texts, orders, classes, threshold, dense, chunk, chunk_bytes))
+    links = links.unionByName(other_links(bodies, texts, near, classes, threshold, dense, chunk, chunk_bytes))
     classes = components(links).toDF("key", "class")
     of = texts.select("key", "digest", "first_id", "copies").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
     of = materialise(of, "classes")
@@ -240,12 +247,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, best: int = 2, den
     return both.select("doc_id", F.col("runs").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def bodies(signed: DataFrame, keys: DataFrame) -> DataFrame:
+def sets(bodies: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, members) of the texts of the distinct ``keys``."""
-    return signed.select(F.col("row").alias("key"), "body").join(keys, "key", "left_semi").mapInArrow(set_batches, "key long, members binary")
+    return bodies.join(keys.hint("merge"), "key", "left_semi").mapInArrow(set_batches, "key long, members binary")
 
 
-def nearest_links(signed: DataFrame, orders: DataFrame, threshold: float, best: int) -> DataFrame:
+def nearest_links(bodies: DataFrame, orders: DataFrame, threshold: float, best: int) -> DataFrame:
     """(a, b): verified links of each text with its best neighbours. A text is neighbour of 64 at most, so no key is hot."""
     near = orders.mapInArrow(neighbour_batches, "key long, other long, prefix long").groupBy("key", "other").agg(F.struct(F.count("*").alias("n"), F.max("prefix").alias("prefix")).alias("score"))
     ranks = F.slice(F.sort_array(F.collect_list(F.struct("score.n", "score.prefix", "other")), asc=False), 1, best)
@@ -254,18 +261,14 @@ def nearest_links(signed: DataFrame, orders: DataFrame, threshold: float, best:
     pairs = pairs.select(F.least("owner", "key").alias("owner"), F.greatest("owner", "key").alias("key")).distinct()
     pairs = materialise(pairs, "pairs")
     asked = pairs.unionByName(pairs.select("owner", F.col("owner").alias("key")).distinct())
-    stars = asked.join(bodies(signed, asked.select("key").distinct()), "key").select("owner", "key", "members").repartition("owner").sortWithinPartitions("owner", "key")
+    stars = asked.join(sets(bodies, asked.select("key").distinct()), "key").select("owner", "key", "members").repartition("owner").sortWithinPartitions("owner", "key")
     return materialise(stars.mapInArrow(star_batches(threshold), "a long, b long"), "links")
 
 
-def other_links(signed: DataFrame, texts: DataFrame, orders: DataFrame, classes: DataFrame, threshold: float, dense: int, chunk: int, chunk_bytes: int) -> DataFrame:
+def other_links(bodies: DataFrame, texts: DataFrame, near: DataFrame, classes: DataFrame, threshold: float, dense: int, chunk: int, chunk_bytes: int) -> DataFrame:
     """(a, b): verified links between texts of different classes that share a region."""
     need = least_equal(threshold)
-    # only regions of two texts or more matter; most texts have none
-    shared = orders.groupBy(region(F.col("label"), SHALLOW).alias("bucket")).agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialise(shared, "shared")
-    rows = join_one(orders.withColumn("bucket", region(F.col("label"), SHALLOW)), shared, "bucket", "n").select("label", "key")
-    rows = materialise(rows.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key")), "classed")
+    rows = materialise(near.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key")), "classed")
     open_ = materialise(unresolved(rows, dense).join(texts.select("key", "runs", "signature"), "key"), "open")
     spans = materialise(deal(open_, chunk, chunk_bytes).mapInArrow(span_batches(need), "key long, class long, root long"), "candidates")
     nodes = spans.select("key", "class").distinct().join(texts.select("key", "runs", "signature"), "key")
@@ -275,5 +278,5 @@ def other_links(signed: DataFrame, texts: DataFrame, orders: DataFrame, classes:
     members = materialise(join_one(materialise(nodes, "nodes"), sizes, "class", "n").drop("n"), "groups")
     dealt = deal(members, chunk, chunk_bytes)
     kept = materialise(dealt.mapInArrow(paired_batches(need), dealt.schema), "paired")
-    checked = together(kept.join(bodies(signed, kept.select("key").distinct()), "key")).select(*kept.columns, "members")
+    checked = together(kept.join(sets(bodies, kept.select("key").distinct()), "key")).select(*kept.columns, "members")
     return materialise(checked.mapInArrow(verify_batches(need, threshold), "a long, b long"), "links")
