@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def name_key(name: Column) -> Column:
@@ -75,12 +78,52 @@ def matches(words: Column, query: str) -> Column:
     return any_
 
 
-#: Keys whose values never reach a log.
-SECRETS = "password|passwd|secret|token|authorization|cookie|api[_-]?key|session"
-
-
-def redact(text: Column) -> Column:
-    """Values of secret keys in JSON or key=value text, and bearer tokens, replaced."""
-    out = F.regexp_replace(text, rf'(?i)("[^"]*(?:{SECRETS})[^"]*"\s*:\s*)"[^"]*"', '$1"[REDACTED]"')
-    out = F.regexp_replace(out, rf"(?i)\b((?:{SECRETS})\s*=\s*)[^\s&,;]+", "$1[REDACTED]")
-    return F.regexp_replace(out, r"(?i)\bbearer\s+[a-z0-9._~+/=-]+", "Bearer [REDACTED]")
+#: Keys whose values never reach a log, and texts that are replaced wherever they stand.
+SECRET_KEY = re.compile(r"authorization|cookie|password|secret|token|database_?url|connection_?string|admin_password|response_headers|request_headers", re.I)
+PAYLOAD_KEY = re.compile(r"(^|_)(payload|raw|body)$", re.I)
+SECRET_TEXTS = [
+    (re.compile(r"\bpostgres(?:ql)?://\S+", re.I), "[REDACTED_DATABASE_URL]"),
+    (re.compile(r"\b(Bearer|Basic)\s+\S+", re.I), r"\1 [REDACTED]"),
+    (re.compile(r"\b(token|password|secret|api[_-]?key)=([^\s&]+)", re.I), r"\1=[REDACTED]"),
+]
+HIDDEN = "[REDACTED]"
+
+
+def redact_text(text: str) -> str:
+    for pattern, put in SECRET_TEXTS:
+        text = pattern.sub(put, text)
+    return text
+
+
+def redact_value(value, key: str = ""):
+    """A JSON value without secrets: what stands under a secret key goes whatever its type, elements of a list stand under the
+    list's key, and texts anywhere lose addresses of databases, credentials and key=value secrets."""
+    if SECRET_KEY.search(key) or PAYLOAD_KEY.search(key):
+        return HIDDEN
+    if isinstance(value, str):
+        return redact_text(value)
+    if isinstance(value, list):
+        return [redact_value(x, key) for x in value]
+    if isinstance(value, dict):
+        return {k: redact_value(x, k) for k, x in value.items()}
+    return value
+
+
+def redact_one(text: str | None) -> str | None:
+    """JSON objects and lists by their keys; any other text, or one nested too deep to walk, as a text."""
+    if text is None:
+        return None
+    try:
+        value = json.loads(text)
+        if isinstance(value, dict | list):
+            return json.dumps(redact_value(value), ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    except RecursionError:
+        return HIDDEN
+    except ValueError:
+        pass
+    return redact_text(text)
+
+
+@F.pandas_udf(StringType())
+def redact(text: pd.Series) -> pd.Series:
+    return text.map(redact_one)

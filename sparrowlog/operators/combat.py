@@ -39,6 +39,8 @@ RULES = [
 WORDS = ("points", "attacks", "damages", "suffers", "heals", "is no more", "misses", "dodg", "parr", "performs", "caused")
 FLAGS = {"crits": "crit", "critically hits": "crit", "critical hits": "crit", "hits": "hit", "glances": "glance", "strikes through": "strikethrough"}
 LARGEST_HIT, FIGHT_GAP, SESSION_GAP = 60_000, 20, 30 * 60
+#: No amount counts for more, so that sums stay in range.
+MOST = 10**15
 
 
 def is_npc(name: Column) -> Column:
@@ -92,7 +94,7 @@ def by_rules(rest: Column, low: Column, clock: Column) -> Column:
                 group, other = what if isinstance(what, tuple) else (what, None)
                 return trim_all(g[group]) if other is None else F.coalesce(F.nullif(trim_all(g[group]), F.lit("")), F.lit(other))
 
-            n = F.lit(0).cast("long") if amount is None else g[amount].try_cast("long")
+            n = F.lit(0).cast("long") if amount is None else F.when(g[amount] != "", F.least(F.coalesce(g[amount].try_cast("long"), F.lit(MOST)), F.lit(MOST)))
             by = part(source)
             line = F.struct(clock.alias("clock"), F.lit(kind).alias("kind"), by.alias("source"), part(target).alias("target"), part(ability).alias("ability"), n.alias("amount"), (F.lit(flag) if isinstance(flag, str) else flag_of(g[flag])).alias("flag"))
             refused = F.coalesce(n > LARGEST_HIT, F.lit(False)) & ~is_npc(by) if guarded else F.lit(False)
@@ -178,11 +180,12 @@ def with_shares(actor_rows: DataFrame, fight_rows: DataFrame) -> DataFrame:
 def fights(clustered: DataFrame) -> DataFrame:
     """Clusters with damage: span, total, boss (the most damaged NPC, else the most damaged of all) and whether it died."""
     damage = F.col("kind") == "damage"
-    total = clustered.groupBy("user_id", "cluster").agg(F.min("occurred_at").alias("start"), F.max("occurred_at").alias("end"), F.coalesce(F.sum(F.when(damage, F.col("amount"))), F.lit(0)).alias("total_damage"), F.count_if(damage).alias("n"), F.collect_set(F.when(F.col("kind") == "death", F.nullif("target", F.lit("")))).alias("deaths")).filter("n > 0")
+    total = clustered.groupBy("user_id", "cluster").agg(F.min("occurred_at").alias("start"), F.max("occurred_at").alias("end"), F.coalesce(F.sum(F.when(damage, F.col("amount"))), F.lit(0)).alias("total_damage"), F.count_if(damage).alias("n"), F.array_sort(F.collect_list(F.when((F.col("kind") == "death") & (F.col("target") != ""), F.struct("occurred_at", "id", "target")))).alias("deaths")).filter("n > 0")
     taken = clustered.filter(damage & (F.col("target") != "")).groupBy("user_id", "cluster", "target").agg(F.sum("amount").alias("amount"), F.min(F.struct("occurred_at", "id")).alias("o"))
     key = F.struct(is_npc(F.col("target")), "amount", -F.unix_micros(F.col("o.occurred_at").cast("timestamp")), -F.col("o.id"))
     boss = taken.groupBy("user_id", "cluster").agg(F.max_by("target", key).alias("boss"))
     seconds = F.greatest(F.lit(1), F.round((F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / 1e6).cast("long"))
+    total = total.withColumn("deaths", F.col("deaths.target"))  # each death, in order
     out = total.join(boss, ["user_id", "cluster"], "left").withColumn("title", F.coalesce("boss", F.lit("Unknown"))).withColumn("duration_seconds", seconds)
     return out.withColumn("defeated", F.array_contains("deaths", F.col("title"))).withColumn("group_dps", F.col("total_damage") / F.col("duration_seconds")).drop("n", "boss")
 

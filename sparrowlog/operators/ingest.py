@@ -1,18 +1,18 @@
-"""Ingest algebra: canonical JSON, content hashes, schema inference and diff, payload contracts, completeness."""
+"""Ingest algebra: canonical JSON, content hashes, schema inference and diff, rows of valid payloads."""
 
 from __future__ import annotations
 
-import uuid
+import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparrowlog.operators.contracts import state_hash
+
 #: JSON types in their order within a path.
 TYPE_ORDER = ("array", "boolean", "null", "number", "object", "string")
-#: What the feeds expose at most, and the boards that must be in a catalogue.
-RECENT_CAP, OFFICER_CAP = 12, 250
-ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$"
-SCORE = r"^-?\d+(?:\.\d+)?%?$"
+KINDS = {list: "array", bool: "boolean", type(None): "null", dict: "object", str: "string"}
 
 
 def instant(text: Column) -> Column:
@@ -46,39 +46,50 @@ def encounter_fingerprint(source: str, at: Column, outcome: Column, hunter: Colu
     return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *inner, credits.cast("string")), F.lit("]")), 256)
 
 
-def state_hash(payload: Column) -> Column:
-    """Hash of a payload without its fetch time, so that an unchanged state keeps its hash."""
-    plain = F.map_filter(F.from_json(payload, "map<string,string>"), lambda k, _: k != "fetchedAt")
-    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(plain)))), 256)
-
-
 def shape(json: Column) -> Column:
-    """A text that payloads of equal paths and types mostly share: canonical JSON without its strings and numbers, and with
-    each run of equal flat objects once. Payloads of one shape have the same paths and types."""
-    key, text = r'("[^"\\]*+(?:\\.[^"\\]*+)*+":)', r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-    out = F.regexp_replace(F.to_json(F.try_parse_json(json)), f"{key}|{text}", "$1")
-    out = F.regexp_replace(out, key + r"|-?\d[\d.eE+-]*+", "$1#")
-    return F.regexp_replace(out, r"(\{[^{}\[\]]*\})(?:,\1)+", "$1")
-
-
-def walked_paths(payloads: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, path, types) by walking every value of every payload, at any depth."""
-    spark, view = payloads.sparkSession, f"_schema_payloads_{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # read when the query runs, so it can't be put back here
-    payloads.select(F.col(key).alias("k"), F.try_parse_json(F.col(json)).alias("v")).filter("v IS NOT NULL").createOrReplaceTempView(view)
-    walked = spark.sql(f"""WITH RECURSIVE walk(k, path, v) MAX RECURSION LEVEL 2000 AS (
-        SELECT k, '$', v FROM {view}
-        UNION ALL
-        SELECT w.k, CASE WHEN e.key IS NULL THEN concat(w.path, '[]') ELSE concat(w.path, '.', e.key) END, e.value FROM walk w, LATERAL variant_explode(w.v) e)
-        SELECT k, path, schema_of_variant(v) AS kind FROM walk""")
-    spark.catalog.dropTempView(view)
-    kind = F.when(F.col("kind").startswith("ARRAY"), "array").when(F.col("kind").startswith("OBJECT"), "object").when(F.col("kind") == "BOOLEAN", "boolean").when(F.col("kind") == "VOID", "null").when(F.col("kind") == "STRING", "string").otherwise("number")
-    return walked.groupBy(F.col("k").alias(key), "path").agg(F.sort_array(F.collect_set(kind)).alias("types"))
-
-
-def shaped(payloads: DataFrame, key: str, json: str) -> tuple[DataFrame, DataFrame]:
+    """A text that only payloads of equal paths and types share: canonical JSON with a mark for each string (~), number (#) and
+    truth value (!), and with each run of equal marks, or of equal objects of these, in an array once. Each pattern takes a quoted
+    key whole before it looks for anything else, so keys stay; they are followed by a mark of each kind, which says nothing."""
+    key = r'("[^"\\]*+(?:\\.[^"\\]*+)*+":)'
+    out = F.regexp_replace(F.to_json(F.try_parse_json(json)), rf"{key}|{key[1:-2]}", "$1~")
+    out = F.regexp_replace(F.regexp_replace(out, rf"{key}|-?\d[\d.eE+-]*+", "$1#"), rf"{key}|true|false", "$1!")
+    out = F.regexp_replace(out, key[:-1] + r"!#~)|([~#!]|null)(?:,\2)+", "$1$2")
+    flat = rf'\{{(?:[^{{}}\[\]"]++|{key[1:-1]}|\[[^{{}}\[\]"]*+\])*+\}}'
+    return F.regexp_replace(out, key[:-1] + rf"!#~)|({flat})(?:,\2)+", "$1$2")
+
+
+def walk_batches(batches):
+    """(key, canonical JSON) to (key, path, types), by an explicit stack, so at any depth."""
+    for batch in batches:
+        keys, paths, types = [], [], []
+        for row, text in enumerate(batch.column(1).to_pylist()):
+            seen: dict[str, set[str]] = {}
+            stack = [("$", json.loads(text))]
+            while stack:
+                path, value = stack.pop()
+                kind = KINDS.get(type(value), "number")
+                seen.setdefault(path, set()).add(kind)
+                if kind == "object":
+                    stack += [(f"{path}.{k}", v) for k, v in value.items()]
+                elif kind == "array":
+                    stack += [(path + "[]", v) for v in value]
+            keys += [row] * len(seen)
+            paths += seen
+            types += [sorted(x) for x in seen.values()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(paths, pa.string()), pa.array(types, pa.list_(pa.string()))], ["k", "path", "types"])
+
+
+def walked_paths(payloads: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path, types) by walking every value of every payload."""
+    rows = payloads.select(F.col(key).alias("k"), F.to_json(F.try_parse_json(text)).alias("json")).filter("json IS NOT NULL")
+    kind = rows.schema["k"].dataType.simpleString()
+    walked = rows.mapInArrow(walk_batches, f"k {kind}, path string, types array<string>")
+    return walked.groupBy(F.col("k").alias(key), "path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("types"))
+
+
+def shaped(payloads: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(key, shape) of each payload that is JSON, and (shape, path, types), for which one payload of each shape is walked."""
-    rows = payloads.select(F.col(key), F.col(json).alias("_json"), shape(F.col(json)).alias("shape")).filter("shape IS NOT NULL")
+    rows = payloads.select(F.col(key), F.col(text).alias("_json"), shape(F.col(text)).alias("shape")).filter("shape IS NOT NULL")
     return rows.select(key, "shape"), walked_paths(rows.groupBy("shape").agg(F.min("_json").alias("_json")), "shape", "_json")
 
 
@@ -129,82 +140,6 @@ def novel_paths(known: DataFrame, new: DataFrame, nullable: list[str]) -> DataFr
     return rows.select("path", what.alias("novelty")).filter("novelty IS NOT NULL")
 
 
-def unknown_fields(paths: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Paths that no allow-list (path) knows."""
-    return paths.join(allowed.select("path"), "path", "left_anti")
-
-
-def problems(*checks: tuple[str, Column], most: int = 8) -> Column:
-    """Messages of the checks that fail or can't be made, ``most`` at most."""
-    return F.slice(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(text)) for text, ok in checks])), 1, most)
-
-
-ENTRY = "struct<rank:int,participantId:string,name:string,score:double,scoreRaw:string,guildAbbreviation:string,faction:string,planet:string,cityName:string>"
-ENCOUNTER = "struct<timestamp:string,outcome:string,hunterName:string,targetName:string,credits:bigint>"
-OFFICER = "struct<oid:string,name:string,factionName:string,rankIndex:int,rankName:string,currentGcwPoints:bigint,currentPvpKills:bigint,lifetimeGcwPoints:bigint,lifetimePvpKills:bigint,profession:string,guildName:string,guildAbbreviation:string,residentPlanet:string,residentCityName:string>"
-WIN = "struct<rank:int,participantId:string,name:string,wins:int,guildAbbreviation:string,faction:string,planet:string>"
-PAYLOADS = {
-    "catalog": "boards array<struct<id:string,trackerOid:string,name:string,category:string,valueType:string,periodStartTime:bigint,periodEndTime:bigint>>, fetchedAt string",
-    "leaderboard": f"id string, period string, subject string, valueType string, totalScore double, periodStartTime bigint, periodEndTime bigint, entries array<{ENTRY}>, fetchedAt string",
-    "wins": f"id string, cityWins array<{WIN}>, guildWins array<{WIN}>, fetchedAt string",
-    "officers": f"faction string, officers array<{OFFICER}>, totalResults int, fetchedAt string",
-    "bounty": f"windowDays int, fetchedAt string, summary struct<kills:bigint,failures:bigint,encounters:bigint,successRate:double,creditsPaid:bigint,averageBounty:double,distinctHunters:bigint,distinctTargets:bigint,largestBounty:{ENCOUNTER}>, recent array<{ENCOUNTER}>",
-}
-#: Allowed words of the contracts.
-VALUE_TYPES, PERIODS, SUBJECTS, FACTIONS, OUTCOMES = ("RAW", "CREDITS", "PERCENT", "METERS"), ("CURRENT", "PREVIOUS_1", "PREVIOUS_2"), ("player", "guild", "city"), ("IMPERIAL", "REBEL"), ("KILL", "FAILED")
-
-
-def validate(payloads: DataFrame, kind: str) -> DataFrame:
-    """Adds ``p`` (the payload as a struct; unknown keys are allowed) and ``issues`` (empty: valid) to rows of (payload)."""
-    rows = payloads.withColumn("p", F.from_json("payload", PAYLOADS[kind]))
-    p = lambda c: F.col(f"p.{c}")
-    some = lambda c: F.length(c) > 0
-    unique = lambda c: F.size(F.array_distinct(c)) == F.size(c)
-    not_negative = lambda *cs: F.array_min(F.array(*cs)) >= 0
-    fetched = ("fetchedAt: not a timestamp", p("fetchedAt").rlike(ISO))
-    if kind == "leaderboard":
-        e = p("entries")
-        checks = [
-            ("id: empty", some(p("id"))), ("period: not allowed", p("period").isin(*PERIODS)), ("subject: not allowed", p("subject").isin(*SUBJECTS)), ("valueType: not allowed", p("valueType").isin(*VALUE_TYPES)),
-            ("totalScore: missing", p("totalScore").isNotNull()), ("periodEndTime: Period must end after it starts", (p("periodEndTime") > p("periodStartTime")) & (p("periodStartTime") >= 0)),
-            ("entries: wrong entry", F.forall(e, lambda x: (x["rank"] > 0) & some(x["participantId"]) & x["name"].isNotNull() & x["score"].isNotNull())),
-            ("entries: scoreRaw", F.forall(e, lambda x: x["scoreRaw"].rlike(SCORE))), ("entries: Duplicate participant in source response", unique(p("entries.participantId"))), fetched,
-        ]
-    elif kind == "bounty":
-        r, s = p("recent"), lambda c: p(f"summary.{c}")
-        checks = [
-            ("windowDays: not positive", p("windowDays") > 0), ("summary: negative", not_negative(s("kills"), s("failures"), s("encounters"), s("creditsPaid"))), ("summary: rate", s("successRate").between(0, 1)),
-            ("summary: Kills plus failures does not equal encounters", s("kills") + s("failures") == s("encounters")),
-            ("recent: wrong encounter", F.forall(r, lambda x: x["timestamp"].rlike(ISO) & x["outcome"].isin(*OUTCOMES) & some(x["hunterName"]) & some(x["targetName"]) & (x["credits"] >= 0))),
-            ("recent: A failed encounter must have zero source credits", F.forall(r, lambda x: (x["outcome"] != "FAILED") | (x["credits"] == 0))), fetched,
-        ]
-    elif kind == "catalog":
-        checks = [("boards: wrong board", F.forall(p("boards"), lambda x: some(x["id"]) & some(x["trackerOid"]) & some(x["name"]) & some(x["category"]) & x["valueType"].isin(*VALUE_TYPES) & (x["periodStartTime"] >= 0) & (x["periodEndTime"] > 0))), fetched]
-    elif kind == "wins":
-        good = lambda x: (x["rank"] > 0) & some(x["participantId"]) & x["name"].isNotNull() & (x["wins"] >= 0)
-        checks = [("id: empty", some(p("id"))), ("cityWins: wrong entry", F.forall(p("cityWins"), good)), ("guildWins: wrong entry", F.forall(p("guildWins"), good)), fetched]
-    else:
-        good = lambda x: some(x["oid"]) & x["name"].isNotNull() & some(x["factionName"]) & (x["rankIndex"] >= 1) & some(x["rankName"]) & (F.least(x["currentGcwPoints"], x["currentPvpKills"], x["lifetimeGcwPoints"], x["lifetimePvpKills"]) >= 0)
-        checks = [("faction: not allowed", p("faction").isin(*FACTIONS)), ("officers: wrong officer", F.forall(p("officers"), good)), ("totalResults: negative", p("totalResults") >= 0), ("officers: Duplicate officer identity in source response", unique(p("officers.oid"))), fetched]
-    return rows.withColumn("issues", problems(*checks))
-
-
-def completeness(rows: DataFrame, kind: str, boards: list[str] = ()) -> DataFrame:
-    """Adds expected, received and reason (null: whole) to rows with a parsed payload ``p``."""
-    n = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0))
-    if kind == "catalog":
-        received, missing = F.greatest(n("p.boards"), F.lit(0)), F.array_except(F.array(*[F.lit(b) for b in boards]), F.coalesce(F.col("p.boards.id"), F.array().cast("array<string>")))
-        return rows.withColumns({"expected": F.greatest(received, F.lit(len(boards))), "received": received, "reason": F.when(F.size(missing) > 0, "tracked_boards_missing")})
-    if kind == "bounty":
-        want, got = F.least(F.coalesce("p.summary.encounters", F.lit(0)), F.lit(RECENT_CAP)), n("p.recent")
-        return rows.withColumns({"expected": want + 1, "received": got + 1, "reason": F.when(got < want, F.when(got == 0, "unexpected_empty_response").otherwise("recent_encounters_incomplete"))})
-    if kind == "officers":
-        want, got = F.least(F.coalesce("p.totalResults", F.lit(0)), F.lit(OFFICER_CAP)), n("p.officers")
-        return rows.withColumns({"expected": want, "received": got, "reason": F.when(got < want, F.when(got == 0, "unexpected_empty_response").otherwise("officer_registry_incomplete"))})
-    got = n("p.entries") if kind == "leaderboard" else n("p.cityWins") + n("p.guildWins")
-    return rows.withColumns({"expected": got, "received": got, "reason": F.lit(None).cast("string")})
-
-
 def run_status(requests: Column, failed: Column, partial: Column) -> Column:
     return F.when((requests > 0) & (failed >= requests), "FAILED").when((failed > 0) | (partial > 0), "PARTIAL").otherwise("SUCCEEDED")
 
@@ -228,4 +163,5 @@ def wins_of(valid: DataFrame) -> DataFrame:
 
 
 def officers_of(valid: DataFrame) -> DataFrame:
-    return valid.select(state_hash(F.col("payload")).alias("state_hash"), "p.faction", F.explode("p.officers").alias("e")).select("state_hash", "faction", F.col("e.oid").alias("source_participant_id"), "e.name", F.col("e.rankIndex").alias("rank_index"), F.col("e.rankName").alias("rank_name"), F.col("e.currentGcwPoints").alias("current_gcw_points"))
+    state = state_hash(F.col("payload"), ["faction", "totalResults", "officers"])
+    return valid.select(state.alias("state_hash"), "p.faction", F.explode("p.officers").alias("e")).select("state_hash", "faction", F.col("e.oid").alias("source_participant_id"), "e.name", F.col("e.rankIndex").alias("rank_index"), F.col("e.rankName").alias("rank_name"), F.col("e.currentGcwPoints").alias("current_gcw_points"))

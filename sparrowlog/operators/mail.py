@@ -10,7 +10,7 @@ from sparrowlog.functions.text import clean_name, trim_all
 from sparrowlog.operators.combat import MARK, groups_of
 from sparrowlog.operators.ingest import text_hash
 
-HEADER_LINES = 8
+HEADER_LINES, LARGEST = 8, 10**15
 # Formats of trade mails, tried in this order, and the order of their groups.
 CREDITS = r"([\d,]+)\s+credits?"
 SALES = [
@@ -88,7 +88,9 @@ def parse_mails(mails: DataFrame) -> DataFrame:
 
 
 def number(text: Column) -> Column:
-    return F.replace(text, F.lit(","), F.lit("")).cast("long")
+    """Digits with commas as a number: 0 where there is no digit, no more than ``LARGEST`` so that sums stay in range."""
+    digits = F.replace(text, F.lit(","), F.lit(""))
+    return F.when(digits == "", F.lit(0).cast("long")).otherwise(F.coalesce(F.least(digits.try_cast("long"), F.lit(LARGEST)), F.when(digits.rlike(r"^\d+$"), F.lit(LARGEST))))
 
 
 def by_rules(rules, made) -> Column:

@@ -1,6 +1,6 @@
 """Processors of valid payloads, one for each kind of feed, the outcome of requests, and repairs by a newer parser.
 
-Each takes what the archive has and valid payloads (``ingest.validate`` without issues), and gives rows to append or replace;
+Each takes what the archive has and valid payloads (``contracts.validate`` without issues), and gives rows to append or replace;
 nothing here loops over payloads, so a batch of any number of them is one job.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparrowlog.functions.latest import latest_per_key
 from sparrowlog.functions.text import redact
-from sparrowlog.operators import combat, ingest, mail, merge
+from sparrowlog.operators import combat, contracts, ingest, mail, merge
 
 BOARD_FIELDS = ["name", "tracker_oid", "category", "value_type"]
 STATE = ["leaderboard_id", "starts_at", "ends_at", "subject"]
@@ -51,10 +51,14 @@ def bounty(known: DataFrame, valid: DataFrame, source: str) -> DataFrame:
     return merge.insert_if_absent(known, ingest.encounters_of(valid, source), ["fingerprint"], [F.asc("event_at")])
 
 
+BOUNTY_STATE = ["windowDays", "summary", "hunters", "targets", "survivors"]
+
+
 def bounty_aggregates(known: DataFrame, valid: DataFrame) -> DataFrame:
-    """(state_hash, window_days, summary, first_fetched_at) of summaries that ``known`` (state_hash) lacks."""
-    rows = valid.select(F.sha2(F.to_json(F.struct("p.windowDays", "p.summary")), 256).alias("state_hash"), F.col("p.windowDays").alias("window_days"), F.col("p.summary").alias("summary"), F.to_timestamp("p.fetchedAt").alias("at"))
-    rows = rows.groupBy("state_hash").agg(F.first("window_days").alias("window_days"), F.first("summary").alias("summary"), F.min("at").alias("first_fetched_at"))
+    """(state_hash, window_days, summary, hunters, targets, survivors, first_fetched_at) of states that ``known`` (state_hash) lacks."""
+    state = ingest.state_hash(F.col("payload"), BOUNTY_STATE).alias("state_hash")
+    rows = valid.select(state, F.col("p.windowDays").alias("window_days"), *[F.col(f"p.{c}") for c in BOUNTY_STATE[1:]], F.to_timestamp("p.fetchedAt").alias("at"))
+    rows = rows.groupBy("state_hash").agg(*[F.first(c).alias(c) for c in ("window_days", *BOUNTY_STATE[1:])], F.min("at").alias("first_fetched_at"))
     return rows.join(known.select("state_hash"), "state_hash", "left_anti")
 
 
@@ -86,7 +90,7 @@ def officer_corps(rows: DataFrame, top: int = 5) -> DataFrame:
 def archived(raw: DataFrame, kind: str) -> DataFrame:
     """Rows of (source, payload, observed_at) as they are archived, valid or not: their hash, status and issues. The archive is
     written before any processor sees a payload, so what fails stays to be read again."""
-    rows = ingest.validate(raw, kind)
+    rows = contracts.validate(raw, kind)
     status = F.when(F.try_parse_json("payload").isNull(), "INVALID_JSON").when(F.size("issues") > 0, "REJECTED").otherwise("PROCESSED")
     return rows.select("source", "payload", "observed_at", F.sha2(F.coalesce(F.to_json(F.try_parse_json("payload")), "payload"), 256).alias("payload_hash"), status.alias("status"), "issues")
 
@@ -124,11 +128,18 @@ def reparse_combat(unparsed: DataFrame, events: DataFrame) -> tuple[DataFrame, D
     return merge.insert_if_absent(events, found, ["user_id", "fingerprint"], [F.asc("occurred_at")]), stay
 
 
-def log_record(level: Column, event: Column, context: Column, at: Column) -> Column:
-    """A structured log line as JSON, with secrets of the context and addresses of databases replaced."""
-    plain = F.regexp_replace(redact(context), r"(?i)\bpostgres(?:ql)?://\S+", "[REDACTED_DATABASE_URL]")
-    plain = F.regexp_replace(plain, r"(?i)\bbasic\s+[a-z0-9+/=]{8,}", "Basic [REDACTED]")
-    return F.to_json(F.struct(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), level.alias("level"), event.alias("event"), plain.alias("context")))
+def log_records(rows: DataFrame, level: Column, event: Column, context: Column, at: Column, environment: str = "development", service: str = "sparrowlog") -> DataFrame:
+    """Adds ``record``, a structured log line as JSON: the fields of the context (a JSON object) without its secrets, then
+    timestamp, level, event, environment and service, which no field of the context can replace. A context that is no object is
+    the field ``context``."""
+    own = F.struct(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), level.alias("level"), event.alias("event"), F.lit(environment).alias("environment"), F.lit(service).alias("service"))
+    # a column of its own, as lambdas take no Python function
+    rows = rows.withColumn("_own", F.to_json(own)).withColumn("_plain", redact(context))
+    is_object = F.try_variant_get(F.try_parse_json("_plain"), "$", contracts.MAP).isNotNull()
+    fields = F.when(is_object, F.col("_plain")).otherwise(F.to_json(F.struct(F.col("_plain").alias("context"))))
+    rows = rows.withColumn("_fields", contracts.canonical_state(fields, drop=["timestamp", "level", "event", "environment", "service"]))
+    inner = F.nullif(F.substring("_fields", F.lit(2), F.length("_fields") - 2), F.lit(""))
+    return rows.withColumn("record", F.concat(F.lit("{"), F.concat_ws(",", inner, F.substring("_own", F.lit(2), F.length("_own") - 2)), F.lit("}"))).drop("_own", "_plain", "_fields")
 
 
 def amount(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparrowlog.functions import numbers
 from sparrowlog.functions import text as tx
-from sparrowlog.operators import combat, ingest, mail, merge, process
+from sparrowlog.operators import combat, contracts, ingest, mail, merge, process
 from sparrowlog.plans import lens
 from sparrowlog.plans.ingest_queries import E, W, events, payloads
 from sparrowlog.plans.register import query
@@ -47,11 +47,15 @@ def canonical(spark, d):
     return event(spark, d, ingest.canonical_json(raw).alias("json"))
 
 
-@query("hsh4_state_hash", f"""SELECT event_id, sha256('{{"id":"b","n":"'||{K}||'"}}') AS state_hash FROM events""")
+@query("hsh4_state_hash", f"""SELECT event_id, sha256('{{"id":"b","m":{{"x":['||{K}||',"'||{K}||'"],"y":1}},"n":'||{K}||'}}') AS state_hash, sha256('{{"n":'||{K}||'}}') AS named_hash FROM events""")
 def state_hash(spark, d):
+    """Keys come in two orders at both depths, and a number stands beside its text."""
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    raw = F.concat(F.lit('{"n":'), k(), F.lit(',"fetchedAt":"'), at, F.lit('","id":"b"}'))
-    return event(spark, d, ingest.state_hash(raw).alias("state_hash"))
+    x = F.concat(F.lit('"x" : ['), k(), F.lit(', "'), k(), F.lit('"]'))
+    one_, other = F.concat(F.lit('{"y":1,'), x, F.lit("}")), F.concat(F.lit("{ "), x, F.lit(',"y":1.0}'))
+    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"n":'), k(), F.lit(',"fetchedAt":"'), at, F.lit('","m":'), one_, F.lit(',"id":"b"}')))
+    raw = raw.otherwise(F.concat(F.lit('{"m":'), other, F.lit(',"id":"b","n":'), k(), F.lit("}")))
+    return event(spark, d, contracts.state_hash(raw).alias("state_hash"), contracts.state_hash(raw, ["n", "absent"]).alias("named_hash"))
 
 
 @query("hsh6_line_fingerprint", f"SELECT event_id, sha256('chat.txt|'||event_id||'|'||{K}||'|'||event_type) AS fingerprint FROM events")
@@ -93,87 +97,179 @@ def novelty(spark, d):
     return ingest.novel_paths(known, one(paths_of(spark, d, [2])), ["$.user"])
 
 
-@query("sch6_unknown_fields", f"SELECT '$.tags[].x' AS path, count(*) AS payloads FROM events WHERE {K}%3=2 UNION ALL SELECT '$.user', count(*) FROM events")
-def unknown_fields(spark, d):
-    allowed = spark.createDataFrame([("$",), ("$.tags",), ("$.tags[]",)], "path string")
-    return ingest.unknown_fields(paths_of(spark, d, [0, 1, 2]), allowed).groupBy("path").agg(F.count("*").alias("payloads"))
+MIXED = ["[]", '["a"]', "[[]]", '{"t":[]}', '{"t":["x","y"]}', '{"b":{"d":1,"c":[{}]},"a":true}', '[{"x":[1]},{"x":[]},{"x":[2,"s"]}]', '{"~,~":"#","{a},{a}":null,"#":[1,1.5,-2e3]}', '"x"', "oops"]
+MIXED_PATHS = ["$:array", "$:array;$[]:string", "$:array;$[]:array", "$.t:array;$:object", "$.t:array;$.t[]:string;$:object", "$.a:boolean;$.b.c:array;$.b.c[]:object;$.b.d:number;$.b:object;$:object", "$:array;$[].x:array;$[].x[]:number|string;$[]:object", "$.#:array;$.#[]:number;$.{a},{a}:null;$.~,~:string;$:object", "$:string"]
+OPEN = ("$:array", "$:array;$[]:array", "$.t:array;$:object")
 
 
-@query("flt13_has_array", f"SELECT event_id AS id FROM events WHERE {K}%3=1")
-def has_array(spark, d):
-    return paths_of(spark, d, [0, 1, 2]).filter((F.col("path") == "$.tags[]") & F.array_contains("types", "string")).select("id")
-
-
-# --- contracts
+@query("sch1_sch2_sch3_mixed_payloads", f"""WITH p AS (SELECT event_id, {sql_case('event_id', *map(repr, MIXED_PATHS), 'NULL')} AS paths FROM events) SELECT event_id, paths, sha256('["'||replace(paths,';','","')||'"]') AS signature, paths NOT IN {OPEN} AS comparable FROM p WHERE paths IS NOT NULL""")
+def mixed_payloads(spark, d):
+    """Empty arrays beside arrays of one text, arrays in arrays, keys that look like marks, and what is no JSON."""
+    rows = ingest.payload_signatures(event(spark, d, case(F.col("event_id"), *MIXED).alias("payload")), "event_id", "payload")
+    return rows.select("event_id", F.array_join("paths", ";").alias("paths"), "signature", "comparable")
 
 
-ISSUES = ("", "summary: Kills plus failures does not equal encounters", "recent: A failed encounter must have zero source credits", "summary: rate", "recent: wrong encounter", "windowDays: not positive;summary: negative;summary: rate;summary: Kills plus failures does not equal encounters;recent: wrong encounter;recent: A failed encounter must have zero source credits;fetchedAt: not a timestamp")
+UNKNOWN = {
+    "bounty": ('{"windowDays":1,"more":2,"summary":{"kills":1,"new":{"deep":1},"largestBounty":{"x":1,"credits":3}},"recent":[{"a":1},{"a":2,"outcome":"KILL"},7],"targets":[{"kills":1}],"hunters":[{"kills":1}]}', "$.more;$.recent[].a;$.summary.largestBounty.x;$.summary.new;$.targets[].kills"),
+    "leaderboard": ('{"id":"X","entries":[{"rank":1,"fresh":"kept"},{"fresh":2}]}', "$.entries[].fresh"),
+    "catalog": ('{"boards":{"id":1},"extra":[{"y":1}]}', "$.extra"),
+    "wins": ('{"cityWins":[{"wins":1,"oid":2}],"guildWins":[{"score":1}]}', "$.cityWins[].oid;$.guildWins[].score"),
+    "officers": ("[1]", "$:non-object"),
+}
 
 
-def bounty(spark, d):
-    n = F.col("event_id")
-    good = F.concat(
-        F.lit('{"more":1,"windowDays":14,"fetchedAt":"2024-01-20T12:00:00Z","summary":{"kills":1,"failures":2,"encounters":'), case(n, "3", "4", "3", "3", "3", "3"), F.lit(',"successRate":'), case(n, "0.5", "0.5", "0.5", "2", "1", "0"),
-        F.lit(',"creditsPaid":5,"averageBounty":1.5,"distinctHunters":1,"distinctTargets":1,"largestBounty":null},"recent":[{"timestamp":"'), case(n, "2024-01-20T12:00:00+02:00", "2024-01-20T12:00Z", "2024-01-20T12:00:00.5Z", "2024-01-20T12:00:00Z", "yesterday", "x"),
-        F.lit('","outcome":"'), case(n, "KILL", "KILL", "FAILED", "KILL", "KILL", "KILL"), F.lit('","hunterName":"a","targetName":"b","credits":5}]}'),
-    )
-    return event(spark, d, case(n, good, good, good, good, good, "no json").alias("payload"))
+@query("sch6_unknown_fields", "SELECT o_orderkey, CASE WHEN o_orderkey%6=5 THEN 'leaderboard' ELSE " + sql_case("o_orderkey", *map(repr, UNKNOWN), "''") + " END AS feed, " + sql_case("o_orderkey", *[repr(x) for _, x in UNKNOWN.values()], "''") + " AS fields FROM orders")
+def unknown_fields(spark, d):
+    """The feeds' own lists; the sixth payload has an empty known array and nothing new."""
+    o, n = lens.table(spark, d, "orders"), F.col("o_orderkey")
+    rows = o.select("o_orderkey", case(n, *UNKNOWN, "leaderboard").alias("feed"), case(n, *[x for x, _ in UNKNOWN.values()], '{"id":"X","period":"CURRENT","entries":[]}').alias("payload"))
+    found = F.lit(None).cast("array<string>")
+    for kind in UNKNOWN:
+        found = F.when(F.col("feed") == kind, contracts.unknown_fields(F.col("payload"), kind)).otherwise(found)
+    return rows.select("o_orderkey", "feed", F.array_join(found, ";").alias("fields"))
 
 
-@query("val1_val2_bounty_contract", f"SELECT event_id, {sql_case('event_id', *map(repr, ISSUES))} AS issues FROM events")
-def bounty_contract(spark, d):
-    return ingest.validate(bounty(spark, d), "bounty").select("event_id", F.array_join("issues", ";").alias("issues"))
+@query("flt13_has_array", f"SELECT event_id AS id FROM events WHERE {K}%3=1")
+def has_array(spark, d):
+    return paths_of(spark, d, [0, 1, 2]).filter((F.col("path") == "$.tags[]") & F.array_contains("types", "string")).select("id")
 
 
-BOARD = ("", "entries: Duplicate participant in source response", "entries: scoreRaw", "periodEndTime: Period must end after it starts", "valueType: not allowed", "id: empty;subject: not allowed")
+# --- contracts
 
 
-@query("val2_leaderboard_contract", f"SELECT c_custkey, {sql_case('c_custkey', *map(repr, BOARD))} AS issues FROM customer")
+def swapped(good: str, *changes: tuple[str, str]):
+    """Payloads: the good one, and it with one text put for another in each."""
+    for old, _ in changes:
+        if good.count(old) != 1:
+            raise ValueError(old)
+    return [good, *[good.replace(old, new) for old, new in changes]]
+
+
+FETCHED = '"fetchedAt":"2024-01-20T12:00:00Z"'
+BOUNTY = (
+    '{"more":1,"windowDays":14,"summary":{"kills":1,"failures":2,"encounters":3,"successRate":0.5,"creditsPaid":5,"averageBounty":1.5,"distinctHunters":1,"distinctTargets":1,"largestBounty":null},'
+    '"hunters":[{"rank":1,"name":"h","kills":1,"failures":0,"encounters":1,"successRate":1,"creditsEarned":5}],"targets":[{"rank":1,"name":"t","timesKilled":1,"timesSurvived":0,"encounters":1,"survivalRate":0}],"survivors":[],'
+    '"recent":[{"timestamp":"2024-01-20T12:00:00+02:00","outcome":"KILL","hunterName":"a","targetName":"b","credits":5}],' + FETCHED + "}"
+)
+LARGEST = '"largestBounty":{"timestamp":"2024-01-20T12:00Z","outcome":"FAILED","hunterName":"a","targetName":"","credits":5}'
+#: Changes of the good payload and what they are found to be.
+BOUNTY_CASES = [
+    ('"encounters":3', '"encounters":4', "$.summary: Kills plus failures does not equal encounters"),
+    ('"outcome":"KILL"', '"outcome":"FAILED"', "$.recent.0.credits: A failed encounter must have zero source credits"),
+    ('"averageBounty":1.5', '"averageBounty":-1.5', "$.summary.averageBounty: too small"),
+    ('"distinctHunters":1,"distinctTargets":1', '"distinctHunters":-1,"distinctTargets":1.5', "$.summary.distinctHunters: too small;$.summary.distinctTargets: not a whole number"),
+    ('"largestBounty":null', LARGEST, "$.summary.largestBounty.targetName: empty;$.summary.largestBounty.credits: A failed encounter must have zero source credits"),
+    ('"largestBounty":null', '"largestBounty":{"outcome":"X"}', "$.summary.largestBounty.timestamp: missing;$.summary.largestBounty.outcome: not allowed;$.summary.largestBounty.hunterName: missing;$.summary.largestBounty.targetName: missing;$.summary.largestBounty.credits: missing"),
+    (',"largestBounty":null', "", "$.summary.largestBounty: missing"),
+    ('"survivors":[],', "", "$.survivors: missing"),
+    ('"survivors":[]', '"survivors":{}', "$.survivors: not an array"),
+    ('"survivors":[]', '"survivors":null', "$.survivors: null"),
+    ('"survivalRate":0', '"survivalRate":1.01', "$.targets.0.survivalRate: too large"),
+    ('"creditsEarned":5', '"creditsEarned":"5"', "$.hunters.0.creditsEarned: not a number"),
+    ('"survivors":[]', '"survivors":[3,{"rank":0}]', "$.survivors.0: not an object;$.survivors.1.rank: too small;$.survivors.1.name: missing;$.survivors.1.timesKilled: missing;$.survivors.1.timesSurvived: missing;$.survivors.1.encounters: missing;$.survivors.1.survivalRate: missing"),
+    ('"windowDays":14', '"windowDays":0', "$.windowDays: too small"),
+    ("12:00:00+02:00", "24:00:00+02:00", "$.recent.0.timestamp: wrong format"),
+    ('2024-01-20T12:00:00Z"', '2023-02-29T12:00:00Z"', "$.fetchedAt: wrong format"),
+    ('"hunterName":"a"', '"hunterName":null', "$.recent.0.hunterName: null"),
+    (BOUNTY, "[1]", "$: not an object"),
+    (BOUNTY, "no json", "$: not JSON"),
+]
+
+
+@query("val1_val2_bounty_contract", f"SELECT o_orderkey, {sql_case('o_orderkey', repr(''), *[repr(x) for *_, x in BOUNTY_CASES])} AS issues FROM orders")
+def bounty_contract(spark, d):
+    payload = case(F.col("o_orderkey"), *swapped(BOUNTY, *[x[:2] for x in BOUNTY_CASES]))
+    rows = lens.table(spark, d, "orders").select("o_orderkey", payload.alias("payload"))
+    return contracts.validate(rows, "bounty").select("o_orderkey", F.array_join("issues", ";").alias("issues"))
+
+
+NONE = '"guildAbbreviation":null,"faction":null,"planet":null'
+BOARD = '{"id":"b","period":"CURRENT","subject":"player","valueType":"RAW","totalScore":3,"periodStartTime":10,"periodEndTime":20,"entries":[{"rank":1,"participantId":"p1","name":"n","score":1.5,"scoreRaw":"7.8584846559953885%",' + NONE + ',"cityName":"c"},{"rank":1,"participantId":"p2","name":"","score":1,"scoreRaw":"-2",' + NONE + ',"cityName":null}],' + FETCHED + "}"
+BOARD_CASES = [
+    ('"participantId":"p2"', '"participantId":"p1"', "$.entries: Duplicate participant in source response"),
+    ("7.8584846559953885%", "7.85%%", "$.entries.0.scoreRaw: wrong format"),
+    ('"periodEndTime":20', '"periodEndTime":10', "$.periodEndTime: Period must end after it starts"),
+    ('"valueType":"RAW"', '"valueType":"STARS"', "$.valueType: not allowed"),
+    ('"cityName":"c"', '"city":"c"', "$.entries.0.cityName: missing"),
+    ('"cityName":"c"', '"cityName":5', "$.entries.0.cityName: not a text"),
+    ('"totalScore":3', '"totalScore":1e400', "$.totalScore: not a number"),
+    ('"periodStartTime":10', '"periodStartTime":99999999999999999', "$.periodStartTime: too large;$.periodEndTime: Period must end after it starts"),
+    ('"id":"b"', '"id":""', "$.id: empty"),
+]
+
+
+@query("val2_leaderboard_contract", f"SELECT c_custkey, {sql_case('c_custkey', repr(''), *[repr(x) for *_, x in BOARD_CASES])} AS issues FROM customer")
 def leaderboard_contract(spark, d):
-    n, c = F.col("c_custkey"), lens.table(spark, d, "customer")
-    entry = lambda p, raw: F.concat(F.lit('{"rank":1,"participantId":"'), p, F.lit('","name":"n","score":1.5,"scoreRaw":"'), raw, F.lit('"}'))
-    payload = F.concat(
-        F.lit('{"id":"'), case(n, "b", "b", "b", "b", "b", ""), F.lit('","period":"CURRENT","subject":"'), case(n, "player", "guild", "city", "player", "player", "planet"), F.lit('","valueType":"'), case(n, "RAW", "RAW", "PERCENT", "RAW", "STARS", "METERS"),
-        F.lit('","totalScore":3,"periodStartTime":10,"periodEndTime":'), case(n, "20", "20", "20", "10", "20", "20"), F.lit(',"entries":['), entry(F.lit("p1"), case(n, "1.5", "-2", "1.5 cr", "3%", "1", "1")), F.lit(","), entry(case(n, "p2", "p1", "p2", "p2", "p2", "p2"), F.lit("7")),
-        F.lit('],"fetchedAt":"2024-01-20T12:00:00Z"}'),
-    )
-    return ingest.validate(c.select("c_custkey", payload.alias("payload")), "leaderboard").select("c_custkey", F.array_join("issues", ";").alias("issues"))
+    payload = case(F.col("c_custkey"), *swapped(BOARD, *[x[:2] for x in BOARD_CASES]))
+    rows = lens.table(spark, d, "customer").select("c_custkey", payload.alias("payload"))
+    return contracts.validate(rows, "leaderboard").select("c_custkey", F.array_join("issues", ";").alias("issues"))
 
 
-@query("val3_first_issues", "SELECT c_custkey, 8 AS issues FROM customer")
+@query("val3_first_issues", "SELECT c_custkey, least(c_custkey%12, 8)::INT AS issues, (c_custkey%12)::INT AS affected FROM customer")
 def first_issues(spark, d):
-    rows = lens.table(spark, d, "customer").select("c_custkey", F.lit("{}").alias("payload"))
-    return ingest.validate(rows, "leaderboard").select("c_custkey", F.size("issues").alias("issues"))
-
-
-@query("val1_other_contracts", "SELECT s_suppkey, CASE WHEN s_suppkey%2=0 THEN '' ELSE 'boards: wrong board' END AS catalog, CASE WHEN s_suppkey%3=0 THEN 'guildWins: wrong entry' ELSE '' END AS wins, CASE WHEN s_suppkey%5=0 THEN 'faction: not allowed;officers: Duplicate officer identity in source response' ELSE '' END AS officers FROM supplier")
+    """Boards of c_custkey % 12 wrong entries: eight issues are told, and every path that is affected."""
+    entry = F.lit('{"rank":0,"participantId":"","name":"n","score":1,"scoreRaw":"1",' + NONE + ',"cityName":null}')
+    entry = F.regexp_replace(F.regexp_replace(entry, '"rank":0', '"rank":1'), '"participantId":""', '"participantId":"p#"')
+    entries = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: F.regexp_replace(F.when(i < F.col("c_custkey") % 12, F.regexp_replace(entry, '"rank":1', '"rank":0')).otherwise(entry), "#", i.cast("string")))
+    head, tail_ = BOARD.split('"entries":[')[0] + '"entries":[', "]," + FETCHED + "}"
+    rows = lens.table(spark, d, "customer").select("c_custkey", F.concat(F.lit(head), F.array_join(entries, ","), F.lit(tail_)).alias("payload"))
+    return contracts.validate(rows, "leaderboard").select("c_custkey", F.size("issues").alias("issues"), F.size("affected").alias("affected"))
+
+
+CATALOG = '{"boards":[{"id":"1","trackerOid":"t","name":"n","category":"c","valueType":"CREDITS","periodStartTime":0,"periodEndTime":5}],' + FETCHED + "}"
+WINS = '{"id":"w","cityWins":[],"guildWins":[{"rank":1,"participantId":"g","name":"n","wins":0,' + NONE + "}]," + FETCHED + "}"
+OFFICER = '{"oid":"1","name":"n","factionName":"f","rankIndex":1,"rankName":"r","currentGcwPoints":1,"currentPvpKills":1,"lifetimeGcwPoints":1,"lifetimePvpKills":1,"profession":null,"guildName":null,"guildAbbreviation":null,"residentPlanet":null,"residentCityName":"x"}'
+OFFICERS = '{"faction":"REBEL","totalResults":2,"officers":[' + OFFICER + "," + OFFICER.replace('"oid":"1"', '"oid":"2"') + "]," + FETCHED + "}"
+OTHER_CASES = {
+    "catalog": (CATALOG, [("CREDITS", "GOLD", "$.boards.0.valueType: not allowed"), ('"periodEndTime":5', '"periodEndTime":0', "$.boards.0.periodEndTime: too small"), ('"boards":', '"boxes":', "$.boards: missing")]),
+    "wins": (WINS, [('"wins":0', '"wins":-1', "$.guildWins.0.wins: too small"), ('"cityWins":[]', '"cityWins":""', "$.cityWins: not an array"), ("2024-01-20T12:00:00Z", "2024-01-20", "$.fetchedAt: wrong format")]),
+    "officers": (OFFICERS, [("REBEL", "NEUTRAL", "$.faction: not allowed"), ('"oid":"2"', '"oid":"1"', "$.officers: Duplicate officer identity in source response"), ('"totalResults":2', '"totalResults":-2', "$.totalResults: too small"), ('"totalResults":2', '"totalResults":true', "$.totalResults: not a number")]),
+}
+
+
+@query("val1_other_contracts", "SELECT s_suppkey, " + ", ".join(f"{sql_case('s_suppkey', repr(''), *[repr(x) for *_, x in cases])} AS {kind}" for kind, (_, cases) in OTHER_CASES.items()) + " FROM supplier")
 def other_contracts(spark, d):
     s, n = lens.table(spark, d, "supplier"), F.col("s_suppkey")
-    at = '"fetchedAt":"2024-01-20T12:00:00Z"}'
-    board = F.concat(F.lit('{"boards":[{"id":"'), n, F.lit('","trackerOid":"t","name":"n","category":"c","valueType":"'), F.when(n % 2 == 0, "CREDITS").otherwise("GOLD"), F.lit('","periodStartTime":0,"periodEndTime":5}],' + at))
-    wins = F.concat(F.lit('{"id":"w","cityWins":[],"guildWins":[{"rank":1,"participantId":"g","name":"n","wins":'), F.when(n % 3 == 0, -1).otherwise(n).cast("string"), F.lit("}]," + at))
-    officer = lambda oid: F.concat(F.lit('{"oid":"'), oid, F.lit('","name":"n","factionName":"f","rankIndex":1,"rankName":"r","currentGcwPoints":1,"currentPvpKills":1,"lifetimeGcwPoints":1,"lifetimePvpKills":1}'))
-    officers = F.concat(F.lit('{"faction":"'), F.when(n % 5 == 0, "NEUTRAL").otherwise("REBEL"), F.lit('","totalResults":2,"officers":['), officer(F.lit("1")), F.lit(","), officer(F.when(n % 5 == 0, "1").otherwise("2")), F.lit("]," + at))
-    out = s.select("s_suppkey", board.alias("catalog"), wins.alias("wins"), officers.alias("officers"))
-    for kind in ("catalog", "wins", "officers"):
-        checked = ingest.validate(out.select("s_suppkey", F.col(kind).alias("payload")), kind).select("s_suppkey", F.array_join("issues", ";").alias(kind))
+    out = s.select("s_suppkey", *[case(n, *swapped(good, *[x[:2] for x in cases])).alias(kind) for kind, (good, cases) in OTHER_CASES.items()])
+    for kind in OTHER_CASES:
+        checked = contracts.validate(out.select("s_suppkey", F.col(kind).alias("payload")), kind).select("s_suppkey", F.array_join("issues", ";").alias(kind))
         out = out.drop(kind).join(checked, "s_suppkey")
     return out
 
 
-@query("int1_bounty_completeness", f"""WITH e AS (SELECT event_id, {K} AS k FROM events) SELECT event_id, least(k, 12)+1 AS expected, k%5+1 AS received, CASE WHEN k%5<least(k,12) THEN CASE WHEN k%5=0 THEN 'unexpected_empty_response' ELSE 'recent_encounters_incomplete' END END AS reason FROM e""")
+def told(rows, *key):
+    """Problems as text: what, why, expected, received, missing."""
+    text = F.transform("problems", lambda p: F.concat_ws(",", p["event"], p["reason"], F.coalesce(p["expected"].cast("int").cast("string"), F.lit("-")), F.coalesce(p["received"].cast("int").cast("string"), F.lit("-")), F.array_join(p["missing"], "+")))
+    return rows.select(*key, "expected", "received", F.array_join(text, ";").alias("problems"))
+
+
+@query("int1_bounty_completeness", f"""WITH e AS (SELECT event_id, {K} AS k FROM events) SELECT event_id, least(k, 12)+1.0::DOUBLE AS expected, k%5+1.0::DOUBLE AS received,
+CASE WHEN k%5<least(k,12) THEN 'source_integrity_failed,'||CASE WHEN k%5=0 THEN 'unexpected_empty_response' ELSE 'recent_encounters_incomplete' END||','||least(k,12)||','||(k%5) ELSE '' END AS problems FROM e""")
 def bounty_completeness(spark, d):
-    one_ = '{"timestamp":"2024-01-20T12:00:00Z","outcome":"KILL","hunterName":"a","targetName":"b","credits":5}'
-    payload = F.concat(F.lit('{"windowDays":14,"summary":{"encounters":'), k(), F.lit('},"recent":['), F.array_join(F.array_repeat(F.lit(one_), k() % 5), ","), F.lit("]}"))
-    return ingest.completeness(ingest.validate(event(spark, d, payload.alias("payload")), "bounty"), "bounty").select("event_id", "expected", "received", "reason")
+    payload = F.concat(F.lit('{"windowDays":14,"summary":{"encounters":'), F.when(F.col("event_id") % 2 == 0, k().cast("string")).otherwise(F.concat(F.lit('" '), k(), F.lit('"'))), F.lit('},"recent":['), F.array_join(F.array_repeat(F.lit("{}"), k() % 5), ","), F.lit("]}"))
+    return told(contracts.completeness(event(spark, d, payload.alias("payload")), "bounty"), "event_id")
 
 
-@query("int1_other_completeness", "SELECT s_suppkey, least(s_suppkey*100, 250) AS officers_expected, 1 AS officers_received, CASE WHEN least(s_suppkey*100, 250)>1 THEN 'officer_registry_incomplete' END AS officers_reason, 2 AS boards_expected, 1 AS boards_received, CASE WHEN s_suppkey%2=0 THEN 'tracked_boards_missing' ELSE 'tracked_boards_missing' END AS boards_reason FROM supplier")
+PAGES = [
+    ('{"entries":[1,2]}', 2, 2, ""), ('{"entries":[],"pagination":{"pagesReceived":2,"totalPages":4,"complete":false}}', 0, 0, "pagination_incomplete,pagination_incomplete,4,2"), ('{"entries":[1],"total_pages":"3","current_page":1}', 1, 1, "pagination_incomplete,pagination_incomplete,3,1"),
+    ('{"entries":[1],"totalPages":3,"pagesReceived":3}', 1, 1, ""), ('{"entries":[1],"isComplete":false}', 1, 1, "pagination_incomplete,pagination_incomplete,-,-"), ('{"entries":{},"complete":"false"}', 0, 0, ""), ("[1]", 1, 0, "source_integrity_failed,non_object_response,1,0"), ("oops", 1, 0, "source_integrity_failed,non_object_response,1,0"),
+]
+
+
+@query("int1_pagination", f"SELECT o_orderkey, {sql_case('o_orderkey', *[str(x) + '.0' for _, x, _, _ in PAGES])}::DOUBLE AS expected, {sql_case('o_orderkey', *[str(x) + '.0' for _, _, x, _ in PAGES])}::DOUBLE AS received, {sql_case('o_orderkey', *[repr(x) for *_, x in PAGES])} AS problems FROM orders")
+def pages(spark, d):
+    rows = lens.table(spark, d, "orders").select("o_orderkey", case(F.col("o_orderkey"), *[x[0] for x in PAGES]).alias("payload"))
+    return told(contracts.completeness(rows, "leaderboard"), "o_orderkey")
+
+
+@query("int1_other_completeness", """SELECT s_suppkey, least(s_suppkey*100, 250)::DOUBLE AS officers_expected, 1.0::DOUBLE AS officers_received, CASE WHEN s_suppkey%3=0 THEN 'pagination_incomplete,pagination_incomplete,2,1'||CASE WHEN s_suppkey>0 THEN ';' ELSE '' END ELSE '' END||CASE WHEN s_suppkey>0 THEN 'source_integrity_failed,officer_registry_incomplete,'||least(s_suppkey*100, 250)||',1' ELSE '' END AS officers_problems,
+2.0::DOUBLE AS boards_expected, CASE WHEN s_suppkey%2=0 THEN 1.0 ELSE 2.0 END::DOUBLE AS boards_received, CASE WHEN s_suppkey%2=0 THEN 'source_integrity_failed,tracked_boards_missing,-,-,b' ELSE '' END AS boards_problems FROM supplier""")
 def other_completeness(spark, d):
+    """Two problems of one payload at once, and catalogues with a board missing or only another kind of id."""
     s, n = lens.table(spark, d, "supplier"), F.col("s_suppkey")
-    officers = s.select("s_suppkey", F.concat(F.lit('{"faction":"REBEL","totalResults":'), n * 100, F.lit(',"officers":[{"oid":"1"}]}')).alias("payload"))
-    boards = s.select("s_suppkey", F.concat(F.lit('{"boards":[{"id":"'), F.when(n % 2 == 0, "a").otherwise("z"), F.lit('"}]}')).alias("payload"))
-    of = lambda rows, kind, name, **o: ingest.completeness(ingest.validate(rows, kind), kind, **o).select("s_suppkey", *[F.col(c).alias(f"{name}_{c}") for c in ("expected", "received", "reason")])
+    officers = s.select("s_suppkey", F.concat(F.lit('{"faction":"REBEL","totalResults":'), n * 100, F.when(n % 3 == 0, ',"totalPages":2,"currentPage":1').otherwise(""), F.lit(',"officers":[{"oid":"1"}]}')).alias("payload"))
+    boards = s.select("s_suppkey", F.concat(F.lit('{"boards":[{"id":"a"}'), F.when(n % 2 == 0, "").otherwise(',{"id":"b"}'), F.lit("]}")).alias("payload"))
+    of = lambda rows, kind, name, **o: told(contracts.completeness(rows, kind, **o), "s_suppkey").toDF("s_suppkey", *[f"{name}_{c}" for c in ("expected", "received", "problems")])
     return of(officers, "officers", "officers").join(of(boards, "catalog", "boards", boards=["a", "b"]), "s_suppkey")
 
 
@@ -229,10 +325,15 @@ def suspects(spark, d):
     return event(spark, d, combat.is_suspect(line).alias("suspect"))
 
 
-@query("str13_redaction", """SELECT event_id, '{"apiKey":"[REDACTED]","n":'||event_id||'} password=[REDACTED]&x=1 Bearer [REDACTED]' AS text FROM events""")
+@query("str13_redaction", """SELECT event_id, '{"api_key":"a","n":'||event_id||',"password":"[REDACTED]","list":[{"Auth_Token":"[REDACTED]","plain":true},"password=[REDACTED]&x=1"],"database_url":"[REDACTED]","response_headers":"[REDACTED]","last_payload":"[REDACTED]","note":"at [REDACTED_DATABASE_URL] by Basic [REDACTED] or bearer [REDACTED]"}' AS json,
+'n='||event_id||' token=[REDACTED] api-key=[REDACTED]&y=2' AS text FROM events""")
 def redaction(spark, d):
-    text = F.concat(F.lit('{"apiKey":"'), "event_type", F.lit('","n":'), "event_id", F.lit("} password="), "event_type", F.lit("&x=1 bearer abc.def=="))
-    return event(spark, d, tx.redact(text).alias("text"))
+    n, secret = F.col("event_id"), F.col("event_type")
+    json_ = F.concat(
+        F.lit('{"api_key":"a","n":'), n, F.lit(', "password" : "ab\\"'), secret, F.lit('", "list":[{"Auth_Token":12345,"plain":true},"password='), secret, F.lit('&x=1"], "database_url":"mysql://u:'), secret,
+        F.lit('@h","response_headers":{"cookie":["'), secret, F.lit('"]},"last_payload":[1,{"a":2}],"note":"at postgres://u:'), secret, F.lit("@h/x by Basic "), secret, F.lit(' or bearer abc.def=="}'),
+    )
+    return event(spark, d, tx.redact(json_).alias("json"), tx.redact(F.concat(F.lit("n="), n, F.lit(" token="), secret, F.lit(" api-key="), secret, F.lit("&y=2"))).alias("text"))
 
 
 @query("str14_display", f"SELECT event_id, format('{{:,}}', event_id*1234) AS amount, printf('%.1f%%', 100.0*{K}/7) AS percent, CASE WHEN event_id<1024 THEN event_id||' B' ELSE printf('%.1f', event_id/1024.0)||' KB' END AS size FROM events")
@@ -252,12 +353,13 @@ def stamps(spark, d):
     return event(spark, d, combat.parse(raw)["clock"].alias("clock")).filter("clock IS NOT NULL")
 
 
-@query("txt4_realism_guard", f"SELECT event_id, CASE WHEN event_id%4 IN (0,1) THEN 'damage' END AS kind, CASE event_id%4 WHEN 0 THEN 60000 WHEN 1 THEN 60001 END AS amount FROM events")
+@query("txt4_realism_guard", f"SELECT event_id, CASE WHEN event_id%6 IN (0,1,4) THEN 'damage' END AS kind, CASE event_id%6 WHEN 0 THEN 60000 WHEN 1 THEN 60001 WHEN 4 THEN {combat.MOST} END AS amount FROM events")
 def realism(spark, d):
-    who, n = case(F.col("event_id"), "Hero", "a Beast", "Hero", "Hero"), case(F.col("event_id"), "60000", "60001", "60001", "99999999999999999999")
-    row = combat.parse(F.concat(F.lit("10:11:12 "), who, F.lit(" attacks Foe with Shot and hits for "), n, F.lit(" points.")))
-    # a number too large for a long is no amount; such a line is kept as one without
-    return event(spark, d, F.explode(F.array(row)).alias("r")).select("event_id", F.when(F.col("event_id") % 4 < 3, F.col("r.kind")).alias("kind"), F.when(F.col("event_id") % 4 < 3, F.col("r.amount")).alias("amount"))
+    """Amounts over the limit are refused unless an NPC deals them, also those that no long holds."""
+    n = F.col("event_id")
+    who, points = case(n, "Hero", "a Beast", "Hero", "Hero", "the Beast", "Hero"), case(n, "60000", "60001", "60001", "99999999999999999999", "99999999999999999999", "9" * 400)
+    row = combat.parse(F.concat(F.lit("10:11:12 "), who, F.lit(" attacks Foe with Shot and hits for "), points, F.lit(" points.")))
+    return event(spark, d, F.explode(F.array(row)).alias("r")).select("event_id", "r.kind", "r.amount")
 
 
 # --- operations
@@ -277,7 +379,7 @@ def publish_once(spark, d):
 @query("src2_work_list", """WITH b AS (SELECT 'b'||i AS board FROM range(1,7) t(i)), p(period) AS (VALUES ('CURRENT'),('PREVIOUS_1'),('PREVIOUS_2')), s(subject) AS (VALUES ('player'),('guild'),('city'))
 SELECT 'bounty' AS processor, NULL AS board, NULL AS period, NULL AS subject UNION ALL SELECT 'leaderboard', board, period, subject FROM b, p, s UNION ALL SELECT 'wins', board, NULL, NULL FROM b UNION ALL SELECT 'officers', f, NULL, NULL FROM (VALUES ('IMPERIAL'),('REBEL')) t(f)""")
 def work_list(spark, d):
-    return landing.work_list(spark, [f"b{i}" for i in range(1, 7)], list(ingest.PERIODS), list(ingest.SUBJECTS), list(ingest.FACTIONS))
+    return landing.work_list(spark, [f"b{i}" for i in range(1, 7)], list(contracts.PERIODS), list(contracts.SUBJECTS), list(contracts.FACTIONS))
 
 
 def put_files(spark, name: str, files: dict[str, str]) -> str:
@@ -312,11 +414,11 @@ def mail_files(spark, d):
     return landing.mails(spark, put_files(spark, "mails", files), known).select("character", "raw")
 
 
-@query("src15_schema_report", "SELECT * FROM (VALUES ('$','array|object',2), ('$.a','number|string',1), ('$[]','number',1)) t(path, types, files)")
+@query("src15_schema_report", "SELECT * FROM (VALUES ('$','array|object',3), ('$.a','number|string',2), ('$[]','number',1)) t(path, types, files)")
 def schema_report(spark, d):
-    top = put_files(spark, "endpoints", {"a.json": '{"a": 1}', "b.json": "[1, 2]", "c.json": "no json"})
+    top = put_files(spark, "endpoints", {"a.json": '{"a": 1}', "b.json": "[1, 2]", "c.json": "no json", "d.json": '{"a": "1"}'})
     rows = export.schema_report(spark, top)
-    return rows.select("path", F.when(F.col("path") == "$.a", "number|string").otherwise(F.array_join("types", "|")).alias("types"), F.col("files").cast("int").alias("files"))
+    return rows.select("path", F.array_join("types", "|").alias("types"), F.col("files").cast("int").alias("files"))
 
 
 def landed_stream(spark, d):
@@ -334,11 +436,11 @@ def landing_stream(spark, d):
     return landed_stream(spark, d)
 
 
-@query("snk6_src11_batch_insert", "SELECT event_id AS id, event_type AS name FROM events WHERE event_id<50")
+@query("snk6_src11_batch_insert", "SELECT event_id AS id, event_type AS name FROM events")
 def batch_insert(spark, d):
-    """Arrays of one upload, each a column, as rows; an upload that comes twice adds nothing."""
+    """Arrays of uploads, each a column, as rows; uploads that come twice add nothing. An upload holds an hour of a user."""
     ids, names = F.collect_list("event_id").alias("ids"), F.collect_list("event_type").alias("names")
-    arrays = events(spark, d).filter("event_id < 50").groupBy(F.lit(1).alias("upload")).agg(ids, names)
+    arrays = events(spark, d).groupBy("user_id", F.date_trunc("hour", F.col("ts"))).agg(ids, names)
     rows = arrays.select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("names").alias("name"))))
     table = export.shared(spark, "uploads")
     for i in (0, 1):

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from sparrowlog.operators import ingest, mail, process
+from sparrowlog.operators import contracts, ingest, mail, process
 from sparrowlog.plans import lens
 from sparrowlog.plans.ingest_queries import NTZ, E, S, W, combat_lines, events, mails
 from sparrowlog.plans.register import query
@@ -16,13 +16,22 @@ O = "observations"
 CUT = dt.datetime(2024, 1, 20)
 
 
+def as_json(*columns):
+    """An object of the columns that keeps null fields."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def nothing(*names):
+    return [F.lit(None).cast("string").alias(n) for n in names]
+
+
 def fetched():
     return F.lit("2024-01-20T12:00:00Z").alias("fetchedAt")
 
 
 def valid(rows, kind):
     """Rows of (payload, ...) whose payload breaks no rule."""
-    return ingest.validate(rows, kind).filter(F.size("issues") == 0)
+    return contracts.validate(rows, kind).filter(F.size("issues") == 0)
 
 
 def catalogs(spark, d):
@@ -72,11 +81,15 @@ def entry_revisions(spark, d):
 
 
 def bounties(spark, d):
-    """A payload for each encounter."""
+    """A payload for each encounter, with its hunter and target."""
     e, won = lens.encounters(spark, d), (F.col("outcome") == "KILL").cast("long")
     one = F.struct(F.date_format("event_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), "outcome", F.col("hunter_name").alias("hunterName"), F.col("target_name").alias("targetName"), "credits")
-    summary = F.struct(won.alias("kills"), (1 - won).alias("failures"), F.lit(1).alias("encounters"), won.cast("double").alias("successRate"), F.col("credits").alias("creditsPaid"))
-    return e.select("event_at", F.to_json(F.struct(F.lit(14).alias("windowDays"), fetched(), summary.alias("summary"), F.array(one).alias("recent"))).alias("payload"))
+    count = lambda n: F.lit(n).cast("long")
+    summary = F.struct(won.alias("kills"), (1 - won).alias("failures"), count(1).alias("encounters"), won.cast("double").alias("successRate"), F.col("credits").alias("creditsPaid"), F.col("credits").cast("double").alias("averageBounty"), count(1).alias("distinctHunters"), count(1).alias("distinctTargets"), F.when(won == 1, one).alias("largestBounty"))
+    hunter = F.struct(F.lit(1).alias("rank"), F.col("hunter_name").alias("name"), won.alias("kills"), (1 - won).alias("failures"), count(1).alias("encounters"), won.cast("double").alias("successRate"), F.col("credits").alias("creditsEarned"))
+    target = F.struct(F.lit(1).alias("rank"), F.col("target_name").alias("name"), won.alias("timesKilled"), (1 - won).alias("timesSurvived"), count(1).alias("encounters"), (1 - won).cast("double").alias("survivalRate"))
+    parts = [summary.alias("summary"), F.array(hunter).alias("hunters"), F.array(target).alias("targets"), F.filter(F.array(target), lambda _: won == 0).alias("survivors"), F.array(one).alias("recent")]
+    return e.select("event_at", as_json(F.lit(14).alias("windowDays"), fetched(), *parts).alias("payload"))
 
 
 @query("prc3_bounty_encounters", f"{W(E)} SELECT DISTINCT date_trunc('millisecond', event_at) AS event_at, outcome, hunter_name, target_name, credits FROM encounters WHERE event_at>=TIMESTAMP '2024-01-20'")
@@ -86,20 +99,23 @@ def bounty_encounters(spark, d):
     return process.bounty(known, valid(rows, "bounty"), "archive").select(F.col("event_at").cast(NTZ).alias("event_at"), "outcome", "hunter_name", "target_name", "credits")
 
 
-@query("prc3_bounty_aggregates", f"{W(E)} SELECT DISTINCT credits AS credits_paid, (outcome='KILL')::BIGINT AS kills FROM encounters")
+@query("prc3_bounty_aggregates", f"""{W(E)}, s AS (SELECT DISTINCT credits, outcome, hunter_name, target_name, CASE WHEN outcome='KILL' THEN date_trunc('millisecond', event_at) END AS at FROM encounters)
+SELECT credits AS credits_paid, (outcome='KILL')::BIGINT AS kills, hunter_name AS hunter, target_name AS target, CASE WHEN outcome='KILL' THEN 0 ELSE 1 END AS survivors, count(*) AS states FROM s GROUP BY 1,2,3,4,5""")
 def bounty_aggregates(spark, d):
+    """States differ if only a hunter or a target does; the events of failures, which the state doesn't name, make none."""
     none = spark.createDataFrame([], "state_hash string")
-    return process.bounty_aggregates(none, valid(bounties(spark, d), "bounty")).select(F.col("summary.creditsPaid").alias("credits_paid"), "summary.kills")
+    rows = process.bounty_aggregates(none, valid(bounties(spark, d), "bounty"))
+    return rows.groupBy(F.col("summary.creditsPaid").alias("credits_paid"), "summary.kills", F.col("hunters")[0]["name"].alias("hunter"), F.col("targets")[0]["name"].alias("target"), F.size("survivors").alias("survivors")).agg(F.count("*").alias("states"))
 
 
 @query("prc4_wins", """WITH w AS (SELECT 'guild' AS subject, 'g'||(s_suppkey%40) AS source_participant_id, CAST(s_suppkey%9 AS INT) AS wins, CAST(s_suppkey%7+1 AS INT) AS rank FROM supplier UNION SELECT 'city', 'c'||s_nationkey, CAST(s_suppkey%9 AS INT), CAST(s_suppkey%7+1 AS INT) FROM supplier)
 SELECT DISTINCT 'board' AS leaderboard_id, w.* FROM w EXCEPT SELECT 'board', 'guild', 'g'||(s_suppkey%40), CAST(s_suppkey%9 AS INT), CAST(s_suppkey%7+1 AS INT) FROM supplier WHERE s_suppkey%2=0""")
 def board_wins(spark, d):
     s = lens.table(spark, d, "supplier")
-    entry = lambda who: F.array(F.struct((F.col("s_suppkey") % 7 + 1).cast("int").alias("rank"), who.alias("participantId"), F.lit("n").alias("name"), (F.col("s_suppkey") % 9).cast("int").alias("wins")))
+    entry = lambda who: F.array(F.struct((F.col("s_suppkey") % 7 + 1).cast("int").alias("rank"), who.alias("participantId"), F.lit("n").alias("name"), (F.col("s_suppkey") % 9).cast("int").alias("wins"), *nothing("guildAbbreviation", "faction", "planet")))
     guilds, cities = entry(F.concat(F.lit("g"), F.col("s_suppkey") % 40)).alias("guildWins"), entry(F.concat(F.lit("c"), "s_nationkey")).alias("cityWins")
     none = F.array().cast("array<struct<rank:int,participantId:string,name:string,wins:int>>").alias("cityWins")
-    payload = lambda rows, city: valid(rows.select(F.to_json(F.struct(F.lit("board").alias("id"), city, guilds, fetched())).alias("payload")), "wins")
+    payload = lambda rows, city: valid(rows.select(as_json(F.lit("board").alias("id"), city, guilds, fetched()).alias("payload")), "wins")
     return process.wins(ingest.wins_of(payload(s.filter("s_suppkey % 2 = 0"), none)), payload(s, cities))
 
 
@@ -107,8 +123,8 @@ def board_wins(spark, d):
 def officers(spark, d):
     c = lens.table(spark, d, "customer")
     points = F.floor(F.abs("c_acctbal"))
-    one = F.struct(F.col("c_custkey").cast("string").alias("oid"), F.col("c_name").alias("name"), F.lit("f").alias("factionName"), (F.col("c_custkey") % 12 + 1).cast("int").alias("rankIndex"), F.lit("r").alias("rankName"), points.alias("currentGcwPoints"), F.lit(0).alias("currentPvpKills"), points.alias("lifetimeGcwPoints"), F.lit(0).alias("lifetimePvpKills"))
-    rows = c.select("c_custkey", F.to_json(F.struct(F.when(F.col("c_custkey") % 2 == 0, "IMPERIAL").otherwise("REBEL").alias("faction"), F.array(one).alias("officers"), F.lit(1).alias("totalResults"), fetched())).alias("payload"))
+    one = F.struct(F.col("c_custkey").cast("string").alias("oid"), F.col("c_name").alias("name"), F.lit("f").alias("factionName"), (F.col("c_custkey") % 12 + 1).cast("int").alias("rankIndex"), F.lit("r").alias("rankName"), points.alias("currentGcwPoints"), F.lit(0).alias("currentPvpKills"), points.alias("lifetimeGcwPoints"), F.lit(0).alias("lifetimePvpKills"), *nothing("profession", "guildName", "guildAbbreviation", "residentPlanet", "residentCityName"))
+    rows = c.select("c_custkey", as_json(F.when(F.col("c_custkey") % 2 == 0, "IMPERIAL").otherwise("REBEL").alias("faction"), F.array(one).alias("officers"), F.lit(1).alias("totalResults"), fetched()).alias("payload"))
     known = ingest.officers_of(valid(rows.filter("c_custkey % 5 = 0"), "officers"))
     return process.officers(known, valid(rows.unionByName(rows), "officers")).select("faction", "source_participant_id", "name", "rank_index", F.col("current_gcw_points").alias("points"))
 
@@ -201,9 +217,9 @@ def exported(spark, d):
     return export.verify(spark, path, keys)
 
 
-@query("snk12_log_records", """SELECT event_id, CASE WHEN event_type='error' THEN 'error' ELSE 'info' END AS level, event_type AS event, 'token=[REDACTED] n='||user_id AS context FROM events""")
+@query("snk12_log_records", """SELECT event_id, '{"message":"token=[REDACTED] n='||user_id||'","request":{"body":"[REDACTED]","tries":'||user_id||'},"request_headers":"[REDACTED]","timestamp":"'||strftime(ts,'%Y-%m-%dT%H:%M:%S.%g')||'Z","level":"'||CASE WHEN event_type='error' THEN 'error' ELSE 'info' END||'","event":"'||event_type||'","environment":"development","service":"archive"}' AS record FROM events""")
 def log_records(spark, d):
-    rows = events(spark, d).withColumn("context", F.concat(F.lit("token=abc"), "event_id", F.lit(" n="), "user_id"))
+    """Contexts with nested secrets, a payload, and a level of their own, which doesn't count."""
+    context = F.concat(F.lit('{"request":{"tries":'), "user_id", F.lit(',"body":{"a":1}},"level":"fatal","request_headers":{"Set-Cookie":"a"},"message":"token=abc'), "event_id", F.lit(" n="), "user_id", F.lit('"}'))
     level = F.when(F.col("event_type") == "error", "error").otherwise("info")
-    record = process.log_record(level, F.col("event_type"), F.col("context"), F.col("ts"))
-    return rows.select("event_id", F.from_json(record, "level string, event string, context string").alias("r")).select("event_id", "r.*")
+    return process.log_records(events(spark, d), level, F.col("event_type"), context, F.col("ts"), service="archive").select("event_id", "record")

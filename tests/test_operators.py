@@ -4,10 +4,12 @@ import random
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparrowlog.functions import latest, text
-from sparrowlog.operators import boards, combat, encounters, ingest, mail, merge, rivalries
+from sparrowlog.operators import boards, combat, contracts, encounters, ingest, mail, merge, process, rivalries
 
 T = dt.datetime(2024, 1, 1)
 
@@ -81,7 +83,18 @@ def test_similarity_and_search(spark):
 
 def test_cleaning_and_redaction(spark):
     assert one(spark, text.clean_name(F.col("a")), a="  [Mark V  Reactor].. ") == "Mark V Reactor]"
-    assert one(spark, text.redact(F.col("a")), a='{"apiKey":"x","n":"y"} token=abc Bearer q.w') == '{"apiKey":"[REDACTED]","n":"y"} token=[REDACTED] Bearer [REDACTED]'
+
+
+def test_redaction_by_key_through_nested_values(spark):
+    value = {"password": 'ab"cdef', "token": 12345, "cookie": {"a": [1]}, "database_url": "mysql://u:p@h", "request_headers": {"x": "leak"}, "payload": [{"leak": 1}], "last_body": "leak", "deep": [{"x": [{"adminPassword": None, "ok": 1.5}]}], "secrets": ["leak", {"y": "leak"}], "n": None, "body_size": 7}
+    got = json.loads(one(spark, text.redact(F.col("a")), a=json.dumps(value)))
+    hidden = "[REDACTED]"
+    assert got == {"password": hidden, "token": hidden, "cookie": hidden, "database_url": hidden, "request_headers": hidden, "payload": hidden, "last_body": hidden, "deep": [{"x": [{"adminPassword": hidden, "ok": 1.5}]}], "secrets": hidden, "n": None, "body_size": 7}
+    plain = 'to postgresql://u:p@h/db with "Basic abc=" and BEARER q.w&x secret=1&z=2 "password":"seen"'
+    assert one(spark, text.redact(F.col("a")), a=plain) == 'to [REDACTED_DATABASE_URL] with "Basic [REDACTED] and BEARER [REDACTED] secret=[REDACTED]&z=2 "password":"seen"'
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS a").select(text.redact("a").alias("x")).first().x is None
+    assert one(spark, text.redact(F.col("a")), a='"Bearer abc"') == '"Bearer [REDACTED]'
+    assert "leak" not in one(spark, text.redact(F.col("a")), a='{"a":' * 5000 + '{"token":"leak"}' + "}" * 5000)
 
 
 # --- ingest
@@ -119,43 +132,100 @@ def test_novelty(spark):
 def test_hashes(spark):
     rows = spark.createDataFrame([('{"b":2,"a":{"d":4,"c":3}}',), ('{"a":{"c":3,"d":4},"b":2}',)], "j string")
     assert rows.select(ingest.content_hash(F.col("j")).alias("h")).distinct().count() == 1
-    rows = spark.createDataFrame([('{"id":1,"fetchedAt":"x"}',), ('{"fetchedAt":"y","id":1}',)], "j string")
-    assert rows.select(ingest.state_hash(F.col("j")).alias("h")).distinct().count() == 1
+    hashes = lambda *texts: [x.h for x in spark.createDataFrame([(x,) for x in texts], "j string").select(contracts.state_hash(F.col("j")).alias("h")).collect()]
+    same = hashes('{"id":1,"n":{"a":[1,{"x":1,"y":2}],"b":1},"fetchedAt":"x"}', '{"fetchedAt":"y","n":{"b":1.0,"a":[1,{"y":2,"x":1}]},"id":1}', '{ "n" : {"b":1, "a":[1,{"y":2,"x":1}]}, "id":1}')
+    assert len(set(same)) == 1 and None not in same
+    differ = hashes('{"n":1}', '{"n":"1"}', '{"n":null}', "{}", '{"n":[1]}', '{"n":{}}', '{"n":true}', '{"n":{"fetchedAt":1}}', '{"n\\"":1}')
+    assert len(set(differ)) == len(differ) and None not in differ
     rows = spark.createDataFrame([("a\r\nb",), ("a\nb",)], "j string")
     assert rows.select(ingest.text_hash(F.col("j")).alias("h")).distinct().count() == 1
 
 
-BOUNTY = {"windowDays": 14, "fetchedAt": "2026-08-12T00:00:00Z", "summary": {"kills": 1, "failures": 1, "encounters": 2, "successRate": 0.5, "creditsPaid": 5}, "recent": [{"timestamp": "2026-08-11T20:56:07.000-04:00", "outcome": "KILL", "hunterName": "H", "targetName": "T", "credits": 5}, {"timestamp": "2026-08-12T00:56:07Z", "outcome": "FAILED", "hunterName": "H", "targetName": "T", "credits": 0}]}
+BOUNTY = {
+    "windowDays": 14,
+    "fetchedAt": "2026-08-12T00:00:00Z",
+    "summary": {"kills": 1, "failures": 1, "encounters": 2, "successRate": 0.5, "creditsPaid": 5, "averageBounty": 5, "distinctHunters": 1, "distinctTargets": 1, "largestBounty": None},
+    "hunters": [{"rank": 1, "name": "H", "kills": 1, "failures": 1, "encounters": 2, "successRate": 0.5, "creditsEarned": 5}],
+    "targets": [{"rank": 1, "name": "T", "timesKilled": 1, "timesSurvived": 1, "encounters": 2, "survivalRate": 0.5}],
+    "survivors": [],
+    "recent": [{"timestamp": "2026-08-11T20:56:07.000-04:00", "outcome": "KILL", "hunterName": "H", "targetName": "T", "credits": 5}, {"timestamp": "2026-08-12T00:56:07Z", "outcome": "FAILED", "hunterName": "H", "targetName": "T", "credits": 0}],
+}
+
+
+def changed(**parts):
+    return json.dumps(BOUNTY | parts)
+
+
+def found(spark, kind, *payloads):
+    return [x.issues for x in contracts.validate(spark.createDataFrame([(x,) for x in payloads], "payload string"), kind).collect()]
 
 
 def test_contracts(spark):
-    bad = json.loads(json.dumps(BOUNTY))
-    bad["recent"][1]["credits"] = 3
-    bad["summary"]["kills"] = 9
-    rows = ingest.validate(spark.createDataFrame([(json.dumps(BOUNTY),), (json.dumps(bad),), ("{",)], "payload string"), "bounty").collect()
-    assert rows[0].issues == []
-    assert rows[1].issues == ["summary: Kills plus failures does not equal encounters", "recent: A failed encounter must have zero source credits"]
-    assert len(rows[2].issues) == 7
-    board = {"id": "B", "period": "CURRENT", "subject": "player", "valueType": "PERCENT", "totalScore": 1.0, "periodStartTime": 1, "periodEndTime": 2, "fetchedAt": "2026-08-12T00:00:00+02:00", "extra": 1, "entries": [{"rank": 1, "participantId": "a", "name": "A", "score": 1, "scoreRaw": "7.85%"}, {"rank": 1, "participantId": "b", "name": "B", "score": 1, "scoreRaw": "2"}]}
+    recent = [BOUNTY["recent"][0], BOUNTY["recent"][1] | {"credits": 3}]
+    got = found(spark, "bounty", changed(), changed(recent=recent, summary=BOUNTY["summary"] | {"kills": 9}), "{", "null", "{}", changed(survivors=None))
+    assert got == [
+        [],
+        ["$.recent.1.credits: A failed encounter must have zero source credits", "$.summary: Kills plus failures does not equal encounters"],
+        ["$: not JSON"],
+        ["$: null"],
+        [f"$.{c}: missing" for c in ("windowDays", "summary", "hunters", "targets", "survivors", "recent", "fetchedAt")],
+        ["$.survivors: null"],
+    ]
+    board = {"id": "B", "period": "CURRENT", "subject": "player", "valueType": "PERCENT", "totalScore": 1.0, "periodStartTime": 1, "periodEndTime": 2, "fetchedAt": "2026-08-12T00:00:00+02:00", "extra": 1}
+    none = {"guildAbbreviation": None, "faction": None, "planet": None, "cityName": None}
+    board["entries"] = [{"rank": 1, "participantId": "a", "name": "A", "score": 1, "scoreRaw": "7.85%"} | none, {"rank": 1, "participantId": "b", "name": "B", "score": 1, "scoreRaw": "2"} | none]
     twice = json.loads(json.dumps(board))
     twice["entries"][1] |= {"participantId": "a", "scoreRaw": "7.85%%"}
-    rows = ingest.validate(spark.createDataFrame([(json.dumps(board),), (json.dumps(twice),)], "payload string"), "leaderboard").collect()
-    assert rows[0].issues == [] and rows[1].issues == ["entries: scoreRaw", "entries: Duplicate participant in source response"]
+    assert found(spark, "leaderboard", json.dumps(board), json.dumps(twice)) == [[], ["$.entries.1.scoreRaw: wrong format", "$.entries: Duplicate participant in source response"]]
+
+
+def test_unknown_fields_follow_the_contracts(spark):
+    unknown = lambda kind, payload: one(spark, contracts.unknown_fields(F.col("a"), kind), a=json.dumps(payload))
+    entry = {"rank": 1, "participantId": "1", "name": "A", "score": 1, "scoreRaw": "1", "guildAbbreviation": None, "faction": None, "planet": None, "cityName": None}
+    board = {"id": "X", "period": "CURRENT", "subject": "player", "valueType": "RAW", "totalScore": 1, "periodStartTime": 1, "periodEndTime": 2, "fetchedAt": "2026-01-01T00:00:00Z"}
+    assert unknown("leaderboard", board | {"entries": [entry | {"newMetadata": "preserved"}]}) == ["$.entries[].newMetadata"]
+    assert unknown("leaderboard", board | {"entries": []}) == []
+    assert unknown("leaderboard", board | {"entries": [{"newMetadata": 1}, {"newMetadata": 2}]}) == ["$.entries[].newMetadata"]
+    assert unknown("bounty", BOUNTY) == [] and unknown("catalog", [1]) == unknown("catalog", None) == ["$:non-object"]
+    assert unknown("bounty", {"summary": {"largestBounty": {"credits": 1, "b.c": {"deep": 1}}}, "recent": "text"}) == ["$.summary.largestBounty.b.c"]
+
+
+def whole(spark, kind, payload, **options):
+    row = contracts.completeness(spark.createDataFrame([(json.dumps(payload),)], "payload string"), kind, **options).first()
+    return row.expected, row.received, [(p.event, p.reason, p.expected, p.received, p.missing) for p in row.problems]
+
 
+def test_completeness(spark):
+    failed = "source_integrity_failed"
+    assert whole(spark, "officers", {"totalResults": 2, "officers": [{"oid": "1"}, {"oid": "2"}]}) == (2, 2, [])
+    assert whole(spark, "officers", {"totalResults": 3, "officers": [{"oid": "1"}]}) == (3, 1, [(failed, "officer_registry_incomplete", 3, 1, None)])
+    assert whole(spark, "bounty", {"summary": {"encounters": 8}, "recent": []}) == (9, 1, [(failed, "unexpected_empty_response", 8, 0, None)])
+    assert whole(spark, "catalog", {"boards": [{"id": "b"}, {"id": 7}, 3]}, boards=["a", "b"]) == (3, 3, [(failed, "tracked_boards_missing", None, None, ["a"])])
+    assert whole(spark, "leaderboard", {"entries": [], "pagination": {"pagesReceived": 2, "totalPages": 4, "complete": False}}) == (0, 0, [("pagination_incomplete", "pagination_incomplete", 4, 2, None)])
+    two = whole(spark, "officers", {"totalResults": "300", "officers": [], "total_pages": 2, "currentPage": None, "current_page": "1"})
+    assert two == (250, 0, [("pagination_incomplete", "pagination_incomplete", 2, 1, None), (failed, "unexpected_empty_response", 250, 0, None)])
+    assert whole(spark, "wins", [1]) == (1, 0, [(failed, "non_object_response", 1, 0, None)])
+    assert whole(spark, "bounty", {"summary": None}) == (1, 1, [])
 
-def test_processing_and_completeness(spark):
-    ok = ingest.validate(spark.createDataFrame([(json.dumps(BOUNTY),)], "payload string"), "bounty")
+
+def test_processing(spark):
+    ok = contracts.validate(spark.createDataFrame([(changed(),)], "payload string"), "bounty")
     e = ingest.encounters_of(ok, "archive")
     assert e.filter("outcome = 'KILL'").first().event_at == dt.datetime(2026, 8, 12, 0, 56, 7).replace(tzinfo=dt.timezone.utc).astimezone().replace(tzinfo=None)
     assert e.select("fingerprint").distinct().count() == 2
-    assert ingest.completeness(ok, "bounty").first().reason is None
-    short = dict(BOUNTY, recent=[])
-    rows = ingest.completeness(ingest.validate(spark.createDataFrame([(json.dumps(short),)], "payload string"), "bounty"), "bounty").first()
-    assert (rows.expected, rows.received, rows.reason) == (3, 1, "unexpected_empty_response")
     status = lambda *a: one(spark, ingest.run_status(F.col("a"), F.col("b"), F.col("c")), a=a[0], b=a[1], c=a[2])
     assert [status(2, 2, 0), status(2, 1, 0), status(2, 0, 1), status(2, 0, 0)] == ["FAILED", "PARTIAL", "PARTIAL", "SUCCEEDED"]
 
 
+def test_states_name_their_fields(spark):
+    other = changed(hunters=[BOUNTY["hunters"][0] | {"rank": 2}])
+    later = changed(fetchedAt="2026-08-13T00:00:00Z", recent=[], extra=1)
+    turned = json.dumps({k: ({x: v[x] for x in reversed(v)} if isinstance(v, dict) else v) for k, v in reversed(BOUNTY.items())})
+    rows = contracts.validate(spark.createDataFrame([(x,) for x in (changed(), other, later, turned)], "payload string"), "bounty")
+    states = process.bounty_aggregates(spark.createDataFrame([], "state_hash string"), rows)
+    assert states.count() == 2 and {x.hunters[0]["rank"] for x in states.collect()} == {1, 2}
+
+
 def test_stale_write_changes_nothing(spark):
     schema = "store string, item_id string, payload string, updated_at timestamp_ntz, deleted boolean"
     old = spark.createDataFrame([("s", "1", "old", T, False), ("s", "2", "old", T, False)], schema)
@@ -186,7 +256,8 @@ def test_shapes_give_the_same_paths_as_walking_every_payload(spark):
     deep = "1"
     for _ in range(130):
         deep = '{"d":[' + deep + "]}"
-    texts = ['{"a":1,"b":"x"}', '{"b":"a\\":1,","a":-2.5e3}', '{"k1":1}', '{"k2":"1"}', '{"a":{"1":[]}}', '{"a":[1,"x",null,true]}', '{"a":[{"x":1},{"x":2},{"x":"y"}]}', '{"a":[{"x":1},{"x":2}]}', "[[],[1]]", '"text"', "3", "null", "no json", "", None, '{"k":"{\\"a\\":1}"}', '{"a":"' + "long " * 4000 + '"}', deep]
+    texts = ['{"a":1,"b":"x"}', '{"b":"a\\":1,","a":-2.5e3}', '{"k1":1}', '{"k2":"1"}', '{"a":{"1":[]}}', '{"a":[1,"x",null,true]}', '{"a":[{"x":1},{"x":2},{"x":"y"}]}', '{"a":[{"x":1},{"x":2}]}', "[[],[1]]", '"text"', "3", "null", "no json", "", None, '{"k":"{\\"a\\":1}"}', '{"a":"' + "long " * 4000 + '\\"' * 4000 + '"}']
+    texts += ["[]", '["a"]', '["a","b"]', "[[]]", '[["a"]]', '{"t":[]}', '{"t":["x"]}', '{"t":[{}]}', '[{"a":[]},{"a":[]}]', '[{"a":["x"]},{"a":["y"]}]', '{"~,~":1}', '{"~":1}', '{"{x},{x}":1}', '{"{x}":1}', '{"a:":"b:"}', '{"":{"":""}}', '{"true":true,"null":null,"-1":-1}', deep]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, payload string")
     key = lambda x: (x.id, x.path, tuple(x.types))
     got, want = (sorted(map(key, f(rows, "id", "payload").collect())) for f in (ingest.schema_paths, ingest.walked_paths))
@@ -194,6 +265,40 @@ def test_shapes_give_the_same_paths_as_walking_every_payload(spark):
     assert {x.id: x.signature for x in ingest.payload_signatures(rows, "id", "payload").collect()} == {x.id: x.signature for x in ingest.signatures(ingest.walked_paths(rows, "id", "payload"), "id").collect()}
 
 
+JSONS = st.recursive(st.none() | st.booleans() | st.integers(-3, 3) | st.floats(allow_nan=False, allow_infinity=False) | st.text("a~#!{},[]\":\\é", max_size=3), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text("a~#!{},[]\":\\", max_size=3), x, max_size=3), max_leaves=12)
+
+
+def walk(value, path="$"):
+    kind = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}.get(type(value), "number")
+    yield path, kind
+    if kind == "object":
+        for k, v in value.items():
+            yield from walk(v, f"{path}.{k}")
+    elif kind == "array":
+        for v in value:
+            yield from walk(v, path + "[]")
+
+
+def test_paths_of_generated_payloads(spark):
+    values = []
+
+    @given(JSONS)
+    @settings(max_examples=1500, deadline=None, database=None, derandomize=True)
+    def draw(value):
+        values.append(value)
+
+    draw()
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "id int, payload string")
+    got = {}
+    for r in ingest.schema_paths(rows, "id", "payload").collect():
+        got.setdefault(r.id, {})[r.path] = set(r.types)
+    for i, value in enumerate(values):
+        want = {}
+        for path, kind in walk(value):
+            want.setdefault(path, set()).add(kind)
+        assert got[i] == want, value
+
+
 def test_digest_sees_content_not_order(spark):
     a = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "k int, v string")
     d = lambda t: merge.table_digest(t, ["k", "v"]).first().digest
@@ -235,6 +340,8 @@ LINES = {
     "Ann attacks a rat and hits for 100 points": None,
     "11:11:11 Ann says hello there": None,
     "11:11:11 Ann attacks a rat and hits for 99999 points": None,
+    "11:11:11 Ann attacks a rat and hits for 99999999999999999999 points": None,
+    "11:11:11 A rat suffers 99999999999999999999 points of damage from Fire over time": (40271, "damage", "Fire", "A rat", "Fire", 10**15, "periodic"),
     "11:11:11 a rat attacks Ann and hits for 99999 points": (40271, "damage", "a rat", "Ann", "attack", 99999, "hit"),
 }
 
@@ -250,6 +357,8 @@ MAIL = {
     "123\r\nFROM: Galaxy.auctioner\r\nSUBJECT: Vendor Sale Complete\r\nTIMESTAMP: 1755468000\r\n\r\nVendor: Nine has sold [Mark V] to Wr for 250,000 credits.": ("123", "Galaxy.auctioner", "Vendor Sale Complete", 1755468000, ("Mark V", "Wr", 250000, "Nine", "vendor"), None),
     "123_1755468000\nGalaxy.auctioner\nSale\n\nYour auction of Mark V has been sold to Wr for 5 credits": ("123_1755468000", "Galaxy.auctioner", "Sale", 1755468000, ("Mark V", "Wr", 5, "", "bazaar"), None),
     "9\nfrom: A\nsubject: B\n1755468000123\n\nYou have purchased X from the vendor: Y for 7 credits": ("9", "A", "B", 1755468000, None, ("X", "Y", 7, "vendor")),
+    "7\nA\nB\n1755468000\n\nYour auction of X has been sold to Y for , credits": ("7", "A", "B", 1755468000, ("X", "Y", 0, "", "bazaar"), None),
+    "7\nA\nB\n1755468000\n\nYou have purchased X from Y for 99,999,999,999,999,999,999,999 credits": ("7", "A", "B", 1755468000, None, ("X", "Y", 10**15, "vendor")),
     "hello\nyou\n\nchatter": ("", "hello", "you", None, None, None),
     "": ("", "", "", None, None, None),
 }
