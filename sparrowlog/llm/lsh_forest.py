@@ -28,6 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ PLACES = np.array([[4 * t, 4 * t + 1, 4 * t + 2, 4 * t + 3, (4 * t + 44) % VALUE
 
 
 def sign_batches(batches):
-    """(doc_id, row, utf8) to (doc_id, row, digest, runs, signature, body): body is the text's words joined by one space."""
+    """(doc_id, row, utf8) to (doc_id, row, digest, runs, signature, body): body is the text's words joined by one space, packed."""
+    packed = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         texts = [canonical(x) for x in batch.column(2).to_pylist()]
         for a, b in slices([len(x) for x in texts], 1_000_000):
@@ -49,7 +51,7 @@ def sign_batches(batches):
             data = signatures(hashes, counts).tobytes()
             distinct = [len(np.unique(x)) for x in np.split(hashes, np.cumsum(counts)[:-1])]
             digests = [hashlib.sha256(x).digest() for x in texts[a:b]]
-            columns = [pa.array(digests, pa.binary()), pa.array(distinct, pa.int64()), pa.array([data[i : i + VALUES] for i in range(0, len(data), VALUES)], pa.binary()), pa.array(texts[a:b], pa.binary())]
+            columns = [pa.array(digests, pa.binary()), pa.array(distinct, pa.int64()), pa.array([data[i : i + VALUES] for i in range(0, len(data), VALUES)], pa.binary()), pa.array(list(map(packed, texts[a:b])), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], ["doc_id", "row", "digest", "runs", "signature", "body"])
 
 
@@ -66,18 +68,34 @@ def region(label: Column, depth: int) -> Column:
     return F.shiftright(label, 8 * (DEEP - depth))
 
 
-def neighbour_batches(batches):
-    """Rows (label, key) in the order of labels to (key, other, prefix): neighbours, in both directions."""
-    label = key = np.zeros(0, np.int64)
+def near_batches(batches):
+    """A task's rows (label, key) in the order of labels to (label, key, other, prefix) of those that share a region with the row
+    before or after; other is the key after, if it shares it. A task's first and last row come out too, as their neighbours may
+    lie in other tasks."""
+    held = np.zeros((0, 2), np.int64)
+    first, shared = True, False  # of the held row: whether it is the first, and shares with the one before it
+
+    def out(rows: np.ndarray, prefix: np.ndarray, keep: np.ndarray, after: np.ndarray):
+        at = np.flatnonzero(keep)
+        others = pa.array(after[at], mask=prefix[at] == 0)
+        return pa.RecordBatch.from_arrays([pa.array(rows[at, 0]), pa.array(rows[at, 1]), others, pa.array(prefix[at])], ["label", "key", "other", "prefix"])
+
     for batch in batches:
-        label = np.concatenate([label[-1:], batch.column(0).to_numpy()])
-        key = np.concatenate([key[-1:], batch.column(1).to_numpy()])
-        differs = label[1:] ^ label[:-1]
+        if not batch.num_rows:
+            continue
+        rows = np.concatenate([held, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)])
+        differs = rows[1:, 0] ^ rows[:-1, 0]
         prefix = sum((differs >> 8 * k == 0).astype(np.int64) for k in range(DEEP - SHALLOW + 1))  # 1: four values alike, 3: six
-        at = np.flatnonzero(prefix)
-        if len(at):
-            a, b, p = key[at], key[at + 1], pa.array(np.concatenate([prefix[at]] * 2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a])), p], ["key", "other", "prefix"])
+        before = np.concatenate([[int(shared)], prefix[:-1]]) if len(prefix) else prefix
+        keep = (prefix > 0) | (before > 0)
+        if first and len(keep):
+            keep[0] = True
+        if len(keep):
+            yield out(rows[:-1], prefix, keep, rows[1:, 1])
+            first, shared = False, bool(prefix[-1])
+        held = rows[-1:]
+    if len(held):
+        yield out(held, np.zeros(1, np.int64), np.ones(1, bool), held[:, 1])
 
 
 def least_equal(threshold: float, lost: float = 1e-6) -> list[int]:
@@ -224,16 +242,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, best: int = 2, den
     # a text goes by the least row that holds it
     one = [F.min("row").alias("key"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("runs").alias("runs"), F.first("signature").alias("signature")]
     texts = materialise(signed.filter("runs > 0").groupBy("digest").agg(*one), "texts")
-    orders = texts.select("key", "signature").mapInArrow(order_batches, "label long, key long")
-    orders = materialise(orders.repartitionByRange("label", "key").sortWithinPartitions("label", "key"), "orders")
-    # only regions of two texts or more matter; most texts are in none
-    shared = orders.groupBy(region(F.col("label"), SHALLOW).alias("bucket")).agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialise(shared, "shared")
-    near = materialise(join_one(orders.withColumn("bucket", region(F.col("label"), SHALLOW)), shared, "bucket", "n").select("label", "key"), "near")
+    orders = texts.select("key", "signature").mapInArrow(order_batches, "label long, key long").repartitionByRange("label", "key").sortWithinPartitions("label", "key")
+    near = materialise(orders.mapInArrow(near_batches, "label long, key long, other long, prefix long"), "near")
     # by merging at every size, as what is near grows with the input
     bodies = signed.select(F.col("row").alias("key"), "body").join(near.select("key").distinct().hint("merge"), "key", "left_semi")
     bodies = materialise(bodies, "bodies")
-    links = nearest_links(bodies, orders, threshold, best)
+    links = nearest_links(bodies, near, threshold, best)
     classes = components(links).toDF("key", "class")
     links = links.unionByName(other_links(bodies, texts, near, classes, threshold, dense, chunk, chunk_bytes))
     classes = components(links).toDF("key", "class")
@@ -247,16 +261,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, best: int = 2, den
     return both.select("doc_id", F.col("runs").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def unpacked_batches(batches):
+    """(key, body) to (key, members)."""
+    unpacked = zstandard.ZstdDecompressor().decompress
+    return set_batches(pa.RecordBatch.from_arrays([x.column(0), pa.array(list(map(unpacked, x.column(1).to_pylist())), pa.binary())], ["key", "body"]) for x in batches)
+
+
 def sets(bodies: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, members) of the texts of the distinct ``keys``."""
-    return bodies.join(keys.hint("merge"), "key", "left_semi").mapInArrow(set_batches, "key long, members binary")
+    return bodies.join(keys.hint("merge"), "key", "left_semi").mapInArrow(unpacked_batches, "key long, members binary")
 
 
-def nearest_links(bodies: DataFrame, orders: DataFrame, threshold: float, best: int) -> DataFrame:
+def nearest_links(bodies: DataFrame, near: DataFrame, threshold: float, best: int) -> DataFrame:
     """(a, b): verified links of each text with its best neighbours. A text is neighbour of 64 at most, so no key is hot."""
-    near = orders.mapInArrow(neighbour_batches, "key long, other long, prefix long").groupBy("key", "other").agg(F.struct(F.count("*").alias("n"), F.max("prefix").alias("prefix")).alias("score"))
+    after = near.filter("other IS NOT NULL").select("key", "other", "prefix")
+    both = after.unionByName(after.select(F.col("other").alias("key"), F.col("key").alias("other"), "prefix"))
+    scored = both.groupBy("key", "other").agg(F.struct(F.count("*").alias("n"), F.max("prefix").alias("prefix")).alias("score"))
     ranks = F.slice(F.sort_array(F.collect_list(F.struct("score.n", "score.prefix", "other")), asc=False), 1, best)
-    pairs = near.groupBy("key").agg(ranks.alias("r")).select(F.col("key").alias("owner"), F.explode("r.other").alias("key"))
+    pairs = scored.groupBy("key").agg(ranks.alias("r")).select(F.col("key").alias("owner"), F.explode("r.other").alias("key"))
     # a pair that chose each other is verified once
     pairs = pairs.select(F.least("owner", "key").alias("owner"), F.greatest("owner", "key").alias("key")).distinct()
     pairs = materialise(pairs, "pairs")
@@ -268,7 +290,7 @@ def nearest_links(bodies: DataFrame, orders: DataFrame, threshold: float, best:
 def other_links(bodies: DataFrame, texts: DataFrame, near: DataFrame, classes: DataFrame, threshold: float, dense: int, chunk: int, chunk_bytes: int) -> DataFrame:
     """(a, b): verified links between texts of different classes that share a region."""
     need = least_equal(threshold)
-    rows = materialise(near.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key")), "classed")
+    rows = materialise(near.select("label", "key").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key")), "classed")
     open_ = materialise(unresolved(rows, dense).join(texts.select("key", "runs", "signature"), "key"), "open")
     spans = materialise(deal(open_, chunk, chunk_bytes).mapInArrow(span_batches(need), "key long, class long, root long"), "candidates")
     nodes = spans.select("key", "class").distinct().join(texts.select("key", "runs", "signature"), "key")
