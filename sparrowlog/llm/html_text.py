@@ -5,11 +5,17 @@ links and the tags of each. The ratio of characters to tags of each line, as a l
 threshold over the others, is smoothed by a Gaussian; lines above the standard deviation of the smoothed ratios, and above 0.8
 of their mean, form clusters. The content region is the innermost container that holds more than half of the clusters' weight,
 with the whole article or main element around it if there is one, and the headings right before it; where no container is
-narrower than the page, it runs from the first to the last line of the clusters. All lines of the region that have text are
-blocks of the result, however short, but for runs of three lines or more that are links only.
+narrower than the page, it runs from the first to the last line of the clusters, without closing copyright lines. All lines of
+the region that have text are blocks of the result, however short, with two exceptions. Outside article and main, runs of three
+lines or more that are links only are no blocks. And sections inside the region (elements that only divide) are no blocks
+
+- if no line of theirs is in a cluster, and links or tags make up most of them (share bars, related links, adverts), or
+- if they hold two or more sections of one kind, each with a byline (a linked or timed line of few characters, no
+  heading) and a text: threads of reader comments.
 
 Subtrees that are no content by their element, role or class (fixed lists below) give tags but no characters, as ratios alone
-can't tell a long notice or comment inside an article from the article.
+can't tell a long notice inside an article from the article. Of a class name of several words the unwanted word counts
+(``article-comments``), unless it says that something has or lacks it, or the element has another name that is all content.
 
 White space inside a block is one space (a line break element too); blocks are joined by two line feeds. Malformed markup is
 read as browsers do, marked sections as comments. Null, empty and textless pages give the empty text. Repeated rows give
@@ -19,6 +25,7 @@ repeated results; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -43,28 +50,33 @@ NOISE = set(
 )
 CONTENT = set("content article post main entry story body text page wrapper container layout hentry".split())
 SCOPES = {"article", "main"}
+DIVIDERS = set("div section ul ol".split())
+UNCLOSED = re.compile(r"<[!?].*", re.S)
+SAYS_SO = {"has", "no", "with", "without"}
+COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved\b)", re.I)
 SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
     """Lines of a page, and the containers they lie in.
 
-    A line is (text, characters outside links, tags, container, whether it is a heading); a container is (element, parent)."""
+    A line is (text, characters outside links, tags, container, whether it is a heading, whether it has a time); a container is
+    (element, parent)."""
 
     def __init__(self, veto: bool = True):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, bool, bool]] = []
         self.containers: list[tuple[str, int]] = [("", 0)]
         self.parts: list[str] = []
         self.tags, self.plain, self.veto = 0, 0, veto
         self.open: list[tuple[str, bool, int]] = []  # element, whether it is dropped, its container
-        self.heading = False
+        self.heading = self.timed = False
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text or self.tags:
-            self.lines.append((text, self.plain, self.tags, self.open[-1][2] if self.open else 0, self.heading))
-        self.parts, self.tags, self.plain, self.heading = [], 0, 0, False
+            self.lines.append((text, self.plain, self.tags, self.open[-1][2] if self.open else 0, self.heading, self.timed))
+        self.parts, self.tags, self.plain, self.heading, self.timed = [], 0, 0, False, False
 
     def noise(self, tag: str, attrs: list[tuple[str, str | None]], container: int) -> bool:
         if tag in UNSEEN:
@@ -78,8 +90,8 @@ class Lines(HTMLParser):
         given = {k: (v or "").lower() for k, v in attrs}
         if "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in ROLES or re.search(r"display\s*:\s*none", given.get("style", "")):
             return True
-        names = set(re.split(r"[^a-z0-9]+", given.get("class", "") + " " + given.get("id", "")))
-        return bool(names & NOISE) and not names & CONTENT
+        names = [set(re.split(r"[^a-z0-9]+", x)) - {""} for x in (given.get("class", "") + " " + given.get("id", "")).split()]
+        return any(x & NOISE and not x & SAYS_SO for x in names) and not any(x and x <= CONTENT for x in names)
 
     def above(self, container: int) -> list[int]:
         """The container and all that it lies in, innermost first."""
@@ -97,6 +109,7 @@ class Lines(HTMLParser):
             self.flush()
             self.heading = tag in HEADINGS
         self.tags += 1
+        self.timed |= tag == "time"
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
@@ -146,6 +159,8 @@ def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
 def main_region(page: Lines, curve: np.ndarray, chosen: np.ndarray) -> list[int]:
     """The lines of the region that the chosen ones (by the weight of their smoothed ratio) select."""
     lines, n = page.lines, len(page.containers)
+    if not curve[chosen].any():  # all weigh nothing: the page is its own region
+        return [i for i in range(len(lines)) if i >= chosen[0]]
     weight, end = np.zeros(n), np.arange(1, n + 1)  # containers are numbered in page order: what one holds follows it
     np.add.at(weight, [lines[i][3] for i in chosen], curve[chosen])
     for c in range(n - 1, 0, -1):
@@ -162,20 +177,79 @@ def main_region(page: Lines, curve: np.ndarray, chosen: np.ndarray) -> list[int]
     own = [i for i, line in enumerate(lines) if best <= line[3] < end[best]]
     if page.containers[best][0] in ("", "html", "body"):
         own = list(range(chosen[0], chosen[-1] + 1))
+        while len(own) > 1 and (not lines[own[-1]][0] or COPYRIGHT.match(lines[own[-1]][0])):
+            own.pop()
+    out = other_sections(page, best, end, chosen)
+    own = [i for i in own if lines[i][3] not in out] or own
     first = own[0]
     while first and (lines[first - 1][4] or not lines[first - 1][0]):  # headings right before the region
         first -= 1
     return [*range(first, own[0]), *own]
 
 
+def other_sections(page: Lines, region: int, end: np.ndarray, chosen: np.ndarray) -> set[int]:
+    """Containers inside a region that hold links, adverts or reader comments, by their ratios and their structure. Sums over a
+    container's lines, which follow one another, are differences of running sums, so nesting costs nothing."""
+    lines = [x for x in page.lines if x[0]]
+    numbers = [i for i, x in enumerate(page.lines) if x[0]]
+    in_cluster = np.isin(numbers, chosen)
+    sums = {name: np.concatenate([[0], np.cumsum(v)]) for name, v in (("text", [len(x[0]) for x in lines]), ("plain", [x[1] for x in lines]), ("heads", [x[4] for x in lines]), ("chosen", in_cluster))}
+    tags = np.concatenate([[0], np.cumsum([x[2] for x in page.lines])])
+    low, high = np.full(len(page.containers), len(lines)), np.zeros(len(page.containers), int)
+    for k, x in enumerate(lines):
+        low[x[3]], high[x[3]] = min(low[x[3]], k), k + 1
+    for c in range(len(page.containers) - 1, region, -1):
+        parent = page.containers[c][1]
+        low[parent], high[parent] = min(low[parent], low[c]), max(high[parent], high[c])
+    total = lambda name, c: sums[name][high[c]] - sums[name][low[c]]
+    below: dict[int, list[int]] = {}
+    kept: set[int] = {region}  # no table, figure or quotation around them
+    inner = [c for c in range(region + 1, end[region]) if low[c] < high[c]]
+    for c in inner:
+        parent = page.containers[c][1]
+        below.setdefault(parent, []).append(c)
+        if parent in kept and page.containers[c][0] not in ("table", "figure", "blockquote"):
+            kept.add(c)
+
+    def comment(c: int) -> bool:
+        """A byline and a text."""
+        head, rest = lines[low[c]], lines[low[c] + 1 : high[c]]
+        return bool(rest) and not total("heads", c) and len(head[0]) <= 80 and (head[5] or head[1] * 2 < len(head[0])) and any(x[1] * 2 > len(x[0]) for x in rest)
+
+    found = []
+    for c in inner:
+        if c not in kept or page.containers[c][0] not in DIVIDERS:
+            continue
+        parts, text = below.get(c, []), total("text", c)
+        n_tags = tags[numbers[high[c] - 1] + 1] - tags[numbers[low[c]]]
+        links = page.containers[c][0] in ("div", "section") and not total("chosen", c) and (total("plain", c) * 2 < text or n_tags * 4 > text)
+        thread = len(parts) > 1 and len({page.containers[x][0] for x in parts}) == 1 and all(map(comment, parts))
+        if links or thread:
+            found.append(c)
+    out: set[int] = set()
+    for c in found:
+        if c not in out:
+            out |= set(range(c, end[c]))
+    left = np.concatenate([[0], np.cumsum([x[3] not in out for x in lines])])
+    heads = np.concatenate([[0], np.cumsum([x[3] not in out and x[4] for x in lines])])
+    for c in inner:  # headings of threads
+        n = left[high[c]] - left[low[c]]
+        if c not in out and c in kept and n < high[c] - low[c] and page.containers[c][0] in DIVIDERS and heads[high[c]] - heads[low[c]] == n:
+            out |= set(range(c, end[c]))
+    return out
+
+
 def main_text(html: str, sigma: float = 1.0, factor: float = 1.0, veto: bool = True) -> str:
     """The main text of one page; ``veto`` False does without the lists of elements, roles and classes that are no content."""
     page = Lines(veto)
-    page.feed(html)
+    # what follows the last closed tag is text: the parser would look for the end of each tag in it anew
+    at = html.rfind(">") + 1
+    page.feed(html[:at])
     page.close()
+    page.handle_data(unescape(UNCLOSED.sub("", html[at:])))
     page.flush()
     lines = page.lines
-    ratios = np.array([plain / max(1, tags) for _, plain, tags, _, _ in lines])
+    ratios = np.array([plain / max(1, tags) for _, plain, tags, *_ in lines])
     if not any(line[0] for line in lines):
         return ""
     curve = smooth(np.log1p(ratios), sigma)
@@ -186,7 +260,11 @@ def main_text(html: str, sigma: float = 1.0, factor: float = 1.0, veto: bool = T
     texts = [i for i in main_region(page, curve, chosen) if lines[i][0]]
     linked = np.array([lines[i][1] * 10 < len(lines[i][0]) for i in texts], np.int8)
     edges = np.flatnonzero(np.diff(np.concatenate([[0], linked, [0]])))
-    menus = {k for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= 3 for k in range(a, b)}
+    runs = [range(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= 3]
+    scoped = [False] * len(page.containers)
+    for c, (name, parent) in enumerate(page.containers):
+        scoped[c] = name in SCOPES or scoped[parent]
+    menus = {k for run in runs if not any(scoped[lines[texts[k]][3]] for k in run) for k in run}
     return "\n\n".join(lines[i][0] for k, i in enumerate(texts) if k not in menus)
 
 

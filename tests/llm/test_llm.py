@@ -347,6 +347,43 @@ def test_html_headings_and_link_blocks():
     assert html_text.main_text(f"<h1>Title</h1><div>{body}<ul>{two}</ul></div>") == want + "\n\nLink 0\n\nLink 1"
 
 
+LONG = "word " * 60
+HELD = f"<p>{LONG}</p>", LONG.strip()
+
+
+@pytest.mark.parametrize("name", ["article-comments", "ad-container", "post-footer", "entry-share", "sponsored-content"])
+def test_html_unwanted_word_of_a_class_name_counts(name):
+    p, text = HELD
+    assert html_text.main_text(f"<article>{p}<div class={name}><p>Something long and quite pointless to read here, said by nobody.</p></div>{p}</article>") == f"{text}\n\n{text}"
+    for kept in ("entry-content", "article main", "has-sidebar", "content-with-ads"):
+        assert html_text.main_text(f"<div class='{kept}'>{p}</div>") == text
+
+
+def test_html_sections_without_telling_names(monkeypatch):
+    p, text = HELD
+    voices = "".join(f"<div><p><a href=/u{i}>User {i}</a> <time>today</time></p><p>I think that this is all very well said and true, number {i}.</p></div>" for i in range(3))
+    assert html_text.main_text(f"<article>{p}<section class=zone><h3>3 voices</h3><div>{voices}</div></section></article>") == text
+    share = "<div class=zz><span><a href=1>Share</a></span> <span><a href=2>Send it</a></span></div>"
+    assert html_text.main_text(f"<article>{p}{share}{p}</article>") == f"{text}\n\n{text}"
+    with monkeypatch.context() as m:  # a curve that puts all in clusters keeps the links
+        m.setattr(html_text, "smooth", lambda ratios, sigma: np.arange(1, len(ratios) + 1) * 9.0)
+        assert html_text.main_text(f"<article>{p}{p}{share}</article>") == f"{text}\n\n{text}\n\nShare Send it"
+    parts = "".join(f"<section><h2>Part {i}</h2><p>A short text {i}.</p></section>" for i in range(3))
+    assert html_text.main_text(f"<article>{p}<div>{parts}</div></article>") == text + "".join(f"\n\nPart {i}\n\nA short text {i}." for i in range(3))
+    linked = "".join(f"<li><a href=/{i}>Source {i}</a>" for i in range(4))
+    assert html_text.main_text(f"<article>{p}<ul>{linked}</ul></article>") == text + "".join(f"\n\nSource {i}" for i in range(4))
+    assert html_text.main_text(f"<body>{p}{p}<p>Copyright 2024 Some Company</p></body>") == f"{text}\n\n{text}"
+
+
+def test_html_link_only_pages_and_long_runs_of_open_tags():
+    assert html_text.main_text("<p><a href=/>all</a></p>") == "all" and html_text.main_text("<p></p>") == ""
+    assert html_text.main_text("a<b") == "a<b" and html_text.main_text("<p>a</p>b &amp; c<!-- d") == "a\n\nb & c"
+    began = time.time()
+    for page in ("<a " * 20_000, "<a " * 20_000 + ">", "<!-- " * 20_000, '<a href="' * 20_000, "<div>x" * 20_000, "<ul><li><a href=x>z</a>" * 10_000, "</a " * 20_000):
+        html_text.main_text(page)
+    assert time.time() - began < 30
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, None, "x"), (None, "v", "<p>" + "y " * 50_000, "x")], "page_id long, url string, html string, text string")
     rows = {(x.page_id, x.url): x for x in html_text.extract_text(pages).collect()}
