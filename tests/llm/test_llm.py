@@ -363,11 +363,12 @@ def test_html_sections_without_telling_names(monkeypatch):
     p, text = HELD
     voices = "".join(f"<div><p><a href=/u{i}>User {i}</a> <time>today</time></p><p>I think that this is all very well said and true, number {i}.</p></div>" for i in range(3))
     assert html_text.main_text(f"<article>{p}<section class=zone><h3>3 voices</h3><div>{voices}</div></section></article>") == text
-    share = "<div class=zz><span><a href=1>Share</a></span> <span><a href=2>Send it</a></span></div>"
-    assert html_text.main_text(f"<article>{p}{share}{p}</article>") == f"{text}\n\n{text}"
-    with monkeypatch.context() as m:  # a curve that puts all in clusters keeps the links
-        m.setattr(html_text, "smooth", lambda ratios, sigma: np.arange(1, len(ratios) + 1) * 9.0)
-        assert html_text.main_text(f"<article>{p}{p}{share}</article>") == f"{text}\n\n{text}\n\nShare Send it"
+    share = "<div class=zz><span><i>Share</i></span> <span><i>Send it</i></span></div>"
+    body = "\n\n".join([text] * 5)
+    assert html_text.main_text(f"<article>{p * 5}{share}</article>") == body
+    with monkeypatch.context() as m:  # a flat curve puts all in clusters, and the bar stays
+        m.setattr(html_text, "smooth", lambda ratios, sigma: np.ones(len(ratios)))
+        assert html_text.main_text(f"<article>{p * 5}{share}</article>") == f"{body}\n\nShare Send it"
     parts = "".join(f"<section><h2>Part {i}</h2><p>A short text {i}.</p></section>" for i in range(3))
     assert html_text.main_text(f"<article>{p}<div>{parts}</div></article>") == text + "".join(f"\n\nPart {i}\n\nA short text {i}." for i in range(3))
     linked = "".join(f"<li><a href=/{i}>Source {i}</a>" for i in range(4))
