@@ -240,8 +240,9 @@ def verify_batches(need: list[int], threshold: float):
 
 
 def similar_documents(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5, chunk: int = 256, chunk_bytes: int = 16_000_000) -> DataFrame:
-    """doc_id, class_id (least doc_id of the connected group), n_links (other different texts at the threshold) and n_copies
-    (rows with the same text) of every row of (doc_id, text)."""
+    """doc_id, class_id (least doc_id of the connected group), n_links (other different texts at the threshold), n_copies (rows
+    with the same text), kept and text_sha256 of every row of (doc_id, text). Kept are the rows with the least id of a class that
+    hold the text named by it: that of the least id, of several the least by digest, in a class without ids the least by digest."""
     data = utf8(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(data, 256)).alias("digest"), data.alias("data"))
     signed = materialise(rows.mapInArrow(sign_batches, "doc_id long, digest binary, runs long, signature binary"), "signed")
@@ -267,6 +268,9 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, tolerance: float
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
     of = texts.select("key", "digest", "first_id", "copies").join(linked.toDF("key", "component"), "key", "left").join(links, "key", "left").withColumn("component", F.coalesce("component", "key"))
     of = materialise(of, "classes")
-    least = of.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    of = materialise(of.join(least, "component").select("digest", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies")), "of")
-    return join_one(signed.select("doc_id", "digest"), of, "digest", "n_copies").select("doc_id", "class_id", "n_links", "n_copies")
+    least = of.groupBy("component").agg(F.min("first_id").alias("class_id"), F.min_by("digest", F.struct(F.col("first_id").isNull(), "first_id", "digest")).alias("named"))
+    of = of.join(least, "component").withColumn("first", F.col("digest") == F.col("named"))
+    of = materialise(of.select("digest", "class_id", "first", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies")), "of")
+    rows = join_one(signed.select("doc_id", "digest"), of, "digest", "n_copies")
+    kept = F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return rows.select("doc_id", "class_id", "n_links", "n_copies", kept.alias("kept"), F.col("digest").alias("text_sha256"))

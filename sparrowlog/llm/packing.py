@@ -3,8 +3,10 @@
 Each partition packs its pieces best-fit, longest first, and emits bins that are nearly full. Bins that are not become items
 of the next round, in which ``fan_in`` partitions at most meet in one, and no more than leaves a task about ``items_per_task``
 items. A round in a single task emits all. Where more is left than one task takes, and a round left more than nine tenths of
-its items open, nothing fits them (partitions are alike, as pieces are dealt in turn), so they are emitted as they are, by
-all its tasks. Rounds are written, so bins never change when an executor is lost.
+its items open, they are emitted as they are, by all its tasks. That costs one sequence a task at most: best-fit leaves no two
+bins of a task that fit together, so one bin of a task at most is half empty, and bins over half full never fit one another,
+however they are dealt again; merging on could save the half empty ones and no more. Rounds are written, so bins never change
+when an executor is lost.
 
 Nulls count as the empty text, which is the end id alone; repeated rows are packed each; extra columns are ignored; empty
 tables give no pieces.

@@ -177,12 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 9000, sample_bytes:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("data")).join(known.hint("merge"), "doc_id").select("doc_id", "data", "label", "sampled")
     stats = materialise(rows.mapInArrow(train_batches, STATS), "quality-stats")
     counts = stats.filter("kind = 0").groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
-    drawn = stats.filter("kind = 1").select(F.xxhash64("key").alias("h"), F.octet_length("features").alias("size")).toArrow().sort_by("h")
-    most = int(np.searchsorted(np.cumsum(np.asarray(drawn["size"])), sample_bytes, "right"))
-    picked = stats.filter("kind = 1").withColumn("h", F.xxhash64("key"))
-    if most < drawn.num_rows:  # rows of one id repeat its hash and stay or go together
-        picked = picked.filter(F.col("h") < F.lit(drawn["h"][most].as_py()))
-    picked = picked.select("key", "good", "features").toArrow().sort_by([("key", "ascending"), ("good", "ascending"), ("features", "ascending")])
+    # rows of one id share its hash; the hash of their features orders them, and a cut may fall between any two rows
+    drawn = stats.filter("kind = 1").select("key", "good", "features", F.xxhash64("key").alias("h"), F.xxhash64("features").alias("f")).orderBy("h", "f").limit(sample)
+    sizes = np.asarray(drawn.select(F.octet_length("features").alias("size")).toArrow()["size"])
+    most = max(1, int(np.searchsorted(np.cumsum(sizes), sample_bytes, "right")))
+    picked = drawn.limit(most).select("key", "good", "features").toArrow().sort_by([("key", "ascending"), ("good", "ascending"), ("features", "ascending")])
     y = np.where(np.asarray(picked["good"]) > 0, 1.0, -1.0)
     if not (y > 0).any() or not (y < 0).any():
         return float((y > 0).mean()) if len(y) else 0.5

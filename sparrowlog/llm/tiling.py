@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowlog.llm.common import U64, found_in, materialise, mix, shingle_hashes, slices, utf8, word_hashes
+from sparrowlog.llm.common import U64, found_in, join_one, materialise, mix, shingle_hashes, slices, utf8, word_hashes
 
 BASE = 0x9E3779B97F4A7C15
 PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -266,10 +266,15 @@ def by_seed_join(rows: DataFrame, texts: DataFrame, least: int, coverage: float)
     slots = rows.sparkSession.sparkContext.broadcast(bits)
     digest = F.sha2("data", 256)
     hits = rows.select(digest.alias("key"), "data").mapInArrow(seed_batches(least, slots), "key string, seed long, n_words long").select("key", "seed").distinct()
-    both = hits.join(index.select(F.col("key").alias("number"), "seed", "n_words"), "seed").groupBy("key", "number").agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"))
+    hits = materialise(hits, "seed-hits")
+    holders = index.groupBy("seed").agg(F.collect_list(F.struct(F.col("key").alias("number"), "n_words")).alias("items"))
+    holders = materialise(holders.join(hits.groupBy("seed").agg(F.count("*").alias("weight")), "seed"), "seed-holders")
+    both = join_one(hits, holders, "seed", "weight").select("key", F.explode("items").alias("i")).groupBy("key", "i.number").agg(F.count("*").alias("n"), F.first("i.n_words").alias("n_words"))
     # a tile of w words has w - least + 1 seeds, which is w / least or more
-    pairs = both.filter(F.col("n") * least >= coverage * F.col("n_words")).select("key", "number")
-    found = rows.withColumn("key", digest).join(pairs, "key").join(texts.withColumnRenamed("data", "item"), "number").select("doc_id", "data", "number", "item")
+    pairs = materialise(both.filter(F.col("n") * least >= coverage * F.col("n_words")).select("key", "number"), "seed-pairs")
+    wanted = pairs.groupBy("number").agg(F.count("*").alias("weight")).join(texts.select("number", F.col("data").alias("item")), "number")
+    pairs = join_one(pairs, materialise(wanted, "seed-items"), "number", "weight").select("key", "number", "item")
+    found = rows.withColumn("key", digest).join(pairs, "key").select("doc_id", "data", "number", "item")
     return found.mapInArrow(pair_batches(least, coverage), FOUND)
 
 
@@ -289,4 +294,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 4, coverage
         found = by_seed_join(rows, texts.filter(F.col("n_words") >= least), least, coverage)
         for n in range(1, least):  # an item that is shorter than a seed is a seed of its own length
             found = found.unionByName(by_seed_join(rows, texts.filter(F.col("n_words") == n), n, 1.0))
-    return found.join(texts.join(items, "data").select("number", "item_id"), "number").select("doc_id", "item_id", "n_tokens", "matched", "tiles", "longest", "coverage", "text_md5")
+    named = texts.join(items, "data").groupBy("number").agg(F.collect_list(F.struct("item_id")).alias("item_ids"))
+    if size <= most_bytes:
+        found = found.join(F.broadcast(named), "number")
+    else:  # an item that very many documents hold is broadcast
+        found = materialise(found, "found")
+        named = materialise(named.join(found.groupBy("number").agg(F.count("*").alias("weight")), "number"), "found-items")
+        found = join_one(found, named, "number", "weight")
+    return found.withColumn("item_id", F.explode("item_ids.item_id")).select("doc_id", "item_id", "n_tokens", "matched", "tiles", "longest", "coverage", "text_md5")

@@ -273,6 +273,11 @@ def test_quality_equals_brute_force_and_ignores_held_out_labels(spark):
         assert got[i] == pytest.approx(1 / (1 + np.exp(-(slope * (w[features[i]] @ unit(i) + b) + offset))), abs=2e-3)
     few = score(labels, sample_bytes=3000)
     assert len(few) == 80 and few != got, "the sample is bounded by bytes too"
+    # rows of one id, too large for the bound as a whole, are cut too
+    again = docs(spark, [texts[0]] * 400 + texts).withColumn("doc_id", F.when(F.col("doc_id") < 400, F.lit(rows[0])).otherwise(F.col("doc_id") - 400))
+    label = spark.createDataFrame([(i, int(g), 0) for i, g in enumerate(good)], "doc_id long, quality int, toxic int")
+    for bound in (dict(sample_bytes=300_000), dict(sample=60)):
+        assert len({x.score for x in quality.score_quality(again, label, held(), **bound).collect()}) > 1
 
 
 def test_dual_coordinate_descent_separates():
@@ -566,6 +571,8 @@ def test_packing_leaves_no_task_with_all_that_is_open(spark, short):
         tasks.setdefault(x.sequence_id >> 32, set()).add(x.sequence_id)
     assert max(bins.values()) <= 2048 and len(bins) <= 1.1 * 400
     assert max(map(len, tasks.values())) <= 2 * 20, "a round and task emits what one task may hold"
+    alone = packing.pack_pieces(pieces, items_per_task=10**6).select("sequence_id").distinct().count()
+    assert len(bins) <= alone + -(-len(lengths) // 20), "stopping costs a sequence a task at most"
 
 
 def test_packing_of_nothing(empty, paths):
@@ -801,6 +808,20 @@ def test_decisions_are_on_an_id_and_its_text(spark):
     assert corpus_pipeline.drop(d, gone.filter("false")).count() == 6
 
 
+def test_near_copies_go_by_their_own_id_and_text(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*base[:-k], *[f"x{i}" for i in range(k)]])
+    rows = [(1, " ".join(base)), (None, near(1)), (None, "nothing like it at all but without an id"), (5, near(2)), (5, "a text of its own under a used id"), (7, near(1)), (None, "twice without an id"), (None, "twice without an id"), (1, near(2)), (1, " ".join(base))]
+    rows += [(None, "alone a b c d e f g h i j k l m n o p q r s t u v w x y z " + x) for x in ("one", "two")]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((x.doc_id, x.text) for x in corpus_pipeline.duplicate_stage(spark, d, "").collect()), key=str)
+    alone = [x for x in kept if (x[1] or "").startswith("alone")]
+    named = min(rows[0], rows[8], key=lambda x: hashlib.sha256(x[1].encode()).digest())  # of two texts of the least id
+    assert len(alone) == 1 and sorted((x for x in kept if x not in alone), key=str) == sorted([named, rows[2], rows[4], rows[6]], key=str)
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_take_odd_and_empty_tables(spark, stage):
     import corpus_pipeline
