@@ -30,10 +30,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones, that with the least id; rows without an id go only if their text repeats."""
-    classes = jaccard.similar_documents(docs)
-    ids = classes.filter("doc_id <=> class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of similar ones, that with the least id, or any where none has an id. A decision is on an id
+    and its text: rows that share an id with a document that stays, but not its text, go with their own group."""
+    kept = jaccard.similar_documents(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256").distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (F.unhex(F.sha2(common.utf8(docs["text"]), 256)) == kept["text_sha256"])
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
