@@ -11,6 +11,8 @@ from sparrowlog.operators import combat
 from sparrowlog.plans import lens
 from sparrowlog.plans.ingest_queries import NTZ, events
 from sparrowlog.plans.register import query
+from sparrowlog.sources import export
+from sparrowlog.streaming import fights as fight_streams
 
 BEFORE = "ORDER BY occurred_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 TICK = "(flag='periodic' AND source IN (ability, 'Periodic'))"
@@ -25,7 +27,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY occurred_at, id
 w(user_id, rn, anchor, cluster) AS (SELECT user_id, rn, occurred_at, 1 FROM o WHERE rn=1 UNION ALL SELECT o.user_id, o.rn, CASE WHEN o.kind='damage' OR o.occurred_at-w.anchor>INTERVAL 600 SECOND THEN o.occurred_at ELSE w.anchor END, w.cluster+(o.occurred_at-w.anchor>INTERVAL 600 SECOND)::INT FROM w JOIN o ON o.user_id=w.user_id AND o.rn=w.rn+1),
 x AS (SELECT o.*, CAST(w.cluster AS BIGINT) AS cluster FROM o JOIN w USING (user_id, rn)),
 b AS (SELECT user_id, cluster, target AS boss FROM x WHERE kind='damage' AND target<>'' GROUP BY 1,2,3 QUALIFY row_number() OVER (PARTITION BY user_id, cluster ORDER BY target LIKE 'A Beast%' DESC, sum(amount) DESC, min(occurred_at), min(id))=1),
-f AS (SELECT user_id, cluster, min(occurred_at) AS start, max(occurred_at) AS "end", coalesce(sum(amount) FILTER (kind='damage'),0)::BIGINT AS total_damage, coalesce(list_sort(list(DISTINCT target) FILTER (kind='death' AND target<>'')), []) AS d FROM x GROUP BY 1,2 HAVING count(*) FILTER (kind='damage')>0),
+f AS (SELECT user_id, cluster, min(occurred_at) AS start, max(occurred_at) AS "end", coalesce(sum(amount) FILTER (kind='damage'),0)::BIGINT AS total_damage, coalesce(list_sort(list(DISTINCT target) FILTER (kind='death' AND target<>'')), []) AS d, list(target ORDER BY occurred_at, id) FILTER (kind='death' AND target<>'') AS dead FROM x GROUP BY 1,2 HAVING count(*) FILTER (kind='damage')>0),
 g AS (SELECT f.*, coalesce(boss,'Unknown') AS title, greatest(1, CAST(round(epoch("end"-start)) AS BIGINT)) AS duration_seconds FROM f LEFT JOIN b USING (user_id, cluster)),
 a AS (SELECT user_id, cluster, source AS name, coalesce(sum(amount) FILTER (kind='damage'),0)::BIGINT AS damage, coalesce(max(amount) FILTER (kind='damage'),0) AS max_hit, coalesce(sum(amount) FILTER (kind='heal'),0)::BIGINT AS healing, count(*) FILTER (kind='damage') AS hits, count(*) FILTER (kind='damage' AND flag='crit') AS crits FROM x WHERE source<>'' AND kind IN ('damage','heal') GROUP BY 1,2,3)"""
 
@@ -44,9 +46,9 @@ def cluster_numbers(spark, d):
     return clustered(spark, d).select("id", "user_id", "cluster")
 
 
-@query("stm5_agg35_fights", COMBAT + " SELECT user_id, cluster, start, \"end\", total_damage, array_to_string(d, '|') AS deaths, title, duration_seconds, list_contains(d, title) AS defeated, total_damage/duration_seconds AS group_dps FROM g")
+@query("stm5_agg35_fights", COMBAT + " SELECT user_id, cluster, start, \"end\", total_damage, coalesce(array_to_string(dead, '|'), '') AS deaths, title, duration_seconds, list_contains(d, title) AS defeated, total_damage/duration_seconds AS group_dps FROM g")
 def fights(spark, d):
-    return combat.fights(clustered(spark, d)).withColumn("deaths", F.array_join(F.sort_array("deaths"), "|"))
+    return combat.fights(clustered(spark, d)).withColumn("deaths", F.array_join("deaths", "|"))
 
 
 @query("agg35_actors", COMBAT + " SELECT a.*, CASE WHEN total_damage>0 THEN damage/total_damage ELSE 0.0 END AS share, damage/duration_seconds AS dps FROM a JOIN g USING (user_id, cluster)")
@@ -55,14 +57,46 @@ def actors(spark, d):
     return combat.with_shares(combat.actors(rows), combat.fights(rows))
 
 
-@query("stm6_agg36_sessions", COMBAT + """, s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY cluster) AS session FROM (SELECT *, CASE WHEN start-lag("end") OVER (PARTITION BY user_id ORDER BY cluster)<=INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS new FROM g)),
-p AS (SELECT s.user_id, s.session, a.name, sum(a.damage) AS damage FROM a JOIN s USING (user_id, cluster) GROUP BY 1,2,3), t AS (SELECT user_id, session, name FROM p QUALIFY row_number() OVER (PARTITION BY user_id, session ORDER BY damage DESC, name)=1)
-SELECT s.user_id, CAST(s.session AS BIGINT) AS session, min(start) AS start, max("end") AS "end", sum(total_damage)::BIGINT AS total_damage, count(*) AS encounters, coalesce(any_value(t.name),'') AS top_player FROM s LEFT JOIN t ON t.user_id=s.user_id AND t.session=s.session GROUP BY 1,2""")
+SESSIONS = """, s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY cluster) AS session FROM (SELECT *, CASE WHEN start-lag("end") OVER (PARTITION BY user_id ORDER BY cluster)<=INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS new FROM g)),
+p AS (SELECT s.user_id, s.session, a.name, sum(a.damage) AS damage FROM a JOIN s USING (user_id, cluster) GROUP BY 1,2,3), t AS (SELECT user_id, session, name FROM p QUALIFY row_number() OVER (PARTITION BY user_id, session ORDER BY damage DESC, name)=1)"""
+
+
+@query("stm6_agg36_sessions", COMBAT + SESSIONS + """ SELECT s.user_id, CAST(s.session AS BIGINT) AS session, min(start) AS start, max("end") AS "end", sum(total_damage)::BIGINT AS total_damage, count(*) AS encounters, coalesce(any_value(t.name),'') AS top_player FROM s LEFT JOIN t ON t.user_id=s.user_id AND t.session=s.session GROUP BY 1,2""")
 def sessions(spark, d):
     rows = clustered(spark, d)
     return combat.sessions(combat.fights(rows), combat.actors(rows), gap=3600)
 
 
+def streamed(spark, d):
+    """Fights and sessions of one stream, to which events come in three parts, out of order by up to two hours; the watermark
+    passes the last of them by two events of each user that are no damage."""
+    rows = lens.combat(spark, d).withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
+    key = F.unix_seconds("occurred_at") + F.pmod(F.xxhash64("id", F.lit(7)), F.lit(7200))
+    ends = rows.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+    part = F.floor((key - ends.a) * 3 / (ends.b - ends.a + 1)).cast("int")
+    last = rows.groupBy("user_id").agg(F.lit(-1).cast("long").alias("id"), F.lit("heal").alias("kind"), *[F.lit("").alias(c) for c in ("source", "target", "ability")], F.lit(0).cast("long").alias("amount"), F.lit("").alias("flag"))
+    late = [last.withColumn("occurred_at", F.timestamp_seconds(F.lit(ends.b + n * 10_000_000))) for n in (1, 2)]
+    source, table, mark = (export.shared(spark, x) for x in ("fight-events", "fights", "checkpoint"))
+    for more in (*[rows.filter(part == i) for i in range(3)], *[x.select(rows.columns) for x in late]):
+        more.write.mode("append").parquet(source)
+        stream = fight_streams.session_stream(spark.readStream.schema(rows.schema).parquet(source), 600, 3600, "2 hours")
+        stream.writeStream.option("checkpointLocation", mark).trigger(availableNow=True).outputMode("append").start(table, "parquet").awaitTermination()
+    return spark.read.schema(fight_streams.OUT).parquet(table).withColumns({c: F.col(c).cast(NTZ) for c in ("start", "end")})
+
+
+@query("stm5_stm7_streamed_fights", COMBAT + """, q AS (SELECT user_id, cluster, array_to_string(list(target ORDER BY occurred_at, id) FILTER (kind='death' AND target<>''), '|') AS deaths FROM x GROUP BY 1,2), r AS (SELECT user_id, cluster, array_to_string(list(name||':'||damage||':'||max_hit||':'||healing||':'||hits||':'||crits ORDER BY damage DESC, name), '|') AS actors FROM a GROUP BY 1,2)
+SELECT g.user_id, start, "end", total_damage, coalesce(q.deaths, '') AS deaths, title, duration_seconds, list_contains(d, title) AS defeated, coalesce(r.actors, '') AS actors FROM g LEFT JOIN q USING (user_id, cluster) LEFT JOIN r USING (user_id, cluster)""")
+def streamed_fights(spark, d):
+    actors = F.array_join(F.transform("actors", lambda a: F.concat_ws(":", a["name"], *[a[c].cast("string") for c in ("damage", "max_hit", "healing", "hits", "crits")])), "|")
+    rows = streamed(spark, d).filter("what = 'fight'")
+    return rows.select("user_id", "start", "end", "total_damage", F.array_join("deaths", "|").alias("deaths"), "title", "duration_seconds", "defeated", actors.alias("actors"))
+
+
+@query("stm6_streamed_sessions", COMBAT + SESSIONS + """ SELECT s.user_id, min(start) AS start, max("end") AS "end", sum(total_damage)::BIGINT AS total_damage, count(*) AS encounters, coalesce(any_value(t.name),'') AS top_player FROM s LEFT JOIN t ON t.user_id=s.user_id AND t.session=s.session GROUP BY s.user_id, s.session""")
+def streamed_sessions(spark, d):
+    return streamed(spark, d).filter("what = 'session'").select("user_id", "start", "end", "total_damage", "encounters", "top_player")
+
+
 MODIFIED = dt.datetime(2024, 2, 2, 3)
 CLOCK = "CAST(hour(ts)*3600+minute(ts)*60+trunc(second(ts)) AS INTEGER)"
 DATED = f"""WITH l AS (SELECT 'f'||(user_id%5) AS file, ts, event_id, {CLOCK} AS clock FROM events), m AS (SELECT file, min(ts)::DATE AS first FROM l GROUP BY 1),

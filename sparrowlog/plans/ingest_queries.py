@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from sparrowlog.functions.latest import latest_per_key
-from sparrowlog.operators import combat, ingest, mail, merge
+from sparrowlog.operators import combat, ingest, limits, mail, merge
 from sparrowlog.plans import lens
 from sparrowlog.plans.register import query
 from sparrowlog.streaming import live
@@ -236,6 +236,15 @@ def rate_limit(spark, d):
     return merge.over_limit(rows, 12).select("client", F.col("minute").cast(NTZ).alias("minute"), "requests")
 
 
+@query("stm13_anchored_windows", """WITH RECURSIVE o AS (SELECT event_id AS id, 'c'||(user_id%3) AS client, ts, row_number() OVER (PARTITION BY user_id%3 ORDER BY ts, event_id) AS rn FROM events),
+w(client, rn, start, n) AS (SELECT client, rn, ts, 1 FROM o WHERE rn=1 UNION ALL SELECT o.client, o.rn, CASE WHEN o.ts>=w.start+INTERVAL 6 HOUR THEN o.ts ELSE w.start END, CASE WHEN o.ts>=w.start+INTERVAL 6 HOUR THEN 1 ELSE w.n+1 END FROM w JOIN o ON o.client=w.client AND o.rn=w.rn+1)
+SELECT id, client, start+INTERVAL 6 HOUR AS reset, greatest(0, 12-n)::INT AS remaining, n<=12 AS allowed FROM w JOIN o USING (client, rn)""")
+def anchored_windows(spark, d):
+    forwarded = F.concat(F.lit("1.2.3.4, c"), F.col("user_id") % 3)
+    rows = events(spark, d).select(F.col("event_id").alias("id"), limits.client_of(forwarded, F.lit(None).cast("string")).alias("client"), F.col("ts").alias("at"))
+    return limits.rate_windows(rows, 12, 6 * 3600).select("id", "client", F.col("reset").cast(NTZ).alias("reset"), "remaining", "allowed")
+
+
 @query("stm14_monitor", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) FILTER (event_type='error') AS failures, count(*) AS requests FROM events GROUP BY 1 HAVING count(*) FILTER (event_type='error')>=1")
 def monitor(spark, d):
     rows = live.error_monitor(events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "ts", F.col("event_type") == "error")

@@ -90,3 +90,36 @@ def fight_stream(events: DataFrame, gap_seconds: int = 20, late: str = "1 minute
     later batch than its followers, but before the watermark, is counted in the fight that is open then and never moves its
     anchor back."""
     return events.withWatermark("occurred_at", late).groupBy("user_id").applyInPandasWithState(fight_groups(gap_seconds * 1_000_000), FIGHTS, FIGHT_STATE, "append", "EventTimeTimeout")
+
+
+DECISIONS = "id long, client string, at timestamp, reset timestamp, remaining int, allowed boolean"
+
+
+def decide(width: int, limit: int):
+    """State function: the window of a client and its requests so far; a request at or after the window's end begins the next."""
+    import pandas as pd
+
+    def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, n = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(frames)).sort_values(["at", "id"])
+        out = []
+        for i, at in zip(rows["id"], rows["at"].astype("datetime64[us]").astype("int64"), strict=True):
+            if start is None or at >= start + width:
+                start, n = at, 0
+            n += 1
+            out.append((i, key[0], pd.Timestamp(at, unit="us"), pd.Timestamp(start + width, unit="us"), max(0, limit - n), n <= limit))
+        state.update((int(start), n))
+        state.setTimeoutTimestamp(int(start + width) // 1000 + 1)
+        yield pd.DataFrame(out, columns=["id", "client", "at", "reset", "remaining", "allowed"])
+
+    return run
+
+
+def rate_stream(requests: DataFrame, limit: int = 120, seconds: int = 60, least: int = 10, late: str = "1 minute") -> DataFrame:
+    """Decisions on requests (id, client, at) as they come; those of one batch in the order of their time. A client's state goes
+    once the watermark has passed its window. Requests that come in order get the decisions of ``limits.rate_windows``."""
+    rows = requests.select("id", "client", "at").withWatermark("at", late)
+    return rows.groupBy("client").applyInPandasWithState(decide(seconds * 1_000_000, max(least, limit)), DECISIONS, "start long, n int", "append", "EventTimeTimeout")

@@ -1,11 +1,17 @@
 import datetime as dt
 import json
+import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparrowlog.operators import combat, limits
+from sparrowlog.plans import lens
 from sparrowlog.sources import export, landing, web
-from sparrowlog.streaming import live
+from sparrowlog.streaming import fights, live
+
+T = dt.datetime(2024, 1, 1)
 
 
 def test_fetch_retries():
@@ -114,3 +120,58 @@ def test_export_backfill_and_schema_report(spark, tmp_path):
     (tmp_path / "in/a.json").write_text('{"n": 1}')
     (tmp_path / "in/b.json").write_text('{"n": "x", "m": []}')
     assert {(r["path"], *r["types"], r["files"]) for r in export.schema_report(spark, f"{top}/in").collect()} == {("$", "object", 2), ("$.n", "number", "string", 2), ("$.m", "array", 1)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_streamed_fights_equal_the_batch_in_any_order_within_the_delay(spark, tmp_path, seed):
+    events = lens.combat(spark, "/root/testdata/sf0.001").filter("id < 400").withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
+    rows = sorted(events.collect(), key=lambda x: x.occurred_at.timestamp() + zlib.crc32(f"{x.id} {seed}".encode()) % 7200)
+    users = sorted({x.user_id for x in rows})
+    last = [[(-1, u, "heal", "", "", "", 0, "", dt.datetime(2030 + k, 1, 1)) for u in users] for k in range(2)]
+    for part in (rows[:150], rows[150:300], rows[300:], *last):
+        spark.createDataFrame(part, events.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = fights.session_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), 3600, 7200, "2 hours")
+        stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).outputMode("append").start(str(tmp_path / "out"), "parquet").awaitTermination()
+    got = spark.read.schema(fights.OUT).parquet(str(tmp_path / "out")).collect()
+    clustered = combat.clusters(combat.normalise(events), 3600)
+    f, a = combat.fights(clustered), combat.actors(clustered)
+    shape = lambda x: (x.user_id, x.start, x.end, x.total_damage, x.duration_seconds, x.title, x.defeated, tuple(x.deaths))
+    assert sorted(shape(x) for x in got if x.what == "fight") == sorted(map(shape, f.collect()))
+    whole = lambda x: (x.user_id, x.start, x.end, x.total_damage, x.encounters, x.top_player)
+    assert sorted(whole(x) for x in got if x.what == "session") == sorted(map(whole, combat.sessions(f, a, 7200).collect()))
+    assert sum(len(x.actors) for x in got if x.what == "fight") == combat.with_shares(a, f).count()
+
+
+def walked(times, width, limit):
+    """Greedy walk of one client's requests."""
+    start, n, out = None, 0, []
+    for at in times:
+        if start is None or at >= start + width:
+            start, n = at, 0
+        n += 1
+        out.append((start + width, max(0, limit - n), n <= limit))
+    return out
+
+
+def test_rate_windows_equal_the_greedy_walk(spark, tmp_path):
+    r, rows, want = random.Random(3), [], {}
+    for c in range(12):
+        at, times = 0, []
+        for _ in range(r.choice([1, 2, 300])):
+            at += r.choice([0, 1, 2, 7, 29, 30, 31, 59, 60, 61, 119, 120, 200] if c % 3 else [0, 1, 1, 2])
+            times.append(at)
+        for t, w in zip(times, walked(times, 60, 10), strict=True):
+            want[len(rows)] = w
+            rows.append((len(rows), f"c{c}", T + dt.timedelta(seconds=t)))
+    d = spark.createDataFrame(rows, "id long, client string, at timestamp")
+    key = lambda x: (round((x.reset - T).total_seconds()), x.remaining, x.allowed)
+    assert {x.id: key(x) for x in limits.rate_windows(d.repartition(5), 1).collect()} == want, "a limit under 10 counts as 10"
+    assert limits.rate_windows(d.filter("false")).count() == 0
+    order = sorted(rows, key=lambda x: x[2])
+    for part in (order[:200], order[200:900], order[900:]):
+        spark.createDataFrame(part, d.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = live.rate_stream(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), 10)
+        stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).outputMode("append").start(str(tmp_path / "out"), "parquet").awaitTermination()
+    assert {x.id: key(x) for x in spark.read.schema(live.DECISIONS).parquet(str(tmp_path / "out")).collect()} == want
+    client = lambda a, b: spark.sql("SELECT CAST(? AS STRING) AS a, CAST(? AS STRING) AS b", args=[a, b]).select(limits.client_of(F.col("a"), F.col("b")).alias("c")).first().c
+    assert [client("1, 2 ,", "r"), client(" , ", "r"), client(None, None)] == ["2", "r", "local"]
