@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparrowlog.operators import combat
+from sparrowlog.operators import combat, log_dating
 from sparrowlog.plans import lens
 from sparrowlog.plans.ingest_queries import NTZ, events
 from sparrowlog.plans.register import query
@@ -123,15 +123,26 @@ def dated(spark, d):
     return rows.select("file", F.regexp_extract("text", r"for (\d+) points", 1).cast("long").alias("event_id"), "clock", F.col("at").cast(NTZ).alias("at"))
 
 
+@query("stm8_win8_win10_split_logs", DATED + " SELECT file, event_id, clock, date+to_seconds(clock) AS at FROM d")
+def split_logs(spark, d):
+    """The same logs as files, read in byte ranges."""
+    top = export.shared(spark, "logs")
+    rows = log_of_events(spark, d).repartition("file").sortWithinPartitions("file", "line_no")
+    rows.select("file", "text").write.partitionBy("file").text(top)
+    lines = log_dating.log_ranges(spark, top, "*.txt").withColumn("modified_at", F.lit(MODIFIED).cast(NTZ))
+    out = log_dating.dated_ranges(lines)
+    return out.select(F.regexp_extract("file", "file=([^/]+)", 1).alias("file"), F.regexp_extract("text", r"for (\d+) points", 1).cast("long").alias("event_id"), "clock", F.col("at").cast(NTZ).alias("at"))
+
+
 @query("win10_repeated_lines", "SELECT user_id, count(*) AS runs FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type GROUP BY 1")
 def repeated_lines(spark, d):
     rows = events(spark, d).select(F.col("user_id").alias("file"), F.struct("ts", "event_id").alias("line_no"), F.col("event_type").alias("text"))
     return combat.without_repeats(rows).groupBy(F.col("file").alias("user_id")).agg(F.count("*").alias("runs"))
 
 
-@query("win8_day_index", DATED + " SELECT event_id, CAST(day AS BIGINT) AS day FROM d WHERE file IN ('f3','f4')")
+@query("win8_day_index", DATED + " SELECT event_id, CAST(day AS BIGINT) AS day FROM d")
 def day_index(spark, d):
-    e = events(spark, d).filter("user_id % 5 >= 3").select((F.col("user_id") % 5).alias("file"), F.struct("ts", "event_id").alias("line_no"), "event_id", (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).alias("clock"))
+    e = events(spark, d).select((F.col("user_id") % 5).alias("file"), F.struct("ts", "event_id").alias("line_no"), "event_id", (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).alias("clock"))
     return combat.with_day_index(e).select("event_id", F.col("_day").cast("long").alias("day"))
 
 

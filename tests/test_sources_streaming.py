@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowlog.operators import combat, limits
+from sparrowlog.operators import combat, limits, log_dating
 from sparrowlog.plans import lens
 from sparrowlog.sources import export, landing, web
 from sparrowlog.streaming import fights, live
@@ -175,3 +175,29 @@ def test_rate_windows_equal_the_greedy_walk(spark, tmp_path):
     assert {x.id: key(x) for x in spark.read.schema(live.DECISIONS).parquet(str(tmp_path / "out")).collect()} == want
     client = lambda a, b: spark.sql("SELECT CAST(? AS STRING) AS a, CAST(? AS STRING) AS b", args=[a, b]).select(limits.client_of(F.col("a"), F.col("b")).alias("c")).first().c
     assert [client("1, 2 ,", "r"), client(" , ", "r"), client(None, None)] == ["2", "r", "local"]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_split_logs_are_dated_like_whole_files(spark, tmp_path, seed):
+    r = random.Random(seed)
+    (tmp_path / "logs").mkdir()
+    for f in range(5):
+        at, lines = T + dt.timedelta(days=f, hours=20), []
+        for i in range(r.choice([0, 3, 200])):
+            at += dt.timedelta(seconds=r.choice([0, 1, 600, 5000, 40_000]))
+            what = r.random()
+            line = f"[Combat]  {at:%H:%M:%S} Ann heals Bo for {r.choice([5, i])} points" if what < 0.6 else "" if what < 0.7 else f"Logging In [{at:%a %b %d %H:%M:%S %Y}]" if what < 0.78 and f % 2 else "someone says hello"
+            lines += [line] * r.choice([1, 1, 2, 9])
+        (tmp_path / "logs" / f"chatlog{f}.txt").write_bytes((b"\xef\xbb\xbf" if f == 1 else b"") + "\r\n".join(lines).encode())
+    key = lambda x: (x.file.rsplit("/", 1)[-1], x.line_no, x.text, x.clock, x.at)
+    want = sorted(map(key, combat.dated_lines(landing.log_lines(spark, str(tmp_path / "logs"))).collect()))
+    assert len(want) > 50
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in ("1000", "333", size):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            ranges = log_dating.log_ranges(spark, str(tmp_path / "logs"))
+            assert most == size or ranges.select("file", "block").distinct().count() > 10
+            assert sorted(map(key, log_dating.dated_ranges(ranges).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
