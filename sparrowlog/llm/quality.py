@@ -178,10 +178,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 9000, sample_bytes:
     stats = materialise(rows.mapInArrow(train_batches, STATS), "quality-stats")
     counts = stats.filter("kind = 0").groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
     # rows of one id share its hash; the hash of their features orders them, and a cut may fall between any two rows
-    drawn = stats.filter("kind = 1").select("key", "good", "features", F.xxhash64("key").alias("h"), F.xxhash64("features").alias("f")).orderBy("h", "f").limit(sample)
-    sizes = np.asarray(drawn.select(F.octet_length("features").alias("size")).toArrow()["size"])
-    most = max(1, int(np.searchsorted(np.cumsum(sizes), sample_bytes, "right")))
-    picked = drawn.limit(most).select("key", "good", "features").toArrow().sort_by([("key", "ascending"), ("good", "ascending"), ("features", "ascending")])
+    drawn = stats.filter("kind = 1").select("key", "good", "features", F.xxhash64("key").alias("h"), F.xxhash64("features").alias("f"))
+    heads = drawn.select("h", "f", F.octet_length("features").alias("size")).orderBy("h", "f").limit(sample).toArrow().to_pydict()
+    most = max(1, int(np.searchsorted(np.cumsum(heads["size"]), sample_bytes, "right")))
+    if heads["h"]:
+        h, f = (heads[c][:most][-1] for c in ("h", "f"))
+        like_last = sum(x == (h, f) for x in zip(heads["h"][:most], heads["f"][:most], strict=True))
+        here = F.col("h") == F.lit(h)
+        drawn = drawn.filter((F.col("h") < F.lit(h)) | here & (F.col("f") < F.lit(f))).unionByName(drawn.filter(here & (F.col("f") == F.lit(f))).limit(like_last))
+    picked = drawn.select("key", "good", "features").toArrow().sort_by([("key", "ascending"), ("good", "ascending"), ("features", "ascending")])
     y = np.where(np.asarray(picked["good"]) > 0, 1.0, -1.0)
     if not (y > 0).any() or not (y < 0).any():
         return float((y > 0).mean()) if len(y) else 0.5
