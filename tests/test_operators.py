@@ -365,7 +365,7 @@ MAIL = {
 
 
 def test_mail_grammar(spark):
-    rows = mail.parse_mails(spark.createDataFrame([(x,) for x in MAIL], "raw string")).withColumn("s", mail.sale()).withColumn("p", mail.purchase()).withColumn("t", F.unix_timestamp("sent_at")).collect()
+    rows = mail.parse_mails(spark.createDataFrame([(x,) for x in MAIL], "raw string")).withColumn("s", mail.sale("subject", "body")).withColumn("p", mail.purchase("subject", "body")).withColumn("t", F.unix_timestamp("sent_at")).collect()
     for r in rows:
         assert (r.mail_id, r.sender, r.subject, r.t, tuple(r.s) if r.s else None, tuple(r.p) if r.p else None) == MAIL[r.raw], r.raw
 
