@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from sparrowlog.functions import text as tx
-from sparrowlog.operators import boards, encounters, guilds, rivalries, sales
+from sparrowlog.operators import boards, encounters, guilds, rivalries, sales, text_index
 from sparrowlog.plans import lens
 from sparrowlog.plans.register import query
+from sparrowlog.sources import export
 
 AS_OF = dt.datetime(2024, 1, 20, 12)
 START, END = dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 15)
@@ -390,18 +391,48 @@ def recent_sales(spark, d):
     return sales.recent(sales.of_account(lens.sales(spark, d), USER, "Trader 3"))
 
 
-@query("str6_entity_search", f"""{W(P)}, c AS (SELECT * FROM participants WHERE current_name ILIKE '%or 1%' OR guild_abbreviation ILIKE '%or 1%' OR city_name ILIKE '%or 1%'),
+ENTITIES = f"""{W(P)}, c AS (SELECT * FROM participants WHERE current_name ILIKE '%or 1%' OR guild_abbreviation ILIKE '%or 1%' OR city_name ILIKE '%or 1%'),
 tg AS (SELECT id, (SELECT list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(current_name),'[^a-z0-9]+'), lambda w: w<>''), lambda w: list_transform(range(1,length(w)+2), lambda i: substr('  '||w||' ', i, 3)))))) AS g FROM c),
 q AS (SELECT ['  a',' ac','act','cto','tor','or ','  1',' 12','12 '] AS g)
-SELECT c.id, c.participant_type, c.current_name, CAST(len(list_intersect(tg.g, q.g)) AS DOUBLE)/len(list_distinct(list_concat(tg.g, q.g))) AS relevance FROM c JOIN tg USING (id), q ORDER BY relevance DESC, current_name, c.id LIMIT 50""")
+SELECT c.id, c.participant_type, c.current_name, CAST(len(list_intersect(tg.g, q.g)) AS DOUBLE)/len(list_distinct(list_concat(tg.g, q.g))) AS relevance FROM c JOIN tg USING (id), q ORDER BY relevance DESC, current_name, c.id LIMIT 50"""
+
+
+@query("str6_entity_search", ENTITIES)
 def entity_search(spark, d):
     p = par(spark, d).filter(tx.contains_ci(F.col("current_name"), "or 1") | tx.contains_ci(F.col("guild_abbreviation"), "or 1") | tx.contains_ci(F.col("city_name"), "or 1"))
     rows = p.select("id", "participant_type", "current_name", tx.similarity(F.col("current_name"), F.lit("Actor 12")).alias("relevance"))
     return rows.orderBy(F.desc("relevance"), "current_name", "id").limit(50)
 
 
-@query("str7_full_text", """WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w<>'') AS w FROM conversations)
-SELECT conv_id, turn FROM t WHERE (list_contains(w,'the') AND NOT list_contains(w,'of') AND contains(' '||array_to_string(w,' ')||' ', ' in the ')) OR (list_contains(w,'que'))""")
+MATCHES = """WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w<>'') AS w FROM conversations)
+SELECT conv_id, turn FROM t WHERE (list_contains(w,'the') AND NOT list_contains(w,'of') AND contains(' '||array_to_string(w,' ')||' ', ' in the ')) OR (list_contains(w,'que'))"""
+
+
+@query("str7_full_text", MATCHES)
 def full_text(spark, d):
     c = lens.table(spark, d, "conversations")
     return c.filter(tx.matches(tx.tokens(F.col("text")), 'the -of "in the" or que')).select("conv_id", "turn")
+
+
+@query("str6_indexed_search", ENTITIES)
+def indexed_search(spark, d):
+    """The same by trigram postings, which two calls wrote."""
+    fields, path, p = ["current_name", "guild_abbreviation", "city_name"], export.shared(spark, "trigrams"), par(spark, d)
+    for part in (p.filter(F.crc32("id") % 2 == 0), p):
+        text_index.extend_trigrams(path, part, "id", fields)
+    found = text_index.search_part(spark, path, p.schema, "id", fields, "or 1")
+    near = text_index.similar_to(spark, path, p.schema, "id", "current_name", "Actor 12", 1e-9)
+    rows = found.join(near, "id", "left").select("id", "participant_type", "current_name", F.coalesce("relevance", F.lit(0.0)).alias("relevance"))
+    return rows.orderBy(F.desc("relevance"), "current_name", "id").limit(50)
+
+
+@query("str7_indexed_text", MATCHES)
+def indexed_text(spark, d):
+    """The same by postings of words with their places, which two calls wrote."""
+    c = lens.table(spark, d, "conversations").select(F.concat_ws("|", "conv_id", F.coalesce(F.col("turn").cast("string"), F.lit("-")), F.md5(F.col("text").cast("binary"))).alias("key"), "conv_id", "turn", "text")
+    path = export.shared(spark, "words")
+    for part in (c.filter("conv_id % 2 = 0"), c):
+        text_index.extend_words(path, part, "key", "text")
+    found = text_index.search_words(spark, path, c.schema, "key", 'the -of "in the" or que')
+    # rows that are alike in all three are one in the index and as many in the result
+    return c.join(found.select("key"), "key", "left_semi").select("conv_id", "turn")

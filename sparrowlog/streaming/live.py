@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,8 +15,8 @@ from sparrowlog.operators.combat import parse
 def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path).select(*schema.names)
-    except Exception as e:  # a table that no batch has written yet
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:  # a table that no batch has written yet
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
@@ -24,7 +25,7 @@ def append_new(rows: DataFrame, path: str, keys: list[str], batch_id: int) -> No
     """Append the first row of each key that the table lacks, in a folder of the batch: a batch that runs again replaces it.
 
     Only keys are read of the table, and of files only those whose range of the first key meets the batch's."""
-    spark = rows.sparkSession
+    spark, rows = rows.sparkSession, rows.persist()  # read for its range, and written
     own = f"batch={batch_id}"
     low, high = rows.agg(F.min(keys[0]), F.max(keys[0])).first()
     old = read_table(spark, path, StructType([*rows.schema.fields, StructField("batch", LongType())])).filter(F.col("batch") != batch_id).drop("batch")
@@ -32,6 +33,7 @@ def append_new(rows: DataFrame, path: str, keys: list[str], batch_id: int) -> No
         old = old.filter(F.col(keys[0]).between(F.lit(low), F.lit(high)))
     fresh = latest_per_key(rows, keys, [F.asc(c) for c in rows.columns]).join(old.select(*keys), keys, "left_anti")
     fresh.write.mode("overwrite").parquet(f"{path}/{own}")
+    rows.unpersist()
 
 
 def land(stream: DataFrame, table: str, keys: list[str], checkpoint: str, every: str | None = None) -> StreamingQuery:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparrowlog.functions import latest, text
-from sparrowlog.operators import boards, combat, contracts, encounters, ingest, mail, merge, process, rivalries
+from sparrowlog.operators import boards, combat, contracts, encounters, ingest, mail, merge, process, rivalries, text_index
 
 T = dt.datetime(2024, 1, 1)
 
@@ -465,3 +465,50 @@ def test_mail_heads_equal_a_walk_over_the_lines(spark):
     for x in rows:
         mail_id, sender, subject, stamp, body = brute_head(mails[x.id] or "")
         assert (x.mail_id, x.sender, x.subject, x.stamp, x.body) == (mail_id, sender, subject, ms(stamp), body), mails[x.id]
+
+
+# --- text index
+
+
+def test_indexed_words_equal_the_scan(spark, tmp_path):
+    r = random.Random(4)
+    pool = ["red", "big", "fox", "blue", "Été", "x1", "the", "of"]
+    texts = [" ".join(r.choice(pool) for _ in range(r.randrange(0, 9))) for _ in range(120)] + [None, "", "!!"]
+    rows = spark.createDataFrame([(i, t, i % 7) for i, t in enumerate(texts)], "id int, text string, term int")
+    path = str(tmp_path / "words")
+    for part in (rows.filter("id < 50"), rows.filter("id < 50"), rows):
+        text_index.extend_words(path, part, "id", "text")
+    assert spark.read.parquet(f"{path}/documents").count() == len(texts)
+    for query in ["red", "red fox", '"big fox"', 'red -"big fox"', "-red", "-red or blue -x1", '"été été" or "x1 the of"', "nothing", "nothing or -nothing", "", '"the" fox or of']:
+        want = {x.id for x in rows.filter(F.coalesce(text.matches(text.tokens(F.coalesce("text", F.lit(""))), query), F.lit(False))).collect()}
+        assert {x.id for x in text_index.search_words(spark, path, rows.schema, "id", query).collect()} == want, query
+
+
+def test_only_folders_of_wanted_terms_are_read(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"word{i} shared red fox") for i in range(200)], "id int, text string")
+    path = str(tmp_path / "words")
+    text_index.extend_words(path, rows, "id", "text")
+    keep = {x.b for x in spark.createDataFrame([("red",), ("fox",)], "t string").select(text_index.bucket(F.col("t")).alias("b")).collect()}
+    folders = [x for x in (tmp_path / "words/postings").iterdir() if x.name.startswith("bucket=")]
+    assert len(folders) > 40
+    for folder in folders:  # what is not asked for may be gone
+        if int(folder.name.split("=")[1]) not in keep:
+            for f in folder.iterdir():
+                f.write_bytes(b"unreadable")
+    assert text_index.search_words(spark, path, rows.schema, "id", '"red fox"').count() == 200
+
+
+def test_indexed_trigrams_equal_the_scan(spark, tmp_path):
+    r = random.Random(5)
+    names = [" ".join("".join(r.choice("abAB1") for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(1, 3))) for _ in range(150)] + [None, "", "a-b_c 100%", "back\\slash"]
+    rows = spark.createDataFrame([(i, n, names[-i]) for i, n in enumerate(names)], "id int, name string, other string")
+    path = str(tmp_path / "grams")
+    for part in (rows.filter("id % 3 = 0"), rows):
+        text_index.extend_trigrams(path, part, "id", ["name", "other"])
+    for part in ["ab", "abA", "b a", "a%b", "a_1", "%", "", " ", "1a b", "zzz", "100%", "\\s", "ab ", " ba"]:
+        hit = F.coalesce(text.contains_ci(F.col("name"), part), F.lit(False)) | F.coalesce(text.contains_ci(F.col("other"), part), F.lit(False))
+        want = {x.id for x in rows.filter(hit).collect()}
+        assert {x.id for x in text_index.search_part(spark, path, rows.schema, "id", ["name", "other"], part).collect()} == want, part
+    for asked in ["ab ba", "a", "ABAB 1"]:
+        want = {x.id: round(x.s, 9) for x in rows.withColumn("s", text.similarity(F.coalesce("name", F.lit("")), F.lit(asked))).filter("s >= 0.2").collect()}
+        assert {x.id: round(x.relevance, 9) for x in text_index.similar_to(spark, path, rows.schema, "id", "name", asked, 0.2).collect()} == want
