@@ -53,7 +53,8 @@ def heads(conv_id: Column) -> Column:
 def rebuilt(conversations: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """(conv_id, depth, role, text) of rebuilt conversations, depth from 1, and (conv_id, n_turns), 0 for turnless ones."""
     own = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
-    own = ranked(own.filter("conv_id IS NOT NULL"), [F.asc("conv_id"), F.asc_nulls_first("turn"), F.asc("role"), F.asc("text")], "turns")
+    own = own.filter("conv_id IS NOT NULL").withColumn("row", F.monotonically_increasing_id())  # parts rows that are alike
+    own = ranked(own, [F.asc("conv_id"), F.asc_nulls_first("turn"), F.asc("role"), F.asc("text"), F.asc("row")], "turns").drop("row")
     sizes = materialise(own.groupBy("conv_id").agg(F.min("rank").alias("first"), F.count("*").alias("n")), "sizes")
     sizes = sizes.withColumn("h", heads(F.col("conv_id"))).withColumn("head_id", F.col("conv_id") - F.col("conv_id") % block)
     taken = sizes.select(F.col("conv_id").alias("head_id"), F.col("n").alias("head_n"))

@@ -14,7 +14,7 @@ branches that hang on the branch's messages, the latest first. ``message`` is th
 Messages of a conversation are in the order of turn (nulls last), role and text; repeats are messages of their own. A message
 without conv_id is a conversation by itself. Null texts are empty and have no passage. Extra columns are ignored; an empty table
 gives none. No step sorts or gathers a whole conversation in one task: orders are ranges of a global sort, and all else joins on
-ranks, which are unique. A branch keeps its path, an entry for each branch above it.
+ranks, which are unique. Reply order comes from list ranking around the tree of branches, with a fixed size for each branch.
 """
 
 from __future__ import annotations
@@ -103,8 +103,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, n_passages, n_linked (units found), parent_turn, parent_position, depth, position and message of
     every row of (conv_id, turn, role, text)."""
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    parsed = rows.mapInArrow(parse_batches, PARSED)
-    parsed = ranked(parsed, [F.asc("conv_id"), F.asc_nulls_last("turn"), F.asc("role"), F.asc("text_md5")], "messages")
+    parsed = rows.mapInArrow(parse_batches, PARSED).withColumn("row", F.monotonically_increasing_id())  # parts rows that are alike
+    parsed = ranked(parsed, [F.asc("conv_id"), F.asc_nulls_last("turn"), F.asc("role"), F.asc("text_md5"), F.asc("row")], "messages").drop("row")
     # a conversation is named by the rank of its first message
     conv = parsed.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.min("rank").alias("first"), F.count("*").alias("n_rows"))
     conv = materialise(conv, "conversations")
@@ -114,11 +114,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     heads = answers.withColumn("parent", F.coalesce("to_rank", F.when(F.col("rank") > F.col("first"), F.col("rank") - 1)))
     opens = F.when(F.col("parent").isNull() | (F.col("parent") < F.col("rank") - 1), F.col("rank"))
     heads = materialise(running(heads, opens, "branch").select("rank", "first", "parent", "branch", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")), "answers")
-    key = F.concat("path", F.array(F.struct(F.lit(-(1 << 62)).cast("long").alias("hangs"), F.col("rank").alias("head"))))
-    ordered = heads.join(paths(heads), "branch").withColumn("depth", F.size("path")).withColumn("path", key)
-    # conversations keep their order, so a message's position is its rank in reply order less that of its first message
-    ordered = ranked(ordered.withColumnRenamed("rank", "message_rank"), [F.asc("first"), F.asc("path")], "ordered")
-    places = ordered.select(F.col("message_rank").alias("rank"), "parent", "n_linked", "depth", (F.col("rank") - F.col("first") + 1).alias("position"))
+    places = heads.join(branch_places(heads), "branch")
+    places = places.select("rank", "parent", "n_linked", "depth", (F.col("offset") + F.col("rank") - F.col("branch") + 1).alias("position"))
     # a first message has no parent: a key of its own, which none has, keeps them from meeting in one task
     places = places.withColumn("parent", F.coalesce("parent", -1 - F.col("rank")))
     parents = places.select(F.col("rank").alias("parent"), F.col("position").alias("parent_position")).join(placed.select(F.col("rank").alias("parent"), F.col("turn").alias("parent_turn")), "parent")
@@ -137,15 +134,33 @@ def linked(placed: DataFrame) -> DataFrame:
     return found.groupBy("rank").agg(F.min_by("to_rank", F.struct("level", -F.col("words"), "place")).alias("to_rank"), F.count("*").alias("n_linked"))
 
 
-def paths(answers: DataFrame) -> DataFrame:
-    """(branch, path): for each branch the branches above it and itself, outermost first, each as (where it hangs, latest first;
-    its first message). A conversation's first branch has none. Pointers double in each round."""
+def branch_places(answers: DataFrame) -> DataFrame:
+    """(branch, offset, depth): for each branch the messages of its conversation before it in reply order, and the branches above it.
+
+    Branches are a tree; a walk around it enters a branch, goes through the branches that hang on it and leaves it. Each of
+    these two steps knows the next, so the sums from each step to the walk's end follow by list ranking: every round doubles how
+    far a step sees, and a step keeps its two sums only."""
     heads = answers.filter("rank = branch").select("branch", "parent")
+    sizes = answers.groupBy("branch").agg(F.count("*").alias("n"))
     above = heads.withColumn("key", F.coalesce("parent", -1 - F.col("branch"))).join(answers.select(F.col("rank").alias("key"), F.col("branch").alias("up")), "key", "left")
-    own = F.array(F.struct((-F.col("parent")).alias("hangs"), F.col("branch").alias("head")))
-    state = materialise(above.select("branch", "up", F.when(F.col("up").isNull(), F.array().cast("array<struct<hangs:bigint,head:bigint>>")).otherwise(own).alias("path")), "branches")
-    while not state.filter("up IS NOT NULL").isEmpty():
-        far = state.select(F.col("branch").alias("up"), F.col("up").alias("far_up"), F.col("path").alias("far_path"))
-        todo = state.withColumn("up", F.coalesce("up", -1 - F.col("branch")))
-        state = materialise(todo.join(far, "up", "left").select("branch", F.col("far_up").alias("up"), F.when(F.col("far_path").isNull(), F.col("path")).otherwise(F.concat("far_path", "path")).alias("path")), "branches")
-    return state.select("branch", "path")
+    tree = materialise(above.select("branch", "parent", "up").join(sizes, "branch"), "branches")
+    children = ranked(tree.filter("up IS NOT NULL"), [F.asc("up"), F.desc("parent"), F.asc("branch")], "children").select("branch", "up", "rank")
+    after = children.select((F.col("rank") - 1).alias("rank"), F.col("branch").alias("next_branch"), F.col("up").alias("next_up"))
+    siblings = children.join(after, "rank", "left").select("branch", F.when(F.col("next_up") == F.col("up"), F.col("next_branch")).alias("sibling"))
+    firsts = children.groupBy("up").agg(F.min_by("branch", "rank").alias("child")).withColumnRenamed("up", "branch")
+    tree = tree.join(siblings, "branch", "left").join(firsts, "branch", "left")
+    enter, leave = (lambda c: F.col(c) * 2), (lambda c: F.col(c) * 2 + 1)
+    steps = F.array(
+        F.struct(enter("branch").alias("step"), F.coalesce(enter("child"), leave("branch")).alias("next"), F.col("n").alias("messages"), F.lit(1).cast("long").alias("levels")),
+        F.struct(leave("branch").alias("step"), F.coalesce(enter("sibling"), leave("up")).alias("next"), F.lit(0).cast("long").alias("messages"), F.lit(-1).cast("long").alias("levels")),
+    )
+    state = materialise(tree.select(F.inline(steps)), "steps")
+    while not state.filter("next IS NOT NULL").isEmpty():
+        far = state.select(F.col("step").alias("next"), F.col("next").alias("far"), F.col("messages").alias("far_messages"), F.col("levels").alias("far_levels"))
+        moved = state.filter("next IS NOT NULL").join(far, "next").select("step", F.col("far").alias("next"), (F.col("messages") + F.col("far_messages")).alias("messages"), (F.col("levels") + F.col("far_levels")).alias("levels"))
+        state = materialise(moved.unionByName(state.filter("next IS NULL")), "steps")
+    ends = state.filter("step % 2 = 0").select(F.shiftright("step", 1).alias("branch"), "messages", "levels")
+    # what a conversation's walk has in all is at the entry of its first branch, which is named by the first message
+    whole = answers.filter("rank = branch").select("branch", "first").join(ends, "branch")
+    total = whole.filter("branch = first").select("first", F.col("messages").alias("total"))
+    return join_one(whole, materialise(total.join(whole.groupBy("first").agg(F.count("*").alias("branches")), "first"), "walks"), "first", "branches").select("branch", (F.col("total") - F.col("messages")).alias("offset"), (-F.col("levels")).cast("int").alias("depth"))

@@ -5,6 +5,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -777,6 +778,20 @@ def test_link_quotes_equals_brute_force(spark, block, monkeypatch):
     assert quotes.link_quotes(spark.createDataFrame([], CHAT)).count() == 0
 
 
+def test_branches_that_hang_on_branches_cost_a_fixed_size_each(spark):
+    """Every message quotes the one two before, so messages 2, 4, ... and 3, 5, ... are two chains of branches."""
+    n = 1500
+    own = [f"This is what message number {k} says" for k in range(n)]
+    rows = [(1, k, "a", own[k] if k < 2 else f"> {own[k - 2]}\n{own[k]}") for k in range(n)]
+    before = {d.name for d in Path(common.shared_dir(spark).removeprefix("file://")).iterdir()}
+    got = {x.turn: (x.parent_turn, x.depth, x.position) for x in quotes.link_quotes(spark.createDataFrame([(*x, "", "") for x in rows], CHAT)).collect()}
+    odd = (n - 2) // 2
+    want = {k: (k - 2, k // 2, 2 + k // 2 if k % 2 else 2 + odd + k // 2) for k in range(2, n)} | {0: (None, 0, 1), 1: (0, 0, 2)}
+    assert got == want
+    new = [d for d in Path(common.shared_dir(spark).removeprefix("file://")).iterdir() if d.name not in before]
+    assert sum(f.stat().st_size for d in new for f in d.glob("*.parquet")) < 3000 * n
+
+
 # --- pipeline
 
 
