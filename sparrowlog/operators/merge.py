@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowlog.functions.latest import latest_per_key
@@ -130,6 +130,16 @@ def weekly_post(cycles: list[tuple[dt.datetime, dt.datetime]], posted: set[dt.da
     return (False, "already_posted") if start in posted else (True, "due")
 
 
+def weekly_posts(cycles: DataFrame, posted: DataFrame, now: dt.datetime, settle_minutes: int = 30) -> DataFrame:
+    """The same for many boards at once: (board, starts_at, publish, reason) of cycles (board, starts_at, ends_at), of which the
+    newest two of a board count, and what is posted (board, starts_at). ``starts_at`` is that of the last whole cycle."""
+    at, newest = F.lit(now).cast("timestamp_ntz"), Window.partitionBy("board").orderBy(F.desc("starts_at"))
+    last = cycles.withColumn("_current", F.lag("starts_at").over(newest)).withColumn("_n", F.row_number().over(newest)).withColumn("_of", F.count("*").over(Window.partitionBy("board")))
+    last = last.filter("_n = 2 OR _of = 1").join(posted.select("board", "starts_at", F.lit(True).alias("_posted")).distinct(), ["board", "starts_at"], "left")
+    reason = F.when(F.col("_of") == 1, "not_enough_cycles").when(F.timestamp_diff("SECOND", "_current", at) < settle_minutes * 60, "reset_settling").when(F.timestamp_diff("SECOND", "ends_at", at) > 8 * 86_400, "cycle_too_old").when(F.col("_posted"), "already_posted").otherwise("due")
+    return last.select("board", F.when(F.col("_of") > 1, F.col("starts_at")).alias("starts_at"), (reason == "due").alias("publish"), reason.alias("reason"))
+
+
 def over_limit(requests: DataFrame, most: int = 120) -> DataFrame:
     """Clients over ``most`` requests in a minute window of (client, at)."""
     return requests.groupBy("client", F.window("at", "1 minute").alias("w")).agg(F.count("*").alias("requests")).filter(F.col("requests") > max(10, most)).select("client", F.col("w.start").alias("minute"), "requests")

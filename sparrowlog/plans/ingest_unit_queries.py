@@ -365,59 +365,94 @@ def realism(spark, d):
 # --- operations
 
 
-@query("stm12_publish_once", "SELECT * FROM (VALUES ('due',true,'due'), ('one cycle',false,'not_enough_cycles'), ('at reset',false,'reset_settling'), ('late',false,'cycle_too_old'), ('again',false,'already_posted')) t(scenario, publish, reason)")
+@query("stm12_publish_once", """WITH c AS (SELECT DISTINCT 'b'||(o_custkey%60) AS board, date_trunc('week', o_orderdate) AS starts_at FROM orders WHERE o_custkey%60<50 OR o_orderdate<TIMESTAMP '1996-01-01'),
+n AS (SELECT board, starts_at, starts_at+INTERVAL 7 DAY AS ends_at, lag(starts_at) OVER w AS current, row_number() OVER w AS n, count(*) OVER (PARTITION BY board) AS cycles FROM c WINDOW w AS (PARTITION BY board ORDER BY starts_at DESC))
+SELECT board, CASE WHEN cycles>1 THEN starts_at END AS starts_at, reason='due' AS publish, reason FROM (SELECT *, CASE WHEN cycles=1 THEN 'not_enough_cycles' WHEN epoch(TIMESTAMP '2001-08-06 00:10:00'-current)<1800 THEN 'reset_settling' WHEN epoch(TIMESTAMP '2001-08-06 00:10:00'-ends_at)>691200 THEN 'cycle_too_old' WHEN board LIKE 'b%7' THEN 'already_posted' ELSE 'due' END AS reason FROM n WHERE n=2 OR cycles=1)""")
 def publish_once(spark, d):
-    week, t = dt.timedelta(7), dt.datetime(2024, 1, 1)
-    cycles = [(t + week, t + 2 * week), (t, t + week)]
-    runs = {"due": (cycles, set(), t + week + dt.timedelta(hours=1)), "one cycle": (cycles[:1], set(), t + week), "at reset": (cycles, set(), t + week + dt.timedelta(minutes=29)), "late": (cycles, set(), t + week + dt.timedelta(days=9)), "again": (cycles, {t}, t + week + dt.timedelta(hours=1))}
-    return spark.createDataFrame([(name, *merge.weekly_post(*x)) for name, x in runs.items()], "scenario string, publish boolean, reason string")
+    """Weeks with orders as cycles of sixty boards; boards that end in 7 have posted all of theirs."""
+    o = lens.table(spark, d, "orders").filter("o_custkey % 60 < 50 OR o_orderdate < TIMESTAMP '1996-01-01'")
+    cycles = o.select(F.concat(F.lit("b"), F.col("o_custkey") % 60).alias("board"), F.date_trunc("week", "o_orderdate").cast("timestamp_ntz").alias("starts_at")).distinct()
+    cycles = cycles.withColumn("ends_at", F.col("starts_at") + F.expr("INTERVAL 7 DAY"))
+    return merge.weekly_posts(cycles, cycles.filter("board LIKE 'b%7'"), dt.datetime(2001, 8, 6, 0, 10))
 
 
 # --- sources and streams
 
 
-@query("src2_work_list", """WITH b AS (SELECT 'b'||i AS board FROM range(1,7) t(i)), p(period) AS (VALUES ('CURRENT'),('PREVIOUS_1'),('PREVIOUS_2')), s(subject) AS (VALUES ('player'),('guild'),('city'))
+@query("src2_work_list", """WITH b AS (SELECT DISTINCT p_type AS board FROM part), p(period) AS (VALUES ('CURRENT'),('PREVIOUS_1'),('PREVIOUS_2')), s(subject) AS (VALUES ('player'),('guild'),('city'))
 SELECT 'bounty' AS processor, NULL AS board, NULL AS period, NULL AS subject UNION ALL SELECT 'leaderboard', board, period, subject FROM b, p, s UNION ALL SELECT 'wins', board, NULL, NULL FROM b UNION ALL SELECT 'officers', f, NULL, NULL FROM (VALUES ('IMPERIAL'),('REBEL')) t(f)""")
 def work_list(spark, d):
-    return landing.work_list(spark, [f"b{i}" for i in range(1, 7)], list(contracts.PERIODS), list(contracts.SUBJECTS), list(contracts.FACTIONS))
-
-
-def put_files(spark, name: str, files: dict[str, str]) -> str:
-    """A new shared folder with the given small text files, by Spark's file system so that executors see it."""
-    top = export.shared(spark, name)
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(top).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for path, text in files.items():
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{top}/{path}"))
-        out.write(bytearray(text.encode()))
-        out.close()
+    """The requests of a poll of the boards that the catalogue has."""
+    boards = sorted(x.p_type for x in lens.table(spark, d, "part").select("p_type").distinct().collect())
+    return landing.work_list(spark, boards, list(contracts.PERIODS), list(contracts.SUBJECTS), list(contracts.FACTIONS))
+
+
+def put_files(spark, name: str, rows, append_to: str = "") -> str:
+    """A new shared folder (or an old one) with a text file for each row (path, text), written where the rows are."""
+    top = append_to or export.shared(spark, name)
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.fs as fs
+
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                files, at = fs.FileSystem.from_uri(f"{top}/{path}")
+                files.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with files.open_append_stream(at) if append_to else files.open_output_stream(at) as f:
+                    f.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows.select("path", "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return top
 
 
-@query("src4_landed_payloads", """SELECT * FROM (VALUES ('a.json', sha256('{"a":[1],"b":2}')), ('b.json', NULL)) t(file, payload_hash)""")
-def landed(spark, d):
-    top = put_files(spark, "payloads", {"x/a.json": '{"b": 2,\n "a": [1]}', "b.json": "<html>", "c.txt": "{}"})
-    return landing.payloads(spark, top).select(F.element_at(F.split("file", "/"), -1).alias("file"), "payload_hash")
+def name_of(file):
+    return F.element_at(F.split(file, "/"), -1)
 
 
-@query("src7_chat_logs", "SELECT * FROM (VALUES ('mychatlog.txt'), ('combat_1.log'), ('notes.dat')) t(file)")
-def chat_logs(spark, d):
-    line = "[Combat]  10:11:12 X attacks Y and hits for 5 points.\n"
-    top = put_files(spark, "logs", {"a/mychatlog.txt": "x", "combat_1.log": "x", "notes.dat": "head\n" + "x" * 9000 + "\n" + line, "other.dat": line + "x" * 9000, "readme.md": "points"})
-    return landing.chat_logs(spark, top).select(F.element_at(F.split("file", "/"), -1).alias("file"))
+@query("src4_landed_payloads", """SELECT 's'||s_suppkey||'.json' AS file, CASE WHEN s_suppkey%5>0 THEN sha256('{"name":"'||s_name||'","nation":['||s_nationkey||']}') END AS payload_hash FROM supplier""")
+def landed(spark, d):
+    """A response for each supplier, one in five no JSON, in folders of nations; other files are none."""
+    s, n = lens.table(spark, d, "supplier"), F.col("s_suppkey")
+    text = F.when(n % 5 > 0, F.concat(F.lit('{ "nation": ['), "s_nationkey", F.lit('],\n"name":"'), "s_name", F.lit('"}'))).otherwise("<html>")
+    top = put_files(spark, "payloads", s.select(F.concat(F.lit("n"), "s_nationkey", F.lit("/s"), n, F.lit(".json")).alias("path"), text.alias("text")))
+    put_files(spark, "", s.select(F.concat(F.lit("n"), "s_nationkey", F.lit("/s"), n, F.lit(".txt")).alias("path"), F.lit("{}").alias("text")), top)
+    return landing.payloads(spark, top).select(name_of(F.col("file")).alias("file"), "payload_hash")
 
 
-@query("src8_src9_src10_mails", "SELECT * FROM (VALUES ('Old Trader', 'first mail'), ('New Trader', 'third mail')) t(\"character\", raw)")
+@query("src7_chat_logs", """SELECT CASE user_id%40%4 WHEN 0 THEN 'chatlog_' WHEN 1 THEN 'talk_' ELSE 'other_' END||user_id%40||CASE WHEN user_id%40%4=0 THEN '.txt' ELSE '.dat' END AS file FROM events WHERE user_id%40%4<2 GROUP BY user_id%40""")
+def chat_logs(spark, d):
+    """Forty files of events: a quarter are logs by name, a quarter end in combat lines, a quarter begin with them only."""
+    u = F.col("user_id") % 40
+    kind = u % 4
+    line = F.concat(F.lit("[Combat]  "), F.date_format("ts", "HH:mm:ss"), F.lit(" X attacks Y and hits for 5 points."))
+    lines = F.array_join(F.sort_array(F.collect_list(line)), "\n")
+    far = F.lit("some words said\n" * 600)
+    e = events(spark, d).groupBy(u.alias("u")).agg(lines.alias("lines"))
+    name = F.concat(F.when(F.col("u") % 4 == 0, "chatlog_").when(F.col("u") % 4 == 1, "talk_").otherwise("other_"), "u", F.when(F.col("u") % 4 == 0, ".txt").otherwise(".dat"))
+    text = F.when(F.col("u") % 4 == 1, F.concat(far, "lines")).when(F.col("u") % 4 == 2, F.concat(F.col("lines"), F.lit("\n"), far)).otherwise("plain")
+    return landing.chat_logs(spark, put_files(spark, "logs", e.select(name.alias("path"), text.alias("text")))).select(name_of(F.col("file")).alias("file"))
+
+
+@query("src8_src9_src10_mails", """SELECT 'Trader '||(c_custkey%30) AS "character", 'mail to '||c_name AS raw FROM customer WHERE c_custkey%10 NOT IN (3,4)""")
 def mail_files(spark, d):
-    files = {"profiles/p/s/mail_Old_Trader/1.mail": "first mail", "profiles/p/s/mail_Old_Trader/2.mail": "first mail", "profiles/q/s/mail_New_Trader/3.mail": "third mail", "profiles/q/s/mail_New_Trader/4.mail": "known", "profiles/q/s/mail_New_Trader/5.mail": "", "profiles/q/s/mail_New_Trader/6.mail": "x" * 64_001, "profiles/q/s/mail_New_Trader/7.txt": "no mail"}
-    known = spark.createDataFrame([("known",)], "raw string").select(ingest.text_hash(F.col("raw")).alias("fingerprint"))
-    return landing.mails(spark, put_files(spark, "mails", files), known).select("character", "raw")
+    """A mail file for each customer in folders of characters: some are known, some too large, and all come twice under other names."""
+    c, n = lens.table(spark, d, "customer"), F.col("c_custkey")
+    raw = F.concat(F.lit("mail to "), "c_name")
+    text = F.when(n % 10 == 4, F.repeat(F.lit("x"), 64_001)).otherwise(raw)
+    path = F.concat(F.lit("profiles/p/mail_Trader_"), n % 30, F.lit("/"), n)
+    twice = c.select(F.explode(F.array(F.concat(path, F.lit(".mail")), F.concat(path, F.lit("_again.mail")), F.concat(path, F.lit(".txt")))).alias("path"), text.alias("text"))
+    known = c.filter("c_custkey % 10 = 3").select(ingest.text_hash(raw).alias("fingerprint"))
+    return landing.mails(spark, put_files(spark, "mails", twice), known).select("character", "raw")
 
 
-@query("src15_schema_report", "SELECT * FROM (VALUES ('$','array|object',3), ('$.a','number|string',2), ('$[]','number',1)) t(path, types, files)")
+@query("src15_schema_report", """SELECT path, types, (SELECT count(*) FROM supplier WHERE s_suppkey%4 IN (k, j))::INT AS files FROM (VALUES ('$','array|object',-1,-1), ('$.a','number|string',0,1), ('$[]','number',2,2)) t(path, types, k, j) WHERE path<>'$' UNION ALL SELECT '$', 'array|object', (SELECT count(*) FROM supplier WHERE s_suppkey%4<3)::INT""")
 def schema_report(spark, d):
-    top = put_files(spark, "endpoints", {"a.json": '{"a": 1}', "b.json": "[1, 2]", "c.json": "no json", "d.json": '{"a": "1"}'})
-    rows = export.schema_report(spark, top)
+    """A response for each supplier, of four shapes, of which one is no JSON."""
+    s, n = lens.table(spark, d, "supplier"), F.col("s_suppkey")
+    text = case(n, F.concat(F.lit('{"a":'), n, F.lit("}")), F.concat(F.lit('{"a":"'), n, F.lit('"}')), F.concat(F.lit("["), n, F.lit(",2]")), F.lit("no json"))
+    rows = export.schema_report(spark, put_files(spark, "endpoints", s.select(F.concat(n, F.lit(".json")).alias("path"), text.alias("text"))))
     return rows.select("path", F.array_join("types", "|").alias("types"), F.col("files").cast("int").alias("files"))
 
 
@@ -448,62 +483,74 @@ def batch_insert(spark, d):
     return live.read_table(spark, table, rows.schema)
 
 
-@query("bkf1_backfill", "SELECT * FROM (VALUES ('p1','SUCCEEDED'), ('p2','SUCCEEDED'), ('p3','SUCCEEDED')) t(job_key, status)")
+@query("bkf1_backfill", "SELECT year(o_orderdate)::VARCHAR AS job_key, 'SUCCEEDED' AS status, count(*) AS orders FROM orders GROUP BY 1")
 def backfill(spark, d):
-    """A first call fails in its second period; the next goes on there."""
-    path, tries = export.shared(spark, "jobs"), []
+    """Orders by year, a job each. A first call fails in its third year; the next goes on there and does no year again."""
+    o, path, table, tries = lens.table(spark, d, "orders").withColumn("year", F.year("o_orderdate").cast("string")), export.shared(spark, "jobs"), export.shared(spark, "years"), []
+    years = sorted(x.year for x in o.select("year").distinct().collect())
 
-    def run(period):
-        tries.append(period)
-        if tries == ["p1", "p2"]:
+    def run(year):
+        tries.append(year)
+        if tries == years[:3]:
             raise RuntimeError("source is down")
+        o.filter(F.col("year") == year).groupBy("year").agg(F.count("*").alias("orders")).write.mode("append").parquet(table)
 
     try:
-        export.backfill(spark, path, ["p1", "p2", "p3"], run)
+        export.backfill(spark, path, years, run)
     except RuntimeError:
-        export.backfill(spark, path, ["p1", "p2", "p3"], run)
-    if tries != ["p1", "p2", "p2", "p3"]:
+        export.backfill(spark, path, years, run)
+    if tries != [*years[:3], *years[2:]]:
         raise AssertionError(tries)
-    return spark.createDataFrame(sorted(export.checkpoints(spark, path).items()), "job_key string, status string")
+    status = spark.createDataFrame(sorted(export.checkpoints(spark, path).items()), "job_key string, status string")
+    return status.join(spark.read.parquet(table).withColumnRenamed("year", "job_key"), "job_key")
 
 
-def put(spark, path: str, text: str, append: bool = False) -> None:
-    """Write or extend one local or shared file, as a program that writes a log does."""
+@query("src6_stm9_tailed_lines", """WITH l AS (SELECT user_id%5 AS u, event_id, event_type||' '||event_id AS line FROM events), p AS (SELECT *, coalesce(sum(strlen(line)+1) OVER (PARTITION BY u ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM l)
+SELECT 'u'||u||'.log' AS file, position::BIGINT AS position, line FROM p UNION ALL SELECT 'u0.log', 0, 'replaced'""")
+def tailed_lines(spark, d):
+    """Three runs of one stream over five growing logs: first a part of each that ends within a line, then the rest; then one of
+    them is replaced by a shorter one."""
+    line = F.struct("event_id", F.concat("event_type", F.lit(" "), "event_id").alias("line"))
+    whole = events(spark, d).groupBy((F.col("user_id") % 5).alias("u")).agg(F.concat(F.array_join(F.sort_array(F.collect_list(line))["line"], "\n"), F.lit("\n")).alias("all"))
+    path, half = F.concat(F.lit("u"), "u", F.lit(".log")).alias("path"), F.floor(F.length("all") / 2).cast("int")
+    top, table, mark = put_files(spark, "tail", whole.select(path, F.left("all", half).alias("text"))), export.shared(spark, "tailed"), export.shared(spark, "checkpoint")
+    for run in range(3):
+        if run == 1:
+            put_files(spark, "", whole.select(path, F.substring("all", half + 1, F.length("all")).alias("text")), top)
+        elif run == 2:
+            put(spark, f"{top}/u0.log", "replaced\n")
+        writer = tail.tail(spark, top, part_bytes=1000).writeStream.option("checkpointLocation", mark).trigger(availableNow=True)
+        writer.foreachBatch(lambda rows, i: rows.write.mode("append").parquet(table)).start().awaitTermination()
+    return spark.read.schema("file string, position long, line string").parquet(table).withColumn("file", name_of(F.col("file")))
+
+
+def put(spark, path: str, text: str) -> None:
+    """Write one file, as a program that begins its log anew does."""
     import pyarrow.fs as fs
 
     files, at = fs.FileSystem.from_uri(path)
-    files.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    with files.open_append_stream(at) if append else files.open_output_stream(at) as f:
+    with files.open_output_stream(at) as f:
         f.write(text.encode())
 
 
-@query("src6_stm9_tailed_lines", "SELECT * FROM (VALUES (1,0,'one'), (1,4,'two'), (2,8,'three'), (2,14,'four'), (3,0,'new')) t(run, \"position\", line)")
-def tailed_lines(spark, d):
-    """Three runs of one stream: whole lines only, then what was added, then a file that was replaced by a shorter one."""
-    top, table, mark = (export.shared(spark, x) for x in ("tail", "tailed", "checkpoint"))
-    for run, (text, append) in enumerate([("one\ntwo\r\nthr".replace("\r", ""), False), ("ee\nfour\npart", True), ("new\n", False)], 1):
-        put(spark, f"{top}/a.log", text, append)
-        writer = tail.tail(spark, top, part_bytes=5).writeStream.option("checkpointLocation", mark).trigger(availableNow=True)
-        writer.foreachBatch(lambda rows, i, run=run: rows.withColumn("run", F.lit(run)).write.mode("append").parquet(table)).start().awaitTermination()
-    return spark.read.schema("run int, position long, line string").parquet(table)
-
-
-@query("src1_src3_fetched_json", """SELECT * FROM (VALUES ('ok',200,1,'{"a":1}'), ('flaky',200,3,'{"b":2}'), ('text',200,1,'{"nonJsonBody": "plain"}'), ('gone',404,1,'{"nonJsonBody": "no"}'), ('down',503,3,'{"nonJsonBody": "busy"}')) t(name, status, attempts, payload)""")
+@query("src1_src3_fetched_json", """SELECT 's'||s_suppkey AS name, CASE s_suppkey%5 WHEN 3 THEN 404 WHEN 4 THEN 503 ELSE 200 END AS status, CASE s_suppkey%5 WHEN 1 THEN 3 WHEN 4 THEN 3 ELSE 1 END AS attempts,
+CASE s_suppkey%5 WHEN 0 THEN '{"key":'||s_suppkey||'}' WHEN 1 THEN '{"key":'||s_suppkey||'}' WHEN 2 THEN '{"nonJsonBody": "plain"}' WHEN 3 THEN '{"nonJsonBody": "no"}' ELSE '{"nonJsonBody": "busy"}' END AS payload FROM supplier""")
 def fetched_json(spark, d):
-    """Against a server of this process, so the rows are read before it stops."""
+    """A request for each supplier, against a server of this process; so the rows are written before it stops."""
     from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
     from threading import Thread
 
     from sparrowlog.sources import web
 
     calls: dict[str, int] = {}
-    answers = {"ok": [(200, '{"a":1}')], "flaky": [(429, "wait"), (500, "oops"), (200, '{"b":2}')], "text": [(200, "plain")], "gone": [(404, "no")], "down": [(503, "busy")]}
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
-            name = self.path.strip("/")
+            name = self.path.strip("/s")
             calls[name] = calls.get(name, 0) + 1
-            status, body = answers[name][min(calls[name], len(answers[name])) - 1]
+            good = (200, f'{{"key":{name}}}')
+            answers = [[good], [(429, "wait"), (500, "oops"), good], [(200, "plain")], [(404, "no")], [(503, "busy")]][int(name) % 5]
+            status, body = answers[min(calls[name], len(answers)) - 1]
             self.send_response(status)
             self.send_header("Retry-After", "0")
             self.end_headers()
@@ -515,8 +562,10 @@ def fetched_json(spark, d):
     server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     Thread(target=server.serve_forever, daemon=True).start()
     try:
-        work = spark.createDataFrame([(n, f"http://127.0.0.1:{server.server_port}/{n}") for n in answers], "name string, url string")
-        rows = web.fetch_work(work, retries=2).select("name", "status", "attempts", "payload").collect()
+        name = F.concat(F.lit("s"), "s_suppkey")
+        work = lens.table(spark, d, "supplier").select(name.alias("name"), F.concat(F.lit(f"http://127.0.0.1:{server.server_port}/"), name).alias("url"))
+        path = export.shared(spark, "fetched")
+        web.fetch_work(work, groups=4, retries=2).select("name", "status", "attempts", "payload").write.parquet(path)
     finally:
         server.shutdown()
-    return spark.createDataFrame(rows, "name string, status int, attempts int, payload string")
+    return spark.read.schema("name string, status int, attempts int, payload string").parquet(path)
