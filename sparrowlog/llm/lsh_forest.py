@@ -12,7 +12,7 @@ with the same words are one text first, so copies are never paired. Each text ha
    values deep, and five or six where more than ``dense`` texts share fewer. No pair of one class is looked at again, so a region
    of one large class and some others costs what the others cost.
 
-A pair at the threshold shares no region with probability 1e-10 (dense regions: 4e-6, the least shared depth being six), and is
+A pair at the threshold shares no region with probability 1e-10 (dense regions: 5e-6, the least shared depth being six), and is
 dropped by its signature with 1e-6 at most. Nothing is capped: classes of any number of texts are dealt out in pairs of chunks of
 at most about ``chunk`` texts and ``chunk_bytes`` bytes of sets.
 
