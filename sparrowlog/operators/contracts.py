@@ -52,6 +52,7 @@ def distinct_ids(items: str, key: str) -> Callable[[Column], Column]:
 TEXT, SOME, NULLABLE, COUNT, PLACE = Rule("text"), Rule("text", least=1), Rule("text", nullable=True), Rule("whole", least=0), Rule("whole", least=1)
 NUMBER, RATE, AT = Rule("number"), Rule("number", least=0, most=1), Rule("text", pattern=STAMP)
 VALUE = Rule("text", words=VALUE_TYPES)
+# The feeds' fields with their types and ranges, and the texts of the checks over several fields.
 BOARD = {"id": SOME, "trackerOid": SOME, "name": SOME, "category": SOME, "valueType": VALUE, "periodStartTime": COUNT, "periodEndTime": PLACE}
 ENTRY = {"rank": PLACE, "participantId": SOME, "name": TEXT, "score": NUMBER, "scoreRaw": Rule("text", pattern=SCORE), "guildAbbreviation": NULLABLE, "faction": NULLABLE, "planet": NULLABLE, "cityName": NULLABLE}
 WIN = {"rank": PLACE, "participantId": SOME, "name": TEXT, "wins": COUNT, "guildAbbreviation": NULLABLE, "faction": NULLABLE, "planet": NULLABLE}
