@@ -282,8 +282,9 @@ def clocks(spark, d):
 
 @query("dat5_iso_instants", "SELECT event_id, date_trunc('second', ts) AS at FROM events")
 def iso_instants(spark, d):
-    from sparrowlog.operators.ingest import ISO, instant
+    from sparrowlog.operators.contracts import STAMP
+    from sparrowlog.operators.ingest import instant
 
     east = F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
     text = F.when(F.col("event_id") % 2 == 0, east).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return lens.table(spark, d, "events").withColumn("text", text).filter(F.col("text").rlike(ISO)).select("event_id", instant(F.col("text")).cast(NTZ).alias("at"))
+    return lens.table(spark, d, "events").withColumn("text", text).filter(F.col("text").rlike(STAMP)).select("event_id", instant(F.col("text")).cast(NTZ).alias("at"))

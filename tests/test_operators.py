@@ -97,6 +97,14 @@ def test_redaction_by_key_through_nested_values(spark):
     assert "leak" not in one(spark, text.redact(F.col("a")), a='{"a":' * 5000 + '{"token":"leak"}' + "}" * 5000)
 
 
+def test_log_records(spark):
+    rows = spark.createDataFrame([(1, '{"b":{"token":1,"n":2},"level":"own","a":"Basic x"}'), (2, "password=x&n=1"), (3, "{}"), (4, None), (5, "[1]")], "id int, context string")
+    at = F.lit("2024-01-02 03:04:05.678").cast("timestamp_ntz")
+    got = {x.id: json.loads(x.record) for x in process.log_records(rows, F.lit("warn"), F.lit("it_happened"), F.col("context"), at, "test").collect()}
+    own = {"timestamp": "2024-01-02T03:04:05.678Z", "level": "warn", "event": "it_happened", "environment": "test", "service": "sparrowlog"}
+    assert got == {1: {"a": "Basic [REDACTED]", "b": {"token": "[REDACTED]", "n": 2}} | own, 2: {"context": "password=[REDACTED]&n=1"} | own, 3: own, 4: own, 5: {"context": "[1]"} | own}
+
+
 # --- ingest
 
 
