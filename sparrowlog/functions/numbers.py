@@ -15,6 +15,13 @@ def safe_ratio(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, part.cast("double") / whole)
 
 
+def exact_mean(x: Column) -> Column:
+    """The mean of decimal numbers kept as doubles, from their exact sum, so that no order of rows moves it over a half; of
+    numbers that the sum doesn't hold to the tenth place, the mean of doubles."""
+    held = F.abs(x) < 1e15
+    return F.when(F.bool_and(held), (F.sum(F.when(held, x).cast("decimal(26,10)")) / F.count(x)).cast("double")).otherwise(F.avg(x))
+
+
 def is_uuid(text: Column) -> Column:
     return F.coalesce(text.rlike(f"(?i)^{UUID.pattern}$"), F.lit(False))
 
@@ -30,4 +37,4 @@ def percent(ratio: Column) -> Column:
 
 def size_label(n: Column) -> Column:
     """Bytes, or kilobytes with one decimal."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_number(n / 1024, 1), F.lit(" KB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.replace(F.format_number(n / 1024, 1), F.lit(","), F.lit("")), F.lit(" KB")))

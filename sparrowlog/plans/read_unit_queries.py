@@ -120,7 +120,7 @@ def conditional(spark, d):
 @query("prj2_mth1_ratios", "SELECT user_id, CASE WHEN count(*) FILTER (event_type='view')>0 THEN count(*) FILTER (event_type='click')::DOUBLE/count(*) FILTER (event_type='view') END AS ratio, greatest(1, CAST(ceil(count(*)/25.0) AS BIGINT)) AS pages, abs(count(*) FILTER (event_type='click')-count(*) FILTER (event_type='view')) AS gap, round(avg(value)) AS mean FROM events GROUP BY 1")
 def ratios(spark, d):
     n = lambda t: F.count_if(F.col("event_type") == t)
-    return lens.table(spark, d, "events").groupBy("user_id").agg(numbers.safe_ratio(n("click"), n("view")).alias("ratio"), numbers.pages(F.count("*"), 25).alias("pages"), F.abs(n("click") - n("view")).alias("gap"), F.round(F.avg("value")).alias("mean"))
+    return lens.table(spark, d, "events").groupBy("user_id").agg(numbers.safe_ratio(n("click"), n("view")).alias("ratio"), numbers.pages(F.count("*"), 25).alias("pages"), F.abs(n("click") - n("view")).alias("gap"), F.round(numbers.exact_mean(F.col("value"))).alias("mean"))
 
 
 @query("prj3_name_defaults", f"{W(P, N)} SELECT * EXCLUDE (current_name) FROM player_by_name")
