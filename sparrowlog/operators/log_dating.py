@@ -22,11 +22,17 @@ SCANNED = LINES + ", lines long, first_clock int, last_clock int, last_text stri
 NAMES = [x.split()[0] for x in SCANNED.split(", ")]
 
 
-def log_ranges(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
-    """(file, modified_at, block, text): lines as they lie in the byte ranges (``block`` is a range's first byte) of log files."""
+def log_ranges(spark: SparkSession, path: str, names: str = "*", part: str = "") -> DataFrame:
+    """(file, modified_at, block, text): lines as they lie in the byte ranges (``block`` is a range's first byte) of log files.
+    With ``part``, a pattern whose group is a number, the files of a folder are one log in the order of that number; its
+    ``file`` is the folder."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).option("lineSep", "\n").text(path)
     meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified_at"), F.col("_metadata.file_block_start").alias("block")]
-    return rows.select(*meta, F.col("value").alias("text"))
+    rows = rows.select(*meta, F.col("value").alias("text"))
+    if not part:
+        return rows
+    place = F.shiftleft(F.regexp_extract(F.element_at(F.split("file", "/"), -1), part, 1).cast("long"), 44)
+    return rows.select(F.regexp_extract("file", "^(.*)/", 1).alias("file"), "modified_at", (place + F.col("block")).alias("block"), "text")
 
 
 class Range:

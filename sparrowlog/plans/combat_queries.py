@@ -125,13 +125,21 @@ def dated(spark, d):
 
 @query("stm8_win8_win10_split_logs", DATED + " SELECT file, event_id, clock, date+to_seconds(clock) AS at FROM d")
 def split_logs(spark, d):
-    """The same logs as files, read in byte ranges."""
+    """Such logs in parts, each written by one task in the order of its lines and read in byte ranges."""
     top = export.shared(spark, "logs")
-    rows = log_of_events(spark, d).repartition("file").sortWithinPartitions("file", "line_no")
+    # a file that can't be null: for others the writer sorts once more, by file alone, and lines lose their order
+    e = events(spark, d).select(F.coalesce(F.concat(F.lit("f"), F.col("user_id") % 5), F.lit("")).alias("file"), "ts", "event_id")
+    line = F.concat(F.lit("[Combat]  "), F.date_format("ts", "HH:mm:ss"), F.lit(" X heals Y for "), "event_id", F.lit(" points\r"))
+    texts = F.array(line, line, F.when(F.col("event_id") % 5 == 0, "someone says hello"))
+    rows = e.select("*", F.posexplode(texts).alias("i", "text")).filter("text IS NOT NULL")
+    first = e.filter("file IN ('f0', 'f1', 'f2')").groupBy("file").agg(F.min(F.struct("ts", "event_id")).alias("e")).select("file", "e.*")
+    marker = F.concat(F.lit("Logging In ["), F.date_format("ts", "EEE MMM dd"), F.lit(" 00:00:00 "), F.date_format("ts", "yyyy"), F.lit("]"))
+    rows = rows.unionByName(first.select("*", F.lit(-1).alias("i"), marker.alias("text")))
+    rows = rows.repartitionByRange("file", "ts", "event_id").sortWithinPartitions("file", "ts", "event_id", "i")
     rows.select("file", "text").write.partitionBy("file").text(top)
-    lines = log_dating.log_ranges(spark, top, "*.txt").withColumn("modified_at", F.lit(MODIFIED).cast(NTZ))
+    lines = log_dating.log_ranges(spark, top, "*.txt", r"^part-(\d+)").withColumn("modified_at", F.lit(MODIFIED).cast(NTZ))
     out = log_dating.dated_ranges(lines)
-    return out.select(F.regexp_extract("file", "file=([^/]+)", 1).alias("file"), F.regexp_extract("text", r"for (\d+) points", 1).cast("long").alias("event_id"), "clock", F.col("at").cast(NTZ).alias("at"))
+    return out.select(F.regexp_extract("file", "file=([^/]+)$", 1).alias("file"), F.regexp_extract("text", r"for (\d+) points", 1).cast("long").alias("event_id"), "clock", F.col("at").cast(NTZ).alias("at"))
 
 
 @query("win10_repeated_lines", "SELECT user_id, count(*) AS runs FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type GROUP BY 1")
