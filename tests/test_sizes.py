@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparrowlog.functions import numbers
 from sparrowlog.operators import combat, log_dating
+from sparrowlog.sources import tail
 
 
 def test_large_sizes_have_no_commas(spark):
@@ -35,3 +36,19 @@ def test_a_log_in_parts_is_dated_as_one(spark, tmp_path):
     want = sorted((r.text, r["at"]) for r in combat.dated_lines(whole).collect())
     assert sorted((r.text, r["at"]) for r in rows.collect()) == want
     assert len(want) == 40
+
+
+def test_a_tail_has_no_more_tasks_than_parts(spark, tmp_path):
+    """A batch of any size, cut into few tasks whose lines are those of the file."""
+    text = b"".join(b"%d\r\n" % i * (i % 3) for i in range(3000)) + b"\xff\n\nno end"
+    (tmp_path / "a.log").write_bytes(text)
+    reader = tail.TailReader({"path": f"file://{tmp_path}", "part_bytes": "10", "parts": "7"})
+    end = reader.latestOffset()
+    parts = reader.partitions({}, end)
+    assert len(parts) == 7 and max(end.values()) == len(text) - len(b"no end")
+    got = [(at, line) for p in parts for batch in reader.read(p) for _, at, line in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    want, at = [], 0
+    for line in text.split(b"\n")[:-1]:
+        want.append((at, line.rstrip(b"\r").decode("utf-8", "replace")))
+        at += len(line) + 1
+    assert got == want
