@@ -1,16 +1,21 @@
 """Contracts of the feeds' payloads over variants: issues by path, fields that no contract knows, and completeness.
 
 A contract is a tree of rules. Whether a field is absent, null or of a type is read from the parsed payload itself, as a struct
-schema would make absent and null one case. All checks are native higher-order functions over the variant's arrays; a payload is
-parsed once and stays one row.
+schema would make absent and null one case. Spark says what is JSON; the rules are then a walk of one payload over Arrow batches,
+as no code is generated for native functions over its arrays. A payload stays one row.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +27,7 @@ SCORE = r"^-?\d+(?:\.\d+)?%?$"
 RECENT_CAP, OFFICER_CAP = 12, 250
 SAFE = 2.0**53 - 1
 MAP, LIST = "map<string,variant>", "array<variant>"
-ISSUES = "array<struct<path:string,message:string,fatal:boolean>>"
+ISSUES = "struct<issues:array<string>,affected:array<string>>"
 
 
 @dataclass(frozen=True)
@@ -37,16 +42,15 @@ class Rule:
     pattern: str = ""
     nullable: bool = False
     fields: dict[str, Rule] = field(default_factory=dict)
-    checks: tuple[tuple[str, str, Callable[[Column], Column]], ...] = ()
+    checks: tuple[tuple[str, str, Callable[[dict], bool]], ...] = ()
 
 
 def get(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, "$." + path, kind)
 
 
-def distinct_ids(items: str, key: str) -> Callable[[Column], Column]:
-    ids = lambda v: F.transform(get(v, items, LIST), lambda x: get(x, key, "string"))
-    return lambda v: F.size(F.array_distinct(ids(v))) == F.size(ids(v))
+def distinct_ids(items: str, key: str) -> Callable[[dict], bool]:
+    return lambda v: len({x[key] for x in v[items]}) == len(v[items])
 
 
 TEXT, SOME, NULLABLE, COUNT, PLACE = Rule("text"), Rule("text", least=1), Rule("text", nullable=True), Rule("whole", least=0), Rule("whole", least=1)
@@ -61,7 +65,7 @@ OFFICER = {
     "profession": NULLABLE, "guildName": NULLABLE, "guildAbbreviation": NULLABLE, "residentPlanet": NULLABLE, "residentCityName": NULLABLE,
 }
 ENCOUNTER = {"timestamp": AT, "outcome": Rule("text", words=OUTCOMES), "hunterName": SOME, "targetName": SOME, "credits": COUNT}
-FREE_FAILURE = ("credits", "A failed encounter must have zero source credits", lambda v: (get(v, "outcome", "string") != "FAILED") | (get(v, "credits", "double") == 0))
+FREE_FAILURE = ("credits", "A failed encounter must have zero source credits", lambda v: v["outcome"] != "FAILED" or v["credits"] == 0)
 HUNTER = {"rank": PLACE, "name": SOME, "kills": COUNT, "failures": COUNT, "encounters": COUNT, "successRate": RATE, "creditsEarned": COUNT}
 TARGET = {"rank": PLACE, "name": SOME, "timesKilled": COUNT, "timesSurvived": COUNT, "encounters": COUNT, "survivalRate": RATE}
 SUMMARY = {
@@ -80,7 +84,7 @@ CONTRACTS = {
         "object",
         fields={"id": SOME, "period": Rule("text", words=PERIODS), "subject": Rule("text", words=SUBJECTS), "valueType": VALUE, "totalScore": NUMBER, "periodStartTime": COUNT, "periodEndTime": PLACE, "entries": objects(ENTRY), "fetchedAt": AT},
         checks=(
-            ("periodEndTime", "Period must end after it starts", lambda v: get(v, "periodEndTime", "double") > get(v, "periodStartTime", "double")),
+            ("periodEndTime", "Period must end after it starts", lambda v: v["periodEndTime"] > v["periodStartTime"]),
             ("entries", "Duplicate participant in source response", distinct_ids("entries", "participantId")),
         ),
     ),
@@ -93,7 +97,7 @@ CONTRACTS = {
     "bounty": Rule(
         "object",
         fields={"windowDays": PLACE, "summary": Rule("object", fields=SUMMARY), "hunters": objects(HUNTER), "targets": objects(TARGET), "survivors": objects(TARGET), "recent": objects(ENCOUNTER, FREE_FAILURE), "fetchedAt": AT},
-        checks=(("summary", "Kills plus failures does not equal encounters", lambda v: get(v, "summary.kills", "double") + get(v, "summary.failures", "double") == get(v, "summary.encounters", "double")),),
+        checks=(("summary", "Kills plus failures does not equal encounters", lambda v: v["summary"]["kills"] + v["summary"]["failures"] == v["summary"]["encounters"]),),
     ),
 }
 
@@ -103,68 +107,73 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def no_issues() -> Column:
-    return F.array().cast(ISSUES)
+def is_day(text: str) -> bool:
+    try:
+        return bool(dt.date.fromisoformat(text))
+    except ValueError:
+        return False
 
 
-def found(path: Column, message: Column, fatal: Column) -> Column:
-    """One issue, or none where there is no message."""
-    return F.when(message.isNull(), no_issues()).otherwise(F.array(F.struct(path.alias("path"), message.alias("message"), fatal.alias("fatal"))))
-
-
-def scalar_issues(v: Column, path: Column, name: str, rule: Rule) -> Column:
-    parts = lambda x: F.struct(x.alias("x"), F.schema_of_variant(x).alias("kind"), F.try_variant_get(x, "$", "string").alias("text"), F.try_variant_get(x, "$", "double").alias("number"))
-    return let(let(get(v, name), parts), lambda s: value_issues(s["x"], s["kind"], s["text"], s["number"], path, rule))
+@cache
+def matches(pattern: str) -> Callable[[str], re.Match | None]:
+    return re.compile(pattern.replace("$", r"\Z"), re.ASCII).search
 
 
-def value_issues(x: Column, kind: Column, text: Column, number: Column, path: Column, rule: Rule) -> Column:
-    finite = kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT") & ~F.isnan(number) & (F.abs(number) < float("inf"))
-    wrong = F.when(x.isNull(), "missing").when(F.is_variant_null(x), F.lit(None).cast("string") if rule.nullable else F.lit("null"))
-    weak = F.lit(None).cast("string")
+def scalar_issue(v: dict, name: str, rule: Rule) -> tuple[str, bool] | None:
+    """(message, whether it is one of presence or type) of a field; numbers are floats, whatever their form."""
+    if name not in v:
+        return "missing", True
+    x = v[name]
+    if x is None:
+        return None if rule.nullable else ("null", True)
     if rule.kind == "text":
-        wrong = wrong.when(kind != "STRING", "not a text")
-        if rule.words:
-            wrong = wrong.when(~text.isin(*rule.words), "not allowed")
-        if rule.least:
-            weak = F.when(F.length(text) < int(rule.least), "empty")
-        if rule.pattern == STAMP:
-            weak = F.when(~text.rlike(STAMP) | F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).isNull(), "wrong format")
-        elif rule.pattern:
-            weak = F.when(~text.rlike(rule.pattern), "wrong format")
-    else:
-        wrong = wrong.when(~finite, "not a number")
-        if rule.kind == "whole":
-            wrong, weak = wrong.when(number != F.floor(number), "not a whole number"), F.when(F.abs(number) > SAFE, "too large")
-        if rule.least is not None:
-            weak = F.coalesce(weak, F.when(number < rule.least, "too small"))
-        if rule.most is not None:
-            weak = F.coalesce(weak, F.when(number > rule.most, "too large"))
-    usable = x.isNotNull() & ~F.is_variant_null(x)
-    return found(path, F.coalesce(wrong, F.when(usable, weak)), wrong.isNotNull())
-
-
-def object_issues(x: Column, path: Column, rule: Rule) -> Column:
-    """Issues of an object and of all below it, in the order of the contract's fields."""
-    wrong = F.when(x.isNull(), "missing").when(F.is_variant_null(x), F.lit(None).cast("string") if rule.nullable else F.lit("null")).when(F.try_variant_get(x, "$", MAP).isNull(), "not an object")
-    parts = [field_issues(x, F.concat(path, F.lit("." + name)), name, r) for name, r in rule.fields.items()]
-    inner = F.concat(*parts)
-    if rule.checks:
-        more = [found(F.concat(path, F.lit("." + at)), F.when(~test(x), message), F.lit(False)) for at, message, test in rule.checks]
-        inner = let(inner, lambda i: F.when(F.exists(i, lambda y: y["fatal"]), i).otherwise(F.concat(i, *more)))
-    is_object = x.isNotNull() & ~F.is_variant_null(x) & wrong.isNull()
-    return F.when(is_object, inner).otherwise(found(path, wrong, F.lit(True)))
-
-
-def field_issues(v: Column, path: Column, name: str, rule: Rule) -> Column:
-    x = get(v, name)
-    if rule.kind == "object":
-        return let(x, lambda y: object_issues(y, path, rule))
-    if rule.kind != "objects":
-        return scalar_issues(v, path, name, rule)
-    items = get(v, name, LIST)
-    wrong = F.when(x.isNull(), "missing").when(F.is_variant_null(x), "null").when(items.isNull(), "not an array")
-    each = F.flatten(F.transform(items, lambda y, i: object_issues(y, F.concat(path, F.lit("."), i.cast("string")), rule)))
-    return F.when(wrong.isNull(), each).otherwise(found(path, wrong, F.lit(True)))
+        if not isinstance(x, str):
+            return "not a text", True
+        if rule.words and x not in rule.words:
+            return "not allowed", True
+        if rule.least and len(x) < rule.least:
+            return "empty", False
+        if rule.pattern and not (matches(rule.pattern)(x) and (rule.pattern != STAMP or is_day(x[:10]))):
+            return "wrong format", False
+        return None
+    if not isinstance(x, float) or not math.isfinite(x):
+        return "not a number", True
+    if rule.kind == "whole" and x != math.floor(x):
+        return "not a whole number", True
+    if rule.kind == "whole" and abs(x) > SAFE:
+        return "too large", False
+    if rule.least is not None and x < rule.least:
+        return "too small", False
+    return ("too large", False) if rule.most is not None and x > rule.most else None
+
+
+def object_issues(x, path: str, rule: Rule, out: list) -> bool:
+    """Adds (path, message) of an object and of all below it, in the order of the contract's fields; whether one is fatal."""
+    if not isinstance(x, dict):
+        if x is not None or not rule.nullable:
+            out.append((path, "null" if x is None else "not an object"))
+        return x is not None or not rule.nullable
+    fatal = False
+    for name, r in rule.fields.items():
+        at = f"{path}.{name}"
+        if r.kind not in ("object", "objects"):
+            if issue := scalar_issue(x, name, r):
+                out.append((at, issue[0]))
+                fatal |= issue[1]
+        elif name not in x:
+            out.append((at, "missing"))
+            fatal = True
+        elif r.kind == "object":
+            fatal |= object_issues(x[name], at, r, out)
+        elif not isinstance(x[name], list):
+            out.append((at, "null" if x[name] is None else "not an array"))
+            fatal = True
+        else:
+            for i, y in enumerate(x[name]):
+                fatal |= object_issues(y, f"{at}.{i}", r, out)
+    if not fatal:
+        out += [(f"{path}.{at}", message) for at, message, test in rule.checks if not test(x)]
+    return fatal
 
 
 ENTRIES = "struct<rank:int,participantId:string,name:string,score:double,scoreRaw:string,guildAbbreviation:string,faction:string,planet:string,cityName:string>"
@@ -183,19 +192,36 @@ PAYLOADS = {
 }
 
 
+#: Of JSON only its first value counts, as in Spark's parser; its numbers are floats of any size.
+DECODER = json.JSONDecoder(parse_int=float)
+
+
+def payload_issues(payload: str | None, is_json: bool, rule: Rule) -> list[tuple[str, str]]:
+    if not is_json:
+        return [("$", "not JSON")]
+    out: list[tuple[str, str]] = []
+    object_issues(DECODER.raw_decode(payload.lstrip(" \t\r\n\ufeff"))[0], "$", rule, out)
+    return out
+
+
 @cache
-def issues(kind: str) -> Column:
-    """All issues of the column ``_variant``; kept, as the tree of a contract has thousands of nodes."""
-    v = F.col("_variant")
-    return F.when(v.isNull(), found(F.lit("$"), F.lit("not JSON"), F.lit(True))).otherwise(let(v, lambda x: object_issues(x, F.lit("$"), CONTRACTS[kind])))
+def issues(kind: str, most: int):
+    """A function of (payload, is it JSON) to its issues and affected paths."""
+
+    def run(payload: pa.Array, is_json: pa.Array) -> pa.Array:
+        found = [payload_issues(p, ok, CONTRACTS[kind]) for p, ok in zip(payload.to_pylist(), is_json.to_pylist(), strict=True)]
+        texts = pa.array([[f"{at}: {message}" for at, message in x[:most]] for x in found], pa.list_(pa.string()))
+        return pa.StructArray.from_arrays([texts, pa.array([sorted({at for at, _ in x}) for x in found], pa.list_(pa.string()))], ["issues", "affected"])
+
+    run.__annotations__ = {"payload": pa.Array, "is_json": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, ISSUES)
 
 
 def validate(payloads: DataFrame, kind: str, most: int = 8) -> DataFrame:
     """Adds to rows of (payload): ``p`` (the payload as a struct; unknown keys are allowed), ``issues`` ("path: message", the
     first ``most``; empty: valid) and ``affected`` (every path with an issue, sorted)."""
-    rows = payloads.withColumn("_variant", F.try_parse_json("payload")).withColumn("_all", issues(kind)).withColumn("p", F.from_json("payload", PAYLOADS[kind]))
-    first = F.transform(F.slice("_all", 1, most), lambda i: F.concat(i["path"], F.lit(": "), i["message"]))
-    return rows.withColumns({"issues": first, "affected": F.array_sort(F.array_distinct(F.transform("_all", lambda i: i["path"])))}).drop("_variant", "_all")
+    rows = payloads.withColumn("_found", issues(kind, most)("payload", F.try_parse_json("payload").isNotNull()))
+    return rows.select(*payloads.columns, F.from_json("payload", PAYLOADS[kind]).alias("p"), "_found.issues", "_found.affected")
 
 
 def unknown_keys(x: Column, path: str, rule: Rule) -> Column:

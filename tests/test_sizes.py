@@ -5,7 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from sparrowlog.functions import numbers
-from sparrowlog.operators import combat, log_dating
+from sparrowlog.operators import combat, contracts, log_dating
+from sparrowlog.plans import lens, process_queries
 from sparrowlog.sources import tail
 
 
@@ -52,3 +53,18 @@ def test_a_tail_has_no_more_tasks_than_parts(spark, tmp_path):
         want.append((at, line.rstrip(b"\r").decode("utf-8", "replace")))
         at += len(line) + 1
     assert got == want
+
+
+def test_payloads_of_a_small_file_are_made_by_many_tasks(spark):
+    d = "/root/testdata/sf0.001"
+    for rows in (process_queries.bounties(spark, d), process_queries.catalogs(spark, d)[1], lens.spread(lens.table(spark, d, "customer"), "c_custkey")):
+        assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_contract_formats_end_with_the_text(spark):
+    """A line feed after a number or a time is a wrong format, and numbers of any length are none or finite."""
+    from sparrowlog.plans.ingest_unit_queries import BOARD
+
+    cases = [BOARD.replace('"-2"', '"-2\\n"'), BOARD.replace('12:00:00Z"', '12:00:00Z\\n"'), BOARD.replace('"totalScore":3', '"totalScore":' + "9" * 5000), BOARD.replace('"id":"b"', '"id":"b","id":"c"')]
+    rows = contracts.validate(spark.createDataFrame(list(enumerate(cases)), "i int, payload string"), "leaderboard").orderBy("i").collect()
+    assert [r.issues for r in rows] == [["$.entries.1.scoreRaw: wrong format"], ["$.fetchedAt: wrong format"], ["$.totalScore: not a number"], ["$: not JSON"]]
