@@ -31,6 +31,26 @@ def canonical_npc(name: str) -> str:
     return f"{article.capitalize()} {rest}"
 
 
+class Held:
+    """A map state as it is during one call: each key is read once, and what is new is written at the end."""
+
+    def __init__(self, state):
+        self.state, self.values, self.fresh = state, {}, set()
+
+    def get(self, key: tuple) -> tuple | None:
+        if key not in self.values:
+            self.values[key] = self.state.getValue(key) if self.state.containsKey(key) else None
+        return self.values[key]
+
+    def put(self, key: tuple, value: tuple) -> None:
+        self.values[key] = value
+        self.fresh.add(key)
+
+    def write(self) -> None:
+        for key in self.fresh:
+            self.state.updateValue(key, self.values[key])
+
+
 class Fights(StatefulProcessor):
     """Rows of a user to finished fights and sessions."""
 
@@ -134,6 +154,7 @@ class Fights(StatefulProcessor):
     def named(self, events):
         """Events with names made one, and ticks credited to who applied them."""
         self.seen: dict[str, str | None] = {}
+        casters, hitters = Held(self.casters), Held(self.hitters)
         for event in events:
             for name in (event[3], event[4]):
                 if name and " " not in name and not NPC.match(name.strip()) and self.known_as(name.lower()) is None:
@@ -145,15 +166,15 @@ class Fights(StatefulProcessor):
             if kind == "damage":
                 spell = ((ability or "").lower(), target)
                 if tick:
-                    if self.casters.containsKey(spell):
-                        source = self.casters.getValue(spell)[0]
-                    else:
-                        source = self.hitters.getValue((target,))[0] if self.hitters.containsKey((target,)) else ""
+                    last = casters.get(spell) or hitters.get((target,))
+                    source = last[0] if last else ""
                 else:
-                    self.casters.updateValue(spell, (source, at))
+                    casters.put(spell, (source, at))
                     if flag != "periodic":
-                        self.hitters.updateValue((target,), (source, at))
+                        hitters.put((target,), (source, at))
             yield at, i, kind, source, target, amount, flag
+        casters.write()
+        hitters.write()
 
     # --- fights and sessions
 
