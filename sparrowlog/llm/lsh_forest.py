@@ -36,7 +36,7 @@ from sparrowlog.llm.common import canonical, join_one, materialise, shingle_hash
 from sparrowlog.llm.components import components
 from sparrowlog.llm.jaccard import VALUES, WIDTH, by_block, forest, set_batches, signatures, together, verified
 
-ORDERS, SHALLOW, DEEP, STEP = 32, 4, 6, 32
+ORDERS, SHALLOW, DEEP, STEP, DEPTH_AT = 32, 4, 6, 32, 56
 #: For each order the places of its values in the signature: its own four, then two that start orders far from it.
 PLACES = np.array([[4 * t, 4 * t + 1, 4 * t + 2, 4 * t + 3, (4 * t + 44) % VALUES, (4 * t + 77) % VALUES] for t in range(ORDERS)])
 
@@ -65,7 +65,13 @@ def order_batches(batches):
 
 
 def region(label: Column, depth: int) -> Column:
-    return F.shiftright(label, 8 * (DEEP - depth))
+    """The region of a label, with its depth in the bits above the order's."""
+    return F.shiftright(label, 8 * (DEEP - depth)).bitwiseOR(F.lit(depth << DEPTH_AT))
+
+
+def order_of(bucket: np.ndarray) -> np.ndarray:
+    """The order that a region is of."""
+    return (bucket & ((1 << DEPTH_AT) - 1)) >> 8 * (bucket >> DEPTH_AT)
 
 
 def near_batches(batches):
@@ -119,6 +125,19 @@ class Block:
         new = (self.bucket[1:] != self.bucket[:-1]) | (self.lo[1:] != self.lo[:-1]) | (self.hi[1:] != self.hi[:-1])
         self.number = np.cumsum(np.concatenate([[0], new]))
 
+    def unseen(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of pairs in regions, whether they share no deepest region of an order before: there they are compared as well."""
+        order, s, open_ = order_of(self.bucket[left]), self.signatures, np.arange(len(left))
+        seen = np.zeros(len(left), bool)
+        for t, places in enumerate(PLACES):
+            open_ = open_[order[open_] > t]
+            if not len(open_):
+                break
+            same = (s[left[open_, None], places] == s[right[open_, None], places]).all(axis=1)
+            seen[open_[same]] = True
+            open_ = open_[~same]
+        return ~seen
+
     def survivors(self, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a block, of different classes, that their signatures leave."""
         s = self.signatures
@@ -165,12 +184,17 @@ def class_forest(of: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[n
 
 
 def span_batches(need: list[int]):
-    """Rows of blocks to (key, class, root) of the texts of which a pair stays; classes and roots span the pairs."""
+    """Rows of blocks to (key, class, root) of the texts of which a pair stays; classes and roots span the pairs. A pair counts in
+    the first order that shows it for sure, so a text of a large group comes out in few orders, and once for several blocks."""
 
     def run(batches):
         for table in by_block(batches, 3, 4000):
             block = Block(table)
-            rows, root = class_forest(block.of, *block.survivors(need))
+            left, right = block.survivors(need)
+            fresh = block.unseen(left, right)
+            rows, root = class_forest(block.of, left[fresh], right[fresh])
+            at = np.unique(block.key[rows], return_index=True)[1]
+            rows, root = rows[at], root[at]
             yield pa.RecordBatch.from_arrays([pa.array(block.key[rows]), pa.array(block.of[rows]), pa.array(root)], ["key", "class", "root"])
 
     return run

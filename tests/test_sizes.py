@@ -2,9 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparrowlog.functions import numbers
+from sparrowlog.llm import lsh_forest
 from sparrowlog.operators import combat, contracts, log_dating
 from sparrowlog.plans import lens, process_queries
 from sparrowlog.sources import tail
@@ -68,3 +71,19 @@ def test_contract_formats_end_with_the_text(spark):
     cases = [BOARD.replace('"-2"', '"-2\\n"'), BOARD.replace('12:00:00Z"', '12:00:00Z\\n"'), BOARD.replace('"totalScore":3', '"totalScore":' + "9" * 900), BOARD.replace('"id":"b"', '"id":"b","id":"c"')]
     rows = contracts.validate(spark.createDataFrame(list(enumerate(cases)), "i int, payload string"), "leaderboard").orderBy("i").collect()
     assert [r.issues for r in rows] == [["$.entries.1.scoreRaw: wrong format"], ["$.fetchedAt: wrong format"], ["$.totalScore: not a number"], ["$: not JSON"]]
+
+
+def test_a_pair_of_texts_comes_out_in_the_first_order_that_shows_it():
+    """Rows alike in all orders, dealt in one block for each region: only the first order gives the pair, at any depth."""
+    same = np.full(128, 7, np.uint8).tobytes()
+    label = lambda t: (t << 48) | int.from_bytes(bytes([7] * 6))
+    bucket = lambda t, depth: (label(t) >> 8 * (6 - depth)) | depth << lsh_forest.DEPTH_AT
+    for depth in (4, 5, 6):
+        rows = [(bucket(t, depth), 0, 0, 0, key, key, same) for t in range(32) for key in (1, 2)]
+        table = pa.table({n: [r[i] for r in rows] for i, n in enumerate(["bucket", "lo", "hi", "chunk", "key", "class", "signature"])})
+        block = lsh_forest.Block(table)
+        left, right = block.survivors(lsh_forest.least_equal(0.85))
+        fresh = block.unseen(left, right)
+        assert len(left) == 32 and list(lsh_forest.order_of(block.bucket[left[fresh]])) == [0]
+        out = pa.Table.from_batches(list(lsh_forest.span_batches(lsh_forest.least_equal(0.85))(table.to_batches())))
+        assert sorted(out.column("key").to_pylist()) == [1, 2]
