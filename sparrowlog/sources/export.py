@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparrowlog.functions.files import shared  # noqa: F401
 from sparrowlog.functions.latest import latest_per_key
 from sparrowlog.operators import ingest, merge
 from sparrowlog.sources import landing
@@ -17,16 +16,6 @@ from sparrowlog.sources import landing
 CHECKPOINT = "job_key string, status string, last_error string, updated_at timestamp"
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see. Where the session names none, a temporary one in local mode; a cluster must name one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="sparrowlog-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def digests(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     out = None
     for name, (rows, order) in tables.items():

@@ -10,7 +10,7 @@ from sparrowlog.functions import numbers
 from sparrowlog.llm import lsh_forest
 from sparrowlog.operators import combat, contracts, limits, log_dating
 from sparrowlog.plans import lens, process_queries
-from sparrowlog.sources import tail
+from sparrowlog.sources import landing, tail
 
 
 def test_large_sizes_have_no_commas(spark):
@@ -108,3 +108,18 @@ def test_pointers_of_windows_are_few(spark, monkeypatch):
     origin = dt.datetime(2024, 1, 1, 0, 1)
     assert {(r.id // 10_000, r.id % 10_000): round((r.reset - origin).total_seconds() * 1000) for r in got} == want
     assert max(n for name, n in sizes.items() if name != "limit-nodes") < len(rows) / 8
+
+
+def test_small_files_are_listed_by_tasks(spark, tmp_path):
+    """No reader of Spark knows the files' names, so that none are in the driver; folders, hidden names and sizes count as in one."""
+    for folder in ("a", "a/b", "a/b/c_d", "_x", "a/.y"):
+        (tmp_path / folder).mkdir()
+        for name in ("1.mail", "2.mail", ".3.mail", "_4.mail", "5.txt", "6.mail"):
+            (tmp_path / folder / name).write_bytes(b"" if name == "6.mail" else f"{folder} {name}".encode() + b"\xff" * (name == "2.mail"))
+    rows = landing.mails(spark, f"file://{tmp_path}")
+    assert not rows.inputFiles() or not any(x.endswith(".mail") for x in rows.inputFiles())
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mail").load(str(tmp_path)).filter("length > 0")
+    names = lambda df, c: sorted("/".join(r[0].split("/")[-2:]) for r in df.select(c).collect())
+    assert names(rows, "file") == names(want, "path") and rows.count() == 6
+    assert sorted(r[0] for r in rows.select(F.col("raw").cast("binary")).collect()) == sorted(r[0] for r in want.select("content").collect())
+    assert sorted(r[0] for r in rows.select("character").distinct().collect()) == ["a", "b", "c d"]
