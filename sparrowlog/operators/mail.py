@@ -4,6 +4,7 @@ Arrow batches, about fifteen times as fast as the same as folds of native expres
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,17 +81,6 @@ def read_mail(raw: str | None) -> tuple[str, str, str, int | None, str]:
     return mail_id, sender, subject, stamp, "\n".join(lines[body:]).strip(SPACE)
 
 
-@F.arrow_udf(HEAD)
-def head(raw: pa.Array) -> pa.Array:
-    return as_structs(list(map(read_mail, raw.to_pylist())), HEAD)
-
-
-def parse_mails(mails: DataFrame) -> DataFrame:
-    """Adds fingerprint, mail_id, sender, subject, sent_at and body to rows of (raw, ...)."""
-    rows = mails.select("*", head(F.col("raw")).alias("_head"))
-    return rows.select(*mails.columns, "_head.mail_id", "_head.sender", "_head.subject", "_head.body", text_hash(F.col("raw")).alias("fingerprint"), epoch_clock(F.col("_head.stamp")).alias("sent_at"))
-
-
 def number(text: Column) -> Column:
     """Digits with commas as a number: 0 where there is no digit, no more than ``LARGEST`` so that sums stay in range."""
     digits = F.replace(text, F.lit(","), F.lit(""))
@@ -150,6 +140,35 @@ def purchase(subject: pa.Array, body: pa.Array) -> pa.Array:
     return as_structs(list(map(purchase_of, subject.to_pylist(), body.to_pylist())), PURCHASE)
 
 
+#: A trade of each kind: its function, its fields, and what a mail with one has in any case.
+TRADES = {"sale": (sale_of, SALE, "(?i)sold"), "purchase": (purchase_of, PURCHASE, "(?i)auction|purchased")}
+
+
+@cache
+def reader(*kinds: str):
+    """Head and trades of a mail in one call, so that a task has one Python worker. It counts as nondeterministic, as a filter on
+    its result would else be pushed below it with a second call of its own."""
+
+    def read(raw: pa.Array) -> pa.Array:
+        heads = list(map(read_mail, raw.to_pylist()))
+        found = [as_structs([of(h[2], h[4]) for h in heads], fields) for of, fields, _ in map(TRADES.get, kinds)]
+        return pa.StructArray.from_arrays([*as_structs(heads, HEAD).flatten(), *found], [*HEAD.names, *kinds])
+
+    return F.arrow_udf(read, StructType([*HEAD.fields, *[StructField(k, TRADES[k][1]) for k in kinds]])).asNondeterministic()
+
+
+def parse_mails(mails: DataFrame, *kinds: str) -> DataFrame:
+    """Adds fingerprint, mail_id, sender, subject, sent_at and body to rows of (raw, ...), and trades of the kinds given."""
+    rows = mails.select("*", reader(*kinds)(F.col("raw")).alias("_head"))
+    names = ["mail_id", "sender", "subject", "body", *kinds]
+    return rows.select(*mails.columns, *[F.col(f"_head.{c}") for c in names], text_hash(F.col("raw")).alias("fingerprint"), epoch_clock(F.col("_head.stamp")).alias("sent_at"))
+
+
+def trades(mails: DataFrame, kind: str) -> DataFrame:
+    """Parsed mails with a trade of the kind. What lacks the words of such a trade is not walked."""
+    return parse_mails(mails.filter(F.col("raw").rlike(TRADES[kind][2])), kind).filter(F.col(kind).isNotNull())
+
+
 def with_trades(mails: DataFrame, *kinds: str) -> DataFrame:
     """Parsed mails with their ``sale`` and ``purchase``, or one of them."""
     wanted = [(kind, value) for kind, value in (("sale", sale), ("purchase", purchase)) if not kinds or kind in kinds]
@@ -159,4 +178,4 @@ def with_trades(mails: DataFrame, *kinds: str) -> DataFrame:
 def upload(archive: DataFrame, mails: DataFrame, as_of) -> DataFrame:
     """Newly archived mails of (user_id, raw) with their trades; mails that the archive (user_id, fingerprint) has are left out."""
     rows = mails.withColumn("fingerprint", text_hash(F.col("raw"))).dropDuplicates(["user_id", "fingerprint"]).join(archive.select("user_id", "fingerprint"), ["user_id", "fingerprint"], "left_anti").drop("fingerprint")
-    return with_trades(parse_mails(rows)).withColumn("occurred_at", F.coalesce("sent_at", F.lit(as_of).cast("timestamp")))
+    return parse_mails(rows, "sale", "purchase").withColumn("occurred_at", F.coalesce("sent_at", F.lit(as_of).cast("timestamp")))

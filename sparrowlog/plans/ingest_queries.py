@@ -297,10 +297,10 @@ def mails(spark, d, *more):
 
 @query("txt5_txt6_mail_sales", f"{W(S)} SELECT CAST(id AS VARCHAR) AS mail_id, 'Galaxy.auctioner' AS sender, 'Trade' AS subject, occurred_at, item_name, CASE WHEN buyer='' THEN 'Nobody' ELSE buyer END AS buyer, credits, vendor, 'vendor' AS sale_type FROM sales WHERE id%2=0")
 def mail_sales(spark, d):
-    rows = mail.with_trades(mail.parse_mails(mails(spark, d)), "sale").filter("sale IS NOT NULL")
+    rows = mail.trades(mails(spark, d), "sale")
     return rows.select("mail_id", "sender", "subject", F.col("sent_at").cast(NTZ).alias("occurred_at"), "sale.*")
 
 
 @query("txt7_mail_purchases", f"{W(S)} SELECT CAST(id AS VARCHAR) AS mail_id, item_name, CASE WHEN buyer='' THEN 'Nobody' ELSE buyer END AS seller, credits, 'bazaar' AS purchase_type FROM sales WHERE id%2=1")
 def mail_purchases(spark, d):
-    return mail.with_trades(mail.parse_mails(mails(spark, d)), "purchase").filter("purchase IS NOT NULL").select("mail_id", "purchase.*")
+    return mail.trades(mails(spark, d), "purchase").select("mail_id", "purchase.*")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from sparrowlog.functions import numbers
 from sparrowlog.llm import lsh_forest
-from sparrowlog.operators import combat, contracts, limits, log_dating
-from sparrowlog.plans import lens, process_queries
+from sparrowlog.operators import combat, contracts, limits, log_dating, mail
+from sparrowlog.plans import ingest_queries, lens, process_queries
 from sparrowlog.sources import landing, tail
 
 
@@ -123,3 +123,20 @@ def test_small_files_are_listed_by_tasks(spark, tmp_path):
     assert names(rows, "file") == names(want, "path") and rows.count() == 6
     assert sorted(r[0] for r in rows.select(F.col("raw").cast("binary")).collect()) == sorted(r[0] for r in want.select("content").collect())
     assert sorted(r[0] for r in rows.select("character").distinct().collect()) == ["a", "b", "c d"]
+
+
+def test_mails_are_read_by_one_worker_a_task(spark):
+    """Each Python step of a stage is a worker of its own in each task, and a filter on a trade is no second reading."""
+    d = "/root/testdata/sf0.001"
+    for rows in (ingest_queries.mail_sales(spark, d), ingest_queries.mail_purchases(spark, d), process_queries.mail_upload(spark, d)):
+        assert rows._jdf.queryExecution().executedPlan().toString().count("+- ArrowEvalPython") == 1
+
+
+def test_trades_are_those_of_all_mails(spark):
+    """What is not walked has no trade: any case of letters, in subject or body, and letters that only look alike."""
+    texts = [None, "", "1\r\na\r\nVENDOR: V HAS SOLD x TO y FOR 3 CREDITS", "1\na\nb\n\nYou Won The AUCTION of x from y for 1 credit", "1\na\nb\n\nyou PURCHASED x from y for 1,0 credits", "Vendor: v has \u017fold x to y for 3 credits", "so\r\nld to", "You have purchased sold x to y for 9 credits", "auct\u0130on of x from y for 1 credit"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, raw string")
+    for kind in ("sale", "purchase"):
+        every = mail.with_trades(mail.parse_mails(rows)).filter(F.col(kind).isNotNull()).select("i", "subject", kind)
+        assert sorted(mail.trades(rows, kind).select("i", "subject", kind).collect()) == sorted(every.collect())
+        assert every.count() > 0
