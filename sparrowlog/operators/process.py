@@ -6,6 +6,9 @@ nothing here loops over payloads, so a batch of any number of them is one job.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,21 +29,24 @@ def catalog(known: DataFrame, valid: DataFrame, categories: list[str]) -> tuple[
     return merge.upsert(known, rows, ["id"]), merge.revisions(known, rows, ["id"], BOARD_FIELDS)
 
 
-def fresh_states(known: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Entry rows of the snapshots to append: the first observation of each state (keys, state_hash) that ``known`` lacks."""
-    each = [*keys, "state_hash"]
-    first = rows.groupBy(*each).agg(F.min("observed_at").alias("observed_at")).join(known.select(*each).distinct(), each, "left_anti")
-    return rows.join(first, [*each, "observed_at"], "left_semi")
+def fresh_states(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of entry rows (``is_new``: not archived yet) the archived ones, and those of the snapshots to append: the first observation
+    of each state (keys, state_hash, none of them null) that the archive lacks. Both come in one frame, whose source is thus
+    worked out once."""
+    state = Window.partitionBy("state_hash", *keys)  # what tells rows apart comes first, as sorting looks at it first
+    rows = rows.select("*", F.min("is_new").over(state).alias("_lacks"), F.min("observed_at").over(state).alias("_first"))
+    whole = [F.col(c).isNotNull() for c in (*keys, "state_hash")]
+    return rows.filter(~F.col("is_new") | reduce(and_, whole, F.col("_lacks") & (F.col("observed_at") == F.col("_first")))).drop("_lacks", "_first")
 
 
-def entry_revisions(known: DataFrame, fresh: DataFrame, fields: list[str]) -> DataFrame:
+def entry_revisions(rows: DataFrame, fields: list[str]) -> DataFrame:
     """What differs between an entry of a new snapshot of a past period and the same participant's in the snapshot just
-    before it: (leaderboard_id, starts_at, ends_at, subject, participant_id, observed_at, field, old_value, new_value)."""
-    columns = [*STATE, "observed_at", "source_period_key", "participant_id", *fields]
-    rows = known.select(*columns, F.lit(False).alias("is_new")).unionByName(fresh.select(*columns, F.lit(True).alias("is_new"))).filter("source_period_key <> 'CURRENT'")
+    before it, of archived and fresh rows (``fresh_states``): (leaderboard_id, starts_at, ends_at, subject, participant_id,
+    observed_at, field, old_value, new_value)."""
+    rows = rows.select(*STATE, "observed_at", "source_period_key", "participant_id", *fields, "is_new").filter("source_period_key <> 'CURRENT'")
     rows = rows.withColumn("n", F.dense_rank().over(Window.partitionBy(*STATE).orderBy("observed_at")))
-    before = Window.partitionBy(*STATE, "participant_id").orderBy("n")
-    rows = rows.select("*", F.lag("n").over(before).alias("n_before"), *[F.lag(c).over(before).cast("string").alias(f"_{c}") for c in fields]).filter("is_new AND n_before = n - 1")
+    before = Window.partitionBy("participant_id", *STATE).orderBy("n")  # here, too, what tells rows apart comes first
+    rows = rows.select("*", F.lag("n").over(before).alias("n_before"), *[F.lag(c).over(before).cast("string").alias(f"_{c}") for c in fields]).filter("is_new AND n_before = n - 1 AND participant_id IS NOT NULL")
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_{c}").alias("old_value"), F.col(c).cast("string").alias("new_value")) for c in fields]))
     rows = rows.select(*STATE, "participant_id", "observed_at", each.alias("r"))
     return rows.select(*STATE, "participant_id", "observed_at", "r.*").filter(~F.col("old_value").eqNullSafe(F.col("new_value")))

@@ -12,10 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows dealt to all tasks by a key. A small file is read by one task, and what is made of its rows may be a thousand times
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to all tasks by their keys. A small file is read by one task, and what is made of its rows may be a thousand times
     as much; the number is given, as adaptive execution would join the small pieces again."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,24 +57,27 @@ def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of weekly board snapshots with their snapshot and period: cumulative order totals of a customer in a month."""
+    """Entries of weekly board snapshots with their snapshot and period: cumulative order totals of a customer in a month. Orders
+    are dealt by board and period once, before they become several rows each; all that is ranked or compared lies within one."""
     o = table(spark, sf_dir, "orders")
-    week = F.least(F.lit(4), F.floor((F.dayofmonth("o_orderdate") - 1) / 7).cast("int") + 1)
     rows = o.select(
         F.col("o_orderpriority").alias("leaderboard_id"),
-        F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("starts_on"),
-        F.explode(F.sequence(week, F.lit(4))).alias("week"),
+        F.trunc(F.col("o_orderdate").cast("date"), "MM").cast("timestamp_ntz").alias("starts_at"),
+        F.least(F.lit(4), F.floor((F.dayofmonth("o_orderdate") - 1) / 7).cast("int") + 1).alias("week"),
         F.col("o_custkey"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("total"),
+        "o_totalprice",
     )
-    rows = rows.groupBy("leaderboard_id", "starts_on", "week", "o_custkey").agg(F.sum("total").alias("score"))
+    rows = spread(rows, "leaderboard_id", "starts_at").withColumn("total", F.col("o_totalprice").cast("decimal(18,2)")).withColumn("week", F.explode(F.sequence("week", F.lit(4))))
+    rows = rows.groupBy("leaderboard_id", "starts_at", "week", "o_custkey").agg(F.sum("total").alias("score")).withColumn("starts_on", F.col("starts_at").cast("date"))
     newest = o.agg(F.add_months(F.trunc(F.max("o_orderdate").cast("date"), "MM"), -1).alias("newest"))  # the last whole month
-    place = F.rank().over(Window.partitionBy("leaderboard_id", "starts_on", "week").orderBy(F.desc("score")))
-    total = F.sum("score").over(Window.partitionBy("leaderboard_id", "starts_on", "week"))
+    snapshot = Window.partitionBy("starts_at", "week", "leaderboard_id")
+    # a double is soon compared and in the order of its decimal, which tells equal doubles apart
+    place = F.rank().over(snapshot.orderBy(F.desc(F.col("score").cast("double")), F.desc("score")))
+    total = F.sum("score").over(snapshot)
     return rows.crossJoin(F.broadcast(newest)).select(
         "leaderboard_id",
         F.when(F.col("starts_on") == F.col("newest"), "CURRENT").otherwise("ARCHIVE").alias("source_period_key"),
-        F.col("starts_on").cast("timestamp_ntz").alias("starts_at"),
+        "starts_at",
         F.add_months("starts_on", 1).cast("timestamp_ntz").alias("ends_at"),
         F.concat_ws("|", "leaderboard_id", "starts_on", "week").alias("snapshot_id"),
         F.date_add("starts_on", F.col("week") * 7).cast("timestamp_ntz").alias("observed_at"),

@@ -59,25 +59,23 @@ def catalog_revisions(spark, d):
 
 
 def board_states(spark, d):
-    """Known entries (first two weeks), and later ones that come twice, the second time an hour later with the same state."""
+    """Archived entries (first two weeks), and later ones that come twice, the second time an hour later with the same state."""
     rows = lens.observations(spark, d).withColumn("subject", F.lit("player")).withColumn("state_hash", F.sha2("snapshot_id", 256)).withColumn("score_raw", F.col("score").cast("decimal(18,2)").cast("string"))
-    early = F.substring_index("snapshot_id", "|", -1).cast("int") <= 2
-    late = rows.filter(~early)
-    return rows.filter(early), late.unionByName(late.withColumn("observed_at", F.col("observed_at") + F.expr("INTERVAL 1 HOUR")))
+    rows = rows.withColumn("is_new", F.substring_index("snapshot_id", "|", -1).cast("int") > 2)
+    again = F.when(F.col("is_new"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("again", F.explode(again)).withColumn("observed_at", F.when(F.col("again") == 1, F.col("observed_at") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("observed_at"))).drop("again")
 
 
 @query("prc2_snapshots", f"{W(O)} SELECT leaderboard_id, starts_at, observed_at, participant_id, rank FROM observations WHERE CAST(split_part(snapshot_id,'|',3) AS INT)>2")
 def board_snapshots(spark, d):
-    known, new = board_states(spark, d)
-    return process.fresh_states(known, new, process.STATE).select("leaderboard_id", "starts_at", "observed_at", "participant_id", "rank")
+    return process.fresh_states(board_states(spark, d), process.STATE).filter("is_new").select("leaderboard_id", "starts_at", "observed_at", "participant_id", "rank")
 
 
 @query("prc2_entry_revisions", f"""{W(O)}, s AS (SELECT *, CAST(CAST(score AS DECIMAL(18,2)) AS VARCHAR) AS score_raw, dense_rank() OVER (PARTITION BY leaderboard_id, starts_at ORDER BY observed_at) AS n FROM observations WHERE source_period_key<>'CURRENT'),
  b AS (SELECT y.leaderboard_id, y.starts_at, y.participant_id, y.observed_at, x.rank AS r0, y.rank AS r1, x.score_raw AS s0, y.score_raw AS s1 FROM s x JOIN s y ON x.leaderboard_id=y.leaderboard_id AND x.starts_at=y.starts_at AND x.participant_id=y.participant_id AND y.n=x.n+1 WHERE CAST(split_part(y.snapshot_id,'|',3) AS INT)>2)
 SELECT leaderboard_id, starts_at, participant_id, observed_at, 'rank' AS field, CAST(r0 AS VARCHAR) AS old_value, CAST(r1 AS VARCHAR) AS new_value FROM b WHERE r0<>r1 UNION ALL SELECT leaderboard_id, starts_at, participant_id, observed_at, 'score_raw', s0, s1 FROM b WHERE s0<>s1""")
 def entry_revisions(spark, d):
-    known, new = board_states(spark, d)
-    return process.entry_revisions(known, process.fresh_states(known, new, process.STATE), ["rank", "score_raw"]).drop("subject", "ends_at")
+    return process.entry_revisions(process.fresh_states(board_states(spark, d), process.STATE), ["rank", "score_raw"]).drop("subject", "ends_at")
 
 
 def bounties(spark, d):
