@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}", re.I)
@@ -22,6 +22,20 @@ def exact_mean(x: Column) -> Column:
     return F.when(F.bool_and(held), (F.sum(F.when(held, x).cast("decimal(26,10)")) / F.count(x)).cast("double")).otherwise(F.avg(x))
 
 
+def near_half(x: Column) -> Column:
+    """Whether the mean of doubles is nearer to a half than the rounding of a sum can go, so that the order of its additions may
+    show in the rounded mean. The bound is that of a sum one after the other, twice, with a margin for the places of ``exact_mean``."""
+    mean = F.abs(exact_mean(x))
+    return F.abs(mean - F.floor(mean) - 0.5) <= (F.count(x) + 1) * 2.0**-52 * F.avg(F.abs(x)) + 1e-9
+
+
+def means_in_order(rows: DataFrame, key: str, x: str, *order: str) -> DataFrame:
+    """(key, mean): the doubles of a key added one after the other in the given order."""
+    up_to = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.select(key, x, F.struct(*order).alias("_at"), F.sum(x).over(up_to).alias("_sum"))
+    return sums.groupBy(key).agg((F.max_by("_sum", "_at") / F.count(x)).alias("mean"))
+
+
 def is_uuid(text: Column) -> Column:
     return F.coalesce(text.rlike(f"(?i)^{UUID.pattern}$"), F.lit(False))
 
