@@ -176,6 +176,14 @@ def with_trades(mails: DataFrame, *kinds: str) -> DataFrame:
 
 
 def upload(archive: DataFrame, mails: DataFrame, as_of) -> DataFrame:
-    """Newly archived mails of (user_id, raw) with their trades; mails that the archive (user_id, fingerprint) has are left out."""
-    rows = mails.withColumn("fingerprint", text_hash(F.col("raw"))).dropDuplicates(["user_id", "fingerprint"]).join(archive.select("user_id", "fingerprint"), ["user_id", "fingerprint"], "left_anti").drop("fingerprint")
+    """Newly archived mails of (user_id, raw) with their trades; mails that the archive (user_id, fingerprint) has are left out. Mails and
+    archive are grouped by user and hash together, so that a text is shuffled once, beside the 32 bytes of its hash. Keys without a
+    value are in no archive."""
+    rest = [c for c in mails.columns if c != "user_id"]
+    new = mails.select("user_id", F.unhex(text_hash(F.col("raw"))).alias("_hash"), F.struct(*rest).alias("_mail"), F.lit(False).alias("_known"))
+    none = F.lit(None).cast(new.schema["_mail"].dataType)
+    known = F.col("user_id").isNotNull() & F.coalesce(F.col("fingerprint").rlike(r"\A[0-9a-f]{64}\z"), F.lit(False))
+    old = archive.select("user_id", F.unhex("fingerprint").alias("_hash"), none.alias("_mail"), known.alias("_known"))
+    groups = new.unionByName(old).groupBy("user_id", "_hash").agg(F.first("_mail", ignorenulls=True).alias("_mail"), F.bool_or("_known").alias("_known"))
+    rows = groups.filter(F.col("_mail").isNotNull() & ~F.col("_known")).select(*[F.col(f"_mail.{c}") if c in rest else F.col(c) for c in mails.columns])
     return parse_mails(rows, "sale", "purchase").withColumn("occurred_at", F.coalesce("sent_at", F.lit(as_of).cast("timestamp")))

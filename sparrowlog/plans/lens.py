@@ -89,20 +89,24 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders. Orders meet their customers before the many lines do, and what a line brings is made before it is shuffled."""
     li, o, p, c = (table(spark, sf_dir, x) for x in ("lineitem", "orders", "part", "customer"))
+    lines = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("l_extendedprice").cast("long").alias("credits"))
+    items = p.select("p_partkey", F.concat_ws(" ", F.col("p_brand"), F.col("p_type")).alias("item_name"))
+    buyers = c.select("c_custkey", F.when(F.col("c_custkey") % 50 == 0, "").otherwise(F.col("c_name")).alias("buyer"))
+    bought = o.join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "buyer", F.col("o_orderdate").alias("occurred_at"))
     return (
-        li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(p, F.col("l_partkey") == F.col("p_partkey"))
-        .join(c, F.col("o_custkey") == F.col("c_custkey"))
+        lines.join(items, F.col("l_partkey") == F.col("p_partkey"))
+        .join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
             F.concat(F.lit("u"), F.col("l_suppkey") % 10).alias("user_id"),
             F.concat(F.lit("Trader "), F.col("l_suppkey") % 40).alias("character_name"),
-            F.concat_ws(" ", F.col("p_brand"), F.col("p_type")).alias("item_name"),
-            F.when(F.col("c_custkey") % 50 == 0, "").otherwise(F.col("c_name")).alias("buyer"),
-            F.round("l_extendedprice").cast("long").alias("credits"),
+            "item_name",
+            "buyer",
+            "credits",
             F.concat(F.lit("Vendor "), "l_suppkey").alias("vendor"),
-            F.col("o_orderdate").alias("occurred_at"),
+            "occurred_at",
         )
     )
 
