@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from sparrowlog.functions.files import shared
 from sparrowlog.operators.ingest import content_hash, text_hash
 
-#: The words that mark a combat log by name, and sizes of what is read.
+#: The words that mark a combat log by name, the names of mails, and sizes of what is read.
 LOG_NAMES = r"(?i)(chat|combat).*\.(txt|log)$|chatlog"
-SNIFF, MAIL_BYTES = 8 * 1024, 64_000
+SNIFF, MAILS, MAIL_BYTES = 8 * 1024, "*.mail", 64_000
 #: Rows and bytes of a batch that a task hands on.
 ROWS, PIECE = 10_000, 4 << 20
 
@@ -92,6 +92,17 @@ def small_files(spark: SparkSession, path: str, glob: str, most: int | None = No
     return found.filter(fit).select("path").repartition(parts, "path").mapInArrow(reading(path), "file string, content binary")
 
 
+def walked(top: str, glob: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """(file, content) as of ``small_files``, of a folder that one task lists and reads as a whole."""
+    batch = lambda paths: iter([pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])])
+    folders, fit = [fs.FileSystem.from_uri(top)[1]], []
+    while folders:
+        found = [x for some in listing(glob, top)(batch(folders)) for x in zip(*(c.to_pylist() for c in some.columns), strict=True)]
+        folders = [path for path, length in found if length is None]
+        fit += [path for path, length in found if length and (most is None or length <= most)]
+    yield from reading(top)(batch(fit))
+
+
 def payloads(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """(file, payload, payload_hash) of a folder of JSON responses; hash of the canonical text, null where it is no JSON."""
     rows = small_files(spark, path, glob).select("file", F.col("content").cast("string").alias("payload"))
@@ -106,7 +117,11 @@ def character_name(file: Column) -> Column:
 
 def mails(spark: SparkSession, path: str, known: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(file, character, raw, fingerprint) of ``.mail`` files of 1 to 64,000 bytes that ``known`` (fingerprint) lacks."""
-    files = small_files(spark, path, "*.mail", MAIL_BYTES)
+    return mails_of(small_files(spark, path, MAILS, MAIL_BYTES), known, limit)
+
+
+def mails_of(files: DataFrame, known: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """The same of files (file, content) that have been read."""
     rows = files.select("file", character_name(F.col("file")).alias("character"), F.col("content").cast("string").alias("raw")).withColumn("fingerprint", text_hash(F.col("raw")))
     if known is not None:
         rows = rows.join(known.select("fingerprint"), "fingerprint", "left_anti")
